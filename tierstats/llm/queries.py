@@ -1,7 +1,22 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import lines, mixing
+from . import chat, decontam, license, lines, mixing, pii, rules, simhash, toxicity
 
-QUERIES = {"op1_mix_sources": mixing.op1, "op6_line_dedup": lines.op6}
+QUERIES = {
+    "op1_mix_sources": mixing.op1,
+    "op2_personal_data": pii.op2,
+    "op3_chat_format": chat.op3,
+    "op5_benchmark_leaks": decontam.op5,
+    "op6_line_dedup": lines.op6,
+    "op7_quality_rules": rules.op7,
+    "op8_license_scan": license.op8,
+    "op9_toxicity": toxicity.op9,
+    "op10_simhash": simhash.op10,
+}
 
-ORACLES = {"op1_mix_sources": mixing.ORACLE, "op6_line_dedup": lines.ORACLE}
+ORACLES = {
+    "op1_mix_sources": mixing.ORACLE,
+    "op3_chat_format": chat.ORACLE,
+    "op6_line_dedup": lines.ORACLE,
+    "op7_quality_rules": rules.ORACLE,
+}
