@@ -35,10 +35,8 @@ def fingerprint(record: Column) -> Column:
 
 def layout_of(record: Column) -> Column:
     """Name of the record's layout, null if no mapping has its fingerprint."""
-    found, own = F.lit(None).cast("string"), fingerprint(record)
-    for name, (paths, _) in LAYOUTS.items():
-        found = F.when(own == F.xxhash64(F.lit(",".join(paths))), F.lit(name)).otherwise(found)
-    return found
+    known = F.create_map(*(x for name, (paths, _) in LAYOUTS.items() for x in (F.xxhash64(F.lit(",".join(paths))), F.lit(name))))
+    return F.try_element_at(known, fingerprint(record))
 
 
 def _text(record: Column, path: str) -> Column:
