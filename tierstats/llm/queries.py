@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import chat, decontam, license, lines, mixing, pii, rules, simhash, toxicity
+from . import chat, decontam, license, lines, mixing, pii, rules, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_personal_data": pii.op2,
     "op3_chat_format": chat.op3,
+    "op4_substring_dedup": substrings.op4,
     "op5_benchmark_leaks": decontam.op5,
     "op6_line_dedup": lines.op6,
     "op7_quality_rules": rules.op7,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op3_chat_format": chat.ORACLE,
+    "op4_substring_dedup": substrings.ORACLE,
     "op6_line_dedup": lines.ORACLE,
     "op7_quality_rules": rules.ORACLE,
 }
