@@ -87,6 +87,22 @@ def hash_thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "copies", "threshold")
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    text = F.col(text_col)
+    return [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), hash60(F.col(id_col), text).alias("h")]
+
+
+def _apply(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    out = lookup_join(sized, plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    n = F.col("copies") + (F.col("h") < F.col("threshold")).cast("long")
+    return out.withColumn("n_copies", n).withColumn("taken", n * F.col("size"))
+
+
+def mix_plan(sized: DataFrame, weights: Sequence[float], max_ratio: float) -> DataFrame:
+    totals = staged(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-totals")
+    return hash_thresholds(sized, source_targets(totals, weights, max_ratio))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), max_ratio: float = 3.0) -> DataFrame:
     """How often each document enters a mix in which sources meet their weights.
 
@@ -98,15 +114,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in full are taken or left together. A source whose documents are all empty has target 0. Empty table: empty
     result. Other columns of ``docs`` are not carried, so their names cannot clash.
     """
-    text = F.col(text_col)
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), hash60(F.col(id_col), text).alias("h"))
-    sized = staged(sized, "mix-sizes")
-    totals = staged(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-totals")
-    plan = hash_thresholds(sized, source_targets(totals, weights, max_ratio))
-    plan = plan.withColumnRenamed("source", "s")
-    out = lookup_join(sized, plan, F.col("source").eqNullSafe(F.col("s")), "left")
-    n = F.col("copies") + (F.col("h") < F.col("threshold")).cast("long")
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", n.alias("n_copies"), (n * F.col("size")).alias("taken"))
+    sized = staged(docs.select(*_sized(docs, id_col, text_col, source_col)), "mix-sizes")
+    out = _apply(sized, mix_plan(sized, weights, max_ratio))
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "n_copies", "taken")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), max_ratio: float = 3.0) -> DataFrame:
+    """The documents of the mix of ``mix_sources``: all columns of ``docs`` and n_copies, at least 1.
+
+    Texts are not shuffled: their own hash is compared with the source's threshold.
+    """
+    sized = staged(docs.select(*_sized(docs, id_col, text_col, source_col)), "mix-sizes")
+    own = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), *_sized(docs, id_col, text_col, source_col))
+    out = _apply(own, mix_plan(sized, weights, max_ratio)).where("n_copies > 0")
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "n_copies"), "n_copies")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
