@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_classify, q_windows  # noqa: F401  (they register their queries)
+from . import q_aggregate, q_classify, q_joins, q_windows  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 
