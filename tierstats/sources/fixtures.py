@@ -31,7 +31,7 @@ VIEWS = {
         n_usable, mean, sd FROM obs JOIN stat USING (instance)""",
     "prof": """SELECT unit, grp, entry, position, state, resolution, median(z) AS z, count(z) AS n_instances FROM norm WHERE z IS NOT NULL GROUP BY ALL""",
     "feat": """SELECT unit, grp, entry, state, resolution, 'S' || ((position - 1) // 10)::VARCHAR AS segment, median(z) AS v, avg(z) AS mean_v, count(*) AS n FROM prof GROUP BY ALL""",
-    "unitseg": """SELECT unit, grp, segment, median(v) AS v, avg(v) AS mean_v, count(*) AS n_entries FROM feat GROUP BY ALL""",
+    "unitseg": """SELECT unit, grp, segment, median(v) AS v, avg(mean_v) AS mean_of_means, avg(v) AS mean_v, count(*) AS n_entries FROM feat GROUP BY ALL""",
     "ivals": """SELECT l_suppkey AS k, (l_partkey % 300 + 1)::BIGINT AS b, (l_partkey % 300 + l_quantity)::BIGINT AS e FROM lineitem""",
     "arrs": """SELECT l_orderkey AS k, list_sort(list(l_tax)) AS taxes, list_sort(list(l_discount)) AS discounts, list_sort(list(DISTINCT l_returnflag)) AS flags FROM lineitem GROUP BY 1""",
     "pts": """SELECT vec_id, label, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE * 100 AS z FROM embeddings""",
