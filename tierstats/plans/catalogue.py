@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tierstats.operators import stats, windows
 from tierstats.sources import fixtures
 
-from . import q_aggregate, q_classify, q_joins, q_matrix, q_stats, q_windows  # noqa: F401  (they register their queries)
+from . import q_aggregate, q_classify, q_joins, q_layers, q_matrix, q_stats, q_windows  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 
