@@ -136,12 +136,12 @@ def ag18(s, d):
     return A.counts_by_unit(table(s, d, "nation").select(c("n_nationkey").alias("unit")), "unit", {"customers": table(s, d, "customer").withColumnRenamed("c_nationkey", "unit"), "suppliers": table(s, d, "supplier").withColumnRenamed("s_nationkey", "unit")})
 
 
-@query("AG19_threshold_sensitivity", f"""SELECT level, count(DISTINCT instance) FILTER (cov >= level) AS n_instances, count(DISTINCT entry) FILTER (cov >= level) AS n_entries, count(DISTINCT unit) FILTER (cov >= level) AS n_units, array_to_string(list_filter(list_sort(list(DISTINCT unit)), lambda u: NOT list_contains(coalesce(list(DISTINCT unit) FILTER (cov >= level), []), u)), ',') AS lost FROM {_QC}, (SELECT unnest([0.1, 0.3, 0.5]) AS level) GROUP BY level""")
+@query("AG19_threshold_sensitivity", f"""SELECT level, count(DISTINCT instance) FILTER (cov >= level) AS n_instances, count(DISTINCT entry) FILTER (cov >= level) AS n_entries, count(DISTINCT unit) FILTER (cov >= level) AS n_units, array_to_string(list_filter(list_sort(list(DISTINCT unit)), lambda u: NOT list_contains(coalesce(list(DISTINCT unit) FILTER (cov >= level), []), u)), ',') AS lost FROM {_QC}, (SELECT unnest([0.1, 0.3, 0.5]::DOUBLE[]) AS level) GROUP BY level""")
 def ag19(s, d):
     return A.threshold_sensitivity(_qc(s, d), [0.1, 0.3, 0.5], "cov", "instance", "entry", "unit")
 
 
-@query("AG20_threshold_attrition", f"""SELECT n_nationkey AS unit, level, best, CASE WHEN best IS NULL THEN 'NO_DATA' WHEN best >= level THEN 'RETAINED' ELSE 'LOST' END AS status FROM nation LEFT JOIN (SELECT unit, max(cov) AS best FROM {_QC} GROUP BY unit) ON unit = n_nationkey, (SELECT unnest([0.2, 0.4, 0.6]) AS level)""")
+@query("AG20_threshold_attrition", f"""SELECT n_nationkey AS unit, level, best, CASE WHEN best IS NULL THEN 'NO_DATA' WHEN best >= level THEN 'RETAINED' ELSE 'LOST' END AS status FROM nation LEFT JOIN (SELECT unit, max(cov) AS best FROM {_QC} GROUP BY unit) ON unit = n_nationkey, (SELECT unnest([0.2, 0.4, 0.6]::DOUBLE[]) AS level)""")
 def ag20(s, d):
     return A.threshold_attrition(_qc(s, d), table(s, d, "nation").select(c("n_nationkey").alias("unit")), [0.2, 0.4, 0.6], "cov", "unit")
 
@@ -225,7 +225,7 @@ def ag32(s, d):
     return _support(s, d).withColumn("support", F.round("support", 6))
 
 
-@query("AG33_candidate_feature_sets", f"""WITH sup AS (SELECT segment, coalesce(n, 0) / 25 AS support FROM {_VOC} LEFT JOIN (SELECT segment, count(DISTINCT unit) AS n FROM unitseg GROUP BY segment) USING (segment)), lv AS (SELECT segment, level FROM sup, (SELECT unnest([0.4, 0.7]) AS level) WHERE support >= level), nf AS (SELECT level, count(*) AS nf FROM lv GROUP BY level), hv AS (SELECT level, unit, count(*) AS have FROM lv JOIN (SELECT DISTINCT unit, segment FROM unitseg) USING (segment) GROUP BY ALL)
+@query("AG33_candidate_feature_sets", f"""WITH sup AS (SELECT segment, coalesce(n, 0) / 25 AS support FROM {_VOC} LEFT JOIN (SELECT segment, count(DISTINCT unit) AS n FROM unitseg GROUP BY segment) USING (segment)), lv AS (SELECT segment, level FROM sup, (SELECT unnest([0.4, 0.7]::DOUBLE[]) AS level) WHERE support >= level), nf AS (SELECT level, count(*) AS nf FROM lv GROUP BY level), hv AS (SELECT level, unit, count(*) AS have FROM lv JOIN (SELECT DISTINCT unit, segment FROM unitseg) USING (segment) GROUP BY ALL)
 SELECT level, count(*) FILTER (have = nf) AS complete_units, max(nf) AS n_features FROM hv JOIN nf USING (level) GROUP BY level""")
 def ag33(s, d):
     return A.candidate_feature_sets(_support(s, d), unitseg(s, d), "segment", "unit", [0.4, 0.7])
