@@ -23,9 +23,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written first: between two plain exchanges Spark splits the partition of a node with very many edges
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
         large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large, "cc-large")
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         near = large.join(low.hint("merge"), "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
