@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tierstats.llm import chat, components, decontam, license, lines, mixing, pii, rules, simhash, substrings, toxicity
+from tierstats.llm import chat, decontam, license, lines, mixing, pii, rules, simhash, substrings, toxicity
+from tierstats.operators.graph import connected_components
 
 from . import brute
 
@@ -95,13 +96,15 @@ def test_simhash(docs, nothing, tile):
     assert simhash.near_duplicates(docs).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("radius", [4, 8])
 @pytest.mark.parametrize("n", [10, 1 << 25, 1 << 33, 1 << 50])
-def test_masks_lose_no_pair(n):
-    """Any four differing bits leave one mask untouched."""
+def test_masks_lose_no_pair(n, radius):
+    """Any ``radius`` differing bits leave one mask untouched."""
     rnd = random.Random(n)
-    masks = simhash.block_masks(n, 4, 2048)
+    masks = simhash.block_masks(n, radius, 2048)
+    assert len(masks) <= 64
     for _ in range(3000):
-        d = sum({1 << rnd.randrange(64) for _ in range(4)})
+        d = sum({1 << rnd.randrange(64) for _ in range(radius)})
         assert any(d & m == 0 for m in masks)
 
 
@@ -111,14 +114,14 @@ def test_large_groups_by_tiles(spark):
     fps = {rnd.getrandbits(12) for _ in range(400)}
     d = spark.createDataFrame([(f,) for f in fps], "fp long")
     links = simhash.fingerprint_links(d, tile=16)
-    root = {r.node: r.root for r in components.connected_components(links).collect()}
+    root = {r.node: r.root for r in connected_components(links).collect()}
     assert {f: root.get(f, f) for f in fps} == brute.components({f: f for f in fps})
 
 
 def test_components_of_a_long_chain(spark):
     d = spark.range(500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {r.root for r in components.connected_components(d).collect()} == {0}
-    assert components.connected_components(d.limit(0)).count() == 0
+    assert {r.root for r in connected_components(d).collect()} == {0}
+    assert connected_components(d.limit(0)).count() == 0
 
 
 def test_personal_data(spark, nothing):

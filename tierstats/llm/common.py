@@ -1,30 +1,17 @@
-"""Shared helpers: tables in the shared folder, joins with a size check, word counts."""
+"""Shared helpers: joins with a size check, word counts."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierstats.sources.shared import staged  # noqa: F401  (the operators take it from here)
+
 #: Words are maximal runs of anything but these characters.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors and
-    gives the optimizer true sizes."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def is_small(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has no more than ``rows`` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows

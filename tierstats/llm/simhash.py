@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierstats.operators.graph import connected_components
+
 from .common import lookup_join, staged
-from .components import connected_components
 from .words import LOWER
 
 SEED = 42
@@ -118,16 +120,21 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield solve(np.zeros(len(held[0]), np.int64), held[4], held[2], held[5].view(np.uint64))
 
 
-def block_masks(n: int, radius: int, tile: int) -> list[int]:
+def block_masks(n: int, radius: int, tile: int, most: int = 64) -> list[int]:
     """Masks of which any two fingerprints within the radius share at least one: 64 bits are cut into blocks, the
     differing bits touch at most ``radius`` of them, and every choice of that many fewer blocks is a mask. More
-    blocks make longer masks, so that n fingerprints fall into groups of about a tile at most."""
+    blocks make longer masks, so that n fingerprints fall into groups of about a tile at most; as each fingerprint is
+    written once for each mask, there are at most ``most`` masks (and at least radius + 1)."""
+    found: list[int] = []
     for extra in range(1, 5):
         blocks = radius + extra
+        if found and comb(blocks, extra) > most:
+            break
         edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-        if n <= tile << (64 * extra // blocks) or extra == 4:
-            return [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in kept) for kept in combinations(range(blocks), extra)]
-    raise AssertionError
+        found = [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in kept) for kept in combinations(range(blocks), extra)]
+        if n <= tile << (64 * extra // blocks):
+            break
+    return found
 
 
 def _signed(x: int) -> int:
@@ -147,6 +154,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, tile: int = 2048) ->
     bands = rows.groupBy("combo", "value", "pc").agg(F.count(F.lit(1)).alias("n"))
     tiles = F.map_from_entries(F.collect_list(F.struct("pc", F.ceil(F.col("n") / tile).alias("t"))))  # at most 65 entries
     groups = bands.groupBy("combo", "value").agg(F.sum("n").alias("total"), tiles.alias("tiles")).where("total > 1")
+    # written first: between two plain exchanges Spark splits the partition of a hot group
+    groups = staged(groups, "simhash-groups")
     rows = rows.join(groups.hint("merge"), ["combo", "value"])
     slot = F.pmod(F.xxhash64("fp"), F.col("tiles")[F.col("pc")])
     own = F.when(F.col("total") <= tile, F.lit(0)).otherwise(F.col("pc") * (1 << 40) + slot)
@@ -171,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-distinct")
     roots = connected_components(fingerprint_links(distinct.select("fp"), radius, tile))
     linked = staged(lookup_join(distinct, roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = staged(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-least")
     of_fp = staged(linked.join(least.hint("merge"), "root").select(F.col("fp").alias("f"), "component_id"), "simhash-components")
     out = fps.join(of_fp.hint("merge"), F.col("fp") == F.col("f"))
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
