@@ -157,13 +157,15 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # factor boundaries: blocks of an anchor that has several, one of them found once
     unlike = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).where("c >= 2 and least = 1").select("anchor")
+    unlike = staged(unlike, "rlz-unlike")
     need = index.join(unlike.hint("merge"), "anchor").select("rep.tid", F.struct("rep.at", "block", "n").alias("x")).groupBy("tid").agg(F.collect_list("x").alias("need"))
     checked = texts.select("tid", "z").join(need.hint("shuffle_hash"), "tid").select("tid", "z", "need")
     windows = staged(checked.mapInArrow(_boundary_windows(window), "w long, block long, place long, n long"), "rlz-windows")
-    twice = windows.groupBy("w").agg(F.sum("n").alias("c")).where("c >= 2").select("w")
+    # what is joined to rows with hot keys is written first: between two plain exchanges Spark splits hot partitions
+    twice = staged(windows.groupBy("w").agg(F.sum("n").alias("c")).where("c >= 2").select("w"), "rlz-twice")
     partial = windows.join(twice.hint("merge"), "w").groupBy("block").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("mask"))
     whole = index.where("n >= 2").select("block", F.lit(-1).cast("long").alias("mask"))
-    masks = partial.unionByName(whole).groupBy("block").agg(F.bit_or("mask").alias("mask"))
+    masks = staged(partial.unionByName(whole).groupBy("block").agg(F.bit_or("mask").alias("mask")), "rlz-masks")
 
     spans = found.join(masks.hint("merge"), "block").select("tid", F.struct("at", "mask").alias("s")).groupBy("tid").agg(F.collect_list("s").alias("spans"))
     parsed = texts.select("tid", "z").join(spans.hint("shuffle_hash"), "tid", "left").select("tid", "z", "spans")
