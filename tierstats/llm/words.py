@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Odd multipliers of the polynomial hashes and the constants of the finaliser (fixed values).
 WORD_BASE, WINDOW_BASE, WINDOW_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -103,7 +103,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 4 << 20) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
     """64-bit hashes of the words, by prefix sums of a polynomial; long data go piece by piece."""
     out, k = np.empty(len(starts), np.uint64), 0
     inverse = pow(WORD_BASE, -1, 1 << 64)
