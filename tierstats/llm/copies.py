@@ -1,0 +1,147 @@
+"""Near copies by the exact similarity of shingle sets: MinHash bands find candidates, the whole sets decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tierstats.operators.graph import connected_components
+
+from .common import staged
+from .words import LOWER, chunks, mix, whole_windows, window_hashes, word_hashes
+
+#: Two sets of similarity s share a band with a probability of 1 - (1 - s^ROWS)^BANDS: 0.9998 at 0.8, more above.
+BANDS, ROWS = 16, 4
+#: Shingles in a tile of a candidate group; a larger group is compared by pairs of tiles.
+TILE = 1 << 22
+_TABLE = np.frombuffer(LOWER, np.uint8)
+_SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, sizes, hashes) for each chunk of rows: how many distinct shingles of k words each row has, and their
+    hashes, sorted, row by row. A text of fewer words is one shingle, a text without words has none."""
+    for c in chunks(column):
+        words = word_hashes(_TABLE[c.data], c.starts, c.ends)
+        at, n = whole_windows(c.first, k), c.n_words
+        owners, hashes = [c.doc_of_word()[at]], [window_hashes(words, k)[at]]
+        for short in range(1, k):
+            rows = np.flatnonzero(n == short)
+            if len(rows):
+                owners.append(rows)
+                hashes.append(window_hashes(words, short)[c.first[rows]])
+        owner, h = np.concatenate(owners), np.concatenate(hashes)
+        order = np.lexsort((h, owner))
+        owner, h = owner[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+        yield c.lo, np.bincount(owner[new], minlength=len(n)), h[new]
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo, sizes, h in shingle_sets(b.column(2), k):
+            filled, key = np.flatnonzero(sizes), np.zeros(len(sizes), np.uint64)
+            bands = np.zeros((len(filled), BANDS), np.uint64)
+            if len(filled):
+                starts = (np.cumsum(sizes) - sizes)[filled]
+                key[filled] = mix(np.add.reduceat(mix(h), starts) + sizes[filled].astype(np.uint64))
+                for j in range(BANDS * ROWS):
+                    least = np.minimum.reduceat((h ^ _SEEDS[2 * j]) * (_SEEDS[2 * j + 1] | np.uint64(1)), starts)
+                    bands[:, j // ROWS] = mix(bands[:, j // ROWS] + least + np.uint64(j))
+            ends = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).view(np.int64)))
+            cols = [b.column(0).slice(lo, len(sizes)), b.column(1).slice(lo, len(sizes)), pa.array(key.view(np.int64)), pa.array(sizes.astype(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "key", "size", "bands"])
+
+
+def similar(keys: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
+    """Links (key, key) that join all sets of similarity 0.8 or more: each set that is reached is compared with all that
+    are not reached yet."""
+    ids, links = np.unique(h, return_inverse=True)[1], []
+    flag = np.zeros(len(h), bool)
+    left, left_ids, ends = np.arange(len(keys)), ids, np.cumsum(sizes)
+    starts, reached = ends - sizes, []
+    while len(left):
+        if reached:
+            i = reached.pop()
+        else:
+            i, left, left_ids = left[0], left[1:], left_ids[sizes[left[0]] :]
+            if not len(left):
+                break
+        mine = ids[starts[i] : ends[i]]
+        flag[mine] = True
+        n = sizes[left]
+        common = np.add.reduceat(flag[left_ids], np.cumsum(n) - n, dtype=np.int64)
+        flag[mine] = False
+        near = 5 * common >= 4 * (n + sizes[i] - common)
+        if near.any():
+            links += [(int(keys[i]), int(keys[j])) for j in left[near]]
+            reached += left[near].tolist()
+            left_ids, left = left_ids[np.repeat(~near, n)], left[~near]
+    return links
+
+
+def _links(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by group (band, lo, hi) -> (a, b)."""
+    group, held = None, []
+
+    def solve() -> pa.RecordBatch:
+        found = similar(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for b in batches:
+        place = np.stack([np.asarray(b.column(i)) for i in range(3)])
+        keys = np.asarray(b.column(3))
+        for lo, sizes, h in shingle_sets(b.column(4), k):
+            at, ends = place[:, lo : lo + len(sizes)], np.concatenate([[0], np.cumsum(sizes)])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), len(sizes)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if (now := tuple(at[:, x].tolist())) != group:
+                    if held:
+                        yield solve()
+                    group, held = now, []
+                held.append((keys[lo + x : lo + y], sizes[x:y], h[ends[x] : ends[y]]))
+    if held:
+        yield solve()
+
+
+def near_copies(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """(row_col, kept) for each row of ``docs``: the row that stays for it.
+
+    Rows are linked if the sets of their k-word shingles (words at ASCII space, A-Z lower-cased) have a Jaccard
+    similarity of 0.8 or more; of all that are reachable over links the row of smallest (id, row) stays, null ids last.
+    Texts without a word, also null, are copies of each other only. ``row_col`` must be unique and written (long).
+
+    Equal sets are compared once. Sets that share a MinHash band are candidates, and bands with the same members are
+    one group; every link is checked on the whole sets. Sets and shingles are told apart by 64-bit hashes.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed = staged(rows.mapInArrow(partial(_signatures, k=k), f"row long, id {id_type}, key long, size long, bands array<long>"), "copy-signatures")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
+    sets = staged(signed.groupBy("key").agg(least.alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "copy-sets")
+    banded = sets.select("key", "size", F.explode("bands").alias("band"))
+    groups = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("members"), F.sum("size").alias("total")).where("n > 1")
+    groups = groups.groupBy("n", "members", "total").agg(F.min("band").alias("band"))
+    # written first: between two plain exchanges Spark splits the partition of a hot group
+    groups = staged(groups.select("band", F.ceil(F.col("total") / TILE).alias("tiles")), "copy-groups")
+    members = staged(banded.join(groups.hint("merge"), "band").select("key", "band", "tiles"), "copy-members")
+    wanted = staged(members.select("key").distinct().join(sets.select("key", F.col("least.row").alias("row")).hint("merge"), "key"), "copy-wanted")
+    texts = staged(rows.select("row", "text").join(wanted.hint("merge"), "row").select("key", "text"), "copy-texts")
+    own = F.pmod(F.xxhash64("key"), F.col("tiles"))
+    tiled = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    tiled = tiled.select("key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiled.join(texts.hint("merge"), "key").select("band", "lo", "hi", "key", "text")
+    dealt = dealt.repartition(parts, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    roots = connected_components(dealt.mapInArrow(partial(_links, k=k), "a long, b long"))
+    of_set = staged(sets.select("key", "least").join(roots.hint("merge"), F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root")), "copy-roots")
+    kept = staged(of_set.groupBy("root").agg(F.min("least").alias("least")).select("root", F.col("least.row").alias("kept")), "copy-least")
+    of_set = staged(of_set.join(kept.hint("merge"), "root").select("key", "kept"), "copy-components")
+    return signed.select("row", "key").join(of_set.hint("merge"), "key").select(F.col("row").alias(row_col), "kept")
