@@ -68,3 +68,11 @@ def test_near_copies_by_small_tiles(spark, monkeypatch):
     monkeypatch.setattr(copies, "TILE", 300)
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(map(tuple, out.collect())) == kept_rows(rows)
+
+
+def test_clean_short_texts_stay(spark):
+    """Fingerprints of two shingles often lie near zero, that is near texts without a word, and near each other."""
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(6))) for i in range(3000)] + [(3000 + i, t) for i, t in enumerate(("", None, " \n\t"))]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(rows[:3001], key=str)
