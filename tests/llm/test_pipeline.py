@@ -76,3 +76,16 @@ def test_clean_short_texts_stay(spark):
     rows = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(6))) for i in range(3000)] + [(3000 + i, t) for i, t in enumerate(("", None, " \n\t"))]
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
     assert sorted(map(tuple, out.collect()), key=str) == sorted(rows[:3001], key=str)
+
+
+def test_decisions_are_by_row(spark, tmp_path):
+    """Repeated rows, texts that share an id, and null ids."""
+    say = lambda a: " ".join(f"{a}{i}x" for i in range(30))
+    rows = [(1, say("a")), (1, say("a")), (2, say("b")), (2, say("a")), (2, say("c")), (None, say("d")), (None, say("d")), (None, say("b")), (None, say("e"))]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    near = sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, d, "").collect()), key=str)
+    assert near == sorted([(1, say("a")), (2, say("b")), (2, say("c")), (None, say("d")), (None, say("e"))], key=str)
+    spark.createDataFrame([(0, say("e")), (1, say("c"))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.drop_leaks(spark, d, str(tmp_path))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([r for r in rows if r[1] not in (say("e"), say("c"))], key=str)
+    assert out.columns == d.columns
