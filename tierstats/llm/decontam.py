@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import is_small, staged
@@ -21,9 +21,14 @@ ENOUGH = 5
 #: Bound on the benchmark windows that are sent to every task; beyond it documents' windows are shuffled instead.
 MAX_SENT = 2_000_000
 
-TOKEN = re.compile(r"[^\W_]+")
+#: A number is one token, with its separators and decimals.
+TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]{3}(?![0-9]))*(?:[.,][0-9]+)?[^\W_]*|[^\W_]+")
 #: Words with a typed placeholder (fixed values); tokens that begin with a digit are numbers too.
-NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty hundred thousand million".split()
+ONES = "one two three four five six seven eight nine".split()
+TEENS = "zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+POWERS = "hundred thousand million".split()
+NUMBERS = ONES + TEENS + TENS + POWERS
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers g kg gram grams kilogram kilograms "
     "lb lbs pound pounds ounce ounces ton tons liter liters litre litres ml gallon gallons second seconds minute minutes hour hours day days "
@@ -34,13 +39,32 @@ NAMES = (
     "helen henry jack jacob james jane jennifer jessica jim joe john jose joseph juan julia karen kate kevin laura linda lisa lucy maria marie "
     "mark martin mary michael mike natalia nicole olivia paul peter rachel richard robert sam sandra sarah sophie steve susan thomas tim tina tom weng william"
 ).split()
+#: Number words that others may follow, and what each may be followed by.
+LEADS, FOLLOWS = frozenset(TENS + POWERS), dict.fromkeys(TENS, frozenset(ONES)) | dict.fromkeys(POWERS, frozenset(NUMBERS))
 SLOTS = dict.fromkeys(NUMBERS, "\x01num") | dict.fromkeys(UNITS, "\x01unit") | dict.fromkeys(NAMES, "\x01name")
 
 
+def _whole_numbers(tokens: list[str]) -> list[str]:
+    """The tokens, with number words that make one number ("twenty-five", "two hundred and six") as one."""
+    out, last = [], ""
+    for i, t in enumerate(tokens):
+        follows = t in FOLLOWS.get(last, ()) or t in POWERS and (last in SLOTS and SLOTS[last] == "\x01num" or last[:1].isdecimal())
+        if follows or t == "and" and last in POWERS and tokens[i + 1 : i + 2] and tokens[i + 1] in NUMBERS:
+            out[-1] += " " + t
+            last = t if follows else last
+        else:
+            out.append(t)
+            last = t
+    return out
+
+
 def canonical(text: str) -> tuple[list[str], list[str]]:
     """Lower-cased tokens, and the same with placeholders in the slots."""
     tokens = TOKEN.findall(text.lower())
     get = SLOTS.get
+    if not LEADS.isdisjoint(tokens):
+        tokens = _whole_numbers(tokens)
+        return tokens, ["\x01num" if t[0] in "0123456789" or " " in t else get(t, t) for t in tokens]
     return tokens, ["\x01num" if t[0] in "0123456789" else get(t, t) for t in tokens]
 
 
@@ -115,8 +139,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Texts become lower-cased tokens with typed placeholders for numbers, names and units; windows of WINDOW tokens
     (all of an item that is shorter) are hash-joined. Windows of one document and item that match at one distance
-    are a leak if ENOUGH of them match (or all the item has) and their slots agree: each value of the item stands
-    for one value of the document, and the reverse. ``exact`` tells copies from re-parameterised ones.
+    are a leak if ENOUGH of them (or all the item has) have the same text, or match and have slots that agree: each value
+    of the item stands for one value of the document, and the reverse, among all or in one run of consecutive windows.
+    ``exact`` tells copies from re-parameterised ones.
 
     Null or empty texts have no window. Null ids: rows are told apart only by id, so null ids are one document.
     Repeated rows and items give their leak once. Empty tables: empty result. Other columns are not carried.
@@ -132,12 +157,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     pairs = found.join(F.broadcast(items) if small else items.hint("merge"), (F.col("h") == F.col("ih")) & (F.col("size") == F.col("isize")))
     pairs = pairs.select("id", "item", "at", (F.col("pos") - F.col("at")).alias("start"), "islots", "slots").dropDuplicates(["id", "item", "at", "start"])
     # a diagonal has at most the item's windows
-    slots = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("islots").alias("a"), F.col("slots").alias("b")))))
-    runs = pairs.groupBy("id", "item", "start").agg(F.count(F.lit(1)).alias("n_matched"), slots.alias("s"))
+    run = F.col("at") - F.row_number().over(Window.partitionBy("id", "item", "start").orderBy("at"))
+    zipped = F.arrays_zip(F.col("islots").alias("a"), F.col("slots").alias("b"))
     left, right = F.transform("s", lambda x: x["a"]), F.transform("s", lambda x: x["b"])
-    runs = runs.withColumn("one_to_one", (F.size(F.array_distinct(left)) == F.size("s")) & (F.size(F.array_distinct(right)) == F.size("s")))
+    agree = (F.size(F.array_distinct(left)) == F.size("s")) & (F.size(F.array_distinct(right)) == F.size("s"))
+    runs = pairs.withColumn("run", run).groupBy("id", "item", "start", "run").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("islots") == F.col("slots")).alias("same"), F.array_distinct(F.flatten(F.collect_list(zipped))).alias("s"))
+    runs = runs.withColumn("longest", F.when(agree, F.col("n")))
+    runs = runs.groupBy("id", "item", "start").agg(F.sum("n").alias("n_matched"), F.sum("same").alias("same"), F.max("longest").alias("longest"), F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
     runs = runs.join(F.broadcast(totals) if small else totals.hint("merge"), "item")
-    runs = runs.where(F.col("one_to_one") & (F.col("n_matched") >= F.least(F.col("n_windows"), F.lit(ENOUGH))))
+    good = F.greatest(F.col("same"), F.col("longest"), F.when(agree, F.col("n_matched")))  # the greatest that is not null
+    runs = runs.where(good >= F.least(F.col("n_windows"), F.lit(ENOUGH)))
     return runs.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("start").alias("doc_start"), "n_matched", "n_windows", (left == right).alias("exact"))
 
 
