@@ -1,6 +1,6 @@
 """Cases of the round's review."""
 
-from tierstats.llm import decontam
+from tierstats.llm import decontam, pii
 
 
 def test_whole_numbers_are_one_slot(spark):
@@ -24,3 +24,9 @@ def test_number_tokens():
     tokens, forms = decontam.canonical("1,200 3.5kg 1.200,50 twenty-five two hundred and six one two and three 5 million men")
     assert tokens == ["1,200", "3.5kg", "1.200,50", "twenty five", "two hundred and six", "one", "two", "and", "three", "5 million", "men"]
     assert [f == "\x01num" for f in forms] == [True] * 7 + [False, True, True, False]
+
+
+def test_spelled_emails_and_hyphenated_names_are_candidates():
+    kinds = lambda t: [(t[s:e], k) for s, e, k in pii.more_candidates(t, [])]
+    assert kinds("write to john.doe (AT) example (DOT) com") == [("john.doe (AT) example (DOT) com", "email_spelled")]
+    assert kinds("signed Jean-Pierre Martin") == [("Pierre Martin", "name")]

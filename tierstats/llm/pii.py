@@ -36,7 +36,6 @@ GIVEN_NAMES = (
     "Laura Linda Lucía Margaret Maria Marie Martin Mary Michael Michelle Miguel Nicole Olivia Patricia Paul Peter Pierre Rachel "
     "Richard Robert Sandra Sarah Sophie Stefan Stephen Steven Susan Thomas William Wolfgang"
 ).split()
-NAMES = frozenset(GIVEN_NAMES)
 NAME = re.compile(r"(?<!\w)(?:" + "|".join(GIVEN_NAMES) + r")(?: [A-Z]\.)?(?: [A-ZÀ-Þ][a-zß-ÿ]+){1,2}(?!\w)")
 CUES = {
     "email": "email e-mail mail contact write reach address",
@@ -92,12 +91,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def more_candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidates of the method's own kinds that overlap no span found before."""
     kinds = []
-    low = "(at" in text or "[at" in text or "( at" in text or "[ at" in text
-    if low:
+    low = text.lower()
+    if "(at" in low or "[at" in low or "( at" in low or "[ at" in low:
         kinds.append(("email_spelled", SPELLED))
     if DIGIT.search(text):
         kinds += [("iban", IBAN), ("ssn", SSN), ("phone_local", LOCAL_PHONE)]
-    if not NAMES.isdisjoint(WORD.findall(text)) if any(n in text for n in GIVEN_NAMES) else False:
+    if any(n in text for n in GIVEN_NAMES):
         kinds.append(("name", NAME))
     out: list[tuple[int, int, str]] = []
     busy = sorted(taken)
