@@ -66,8 +66,8 @@ def test_substring_dedup_with_few_words(spark, seed):
 
 
 def test_line_dedup(docs, nothing):
-    marked = lines.apply_bitmaps(docs.select("doc_id", "text"), lines.keep_bitmaps(docs))
-    rows = marked.select("doc_id", F.size("_lines").cast("long"), "_dropped", F.sha2(F.array_join("_kept", "\n"), 256))
+    marked = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
+    rows = marked.select("id", F.size("lines").cast("long"), "n_dropped", F.sha2(F.array_join("kept", "\n"), 256))
     assert got(rows) == brute.line_dedup(ROWS)
     out = lines.dedup_lines(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -75,6 +75,22 @@ def test_line_dedup(docs, nothing):
     assert lines.dedup_lines(nothing).count() == 0
 
 
+def test_line_order_is_consumed(spark):
+    """The window streams over the range partitions: one sort and one exchange below it, both by hash, document and position."""
+    rows = spark.range(3000).select(F.col("id").alias("pos"), F.xxhash64(F.col("id") % 7).alias("h"), F.hash(F.col("id") % 7).alias("g"), (F.col("id") % 100).alias("id"))
+    firsts = lines.first_occurrences(rows)
+    plan = firsts._jdf.queryExecution().executedPlan().toString()
+    assert "Window [row_number()" in plan and plan.count("Sort [h") == 1 and plan.count("Exchange rangepartitioning(h") == 1 and plan.count("Exchange") == 1
+    assert firsts.count() == rows.select("h", "g", "id").distinct().count()
+
+
+def test_line_dedup_with_any_column_names(spark):
+    names = "id row rk text_ mark_id mark_rk words n lines kept n_dropped dense".split()
+    d = spark.createDataFrame([(i, f"same\nown {i}", *["x"] * len(names)) for i in range(10)], ["doc_id", "text", *names])
+    out = lines.dedup_lines(d)
+    assert out.columns == d.columns and {(r.doc_id, r.text, r.row) for r in out.collect()} == {(i, f"own {i}", "x") for i in range(10)}
+
+
 def test_line_bitmaps_over_many_words(spark):
     """Dropped lines far apart: the sparse bitmap has gaps of whole words."""
     rows = [(i, "\n".join("same" if n in (0, 64, 700) else f"{i} {n}" for n in range(701 + i))) for i in range(10)]
