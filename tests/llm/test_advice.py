@@ -1,6 +1,6 @@
 """Cases of the round's review."""
 
-from tierstats.llm import decontam, pii
+from tierstats.llm import decontam, pii, toxicity
 
 
 def test_whole_numbers_are_one_slot(spark):
@@ -30,3 +30,33 @@ def test_spelled_emails_and_hyphenated_names_are_candidates():
     kinds = lambda t: [(t[s:e], k) for s, e, k in pii.more_candidates(t, [])]
     assert kinds("write to john.doe (AT) example (DOT) com") == [("john.doe (AT) example (DOT) com", "email_spelled")]
     assert kinds("signed Jean-Pierre Martin") == [("Pierre Martin", "name")]
+
+
+def test_toxicity_gathers_one_row_an_id(spark):
+    """One labelled id with very many rows: the model sees one of its texts."""
+    rows = [(i, ("vile rotten " if i % 3 == 0 else "") + f"good day number{i} in the park") for i in range(60)] + [(3, f"vile rotten thing {i}") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(d, labels)
+    others = toxicity.train(d.where("doc_id <> 3").unionByName(d.where("doc_id = 3").limit(1)), labels)
+    assert model.weights.keys() == others.weights.keys() and "vile" in model.weights
+
+
+def test_toxicity_takes_grades_and_any_column_names(spark):
+    rows = [(i, " ".join(["calm", "words", "here"] + ["vile"] * (i % 3))) for i in range(90)]
+    d = spark.createDataFrame([(*r, "kept", "x", "old") for r in rows], "doc_id long, text string, _t string, row string, severity string")
+    model = toxicity.train(d, spark.createDataFrame([(i, i % 3) for i in range(90)], "doc_id long, toxic int"))
+    out = toxicity.score_toxicity(d, model)
+    assert out.columns == ["doc_id", "text", "_t", "row", "severity", "p_toxic"]
+    mean = {g: sum(r.severity for r in out.collect() if r.doc_id % 3 == g) / 30 for g in range(3)}
+    assert mean[0] < 0.5 < mean[1] < mean[2] and {r._t for r in out.collect()} == {"kept"}
+
+
+def test_stems_mark_new_words(spark):
+    """Compounds that no labelled text has are found by their first letters."""
+    rows = [(i, f"an ordinary line about thing{i} " + (f"grumph{'abcdefghij'[i % 10]}{'klmno'[i % 5]} grumph{'pqrst'[i % 5]}" if i % 4 == 0 else "")) for i in range(200)]
+    rows += [(1000, "an ordinary line about grumphzz and grumphyy"), (1001, "an ordinary line about nothing at all")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    p = {r.doc_id: r.p_toxic for r in toxicity.score_toxicity(d, model).collect()}
+    assert p[1000] > 0.5 > p[1001]
