@@ -1,6 +1,8 @@
 """Cases of the round's review."""
 
-from tierstats.llm import decontam, pii, toxicity
+from pyspark.sql import functions as F
+
+from tierstats.llm import decontam, license, pii, toxicity
 
 
 def test_whole_numbers_are_one_slot(spark):
@@ -60,3 +62,14 @@ def test_stems_mark_new_words(spark):
     model = toxicity.train(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
     p = {r.doc_id: r.p_toxic for r in toxicity.score_toxicity(d, model).collect()}
     assert p[1000] > 0.5 > p[1001]
+
+
+def test_license_labels_do_not_depend_on_other_documents(spark):
+    grant = "Permission is hereby granted, free of charge, to any person {} a copy of this software"
+    texts = [grant.format("getting"), "obtaining a copy", grant.format("obtaining").replace("charge", "cost"), grant.format("obtaining"), None, "", "All rights reserved " + "word " * 50_000 + grant.format("obtaining"), grant.format("obtaining")]
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, rid string, w string")
+    together = {r.doc_id: tuple(r)[1:] for r in license.scan_licenses(d).collect()}
+    for i in (0, 2, 3):
+        assert together[i][5] == "mit" and together[i][6] > 0.85
+        assert tuple(license.scan_licenses(d.where(F.col("doc_id") == i)).first())[1:] == together[i]
+    assert together[3][6] == 1.0 and together[7] == together[3] and together[1][5] == "" and together[6][5] == "all-rights-reserved,mit"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +17,28 @@ BASE_PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Templates of the method: words -> label and the key phrase that must stand in full.
+#: Templates of the method: words -> label and the key phrase that must stand in full (fixed values).
 TEMPLATES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software": ("mit", "permission is hereby granted"),
+    "released under the mit license": ("mit", "mit license"),
+    "spdx license identifier mit": ("mit", "identifier mit"),
     "licensed under the apache license version 2 0": ("apache-2", "apache license"),
+    "spdx license identifier apache 2 0": ("apache-2", "identifier apache"),
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": ("gpl", "gnu general public license"),
+    "licensed under the gnu general public license": ("gpl", "gnu general public license"),
     "gnu lesser general public license": ("lgpl", "lesser general public license"),
+    "gnu affero general public license": ("agpl", "affero general public license"),
     "redistribution and use in source and binary forms with or without modification are permitted": ("bsd", "source and binary forms"),
     "this source code form is subject to the terms of the mozilla public license": ("mpl", "mozilla public license"),
     "creative commons attribution share alike": ("cc-by-sa", "creative commons attribution share"),
+    "licensed under cc by sa": ("cc-by-sa", "cc by sa"),
+    "creative commons attribution non commercial": ("cc-by-nc", "creative commons attribution non"),
+    "licensed under cc by nc": ("cc-by-nc", "cc by nc"),
     "this is free and unencumbered software released into the public domain": ("unlicense", "unencumbered software"),
+    "all rights reserved": ("all-rights-reserved", "all rights reserved"),
 }
-#: Share of a template's IDF weight that must stand at the right places.
-MIN_SCORE = 0.6
+#: Share of a template's weight that must stand at the right places, in hundredths.
+MIN_SCORE = 60
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -36,54 +49,69 @@ def words_of(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def posting_list() -> list[tuple[str, str, bool, int, int, bool, str]]:
-    """(template, label, base, length, place, key, word) for each word of each declared phrase."""
+class Posting(NamedTuple):
+    """One word of a declared phrase: the phrase's label, length, total weight and number of key words, the word's place,
+    whether it is of the key phrase, and its weight."""
+
+    template: str
+    label: str
+    base: bool
+    len: int
+    total: int
+    keys: int
+    place: int
+    key: bool
+    word: str
+    weight: int
+
+
+def posting_list() -> list[Posting]:
+    """Weights are hundredths of the words' inverse frequency among the declared phrases, so a document's score does not
+    depend on other documents."""
+    phrases = [("base:" + p, p, label, p, True) for p, label in BASE_PHRASES.items()] + [(p, p, label, key, False) for p, (label, key) in TEMPLATES.items()]
+    df = Counter(w for _, p, *_ in phrases for w in set(p.split()))
+    weight = {w: round(100 * (1 + math.log((len(phrases) + 1) / (n + 1)))) for w, n in df.items()}
     out = []
-    for base, phrases in ((True, {p: (label, p) for p, label in BASE_PHRASES.items()}), (False, TEMPLATES)):
-        for phrase, (label, key) in phrases.items():
-            words, must = phrase.split(), key.split()
-            at = next(i for i in range(len(words)) if words[i : i + len(must)] == must)
-            out += [(("base:" if base else "") + phrase, label, base, len(words), i, at <= i < at + len(must), w) for i, w in enumerate(words)]
+    for name, phrase, label, key, base in phrases:
+        words, must = phrase.split(), key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(must)] == must)
+        total = sum(weight[w] for w in words)
+        out += [Posting(name, label, base, len(words), total, len(must), i, at <= i < at + len(must), w, weight[w]) for i, w in enumerate(words)]
     return out
 
 
 def licensed_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The staged rows (rid, id, n_words, hits) and the accepted places (rid, template, label, base, start, score).
-
-    One pass over the text keeps the places of licence words only. Their document frequencies over all rows give
-    IDF weights; each phrase's word of highest IDF is its anchor. Files with an anchor look up the postings of
-    all their licence words; a (phrase, start) on which places agree is accepted if its anchor is there, its key
-    phrase is there in full, and the words found have MIN_SCORE of the IDF weight (base phrases: every word).
-    The declared phrases bound the broadcast postings and what is collected (one anchor a phrase).
+    """The staged rows (rid, id, n_words, seen, hits) and the accepted places (rid, template, label, base, start, score).
+
+    One pass over the text looks for the words of key phrases; only a file that has all words of a key phrase keeps
+    the places of its licence words. A phrase's anchor is its key word of highest IDF over all rows: as the whole key
+    phrase is mandatory, no match is lost by that, and the choice only sets the cost. From the anchors come the
+    (phrase, start) that the postings of the other licence words must agree with. A place is accepted if its key phrase
+    is there in full and the words found have MIN_SCORE of the weight (base phrases: every word).
+    The declared phrases bound the broadcast postings and what is collected (one row a key word).
     """
     spark = docs.sparkSession
     postings = posting_list()
-    vocabulary = sorted({p[-1] for p in postings})
-    words = words_of(F.col(text_col).cast("string"))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), words.alias("w"))
+    vocabulary, key_words = sorted({p.word for p in postings}), sorted({p.word for p in postings if p.key})
+    key_sets = sorted({tuple(sorted({p.word for p in postings if p.key and p.template == t})) for t in {p.template for p in postings}})
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), words_of(F.col(text_col).cast("string")).alias("w"))
+    rows = rows.select("rid", "id", "w", F.array_distinct(F.filter("w", lambda w: w.isin(key_words))).alias("seen"))
+    whole_key = F.exists(F.array(*(F.array(*(F.lit(w) for w in k)) for k in key_sets)), lambda k: F.forall(k, lambda w: F.array_contains("seen", w)))
     placed = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(vocabulary))
-    rows = staged(rows.select("rid", "id", F.size("w").cast("long").alias("n_words"), placed.alias("hits")), "license-words")
-    seen = rows.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("word"))
-    df = {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the vocabulary
-    n = rows.count()
-    idf = F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1
-    p = spark.createDataFrame([(*x, float(df.get(x[-1], 0))) for x in postings], "template string, label string, base boolean, len int, place int, key boolean, word string, df double")
-    p = p.withColumn("idf", idf)
-    rarest: dict[str, tuple[float, int]] = {}
-    for template, _, _, _, place, _, word in postings:
-        rarest[template] = min(rarest.get(template, (float("inf"), 0)), (df.get(word, 0), place))
-    anchors = sorted({w for t, _, _, _, i, _, w in postings if rarest[t][1] == i})
-    is_anchor = F.array_contains(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, (_, i) in rarest.items())), F.struct(F.col("template").alias("t"), F.col("place").alias("i")))
-    weights = p.groupBy("template").agg(F.sum("idf").alias("total"), F.sum(F.col("key").cast("int")).alias("keys"))
-    p = p.withColumn("anchor", is_anchor).join(F.broadcast(weights), "template")
-    hit = rows.where(F.exists("hits", lambda x: x["w"].isin(anchors))).select("rid", F.explode("hits").alias("h")).select("rid", "h.w", "h.i")
-    votes = hit.join(F.broadcast(p), F.col("w") == F.col("word")).withColumn("start", F.col("i") - F.col("place"))
-    found = votes.groupBy("rid", "template", "label", "base", "len", "start", "total", "keys").agg(
-        F.sum("idf").alias("got"), F.count(F.lit(1)).alias("n"), F.sum(F.col("key").cast("int")).alias("key_n"), F.max("anchor").alias("anchored")
+    rows = staged(rows.select("rid", "id", F.size("w").cast("long").alias("n_words"), "seen", F.when(whole_key, placed).alias("hits")), "license-words")
+    df = {r["word"]: r["n"] for r in rows.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the key words
+    rarest = {}
+    for p in postings:
+        if p.key:
+            rarest[p.template] = min(rarest.get(p.template, (math.inf, 0)), (df.get(p.word, 0), p.place))
+    table = spark.createDataFrame([(*p, rarest[p.template][1] == p.place) for p in postings], "template string, label string, base boolean, len int, total int, keys int, place int, key boolean, word string, weight int, anchor boolean")
+    hit = rows.where("hits is not null").select("rid", F.explode("hits").alias("h")).select("rid", "h.w", "h.i")
+    votes = hit.join(F.broadcast(table), F.col("w") == F.col("word")).withColumn("start", F.col("i") - F.col("place"))
+    found = votes.groupBy("rid", "template", "label", "base", "len", "total", "keys", "start").agg(
+        F.max("anchor").alias("anchored"), F.sum("weight").alias("got"), F.count(F.lit(1)).alias("n"), F.sum(F.col("key").cast("int")).alias("key_n")
     )
-    whole = F.when(F.col("base"), F.col("n") == F.col("len")).otherwise((F.col("key_n") == F.col("keys")) & (F.col("got") >= MIN_SCORE * F.col("total")))
-    found = found.where(F.col("anchored") & whole)
-    return rows, found.select("rid", "template", "label", "base", "start", F.least(F.lit(1.0), F.when(F.col("base"), F.lit(1.0)).otherwise(F.col("got") / F.col("total"))).alias("score"))
+    whole = F.when(F.col("base"), F.col("n") == F.col("len")).otherwise((F.col("key_n") == F.col("keys")) & (100 * F.col("got") >= MIN_SCORE * F.col("total")))
+    return rows, found.where(F.col("anchored") & whole).select("rid", "template", "label", "base", "start", (F.col("got") / F.col("total")).alias("score"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +119,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     n_base counts all places of base phrases, first_word and last_word are their smallest and largest start (null
     if there are none), score is the best accepted match, 0 without one. Null and blank texts have no word.
-    Repeated rows, also of one id, keep a row each. Empty table: empty result. Other columns are not carried.
+    Repeated rows, also of one id, keep a row each. Long texts are read whole. A row's result does not depend on other
+    rows. Empty table: empty result. Other columns are not carried, so their names cannot clash.
     """
     rows, places = licensed_places(docs, id_col, text_col)
     base = F.col("base")
@@ -109,3 +138,23 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_LITERALS = ",\n       ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in p) + ")" for p in posting_list())
+ORACLE = rf"""
+WITH p(template, label, base, len, total, keys, place, key, word, weight) AS (
+  VALUES {_LITERALS}),
+d AS (SELECT row_number() OVER () AS rid, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+h AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+f AS (SELECT rid, template, label, base, i - place AS start, sum(weight) / any_value(total) AS score
+      FROM h JOIN p USING (word) GROUP BY rid, template, label, base, i - place
+      HAVING CASE WHEN base THEN count(*) = any_value(len) ELSE count(*) FILTER (key) = any_value(keys) AND 100 * sum(weight) >= {MIN_SCORE} * any_value(total) END),
+r AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+      FROM f GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (rid)
+"""

@@ -21,4 +21,5 @@ ORACLES = {
     "op4_substring_dedup": substrings.ORACLE,
     "op6_line_dedup": lines.ORACLE,
     "op7_quality_rules": rules.ORACLE,
+    "op8_license_scan": license.ORACLE,
 }
