@@ -1,6 +1,7 @@
 """Plain versions of the operators' contracts, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -75,3 +76,26 @@ def base_spans(t):
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m)) <= 19 and luhn(digits(m))]
     out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m)) <= 15]
     return ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{s}:{e}" for s, k, e in sorted(out))
+
+
+def em(patterns, labelers, rounds=50, shared=10.0):
+    """Expectation-maximisation as pii.reliabilities states it, one count at a time: each pattern's posterior."""
+    post = {(k, p): 1 / (1 + math.exp(1 - 2 * sum({"-": -1, "0": 0, "+": 1}[c] for c in p[:labelers]))) for k, p, _ in patterns}
+    kinds = {k for k, *_ in patterns}
+    for _ in range(rounds):
+        own, pooled, private, total = Counter(), Counter(), Counter(), Counter()
+        for k, p, n in patterns:
+            q = post[k, p]
+            private[k] += n * q
+            total[k] += n
+            for lab in range(labelers):
+                for c, w in ((0, n * (1 - q)), (1, n * q)):
+                    own[k, lab, c, p[lab]] += w
+                    pooled[lab, c, p[lab]] += w
+        rate = lambda lab, c, v: (pooled[lab, c, v] + 1) / (sum(pooled[lab, c, x] for x in "-0+") + 3)
+        like = lambda k, lab, c, v: (own[k, lab, c, v] + shared * rate(lab, c, v)) / (sum(own[k, lab, c, x] for x in "-0+") + shared)
+        prior = {k: (private[k] + 1) / (total[k] + 2) for k in kinds}
+        for k, p, _ in patterns:
+            score = math.log(prior[k] / (1 - prior[k])) + sum(math.log(like(k, lab, 1, p[lab]) / like(k, lab, 0, p[lab])) for lab in range(labelers))
+            post[k, p] = 1 / (1 + math.exp(-max(-30, min(30, score))))
+    return [post[k, p] for k, p, _ in patterns]

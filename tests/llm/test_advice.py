@@ -1,9 +1,15 @@
 """Cases of the round's review."""
 
+import random
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from tierstats.llm import decontam, license, pii, toxicity
 
+from . import brute
+
 
 def test_whole_numbers_are_one_slot(spark):
     items = [
@@ -73,3 +79,36 @@ def test_license_labels_do_not_depend_on_other_documents(spark):
         assert together[i][5] == "mit" and together[i][6] > 0.85
         assert tuple(license.scan_licenses(d.where(F.col("doc_id") == i)).first())[1:] == together[i]
     assert together[3][6] == 1.0 and together[7] == together[3] and together[1][5] == "" and together[6][5] == "all-rights-reserved,mit"
+
+
+def test_reliabilities_are_those_of_plain_expectation_maximisation():
+    rnd = random.Random(6)
+    patterns = sorted({(rnd.choice(pii.KINDS), "".join(rnd.choice("-0+") for _ in pii.LABELERS) + "3210", rnd.randint(1, 400)) for _ in range(60)})
+    patterns = [x for i, x in enumerate(patterns) if x[:2] not in [y[:2] for y in patterns[:i]]]
+    _, _, post = pii.reliabilities(patterns)
+    assert post.tolist() == pytest.approx(brute.em(patterns, len(pii.LABELERS)), abs=1e-9)
+
+
+def test_planted_secrets_are_found_and_clean_texts_left_alone(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9)))
+    hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    plant = [lambda: f'token = "{hexes(40)}"', lambda: f"api key: ghp_{hexes(36)}", lambda: f"card 4111111111111111 {rnd.randint(100, 999)}", lambda: "mail jo.doe (AT) example (DOT) com"]
+    decoys = [lambda: f"commit {hexes(40)}", lambda: f"sha256 {hexes(64)}", lambda: "x" * 45, lambda: f"see http://example.com/a/{hexes(30)}/b"]
+    rows = []
+    for i in range(600):
+        w = [word() for _ in range(30)]
+        if i % 3 < 2:
+            w.insert(rnd.randrange(31), (plant if i % 3 == 0 else decoys)[i // 3 % 4]())
+        rows.append((i, " ".join(w), "x", "y"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans string, id string")
+    found = {r.doc_id: sum(s.kind not in pii.BASE_KINDS for s in r.spans) for r in pii.find_personal_data(d).collect()}
+    assert sum(found[i] > 0 for i in range(0, 600, 3)) >= 0.95 * 200
+    assert not any(found[i] for i in range(600) if i % 3)
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    text = " ".join(f"a{i}@b{i}.com 212-555-{i % 10000:04d}" for i in range(40_000))
+    began = time.time()
+    base = pii.base_spans(text)
+    assert len(base) == len(pii.more_candidates(text, base)) == 40_000 and time.time() - began < 20
