@@ -7,6 +7,8 @@ from collections import Counter
 
 import xxhash
 
+from tierstats.llm import decontam
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -99,3 +101,57 @@ def em(patterns, labelers, rounds=50, shared=10.0):
             score = math.log(prior[k] / (1 - prior[k])) + sum(math.log(like(k, lab, 1, p[lab]) / like(k, lab, 0, p[lab])) for lab in range(labelers))
             post[k, p] = 1 / (1 + math.exp(-max(-30, min(30, score))))
     return [post[k, p] for k, p, _ in patterns]
+
+
+def leaks(docs, items, window=8, enough=5, shortest=4, least_words=3):
+    """rows (id, text) -> sorted (id, item, start, exact), window by window; tokens and slots are the operator's."""
+    slot = "\x01"
+
+    def families(text):
+        tokens, forms = decontam.canonical(text or "")
+        more = decontam.with_capitals(text or "", forms)
+        return {0: (tokens, forms)} | ({1: (tokens, more)} if more else {})
+
+    def key(tokens, forms, at, k):
+        part = forms[at : at + k]
+        return tuple(tokens[at : at + k]) if sum(f[0] != slot for f in part) < min(k, least_words) else tuple(part)
+
+    def slots(tokens, forms, at, k):
+        return [t for t, f in zip(tokens[at : at + k], forms[at : at + k], strict=True) if f[0] == slot]
+
+    def longest(places):
+        best = run = 0
+        for p in sorted(places):
+            run = run + 1 if p - 1 in places else 1
+            best = max(best, run)
+        return best
+
+    out = set()
+    for d, text in docs:
+        for item, words in items:
+            found = {}
+            for family, (it, form) in families(words).items():
+                if family not in families(text):
+                    continue
+                dt, df = families(text)[family]
+                k = min(window, len(it))
+                n = len(it) - k + 1 if it else 0
+                need = min(n, enough)
+                for start in range(1 - n, len(dt)):
+                    if k < shortest and len(dt) != k:
+                        continue
+                    hits = {i: (slots(it, form, i, k), slots(dt, df, start + i, k)) for i in range(n) if 0 <= start + i <= len(dt) - k and key(it, form, i, k) == key(dt, df, start + i, k)}
+                    alike = {i for i, (a, b) in hits.items() if a == b}
+                    good = bool(hits) and longest(alike) >= need
+                    for first in [i for i in hits if i - 1 not in hits]:
+                        run = first
+                        pairs = set()
+                        while run in hits:
+                            pairs |= set(zip(*hits[run], strict=True))
+                            run += 1
+                        if run - first >= need and len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs):
+                            good = True
+                    if good:
+                        found.setdefault(start, []).append(len(alike) == len(hits))
+            out |= {(d, item, start, all(same)) for start, same in found.items()}
+    return sorted(out)

@@ -112,3 +112,41 @@ def test_many_spans_in_one_text_take_linear_time():
     began = time.time()
     base = pii.base_spans(text)
     assert len(base) == len(pii.more_candidates(text, base)) == 40_000 and time.time() - began < 20
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_leaks_are_those_of_the_plain_version(spark, monkeypatch, sent):
+    """Items planted whole, in part, with other numbers and names, in runs that are too short, and beside clean texts."""
+    monkeypatch.setattr(decontam, "MAX_SENT", sent)
+    rnd = random.Random(11)
+    some = "river mill stone valley bread horse candle window garden winter apple copper".split()
+    word = lambda: rnd.choice([*some, *some, str(rnd.randint(1, 9)), "Anna", "Zorbla", "kg", "twenty", "is"])
+    items = [(i, " ".join(word() for _ in range(rnd.choice((2, 3, 6, 12, 25))))) for i in range(25)] + [(100, None), (101, ""), (102, "1 2 3 4 5 6 7 8 9 10 11 12 13"), (103, "Yes")]
+    change = {"Anna": "Karla", "Zorbla": "Quimby", "kg": "miles", "twenty": "forty", **{str(i): str(i + 20) for i in range(10)}}
+    docs = []
+    for i in range(120):
+        own = (rnd.choice(items)[1] or "").split()
+        if i % 3 == 1:
+            own = [change.get(w, w) for w in own]
+        if i % 4 == 1 and own:
+            own[rnd.randrange(len(own))] = "other"
+        extra = [word() for _ in range(rnd.choice((0, 5, 20)))]
+        docs.append((i, " ".join(extra[: len(extra) // 2] + own + extra[len(extra) // 2 :])))
+    docs += [(None, docs[0][1]), (None, docs[1][1]), (0, docs[0][1]), (500, None), (501, "30 31 32 33 34 35 36 37 38 39 40 41 42")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(*r, "x", "y", "z") for r in docs], "doc_id long, text string, row string, item string, start string").repartition(3)
+    got = sorted(((r.doc_id, r.item_id, r.doc_start, r.exact) for r in decontam.find_leaks(d, bench).collect()), key=str)
+    want = sorted((x for n, (i, t) in enumerate(docs) for x in [(i, *y[1:]) for y in brute.leaks([(n, t)], items)]), key=str)
+    assert got == want and len({x[1] for x in want}) > 15 and any(not x[3] for x in want)
+
+
+def test_windows_must_be_consecutive(spark):
+    """Runs of 9, 8 and 10 words with changed words between them are no leak, and rows without id are judged one by one."""
+    item = " ".join(f"w{i}x" for i in range(29)).replace("0x", "ax")
+    w = [f"q{c}" for c in "abcdefghijklmnopqrstuvwxyzABC"]
+    text = list(w)
+    text[9] = text[18] = "other"
+    bench = spark.createDataFrame([(0, " ".join(w)), (1, item)], "item_id long, text string")
+    rows = [(1, " ".join(text)), (None, " ".join(w[:10])), (None, " ".join(w[10:20])), (2, " ".join(w))]
+    found = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(2, 0)]

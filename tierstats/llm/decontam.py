@@ -10,16 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_small, staged
-from .words import CHUNK_BYTES, whole_windows, window_hashes, word_hashes
+from .common import staged
+from .words import CHUNK_BYTES, mix, whole_windows, window_hashes, word_hashes
 
 WINDOW = 8
-#: Items with fewer words than this cannot be told from chance and match nothing.
+#: Shorter items cannot be told from chance inside other text: they match texts that are nothing but the item.
 SHORTEST = 4
+#: Windows with fewer tokens outside slots match by their whole text: a row of numbers is no template.
+LEAST_WORDS = 3
 #: Consecutive matching windows that make a leak (fewer where the item has fewer).
 ENOUGH = 5
-#: Bound on the benchmark windows that are sent to every task; beyond it documents' windows are shuffled instead.
-MAX_SENT = 2_000_000
+#: Bound on the benchmark windows that are sent to every task; beyond it documents' windows are shuffled instead, with
+#: the same result.
+MAX_SENT = 1_000_000
 
 #: A number is one token, with its separators and decimals.
 TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]{3}(?![0-9]))*(?:[.,][0-9]+)?[^\W_]*|[^\W_]+")
@@ -58,6 +61,10 @@ def _whole_numbers(tokens: list[str]) -> list[str]:
     return out
 
 
+#: A capitalised word inside a sentence.
+INNER_CAPITAL = re.compile(r"(?<=[^\W\d_A-Z] |[0-9,;] )[A-ZÀ-Þ][a-zß-ÿ]+(?![^\W_])")
+
+
 def canonical(text: str) -> tuple[list[str], list[str]]:
     """Lower-cased tokens, and the same with placeholders in the slots."""
     tokens = TOKEN.findall(text.lower())
@@ -68,6 +75,13 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
     return tokens, ["\x01num" if t[0] in "0123456789" else get(t, t) for t in tokens]
 
 
+def with_capitals(text: str, forms: list[str]) -> list[str] | None:
+    """``forms`` with a name slot for each word that the text has capitalised inside a sentence, as names beyond the
+    list are; None if there is none."""
+    names = {w.lower() for w in INNER_CAPITAL.findall(text)} - SLOTS.keys()
+    return ["\x01name" if f in names else f for f in forms] if names else None
+
+
 def _hashes(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each token of all documents, and the number of each document's first token."""
     words = [w.encode("utf-8", "surrogatepass") for d in docs for w in d]
@@ -79,22 +93,30 @@ def _hashes(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(sizes: list[int], wanted: np.ndarray | None, own_size: bool):
-    """A mapInArrow function: rows (id, text) -> (id, pos, size, h, slots), one a window.
+    """A mapInArrow function: rows (row, id, text) -> (row, id, family, pos, size, h, slots), one a window.
 
-    wanted: sorted hashes, others are left out. own_size: only the size that an item itself needs.
+    Family 0 has the slots of the lists, family 1 those of capitalised words too. wanted: sorted hashes, others are left
+    out. own_size: only the size that an item itself needs; else windows under SHORTEST only as whole texts.
     """
 
-    def emit(ids: pa.Array, at: list[int], tokens: list[list[str]], forms: list[list[str]]) -> pa.RecordBatch:
-        h, first = _hashes(forms)
+    def emit(b: pa.RecordBatch, at: list[int], tokens: list[list[str]], forms: list[list[str]], family: int) -> pa.RecordBatch:
+        (h, first), (plain, _) = _hashes(forms), _hashes(tokens)
         doc = np.repeat(np.arange(len(forms)), np.diff(first))
+        literal = np.concatenate([[0], np.cumsum(np.fromiter((f[0] != "\x01" for d in forms for f in d), np.int64, len(h)))])
         rows, pos, size, hs, slots = [], [], [], [], []
         for k in sizes:
             starts = whole_windows(first, k)
-            w = window_hashes(h, k)[starts] if len(starts) else np.zeros(0, np.uint64)
+            if not len(starts):
+                continue
+            few = literal[starts + k] - literal[starts] < min(k, LEAST_WORDS)
+            w = np.where(few, mix(window_hashes(plain, k)[starts] + np.uint64(1)), window_hashes(h, k)[starts])
+            w = mix(w + np.uint64(16 * family + k))
+            n = np.diff(first)[doc[starts]]
             if own_size:
-                n = np.diff(first)[doc[starts]]
                 fit = (n >= k) if k == WINDOW else (n == k)
                 starts, w = starts[fit], w[fit]
+            elif k < SHORTEST:
+                starts, w = starts[n == k], w[n == k]
             if wanted is not None:
                 found = wanted[np.minimum(np.searchsorted(wanted, w), len(wanted) - 1)] == w if len(wanted) else np.zeros(len(w), bool)
                 starts, w = starts[found], w[found]
@@ -106,68 +128,77 @@ def _windows(sizes: list[int], wanted: np.ndarray | None, own_size: bool):
                 size.append(k)
                 hs.append(x)
                 slots.append([t for t, f in zip(tokens[d][i : i + k], forms[d][i : i + k], strict=True) if f[0] == "\x01"])
-        cols = [ids.take(pa.array(rows, pa.int64())), pa.array(pos, pa.int64()), pa.array(size, pa.int64()), pa.array(hs, pa.int64()), pa.array(slots, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(cols, names=["id", "pos", "size", "h", "slots"])
+        take = pa.array(rows, pa.int64())
+        cols = [b.column(0).take(take), b.column(1).take(take), pa.array([family] * len(rows), pa.int32()), pa.array(pos, pa.int64()), pa.array(size, pa.int64()), pa.array(hs, pa.int64()), pa.array(slots, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(cols, names=["row", "id", "family", "pos", "size", "h", "slots"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, tokens, forms, n = [], [], [], 0
-            for i, t in enumerate(b.column(1)):
+            held: tuple[list, list] = ([], [])  # of each family: (number of the row, tokens, forms)
+            n = 0
+            for i, t in enumerate(b.column(2)):
                 text = t.as_py() or ""
-                x, y = canonical(text)
-                at.append(i)
-                tokens.append(x)
-                forms.append(y)
+                tokens, forms = canonical(text)
+                held[0].append((i, tokens, forms))
+                if (more := with_capitals(text, forms)) is not None:
+                    held[1].append((i, tokens, more))
                 n += len(text)
-                if n >= CHUNK_BYTES:
-                    yield emit(b.column(0), at, tokens, forms)
-                    at, tokens, forms, n = [], [], [], 0
-            if at:
-                yield emit(b.column(0), at, tokens, forms)
+                if n >= CHUNK_BYTES or i == b.num_rows - 1:
+                    for family in (0, 1):
+                        if held[family]:
+                            yield emit(b, *map(list, zip(*held[family], strict=True)), family)
+                    held, n = ([], []), 0
 
     return run
 
 
 def template_windows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted: np.ndarray | None = None, own_size: bool = False) -> DataFrame:
+    """(row, id, family, pos, size, h, slots); ``row`` tells rows apart whatever their ids."""
     id_type = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_windows(sizes, wanted, own_size), f"id {id_type}, pos long, size long, h long, slots array<string>")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_windows(sizes, wanted, own_size), f"row long, id {id_type}, family int, pos long, size long, h long, slots array<string>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id_col, item_col, doc_start, n_matched, n_windows, exact), one row for each leaked item and place.
+    """(id_col, item_col, doc_start, n_matched, n_windows, exact), one row for each row of ``docs``, leaked item and place.
 
     Texts become lower-cased tokens with typed placeholders for numbers, names and units; windows of WINDOW tokens
-    (all of an item that is shorter) are hash-joined. Windows of one document and item that match at one distance
-    are a leak if ENOUGH of them (or all the item has) have the same text, or match and have slots that agree: each value
-    of the item stands for one value of the document, and the reverse, among all or in one run of consecutive windows.
-    ``exact`` tells copies from re-parameterised ones.
-
-    Null or empty texts have no window. Null ids: rows are told apart only by id, so null ids are one document.
-    Repeated rows and items give their leak once. Empty tables: empty result. Other columns are not carried.
+    (all of an item that is shorter) are hash-joined. Windows of one row and item that match at one distance are a leak
+    if ENOUGH consecutive ones (or all the item has) have the same text, or match and have slots that agree: each value
+    of the item stands for one value of the document, and the reverse. ``exact`` tells copies from re-parameterised
+    ones: all matching windows have the same text. Names are those of a list and, in a second family of windows, words capitalised inside a sentence.
+
+    Null or empty texts have no window. Rows are judged one by one, whatever their ids: null ids and repeated rows each
+    give their own leaks. Repeated items give their leak once. Long texts are read whole, chunk by chunk. Empty tables:
+    empty result. Other columns are not carried, so their names cannot clash.
     """
-    items = staged(template_windows(benchmark, item_col, item_text, list(range(SHORTEST, WINDOW + 1)), own_size=True).dropDuplicates(["id", "pos", "size", "h"]), "leak-items")
-    items = items.select(F.col("id").alias("item"), F.col("pos").alias("at"), F.col("size").alias("isize"), F.col("h").alias("ih"), F.col("slots").alias("islots"))
-    sizes = [r[0] for r in items.select("isize").distinct().orderBy("isize").collect()]  # at most five
-    totals = items.groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"))
-    hashes = items.select("ih").distinct()
-    small = is_small(hashes, MAX_SENT)
-    wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64)) if small else None
+    items = template_windows(benchmark, item_col, item_text, list(range(1, WINDOW + 1)), own_size=True)
+    items = staged(items.dropDuplicates(["id", "family", "pos", "size", "h", "slots"]), "leak-items")
+    items = items.select(F.col("id").alias("item"), F.col("family").alias("ifamily"), F.col("pos").alias("at"), F.col("size").alias("isize"), F.col("h").alias("ih"), F.col("slots").alias("islots"))
+    sizes = [r[0] for r in items.select("isize").distinct().orderBy("isize").collect()]  # at most WINDOW
+    totals = items.groupBy("item").agg(F.count_distinct("at").alias("n_windows"))
+    small = items.count() <= MAX_SENT
+    wanted = np.sort(np.array([r[0] for r in items.select("ih").distinct().collect()], np.int64).view(np.uint64)) if small else None
     found = staged(template_windows(docs, id_col, text_col, sizes, wanted), "leak-windows") if sizes else template_windows(docs.limit(0), id_col, text_col, [WINDOW])
-    pairs = found.join(F.broadcast(items) if small else items.hint("merge"), (F.col("h") == F.col("ih")) & (F.col("size") == F.col("isize")))
-    pairs = pairs.select("id", "item", "at", (F.col("pos") - F.col("at")).alias("start"), "islots", "slots").dropDuplicates(["id", "item", "at", "start"])
+    pairs = found.join(F.broadcast(items) if small else items.hint("merge"), (F.col("h") == F.col("ih")) & (F.col("size") == F.col("isize")) & (F.col("family") == F.col("ifamily")))
+    place = ["row", "id", "item", "start", "family"]
+    pairs = pairs.select("row", "id", "item", "at", (F.col("pos") - F.col("at")).alias("start"), "family", "islots", "slots", (F.col("islots") == F.col("slots")).alias("same")).dropDuplicates([*place, "at"])
     # a diagonal has at most the item's windows
-    run = F.col("at") - F.row_number().over(Window.partitionBy("id", "item", "start").orderBy("at"))
+    nth = lambda *by: F.row_number().over(Window.partitionBy("row", "item", "start", "family", *by).orderBy("at"))
+    pairs = pairs.withColumn("run", F.col("at") - nth()).withColumn("same_run", F.col("at") - nth("same"))
+    same = pairs.where("same").groupBy(*place, "same_run").agg(F.count(F.lit(1)).alias("n")).groupBy(*place).agg(F.max("n").alias("same"))
     zipped = F.arrays_zip(F.col("islots").alias("a"), F.col("slots").alias("b"))
+    runs = pairs.groupBy(*place, "run").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("alike"), F.array_distinct(F.flatten(F.collect_list(zipped))).alias("s"))
     left, right = F.transform("s", lambda x: x["a"]), F.transform("s", lambda x: x["b"])
     agree = (F.size(F.array_distinct(left)) == F.size("s")) & (F.size(F.array_distinct(right)) == F.size("s"))
-    runs = pairs.withColumn("run", run).groupBy("id", "item", "start", "run").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("islots") == F.col("slots")).alias("same"), F.array_distinct(F.flatten(F.collect_list(zipped))).alias("s"))
-    runs = runs.withColumn("longest", F.when(agree, F.col("n")))
-    runs = runs.groupBy("id", "item", "start").agg(F.sum("n").alias("n_matched"), F.sum("same").alias("same"), F.max("longest").alias("longest"), F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
-    runs = runs.join(F.broadcast(totals) if small else totals.hint("merge"), "item")
-    good = F.greatest(F.col("same"), F.col("longest"), F.when(agree, F.col("n_matched")))  # the greatest that is not null
-    runs = runs.where(good >= F.least(F.col("n_windows"), F.lit(ENOUGH)))
-    return runs.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("start").alias("doc_start"), "n_matched", "n_windows", (left == right).alias("exact"))
+    runs = runs.groupBy(*place).agg(F.sum("n").alias("n_matched"), (F.sum("n") == F.sum("alike")).alias("copy"), F.max(F.when(agree, F.col("n"))).alias("agreeing"))
+    both = runs.withColumn("same", F.lit(None).cast("long")).unionByName(same.select(*place, F.lit(None).cast("long").alias("n_matched"), F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("long").alias("agreeing"), "same"))
+    both = both.groupBy(*place).agg(F.max("n_matched").alias("n_matched"), F.max("copy").alias("copy"), F.max("agreeing").alias("agreeing"), F.coalesce(F.max("same"), F.lit(0).cast("long")).alias("same"))
+    both = both.join(F.broadcast(totals) if small else totals.hint("merge"), "item")
+    enough = F.least(F.col("n_windows"), F.lit(ENOUGH))
+    both = both.where(F.greatest("same", "agreeing") >= enough)  # the greatest that is not null
+    leaks = both.groupBy("row", "id", "item", "start").agg(F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.min("copy").alias("exact"))
+    return leaks.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("start").alias("doc_start"), "n_matched", "n_windows", "exact")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
