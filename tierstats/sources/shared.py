@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder in the warehouse where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    """spark.checkpoint.dir; where that is unset and Spark runs on this machine alone, a folder in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -17,4 +20,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     gives the optimizer true sizes."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(spark: SparkSession, table: DataFrame | str) -> None:
+    """Delete a staged table, or a folder, all of whose readers have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table if isinstance(table, str) else table.staged_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
