@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tierstats.llm import decontam, license, pii, toxicity
+from tierstats.llm import decontam, license, pii, substrings, toxicity
 
 from . import brute
 
@@ -150,3 +150,26 @@ def test_windows_must_be_consecutive(spark):
     rows = [(1, " ".join(text)), (None, " ".join(w[:10])), (None, " ".join(w[10:20])), (2, " ".join(w))]
     found = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert [(r.doc_id, r.item_id) for r in found] == [(2, 0)]
+
+
+def test_factors_are_copies_of_their_reference(spark):
+    """Every factor's words stand at its reference place, a passage of a long text is one factor, any window length works."""
+    rnd = random.Random(12)
+    say = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    passage, other = say(400), say(90)
+    texts = [say(50) + passage + say(40), passage[100:300] + say(20) + other, say(10) + other + say(5) + passage[:200], other + other, say(100)]
+    texts += [texts[4], say(3)]
+    d = spark.createDataFrame([(i, " ".join(t), "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, t1 string, factors string")
+    keys = {r.doc_id: r.k for r in d.select("doc_id", F.xxhash64(F.lit(0), "text").alias("k")).collect()}
+    by_key = {keys[i]: texts[i] for i in range(len(texts))}
+    got = {r.doc_id: r.factors for r in substrings.strip_repeats(d).collect()}
+    for i, factors in got.items():
+        for f in factors:
+            if f.ref_start >= 0:
+                assert texts[i][f.start : f.end] == by_key[f.ref][f.ref_start : f.ref_start + f.end - f.start]
+                assert (f.ref, f.ref_start) != (keys[i], f.start) or i in (4, 5)
+    assert max(f.end - f.start for f in got[1]) >= 170 and not got[6] and sum(f.end - f.start for f in got[4]) >= 100
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    for window in (5, 12, 90):
+        out = substrings.strip_repeats(d, window=window, with_text=False).drop("kept", "factors")
+        assert sorted(map(tuple, out.collect()), key=str) == brute.strip_repeats(rows, window)

@@ -15,6 +15,7 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 #: Odd multipliers of the polynomial hashes and the constants of the finaliser (fixed values).
 WORD_BASE, WINDOW_BASE, WINDOW_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+WORD_BASE_2 = 0xE7037ED1A0B428DB
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 IS_SPACE = np.zeros(256, bool)
@@ -103,15 +104,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = WORD_BASE, piece: int = 1 << 20) -> np.ndarray:
     """64-bit hashes of the words, by prefix sums of a polynomial; long data go piece by piece."""
     out, k = np.empty(len(starts), np.uint64), 0
-    inverse = pow(WORD_BASE, -1, 1 << 64)
+    inverse = pow(base, -1, 1 << 64)
     while k < len(starts):
         stop = max(k + 1, int(np.searchsorted(ends, starts[k] + piece, "right")))
         a, b = starts[k], ends[stop - 1]
         sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * _powers(WORD_BASE, b - a), out=sums[1:])
+        np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * _powers(base, b - a), out=sums[1:])
         s, e = starts[k:stop] - a, ends[k:stop] - a
         out[k:stop] = mix((sums[e] - sums[s]) * _powers(inverse, b - a)[s] + (e - s).astype(np.uint64))
         k = stop
