@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tierstats.llm import copies
+from tierstats.llm import simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -65,7 +65,7 @@ def test_near_copies_by_small_tiles(spark, monkeypatch):
     for i in range(80):  # a chain and a crowd: neighbours are near, ends are not
         base[rnd.randrange(60)] = f"x{i}"
         rows.append((i, " ".join(base)))
-    monkeypatch.setattr(copies, "TILE", 300)
+    monkeypatch.setattr(simhash, "SET_TILE", 300)
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(map(tuple, out.collect())) == kept_rows(rows)
 

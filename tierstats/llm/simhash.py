@@ -1,4 +1,8 @@
-"""SimHash near-duplicates: exact comparison of fingerprint tiles with numpy xor and bit counts."""
+"""SimHash near-duplicates: exact comparison of fingerprint tiles with numpy xor and bit counts.
+
+``near_duplicates`` links fingerprints within a radius. ``near_copies`` links texts whose shingle sets have a given
+similarity: there fingerprints within a wide radius only propose pairs, and the whole sets decide.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +14,26 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierstats.operators.graph import connected_components
+from tierstats.sources.shared import discard
 
 from .common import lookup_join, staged
-from .words import LOWER
+from .words import LOWER, chunks, mix, whole_windows, window_hashes, word_hashes
 
 SEED = 42
+#: Pairs that may have a similarity of 0.8 share a MinHash band of ROWS rows with a probability of 1 - (1 - 0.8^ROWS)^BANDS =
+#: 0.9998, more above.
+BANDS, ROWS = 16, 4
+#: Fingerprints of sets of similarity 0.8 differ in 9.7 bits (standard deviation 2.9); above WIDE bits sets of at least
+#: FEW shingles are not compared. The fingerprint of a smaller set says little, so those are compared in any case.
+WIDE, FEW = 20, 64
+#: Shingles in a tile of a candidate group.
+SET_TILE = 1 << 22
+_TABLE = np.frombuffer(LOWER, np.uint8)
+_SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def fingerprint(text: bytes, k: int = 4) -> int:
@@ -141,6 +156,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def tiled(rows: DataFrame, by: list[str], weight: Column, key: str, tile: int, radius: int) -> DataFrame:
+    """``rows`` (``by``, pc, ``key``, ...) of groups with more than one row, once for each pair of tiles, with lo, hi and own tile.
+
+    A group whose weights sum up to more than one tile is cut by population count and hash, and a tile meets only those
+    whose counts differ by the radius at most.
+    """
+    bands = rows.groupBy(*by, "pc").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"))
+    tiles = F.map_from_entries(F.collect_list(F.struct("pc", F.ceil(F.col("w") / tile).alias("t"))))  # at most 65 entries
+    groups = bands.groupBy(*by).agg(F.sum("w").alias("total"), F.sum("n").alias("n"), tiles.alias("tiles")).where("n > 1").drop("n")
+    # written first: between two plain exchanges Spark splits the partition of a hot group
+    rows = rows.join(staged(groups, "simhash-groups").hint("merge"), by)
+    slot = F.pmod(F.xxhash64(key), F.col("tiles")[F.col("pc")])
+    own = F.when(F.col("total") <= tile, F.lit(0)).otherwise(F.col("pc") * (1 << 40) + slot)
+    near = F.expr(f"flatten(transform(filter(map_entries(tiles), x -> abs(x.key - pc) <= {radius}), x -> transform(sequence(0L, x.value - 1), s -> x.key * {1 << 40}L + s)))")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("total") <= tile, F.array(F.lit(0).cast("long"))).otherwise(near)))
+    return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "total", "tiles")
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = 4, tile: int = 2048) -> DataFrame:
     """distinct (fp), one row each -> (a, b): links that join all fingerprints within ``radius`` differing bits.
 
@@ -151,17 +184,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, tile: int = 2048) ->
     masks = block_masks(distinct.count(), radius, tile)
     key = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks))))
     rows = distinct.select("fp", F.bit_count("fp").cast("long").alias("pc"), key.alias("k")).select("fp", "pc", "k.combo", "k.value")
-    bands = rows.groupBy("combo", "value", "pc").agg(F.count(F.lit(1)).alias("n"))
-    tiles = F.map_from_entries(F.collect_list(F.struct("pc", F.ceil(F.col("n") / tile).alias("t"))))  # at most 65 entries
-    groups = bands.groupBy("combo", "value").agg(F.sum("n").alias("total"), tiles.alias("tiles")).where("total > 1")
-    # written first: between two plain exchanges Spark splits the partition of a hot group
-    groups = staged(groups, "simhash-groups")
-    rows = rows.join(groups.hint("merge"), ["combo", "value"])
-    slot = F.pmod(F.xxhash64("fp"), F.col("tiles")[F.col("pc")])
-    own = F.when(F.col("total") <= tile, F.lit(0)).otherwise(F.col("pc") * (1 << 40) + slot)
-    near = F.expr(f"flatten(transform(filter(map_entries(tiles), x -> abs(x.key - pc) <= {radius}), x -> transform(sequence(0L, x.value - 1), s -> x.key * {1 << 40}L + s)))")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("total") <= tile, F.array(F.lit(0).cast("long"))).otherwise(near)))
-    rows = rows.select("combo", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp")
+    rows = tiled(rows, ["combo", "value"], F.lit(1), "fp", tile, radius).select("combo", "value", "lo", "hi", "own", "fp")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "combo", "value", "lo", "hi").sortWithinPartitions("combo", "value", "lo", "hi")
     return dealt.mapInArrow(partial(_links, radius=radius), "a long, b long")
@@ -186,6 +209,153 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, sizes, hashes) for each chunk of rows: how many distinct shingles of k words each row has, and their
+    hashes, sorted, row by row. A text of fewer words is one shingle, a text without words has none."""
+    for c in chunks(column):
+        words = word_hashes(_TABLE[c.data], c.starts, c.ends)
+        at, n = whole_windows(c.first, k), c.n_words
+        owners, hashes = [c.doc_of_word()[at]], [window_hashes(words, k)[at]]
+        for short in range(1, k):
+            rows = np.flatnonzero(n == short)
+            if len(rows):
+                owners.append(rows)
+                hashes.append(window_hashes(words, short)[c.first[rows]])
+        owner, h = np.concatenate(owners), np.concatenate(hashes)
+        order = np.lexsort((h, owner))
+        owner, h = owner[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+        yield c.lo, np.bincount(owner[new], minlength=len(n)), h[new]
+
+
+def set_fingerprints(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """SimHash of each set, in slices of bounded size; 0 for an empty one."""
+    out, ends = np.zeros(len(sizes), np.uint64), np.cumsum(sizes)
+    counts = np.zeros((len(sizes), 64), np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, 1 << 15):
+        bits = np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = owner[at : at + (1 << 15)]
+        edges = np.flatnonzero(np.diff(own, prepend=-1))
+        counts[own[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int64)
+    if len(sizes):
+        out = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo, sizes, h in shingle_sets(b.column(2), k):
+            filled, key, fp = np.flatnonzero(sizes), np.zeros(len(sizes), np.uint64), set_fingerprints(sizes, h)
+            bands = np.zeros((len(filled), BANDS), np.uint64)
+            if len(filled):
+                starts = (np.cumsum(sizes) - sizes)[filled]
+                key[filled] = mix(np.add.reduceat(mix(h), starts) + sizes[filled].astype(np.uint64))
+                for j in range(BANDS * ROWS):
+                    least = np.minimum.reduceat((h ^ _SEEDS[2 * j]) * (_SEEDS[2 * j + 1] | np.uint64(1)), starts)
+                    bands[:, j // ROWS] = mix(bands[:, j // ROWS] + least + np.uint64(j))
+            ends = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).view(np.int64)))
+            cols = [b.column(0).slice(lo, len(sizes)), b.column(1).slice(lo, len(sizes)), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(sizes.astype(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "key", "fp", "size", "bands"])
+
+
+def similar(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
+    """Links (key, key) that join all sets of similarity 0.8 or more: each set that is reached is compared with those not
+    reached yet, first its fingerprint with all of theirs by exclusive-or and bit count, then its shingles with those of
+    the sets within WIDE bits."""
+    ids, links = np.unique(h, return_inverse=True)[1], []
+    flag = np.zeros(len(h), bool)
+    left, left_ids, ends = np.arange(len(keys)), ids, np.cumsum(sizes)
+    starts, reached = ends - sizes, []
+    while len(left):
+        if reached:
+            i = reached.pop()
+        else:
+            i, left, left_ids = left[0], left[1:], left_ids[sizes[left[0]] :]
+            if not len(left):
+                break
+        mine, n = ids[starts[i] : ends[i]], sizes[left]
+        close = (np.bitwise_count(fps[left] ^ fps[i]) <= WIDE) | (n < FEW) | (sizes[i] < FEW)
+        close &= 5 * np.minimum(n, sizes[i]) >= 4 * np.maximum(n, sizes[i])
+        if not close.any():
+            continue
+        flag[mine] = True
+        own = n[close]
+        common = np.add.reduceat(flag[left_ids[np.repeat(close, n)]], np.cumsum(own) - own, dtype=np.int64)
+        flag[mine] = False
+        near = np.zeros(len(left), bool)
+        near[close] = 5 * common >= 4 * (own + sizes[i] - common)
+        if near.any():
+            links += [(int(keys[i]), int(keys[j])) for j in left[near]]
+            reached += left[near].tolist()
+            left_ids, left = left_ids[np.repeat(~near, n)], left[~near]
+    return links
+
+
+def _set_links(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by group (band, lo, hi) -> (a, b)."""
+    group, held = None, []
+
+    def solve() -> pa.RecordBatch:
+        found = similar(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for b in batches:
+        place = np.stack([np.asarray(b.column(i)) for i in range(3)])
+        keys, fps = np.asarray(b.column(3)), np.asarray(b.column(4)).view(np.uint64)
+        for lo, sizes, h in shingle_sets(b.column(5), k):
+            at, ends = place[:, lo : lo + len(sizes)], np.concatenate([[0], np.cumsum(sizes)])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), len(sizes)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if (now := tuple(at[:, x].tolist())) != group:
+                    if held:
+                        yield solve()
+                    group, held = now, []
+                held.append((keys[lo + x : lo + y], fps[lo + x : lo + y], sizes[x:y], h[ends[x] : ends[y]]))
+    if held:
+        yield solve()
+
+
+def near_copies(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """(row_col, kept) for each row of ``docs``: the row that stays for it.
+
+    Rows are linked if the sets of their k-word shingles (words at ASCII space, A-Z lower-cased) have a Jaccard
+    similarity of 0.8 or more; of all that are reachable over links the row of smallest (id, row) stays, null ids last.
+    Texts without a word, also null, are copies of each other only. ``row_col`` must be unique and written (long).
+
+    Equal sets are compared once. Sets that share a MinHash band are a group, bands with the same members are one. A
+    group is compared by tiles of fingerprints, as in ``fingerprint_links``, within the radius WIDE; every pair that is
+    left is checked on the whole sets. Sets and shingles are told apart by 64-bit hashes.
+
+    Long texts are read whole, repeated rows are copies of each other, an empty table gives an empty result. Other
+    columns are not carried, so their names cannot clash.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed = staged(rows.mapInArrow(partial(_signatures, k=k), f"row long, id {id_type}, key long, fp long, size long, bands array<long>"), "copy-signatures")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
+    sets = staged(signed.groupBy("key").agg(least.alias("least"), *(F.first(c).alias(c) for c in ("fp", "size", "bands"))), "copy-sets")
+    banded = sets.select("key", "fp", "size", F.explode("bands").alias("band"))
+    groups = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("members"), F.sum("size").alias("total")).where("n > 1")
+    groups = staged(groups.groupBy("n", "members", "total").agg(F.min("band").alias("band")).select("band"), "copy-groups")
+    members = staged(banded.join(groups.hint("merge"), "band").select("key", "fp", "size", "band", F.bit_count("fp").cast("long").alias("pc")), "copy-members")
+    wanted = staged(members.select("key").distinct().join(sets.select("key", F.col("least.row").alias("row")).hint("merge"), "key"), "copy-wanted")
+    texts = staged(rows.select("row", "text").join(wanted.hint("merge"), "row").select("key", "text"), "copy-texts")
+    pairs = tiled(members, ["band"], F.col("size"), "key", SET_TILE, WIDE).select("band", "lo", "hi", "key", "fp")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.join(texts.hint("merge"), "key").select("band", "lo", "hi", "key", "fp", "text")
+    dealt = dealt.repartition(parts, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    roots = connected_components(dealt.mapInArrow(partial(_set_links, k=k), "a long, b long"))
+    of_set = staged(sets.select("key", "least").join(roots.hint("merge"), F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root")), "copy-roots")
+    kept = staged(of_set.groupBy("root").agg(F.min("least").alias("least")).select("root", F.col("least.row").alias("kept")), "copy-least")
+    of_set = staged(of_set.join(kept.hint("merge"), "root").select("key", "kept"), "copy-components")
+    for done in (sets, groups, members, wanted, texts, kept):
+        discard(docs.sparkSession, done)
+    return signed.select("row", "key").join(of_set.hint("merge"), "key").select(F.col("row").alias(row_col), "kept")
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
