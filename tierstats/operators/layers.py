@@ -43,16 +43,17 @@ def transfer_labels(corr: DataFrame, labels: DataFrame, target_runs: DataFrame,
     Each unit x segment takes the usable template of best (score, pairs, id) that offers the segment, projects its
     positions and becomes the run of the expected class with most overlap; without a run there is no label. Confidence
     is the share of projected positions in the run."""
-    hit = corr.where(F.col("score") >= usable).join(labels, ["template", "t"])
+    # positions come from generators, whose size Spark cannot estimate
+    hit = corr.where(F.col("score") >= usable).join(labels.hint("merge"), ["template", "t"])
     offer = hit.groupBy("unit", "segment", "cls", "template").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("aligned"))
     best = offer.withColumn("_r", F.row_number().over(W.partitionBy("unit", "segment").orderBy(F.desc("score"), F.desc("aligned"), "template"))).where("_r = 1").drop("_r", "score", "aligned")
-    pos = hit.select("unit", "segment", "template", "q").join(best, ["unit", "segment", "template"])
+    pos = hit.select("unit", "segment", "template", "q").join(best.hint("merge"), ["unit", "segment", "template"])
     n = pos.groupBy("unit", "segment").agg(F.count(F.lit(1)).alias("n"))
     grid = target_runs.withColumn("q", F.explode(F.sequence("start", "end")))
     over = pos.join(grid.hint("merge"), ["unit", "cls", "q"]).groupBy("unit", "segment", "template", "start", "end").agg(F.count(F.lit(1)).alias("overlap"))
     top = over.withColumn("_r", F.row_number().over(W.partitionBy("unit", "segment").orderBy(F.desc("overlap"), "start"))).where("_r = 1").drop("_r")
     share = F.col("overlap") / F.col("n")
-    out = top.join(n, ["unit", "segment"]).withColumn("confidence", F.when(share >= strong, "HIGH").when(share >= weak, "MODERATE").otherwise("LOW"))
+    out = top.join(n.hint("merge"), ["unit", "segment"]).withColumn("confidence", F.when(share >= strong, "HIGH").when(share >= weak, "MODERATE").otherwise("LOW"))
     return out.select("unit", "segment", "template", "start", "end", "overlap", "n", "confidence")
 
 
@@ -60,12 +61,12 @@ def rescue_labels(placed: DataFrame, core: Sequence[str], corr: DataFrame, label
     """Core segments a unit still lacks, from up to n further templates in score order: the first whose projection
     overlaps a matching run by max(3, 0.3 x length) wins."""
     units = corr.select("unit").distinct().withColumn("segment", F.explode(F.array(*(F.lit(s) for s in core))))
-    gap = units.join(placed.select("unit", "segment"), ["unit", "segment"], "left_anti")
+    gap = units.join(placed.select("unit", "segment").hint("merge"), ["unit", "segment"], "left_anti")
     order = corr.groupBy("unit", "template").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("unit").orderBy(F.desc("score"), "template"))).where(F.col("rank") <= n)
-    hit = corr.drop("score").join(labels, ["template", "t"]).join(gap, ["unit", "segment"]).join(order.select("unit", "template", "rank"), ["unit", "template"])
+    hit = corr.drop("score").join(labels.hint("merge"), ["template", "t"]).join(gap.hint("merge"), ["unit", "segment"]).join(order.select("unit", "template", "rank").hint("merge"), ["unit", "template"])
     size = hit.groupBy("unit", "segment", "template").agg(F.count(F.lit(1)).alias("len"))
     grid = target_runs.withColumn("q", F.explode(F.sequence("start", "end")))
-    over = hit.join(grid.hint("merge"), ["unit", "cls", "q"]).groupBy("unit", "segment", "template", "rank", "start", "end").agg(F.count(F.lit(1)).alias("overlap")).join(size, ["unit", "segment", "template"])
+    over = hit.join(grid.hint("merge"), ["unit", "cls", "q"]).groupBy("unit", "segment", "template", "rank", "start", "end").agg(F.count(F.lit(1)).alias("overlap")).join(size.hint("merge"), ["unit", "segment", "template"])
     ok = over.where(F.col("overlap") >= F.greatest(F.lit(3.0), 0.3 * F.col("len")))
     return ok.withColumn("_r", F.row_number().over(W.partitionBy("unit", "segment").orderBy("rank", F.desc("overlap"), "start"))).where("_r = 1").select("unit", "segment", "template", "start", "end", "overlap")
 
@@ -130,8 +131,8 @@ def segment_map(bounds: DataFrame, blocks: DataFrame, unit: str = "unit") -> Dat
 def missing_segment_audit(units: DataFrame, expected: Sequence[str], placed: DataFrame, offered: DataFrame, evidence: DataFrame) -> DataFrame:
     """Why a unit lacks a segment: A no evidence for the unit, D no template offers it, C alignment failed."""
     all_pairs = units.select("unit").distinct().withColumn("segment", F.explode(F.array(*(F.lit(s) for s in expected))))
-    gap = all_pairs.join(placed.select("unit", "segment"), ["unit", "segment"], "left_anti")
-    j = gap.join(evidence.select("unit").distinct().withColumn("_e", F.lit(1)), "unit", "left").join(offered.select("segment").distinct().withColumn("_o", F.lit(1)), "segment", "left")
+    gap = all_pairs.join(placed.select("unit", "segment").hint("merge"), ["unit", "segment"], "left_anti")
+    j = gap.join(evidence.select("unit").distinct().withColumn("_e", F.lit(1)).hint("merge"), "unit", "left").join(offered.select("segment").distinct().withColumn("_o", F.lit(1)).hint("merge"), "segment", "left")
     return j.select("unit", "segment", F.when(F.col("_e").isNull(), "A_NO_EVIDENCE").when(F.col("_o").isNull(), "D_NO_TEMPLATE").otherwise("C_ALIGNMENT_FAILED").alias("cause"))
 
 
@@ -172,21 +173,36 @@ def unit_site_summary(scores: DataFrame, replicates: int = 2000) -> DataFrame:
     q = F.percentile("delta", F.array(F.lit(0.25), F.lit(0.75)))
     g = scores.groupBy("unit", "site").agg(F.count(F.lit(1)).alias("n_entries"), F.median("delta").alias("median_delta"), q.alias("_q"), F.avg("coverage").alias("coverage"))
     g = g.withColumn("iqr", F.col("_q")[1] - F.col("_q")[0]).drop("_q")
-    return g.join(bootstrap_ci(scores, ["unit", "site"], ["entry"], "delta", replicates), ["unit", "site"])
+    return g.join(bootstrap_ci(scores, ["unit", "site"], "delta", replicates), ["unit", "site"])
+
+
+#: Bound on the positions that a unit's map may have: they are broadcast for sites without other controls.
+MOST_POSITIONS = 100_000
 
 
 def matched_controls(sites: DataFrame, segmap: DataFrame, least: int = 5) -> DataFrame:
     """(unit, site, position, tier): other positions of the site's segments if there are ``least``, else of its classes,
     else all named positions (named_only). segmap (position, segment, cls)."""
-    here = sites.join(segmap, "position")
-    segs = here.groupBy("unit", "site").agg(F.collect_set("segment").alias("_s"), F.collect_set("cls").alias("_c"), F.collect_set("position").alias("_in"))
-    all_pos = segmap.agg(F.collect_list(F.struct("position", "segment", "cls")).alias("_p"))  # one position a row: a map of one unit
-    j = segs.join(F.broadcast(all_pos)).withColumn("p", F.explode("_p")).select("unit", "site", "_s", "_c", "_in", "p.position", "p.segment", "p.cls").where(~F.array_contains("_in", F.col("position")))
-    same_s, same_c = F.array_contains("_s", F.col("segment")), F.array_contains("_c", F.col("cls"))
-    n = j.groupBy("unit", "site").agg(F.count(F.when(same_s, 1)).alias("_ns"), F.count(F.when(same_c, 1)).alias("_nc"))
-    j = j.join(n, ["unit", "site"]).withColumn("tier", F.when(F.col("_ns") >= least, "same_segment").when(F.col("_nc") >= least, "same_class").otherwise("named_only"))
-    keep = F.when(F.col("tier") == "same_segment", same_s).when(F.col("tier") == "same_class", same_c).otherwise(True)
-    return j.where(keep).select("unit", "site", "position", "tier")
+    here = sites.join(segmap, "position").select("unit", "site", "position", "segment", "cls")
+
+    def of_same(column: str) -> DataFrame:
+        named = here.select("unit", "site", column).distinct().join(segmap.select("position", column).hint("merge"), column).select("unit", "site", "position").distinct()
+        return named.join(here.select("unit", "site", "position"), ["unit", "site", "position"], "left_anti")
+
+    def enough(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("unit", "site").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("unit", "site")
+
+    first, second = of_same("segment"), of_same("cls")
+    in_first = enough(first)
+    in_second = enough(second).join(in_first, ["unit", "site"], "left_anti")
+    rest = here.select("unit", "site").distinct().join(in_first, ["unit", "site"], "left_anti").join(in_second, ["unit", "site"], "left_anti")
+    names = segmap.select("position").distinct()
+    if names.count() > MOST_POSITIONS:
+        raise ValueError(f"the map of a unit has more than {MOST_POSITIONS} positions")
+    third = rest.join(F.broadcast(names)).join(here.select("unit", "site", "position"), ["unit", "site", "position"], "left_anti")
+    parts = [(first.join(in_first, ["unit", "site"], "left_semi"), "same_segment"), (second.join(in_second, ["unit", "site"], "left_semi"), "same_class"), (third, "named_only")]
+    out = [p.select("unit", "site", "position", F.lit(tier).alias("tier")) for p, tier in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def confirmatory_reanalysis(summaries: DataFrame, confident: DataFrame) -> DataFrame:
@@ -199,7 +215,7 @@ def atlas(unitseg: DataFrame, replicates: int = 2000) -> DataFrame:
     """Per segment: n, median, mean, quartiles, interval, shares above and below 0, ranks, and top and bottom flags."""
     q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
     g = unitseg.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.median("v").alias("median"), F.avg("v").alias("mean"), q.alias("_q"), F.avg((F.col("v") > 0).cast("int")).alias("share_up"), F.avg((F.col("v") < 0).cast("int")).alias("share_down"))
-    g = g.withColumns({"q25": F.col("_q")[0], "q75": F.col("_q")[1], "_all": F.lit(1)}).drop("_q").join(bootstrap_ci(unitseg, ["segment"], ["unit"], "v", replicates), "segment")
+    g = g.withColumns({"q25": F.col("_q")[0], "q75": F.col("_q")[1], "_all": F.lit(1)}).drop("_q").join(bootstrap_ci(unitseg, ["segment"], "v", replicates), "segment")
     return top_bottom_share(rank_min_desc(g, ["_all"], "median"), ["_all"], "median", "segment", least=1).drop("_all")
 
 
@@ -219,9 +235,9 @@ def curated_site_scores(rec: DataFrame, keys: list[str], ties: list[str], sites:
     obs = norm(pick_record(rec, keys, "occupancy", "value", ties))
     e = obs.where("z is not null").groupBy("unit", "entry", "position").agg(F.median("z").alias("z"))
     size = sites.groupBy("unit", "site").agg(F.count_distinct("position").alias("size"))
-    got = e.join(sites, ["unit", "position"]).groupBy("unit", "entry", "site").agg(F.avg("z").alias("m"), F.count(F.lit(1)).alias("n"))
-    full = got.join(size, ["unit", "site"]).where("n = size").groupBy("unit", "site").agg(F.median("m").alias("score"), F.count(F.lit(1)).alias("n_entries"))
-    return size.join(full, ["unit", "site"], "left").fillna(0, ["n_entries"]).drop("size")
+    got = e.join(sites.hint("merge"), ["unit", "position"]).groupBy("unit", "entry", "site").agg(F.avg("z").alias("m"), F.count(F.lit(1)).alias("n"))
+    full = got.join(size.hint("merge"), ["unit", "site"]).where("n = size").groupBy("unit", "site").agg(F.median("m").alias("score"), F.count(F.lit(1)).alias("n_entries"))
+    return size.join(full.hint("merge"), ["unit", "site"], "left").fillna(0, ["n_entries"]).drop("size")
 
 
 def ligand_states(points: DataFrame, probes: DataFrame, group: str, point_id: str, probe_id: str, kind, r: float) -> DataFrame:

@@ -78,7 +78,7 @@ def kruskal(df: DataFrame, test: list[str], group: str, v: str, least: int = 3)
     such groups stay as NOT_TESTABLE with nulls."""
     ok = df.where(F.col(v).isNotNull() & F.col(group).isNotNull())
     size = ok.groupBy(*(F.col(t).alias(f"_{t}") for t in test), F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    big = ok.join(size, [F.col(t) == F.col(f"_{t}") for t in test] + [F.col(group) == F.col("_g")]).drop(*(f"_{t}" for t in test), "_g", "_n")
+    big = ok.join(size.hint("merge"), [F.col(t) == F.col(f"_{t}") for t in test] + [F.col(group) == F.col("_g")]).drop(*(f"_{t}" for t in test), "_g", "_n")
     r = avg_rank(big, test, v, "_r")
     by = r.groupBy(*test, group).agg(F.count(F.lit(1)).alias("_n"), F.sum("_r").alias("_s"), F.sum(F.col("_r_ties") * F.col("_r_ties") - 1).alias("_t"))
     g = by.groupBy(*test).agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("n"), F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("_q"), F.sum("_t").cast("double").alias("_t"))
@@ -87,7 +87,7 @@ def kruskal(df: DataFrame, test: list[str], group: str, v: str, least: int = 3)
     can = F.col("k") >= 2
     g = g.withColumn("h", F.when(can, h)).drop("_q", "_t")
     g = g.withColumns({"epsilon2": F.col("h") / (F.col("n") - 1), "p": _p(_chi, "h", F.col("k") - 1)})
-    out = df.select(*test).distinct().join(g.select(*(F.col(t).alias(f"_{t}") for t in test), "k", "n", "h", "epsilon2", "p"), [F.col(t) == F.col(f"_{t}") for t in test], "left").drop(*(f"_{t}" for t in test))
+    out = df.select(*test).distinct().join(g.select(*(F.col(t).alias(f"_{t}") for t in test), "k", "n", "h", "epsilon2", "p").hint("merge"), [F.col(t) == F.col(f"_{t}") for t in test], "left").drop(*(f"_{t}" for t in test))
     return out.withColumn("status", F.when(F.col("h").isNotNull(), "TESTED").otherwise("NOT_TESTABLE"))
 
 
@@ -95,7 +95,7 @@ def group_pairs(df: DataFrame, test: list[str], group: str, v: str) -> DataFrame
     """Rows of each pair of groups a < b of a test, with ``side`` A or B. Groups are few, values are repeated once for
     each other group."""
     names = df.groupBy(*test).agg(F.array_sort(F.collect_set(group)).alias("_all")).select(*(F.col(t).alias(f"_{t}") for t in test), "_all")
-    j = df.join(names, [F.col(t) == F.col(f"_{t}") for t in test]).withColumn("_o", F.explode("_all")).where(F.col("_o") != F.col(group))
+    j = df.join(names.hint("merge"), [F.col(t) == F.col(f"_{t}") for t in test]).withColumn("_o", F.explode("_all")).where(F.col("_o") != F.col(group))
     return j.select(*test, F.least(group, "_o").alias("a"), F.greatest(group, "_o").alias("b"), F.when(F.col(group) < F.col("_o"), "A").otherwise("B").alias("side"), v)
 
 
@@ -135,23 +135,49 @@ def pairwise_classes(df: DataFrame, unit: str, cls: str, v: str, least: int = 5)
     return bh_fdr(g, "p", [], ["a", "b"])
 
 
-def draw(replicate: Column, i: Column, seed: int) -> Column:
-    """A portable pseudo-random whole number under 2^31 - 1: two steps of a multiplicative generator (fixed values)."""
-    m = 2147483647
-    x = (replicate * 7919 + i * 104729 + seed * 15485 + 1) % m
-    return (x * 48271 % m * 69621) % m
+def resampled(values: str, seed: int) -> str:
+    """SQL of the values that replicate _b draws from the array column ``values``, by two steps of a multiplicative
+    generator (fixed values)."""
+    m, size = 2147483647, f"size({values})"
+    return f"transform(sequence(0L, {size} - 1L), i -> {values}[cast((((_b * 7919 + i * 104729 + {seed} * 15485 + 1) % {m} * 48271 % {m}) * 69621) % {m} % {size} as int)])"
 
 
-def bootstrap_ci(df: DataFrame, test: list[str], key: list[str], v: str, replicates: int = 2000, seed: int = 1) -> DataFrame:
-    """2.5 and 97.5 percentiles of the resampled median of each test (small tests: every replicate repeats its rows)."""
-    ok = df.where(F.col(v).isNotNull())
-    w = W.partitionBy(*test)
-    rows = ok.select(*test, F.col(v).alias("_v"), (F.row_number().over(w.orderBy(v, *key)) - 1).cast("long").alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    picks = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).select(*test, "_b", (draw(F.col("_b"), F.col("_i"), seed) % F.col("_n")).alias("_i"))
-    got = picks.join(rows.select(*test, "_i", "_v").hint("merge"), [*test, "_i"])
-    medians = got.groupBy(*test, "_b").agg(F.median("_v").alias("_m"))
-    q = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
-    return medians.groupBy(*test).agg(q.alias("_q")).select(*test, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+def median_of(values: str) -> str:
+    """SQL of the median of an array."""
+    return f"transform(array(array_sort({values})), a -> (a[cast((size(a) - 1) div 2 as int)] + a[cast(size(a) div 2 as int)]) / 2)[0]"
+
+
+def interval(df: DataFrame, test: list[str], v: str) -> DataFrame:
+    """(test, ci_low, ci_high): 2.5 and 97.5 percentiles over the replicates."""
+    q = F.percentile(v, F.array(F.lit(0.025), F.lit(0.975)))
+    return df.groupBy(*test).agg(q.alias("_q")).select(*test, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+
+
+def replicated(df: DataFrame, replicates: int) -> DataFrame:
+    """Each row once for each replicate _b, spread over the partitions: a test's values are one array, which stays where its
+    replicates are made, so nothing else is shuffled. A test whose values do not fit a row is out of this method's reach."""
+    return df.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+
+
+def bootstrap_ci(df: DataFrame, test: list[str], v: str, replicates: int = 2000, seed: int = 1) -> DataFrame:
+    """2.5 and 97.5 percentiles of the resampled median of each test."""
+    arrays = df.where(F.col(v).isNotNull()).groupBy(*test).agg(F.array_sort(F.collect_list(v)).alias("_v"))
+    return interval(replicated(arrays, replicates).select(*test, F.expr(median_of(resampled("_v", seed))).alias("_m")), test, "_m")
+
+
+def bootstrap_difference(df: DataFrame, test: list[str], state: str, v: str, first: str = "HOLO", second: str = "APO", replicates: int = 2000, seed: int = 1) -> DataFrame:
+    """Interval of the difference of medians, ``first`` - ``second``, each side resampled by itself."""
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col(state) == s, F.col(v))))
+    arrays = df.where(F.col(v).isNotNull()).groupBy(*test).agg(side(first).alias("_x"), side(second).alias("_y")).where("size(_x) > 0 AND size(_y) > 0")
+    m = F.expr(f"{median_of(resampled('_x', seed))} - {median_of(resampled('_y', seed + 1))}")
+    return interval(replicated(arrays, replicates).select(*test, m.alias("_m")), test, "_m")
+
+
+def bootstrap_epsilon2(df: DataFrame, test: list[str], group: str, v: str, replicates: int = 2000, seed: int = 1, least: int = 3) -> DataFrame:
+    """Interval of the omnibus test's epsilon squared, resampled inside each group of ``least`` values or more."""
+    arrays = df.where(F.col(v).isNotNull() & F.col(group).isNotNull()).groupBy(*test, group).agg(F.array_sort(F.collect_list(v)).alias("_v")).where(F.size("_v") >= least)
+    picks = replicated(arrays, replicates).select(*test, "_b", group, F.explode(F.expr(resampled("_v", seed))).alias("_x"))
+    return interval(kruskal(picks, [*test, "_b"], group, "_x", least).where("epsilon2 is not null"), test, "epsilon2")
 
 
 def loo_median(df: DataFrame, test: list[str], key: list[str], v: str) -> DataFrame:
@@ -176,19 +202,34 @@ def loo_median(df: DataFrame, test: list[str], key: list[str], v: str) -> DataFr
     return g.withColumn("dominated", F.col("max_shift") > F.greatest(0.5 * (F.col("_q")[1] - F.col("_q")[0]), F.lit(0.25))).drop("_a", "_b", "_c", "_q")
 
 
-def folds(df: DataFrame, test: list[str], unit: str) -> DataFrame:
-    """Each test once for each left-out unit (column ``left_out``), without that unit's rows. n^2 rows a test: call it
-    for chosen tests."""
-    out = df.select(*(F.col(t).alias(f"_{t}") for t in test), F.col(unit).alias("left_out")).distinct()
-    return df.join(out, [F.col(t) == F.col(f"_{t}") for t in test]).where(F.col(unit) != F.col("left_out")).drop(*(f"_{t}" for t in test))
-
+def loo_tests(df: DataFrame, test: list[str], state: str, v: str, first: str = "HOLO", second: str = "APO", least: int = 3, alpha: float = 0.05) -> DataFrame:
+    """Leave-one-out re-runs of each Mann-Whitney test with ``least`` values on both sides, without one value of either
+    side at a time (two must be left): shares below alpha and of the same sign of the difference of medians, its range.
 
-def loo_tests(df: DataFrame, chosen: DataFrame, test: list[str], unit: str, state: str, v: str, alpha: float = 0.05) -> DataFrame:
-    """Leave-one-out re-runs of the chosen Mann-Whitney tests: shares below alpha and of the same sign, range of delta."""
-    few = df.join(chosen.select(*test), test, "left_semi")
-    g = mann_whitney(folds(few, test, unit), [*test, "left_out"], state, v)
-    full = mann_whitney(few, test, state, v).select(*(F.col(t).alias(f"_{t}") for t in test), F.col("delta").alias("_full"))
-    j = g.join(full, [F.col(t) == F.col(f"_{t}") for t in test])
+    df has one row for each test and value that may be left out. No test is run again: how many values of the other state
+    lie below a value is its rank in the test less its rank in its state, and with that U, the counts and the ties without
+    the row follow from those of the whole test, as the medians do from three order statistics.
+    """
+    two = df.where(F.col(state).isin(first, second) & F.col(v).isNotNull())
+    own = W.partitionBy(*test, state)
+    r = avg_rank(avg_rank(two, test, v, "_r"), [*test, state], v, "_o").withColumns({"_n": F.count(F.lit(1)).over(own), "_i": F.row_number().over(own.orderBy(v))})
+    one, below, m = F.col(state) == first, F.col("_r") - F.col("_o"), F.floor(F.col("_n") / 2)
+    at = lambda k: F.max(F.when(F.col("_i") == m + k, F.col(v)))
+    keys = [F.col(t).alias(f"_{t}") for t in test]
+    middle = r.groupBy(*keys, F.col(state).alias("_s")).agg(at(0).alias("_a"), at(1).alias("_b"), at(2).alias("_c"), F.median(v).alias("_m"))
+    whole = r.groupBy(*keys).agg(
+        F.count(F.when(one, 1)).alias("_n1"), F.count(F.when(~one, 1)).alias("_n2"), F.sum(F.when(one, below)).alias("_u"), F.sum(F.col("_r_ties") * F.col("_r_ties") - 1).cast("double").alias("_t"),
+        F.median(F.when(one, F.col(v))).alias("_m1"), F.median(F.when(~one, F.col(v))).alias("_m2"),
+    ).where(F.least("_n1", "_n2") >= least)
+    same = [F.col(t) == F.col(f"_{t}") for t in test]
+    j = r.join(middle, [*same, F.col(state) == F.col("_s")]).drop(*(f"_{t}" for t in test)).join(whole, same)
+    gone, t = one.cast("int"), F.col("_r_ties")
+    even = F.when(F.col("_i") <= m, F.col("_b")).otherwise(F.col("_a"))
+    odd = F.when(F.col("_i") <= m, F.col("_b") + F.col("_c")).when(F.col("_i") == m + 1, F.col("_a") + F.col("_c")).otherwise(F.col("_a") + F.col("_b")) / 2
+    median = F.when(F.col("_n") % 2 == 0, even).otherwise(odd)
+    j = j.withColumns({"n1": F.col("_n1") - gone, "n2": F.col("_n2") - 1 + gone, "u": F.col("_u") - F.when(one, below).otherwise(F.col("_n1") - below), "ties": F.col("_t") - (3 * t * t - 3 * t)})
+    j = j.where(F.least("n1", "n2") >= 2)
+    j = j.withColumns({"p": _p(_mw, "n1", "n2", "u", "ties"), "delta": F.when(one, median - F.col("_m2")).otherwise(F.col("_m1") - median), "_full": F.col("_m1") - F.col("_m2")})
     out = j.groupBy(*test).agg(
         F.count(F.lit(1)).alias("n_folds"), F.avg((F.col("p") < alpha).cast("int")).alias("share_significant"), F.avg((F.signum("delta") == F.signum("_full")).cast("int")).alias("share_same_sign"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"),
     )

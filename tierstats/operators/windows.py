@@ -78,7 +78,7 @@ def merge_intervals(df: DataFrame, keys: list[str], b: str, e: str) -> DataFrame
 def missing_runs(grid: DataFrame, keys: list[str], pos: str, missing: Column) -> DataFrame:
     """Runs of missing positions on a dense grid by kind: terminal if they touch an end, else internal."""
     ends = grid.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-    r = runs(grid.withColumn("_m", missing).where("_m"), keys, pos, "_m").join(ends, [F.col(k) == F.col(f"_{k}") for k in keys])
+    r = runs(grid.withColumn("_m", missing).where("_m"), keys, pos, "_m").join(ends.hint("merge"), [F.col(k) == F.col(f"_{k}") for k in keys])
     r = r.withColumn("terminal", (F.col("start") == F.col("_lo")) | (F.col("end") == F.col("_hi")))
     inner, outer = F.when(~F.col("terminal"), F.col("length")), F.when(F.col("terminal"), F.col("length"))
     return r.groupBy(*keys).agg(F.count(inner).alias("n_internal"), F.coalesce(F.sum(inner), ONE(0)).alias("len_internal"), F.count(outer).alias("n_terminal"), F.coalesce(F.sum(outer), ONE(0)).alias("len_terminal"), F.max("length").alias("longest"))
@@ -131,7 +131,8 @@ def avg_rank(df: DataFrame, test: list[str], v: str, out: str = "r") -> DataFram
     counts = df.groupBy(*(F.col(t).alias(f"_{t}") for t in test), F.col(v).alias("_v")).agg(F.count(ONE(1)).alias("_n"))
     below = F.sum("_n").over(W.partitionBy(*(f"_{t}" for t in test)).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
     counts = counts.withColumn(out, below + (F.col("_n") + 1) / 2).withColumnRenamed("_n", f"{out}_ties")
-    return df.join(counts, [F.col(t) == F.col(f"_{t}") for t in test] + [F.col(v) == F.col("_v")]).drop(*(f"_{t}" for t in test), "_v")
+    # df may come from a generator, whose size Spark cannot estimate
+    return df.join(counts.hint("merge"), [F.col(t) == F.col(f"_{t}") for t in test] + [F.col(v) == F.col("_v")]).drop(*(f"_{t}" for t in test), "_v")
 
 
 def duplicate_flag(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from tierstats.operators import stats as S
 from tierstats.operators import windows as W
 from tierstats.sources.fixtures import feat, prof, rec, table, unitseg
 
+from . import tails
 from .registry import query
 
 c = F.col
@@ -42,9 +43,12 @@ def st1(s, d):
     return _tests(s, d).select(*T, "n1", "n2", "u", F.round("delta", 6).alias("delta"), F.round("median_delta", 8).alias("median_delta"), "tier")
 
 
-@query("ST1_mann_whitney_p")
+_TESTS_P = tails.mann_whitney(f"(SELECT *, state AS s FROM {_F})")
+
+
+@query("ST1_mann_whitney_p", f"""SELECT unit, segment, n1, n2, u, round(p, 6) AS p, round(q, 6) AS q FROM {tails.with_q(_TESTS_P, 'unit', 'segment')}""")
 def st1p(s, d):
-    return W.bh_fdr(_tests(s, d), "p", ["unit"], ["segment"]).select(*T, "n1", "n2", "u", "p", "q")
+    return W.bh_fdr(_tests(s, d), "p", ["unit"], ["segment"]).select(*T, "n1", "n2", "u", *R6("p", "q"))
 
 
 @query("ST2_cliffs_delta", f"""SELECT unit, segment, round(delta, 6) AS delta FROM {_BASE}""")
@@ -90,9 +94,9 @@ def st5(s, d):
     return S.wilcoxon_paired(_entries(s, d), ["unit"], "a", "b").select("unit", "n", "w_plus")
 
 
-@query("ST5_wilcoxon_paired_p")
+@query("ST5_wilcoxon_paired_p", f"""SELECT unit, n, w_plus, round(p, 6) AS p FROM {tails.signed_rank(_ENT, 'unit')} WHERE n_pairs >= 5""")
 def st5p(s, d):
-    return S.wilcoxon_paired(_entries(s, d), ["unit"], "a", "b").select("unit", "n", "w_plus", "p")
+    return S.wilcoxon_paired(_entries(s, d), ["unit"], "a", "b").select("unit", "n", "w_plus", *R6("p"))
 
 
 _US = "(SELECT unit, segment, round(v, 6) AS d FROM unitseg)"
@@ -116,11 +120,34 @@ def st8(s, d):
     return S.pairwise_classes(unitseg(s, d).withColumn("v", F.round("v", 6)), "unit", "segment", "v").select("a", "b", "n", "w_plus")
 
 
-@query("ST9_bootstrap_ci", f"""WITH o AS (SELECT segment, round(v, 6) AS v, row_number() OVER (PARTITION BY segment ORDER BY round(v, 6), unit) - 1 AS i, count(*) OVER (PARTITION BY segment) AS n FROM unitseg),
-k AS (SELECT segment, b, (((b * 7919 + i * 104729 + 15485 + 1) % 2147483647 * 48271 % 2147483647) * 69621) % 2147483647 % n AS i FROM o, generate_series(0, 1999) AS g(b)), m AS (SELECT segment, b, median(v) AS m FROM k JOIN o USING (segment, i) GROUP BY ALL)
-SELECT segment, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m GROUP BY segment""")
+def _draws(o: str, key: str, seed: int) -> str:
+    """(key, b, v): the resampled values of ``o`` (key, i, n, v)."""
+    return f"""(SELECT {key}, b, o.v FROM (SELECT {key}, b, (((b * 7919 + i * 104729 + {seed} * 15485 + 1) % 2147483647 * 48271 % 2147483647) * 69621) % 2147483647 % n AS i FROM {o}, generate_series(0, 1999) AS g(b)) JOIN {o} o USING ({key}, i))"""
+
+
+_SEG = "(SELECT segment, round(v, 6) AS v, row_number() OVER (PARTITION BY segment ORDER BY round(v, 6)) - 1 AS i, count(*) OVER (PARTITION BY segment) AS n FROM unitseg)"
+_CI = "round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high"
+
+
+@query("ST9_bootstrap_ci", f"""WITH o AS MATERIALIZED {_SEG}, m AS (SELECT segment, b, median(v) AS m FROM {_draws('o', 'segment', 1)} GROUP BY ALL) SELECT segment, {_CI} FROM m GROUP BY segment""")
 def st9(s, d):
-    return S.bootstrap_ci(unitseg(s, d).withColumn("v", F.round("v", 6)), ["segment"], ["unit"], "v").select("segment", *R6("ci_low", "ci_high"))
+    return S.bootstrap_ci(unitseg(s, d).withColumn("v", F.round("v", 6)), ["segment"], "v").select("segment", *R6("ci_low", "ci_high"))
+
+
+_SIDE = "(SELECT segment, round(v, 6) AS v, row_number() OVER (PARTITION BY segment ORDER BY round(v, 6)) - 1 AS i, count(*) OVER (PARTITION BY segment) AS n FROM feat WHERE state = '{}')"
+
+
+@query("ST9b_bootstrap_difference", f"""WITH x AS MATERIALIZED {_SIDE.format('HOLO')}, y AS MATERIALIZED {_SIDE.format('APO')}, a AS (SELECT segment, b, median(v) AS m FROM {_draws('x', 'segment', 1)} GROUP BY ALL), z AS (SELECT segment, b, median(v) AS m FROM {_draws('y', 'segment', 2)} GROUP BY ALL), m AS (SELECT segment, b, a.m - z.m AS m FROM a JOIN z USING (segment, b)) SELECT segment, {_CI} FROM m GROUP BY segment""")
+def st9b(s, d):
+    return S.bootstrap_difference(rounded(s, d), ["segment"], "state", "v").select("segment", *R6("ci_low", "ci_high"))
+
+
+@query("ST9c_bootstrap_epsilon2", f"""WITH o AS MATERIALIZED (SELECT segment, grp, round(v, 6) AS v, row_number() OVER (PARTITION BY segment, grp ORDER BY round(v, 6)) - 1 AS i, count(*) OVER (PARTITION BY segment, grp) AS n FROM unitseg QUALIFY n >= 3),
+p AS (SELECT segment, grp, b, v FROM {_draws('o', 'segment, grp', 1)}), r AS (SELECT *, rank() OVER (PARTITION BY segment, b ORDER BY v) + (count(*) OVER (PARTITION BY segment, b, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY segment, b, v) AS t FROM p),
+g AS (SELECT segment, b, grp, count(*) AS n, sum(r) AS rs, sum(t * t - 1) AS ties FROM r GROUP BY ALL), k AS (SELECT segment, b, sum(n) AS n, sum(rs * rs / n) AS q, sum(ties) AS ties FROM g GROUP BY segment, b HAVING count(*) >= 2),
+m AS (SELECT segment, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / nullif(1 - ties / (n ** 3 - n), 0) / (n - 1) AS m FROM k) SELECT segment, {_CI} FROM m GROUP BY segment""")
+def st9c(s, d):
+    return S.bootstrap_epsilon2(unitseg(s, d).withColumn("v", F.round("v", 6)), ["segment"], "grp", "v").select("segment", *R6("ci_low", "ci_high"))
 
 
 @query("ST10_loo_median", f"""WITH f AS {_F}, l AS (SELECT x.unit, x.segment, x.entry AS o, median(y.v) AS m FROM f x JOIN f y ON x.unit = y.unit AND x.segment = y.segment AND x.entry <> y.entry GROUP BY ALL), m AS (SELECT unit, segment, count(*) AS n, median(v) AS md FROM f GROUP BY ALL HAVING count(*) >= 3)
@@ -129,18 +156,22 @@ def st10(s, d):
     return S.loo_median(rounded(s, d), T, ["entry"], "v").select(*T, "n", *(F.round(x, 8).alias(x) for x in ("loo_min", "loo_max", "max_shift")))
 
 
-_FOLD = f"(SELECT x.*, x.state AS s, o.entry AS left_out FROM {_F} x JOIN (SELECT DISTINCT unit, segment, entry FROM feat) o ON x.unit = o.unit AND x.segment = o.segment AND x.entry <> o.entry WHERE x.unit < 3)"
+_FOLD = f"(SELECT x.*, x.state AS s, o.entry AS left_out FROM {_F} x JOIN (SELECT DISTINCT unit, segment, entry FROM feat WHERE state IN ('HOLO', 'APO')) o ON x.unit = o.unit AND x.segment = o.segment AND x.entry <> o.entry)"
 
 
-@query("ST11_loo_tests", f"""SELECT f.unit, f.segment, count(*) AS n_folds, round(avg((sign(f.delta) = sign(b.delta))::INT), 6) AS share_same_sign, round(min(f.delta), 6) AS min_delta, round(max(f.delta), 6) AS max_delta FROM {_mw(_FOLD, 'unit, segment, left_out')} f JOIN {_BASE} b ON f.unit = b.unit AND f.segment = b.segment GROUP BY ALL""")
+@query("ST11_loo_tests", f"""SELECT f.unit, f.segment, count(*) AS n_folds, round(avg((f.p < 0.05)::INT), 6) AS share_significant, round(avg((sign(f.median_delta) = sign(b.median_delta))::INT), 6) AS share_same_sign, round(min(f.median_delta), 8) AS min_delta, round(max(f.median_delta), 8) AS max_delta FROM {tails.mann_whitney(_FOLD, 'unit, segment, left_out', least=2)} f JOIN {_BASE} b ON f.unit = b.unit AND f.segment = b.segment GROUP BY ALL""")
 def st11(s, d):
-    f = rounded(s, d)
-    return S.loo_tests(f, f.where("unit < 3").select(*T).distinct(), T, "entry", "state", "v").select(*T, "n_folds", *R6("share_same_sign", "min_delta", "max_delta"))
+    return S.loo_tests(rounded(s, d), T, "state", "v").select(*T, "n_folds", *R6("share_significant", "share_same_sign"), *(F.round(x, 8).alias(x) for x in ("min_delta", "max_delta")))
+
 
+_CROSS = "(SELECT unit, count(*) FILTER (quantity > 45 AND label = 'R') AS a, count(*) FILTER (quantity > 45 AND label <> 'R') AS b, count(*) FILTER (quantity <= 45 AND label = 'R') AS c, count(*) FILTER (quantity <= 45 AND label <> 'R') AS d FROM rec GROUP BY unit)"
 
-@query("ST12_fisher_exact")
+
+@query("ST12_fisher_exact", f"""WITH t AS (SELECT *, a + b + c + d AS n, a + b AS r, a + c AS k FROM {_CROSS}), x AS (SELECT *, unnest(range(greatest(0, r + k - n), least(r, k) + 1)) AS i FROM t),
+l AS (SELECT *, exp(lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(n - r + 1) - lgamma(k - i + 1) - lgamma(n - r - k + i + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1)) AS h FROM x), o AS (SELECT unit, h AS own FROM l WHERE i = a)
+SELECT unit, a AS n11, b AS n10, c AS n01, d AS n00, CASE WHEN b * c > 0 THEN round(a * d / (b * c), 6) END AS odds_ratio, round(least(1, sum(h) FILTER (h <= own * (1 + 1e-7))), 6) AS p FROM l JOIN o USING (unit) WHERE r > 0 AND k > 0 AND r < n AND k < n GROUP BY ALL""")
 def st12(s, d):
-    return S.fisher_exact(A.crosstab_2x2(rec(s, d).where("quantity > 40"), ["unit"], c("quantity") > 45, c("label") == "R"))
+    return S.fisher_exact(A.crosstab_2x2(rec(s, d), ["unit"], c("quantity") > 45, c("label") == "R")).where("NOT degenerate").select("unit", "n11", "n10", "n01", "n00", *R6("odds_ratio", "p"))
 
 
 _XY = "(SELECT unit, entry, round(avg(v), 6) AS x, round(resolution, 2) AS y FROM feat GROUP BY unit, entry, resolution)"
@@ -152,9 +183,12 @@ def st13(s, d):
     return S.correlate(f, ["unit"], "x", "y").select("unit", "n", *R6("pearson", "spearman"))
 
 
-@query("ST14_balance_check")
+_CONF = "(SELECT unit, state AS s, metric, v FROM (SELECT unit, entry, state, resolution::DOUBLE AS resolution, count(*)::DOUBLE AS n, round(avg(n_instances), 9) AS m FROM prof GROUP BY unit, entry, state, resolution) UNPIVOT (v FOR metric IN (resolution, n, m)))"
+
+
+@query("ST14_balance_check", f"""SELECT unit, count(*) AS n_metrics, count(*) FILTER (p < 0.05) AS n_differ, count(*) FILTER (p < 0.05) = 0 AS balanced FROM {tails.mann_whitney(_CONF, 'unit, metric')} GROUP BY unit""")
 def st14(s, d):
-    e = prof(s, d).groupBy("unit", "entry", "state", "resolution").agg(F.count("*").alias("n"), F.avg("n_instances").alias("m"))
+    e = prof(s, d).groupBy("unit", "entry", "state", "resolution").agg(F.count("*").alias("n"), F.round(F.avg("n_instances"), 9).alias("m"))
     return S.balance_check(e, "unit", "state", ["resolution", "n", "m"])
 
 
@@ -166,18 +200,19 @@ def st15(s, d):
     return S.overlap_band_rerun(rounded(s, d), T, "unit", "state", "v", "resolution").select(*T, "n1", "n2", "u", "status")
 
 
-def _compared(s, d):
-    run = lambda st: rounded(s, d).where(c("state") == st).groupBy(*T).agg(F.round(F.median("v"), 6).alias("eff"), (F.count("*") % 11 / 100).alias("p"))
-    return J.compare_runs(run("APO"), run("HOLO"), T, "eff", "p")
+def two_runs(s, d):
+    """The two-state tests on the medians and on the means of the entries, as two runs to compare."""
+    f = rounded(s, d)
+    return tuple(S.mann_whitney(f, T, "state", v).select(*T, F.round("median_delta", 6).alias("eff"), F.round("p", 9).alias("p")) for v in ("v", "mean_v"))
 
 
-_RUN = f"(SELECT unit, segment, round(median(v), 6) AS eff, count(*) % 11 / 100 AS p FROM {_F} WHERE state = '{{}}' GROUP BY ALL)"
+_RUN = {v: "(SELECT unit, segment, round(median_delta, 6) AS eff, round(p, 9) AS p FROM " + tails.mann_whitney(f"(SELECT unit, segment, state AS s, {v} AS v FROM {_F})") + ")" for v in ("v", "mean_v")}
 
 
-@query("ST16_interpret_sites", f"""WITH g AS (SELECT a.segment, count(*) AS n, count(*) FILTER (a.p < 0.05) AS nb, count(*) FILTER (a.p < 0.05 AND b.p < 0.05 AND sign(a.eff) = sign(b.eff)) AS nk FROM {_RUN.format('APO')} a JOIN {_RUN.format('HOLO')} b USING (unit, segment) GROUP BY a.segment)
+@query("ST16_interpret_sites", f"""WITH g AS (SELECT a.segment, count(*) AS n, count(*) FILTER (a.p < 0.05) AS nb, count(*) FILTER (a.p < 0.05 AND b.p < 0.05 AND sign(a.eff) = sign(b.eff)) AS nk FROM {_RUN['v']} a JOIN {_RUN['mean_v']} b USING (unit, segment) GROUP BY a.segment)
 SELECT segment, n, nb AS n_before, nk AS n_kept, CASE WHEN n < 3 THEN 'INSUFFICIENT' WHEN nb = 0 THEN 'MIXED' WHEN nk / nb >= 0.7 THEN 'SITE_SPECIFIC' WHEN nk = 0 THEN 'CONTEXT_EXPLAINED' ELSE 'MIXED' END AS interpretation FROM g""")
 def st16(s, d):
-    return S.interpret_sites(_compared(s, d), "segment")
+    return S.interpret_sites(J.compare_runs(*two_runs(s, d), T, "eff", "p"), "segment")
 
 
 @query("ST17_sensitivity_swap", f"""SELECT a.segment, round(a.h, 6) AS h_first, round(b.h, 6) AS h_second FROM {_KW.format(v='round(v, 6)')} a JOIN {_KW.format(v='round(mean_of_means, 6)')} b USING (segment)""")

@@ -33,6 +33,7 @@ VIEWS = {
     "feat": """SELECT unit, grp, entry, state, resolution, 'S' || ((position - 1) // 10)::VARCHAR AS segment, median(z) AS v, avg(z) AS mean_v, count(*) AS n FROM prof GROUP BY ALL""",
     "unitseg": """SELECT unit, grp, segment, median(v) AS v, avg(mean_v) AS mean_of_means, avg(v) AS mean_v, count(*) AS n_entries FROM feat GROUP BY ALL""",
     "ivals": """SELECT l_suppkey AS k, (l_partkey % 300 + 1)::BIGINT AS b, (l_partkey % 300 + l_quantity)::BIGINT AS e FROM lineitem""",
+    "lines": """SELECT l_orderkey AS k, (l_partkey % 300 + 1)::BIGINT AS b, (l_partkey % 300 + l_quantity)::BIGINT AS e, l_returnflag AS flag FROM lineitem""",
     "arrs": """SELECT l_orderkey AS k, list_sort(list(l_tax)) AS taxes, list_sort(list(l_discount)) AS discounts, list_sort(list(DISTINCT l_returnflag)) AS flags FROM lineitem GROUP BY 1""",
     "pts": """SELECT vec_id, label, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE * 100 AS z FROM embeddings""",
 }
@@ -111,6 +112,12 @@ def ivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), (start + 1).alias("b"), (start + F.col("l_quantity")).cast("long").alias("e"))
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same intervals by order, with the line's flag: few for each key, so they leave gaps."""
+    start = F.col("l_partkey") % 300
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (start + 1).alias("b"), (start + F.col("l_quantity")).cast("long").alias("e"), F.col("l_returnflag").alias("flag"))
+
+
 def arrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: sorted arrays of taxes and discounts, distinct return flags."""
     line = table(spark, sf_dir, "lineitem")
