@@ -291,8 +291,8 @@ def candidate_feature_sets(support: DataFrame, long: DataFrame, segment: str, un
     """At each level of support: features, and units that have all of them."""
     at = support.withColumn("level", F.explode(F.array(*(F.lit(float(x)) for x in levels)))).where(F.col("support") >= F.col("level"))
     n = at.groupBy("level").agg(_count().alias("n_features"))
-    have = at.select("level", segment).join(long.select(segment, unit).distinct(), segment).groupBy("level", unit).agg(_count().alias("have"))
-    done = have.join(n, "level").groupBy("level").agg(_when(F.col("have") == F.col("n_features")).alias("complete_units"), F.max("n_features").alias("n_features"))
+    have = at.select("level", segment).join(long.select(segment, unit).distinct().hint("merge"), segment).groupBy("level", unit).agg(_count().alias("have"))
+    done = have.join(n.hint("merge"), "level").groupBy("level").agg(_when(F.col("have") == F.col("n_features")).alias("complete_units"), F.max("n_features").alias("n_features"))
     return done
 
 

@@ -162,8 +162,14 @@ def set_overlap(seg_pos: DataFrame, site_pos: DataFrame, unit: str, segment: str
     return size.join(hit, [unit, segment], "left").fillna(0, ["n_overlap"]).withColumn("fraction", F.col("n_overlap") / F.col("n_positions"))
 
 
+#: Bound on the units of ``pair_identity``, as every two of them are compared.
+MOST_UNITS = 5_000
+
+
 def pair_identity(seqs: DataFrame, unit: str, pos: str, symbol: str) -> DataFrame:
-    """Pairs of units: shared positions and the share of equal symbols there. Units are a small domain."""
+    """Pairs of units: shared positions and the share of equal symbols there. The number of units is counted and bounded."""
+    if (n := seqs.select(unit).distinct().count()) > MOST_UNITS:
+        raise ValueError(f"{n} units are too many to be paired, the bound is {MOST_UNITS}")
     a = seqs.select(F.col(unit).alias("u1"), F.col(pos).alias("_p"), F.col(symbol).alias("s1"))
     b = seqs.select(F.col(unit).alias("u2"), F.col(pos).alias("_p"), F.col(symbol).alias("s2"))
     j = a.join(b, "_p").where("u1 < u2")

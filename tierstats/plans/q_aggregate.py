@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tierstats.operators import aggregate as A
 from tierstats.operators import intervals as I
-from tierstats.sources.fixtures import feat, ivals, norm, obs, prof, rec, segment_of, table, unitseg
+from tierstats.sources.fixtures import feat, ivals, lines, norm, obs, prof, rec, segment_of, table, unitseg
 
 from .registry import query
 
@@ -247,10 +247,9 @@ def ag36(s, d):
     return I.union_coverage(ivals(s, d), ["k"], "b", "e", F.lit(400)).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("AG37_short_mapping", """WITH u AS (SELECT k, b // 100 AS axis, count(DISTINCT p) AS len FROM (SELECT k, b, unnest(range(b, e + 1)) AS p FROM ivals WHERE k % 3 = 0 AND b % 20 = 0) GROUP BY ALL) SELECT k, axis, len AS union_length, round(len / 400, 6) AS coverage FROM u WHERE len < 30 OR len / 400 < 0.05""")
+@query("AG37_short_mapping", """WITH u AS (SELECT k, count(DISTINCT p) AS len FROM (SELECT k, unnest(range(b, e + 1)) AS p FROM lines) GROUP BY k) SELECT k, len AS union_length, round(len / 400, 6) AS coverage FROM u WHERE len < 30 OR len / 400 < 0.05""")
 def ag37(s, d):
-    i = ivals(s, d).where("k % 3 = 0 AND b % 20 = 0").withColumn("axis", F.floor(c("b") / 100))
-    return I.short_mapping(i, ["k", "axis"], "b", "e", F.lit(400)).select("k", "axis", "union_length", F.round("coverage", 6).alias("coverage"))
+    return I.short_mapping(lines(s, d), ["k"], "b", "e", F.lit(400)).select("k", "union_length", F.round("coverage", 6).alias("coverage"))
 
 
 @query("AG38_naive_mapping", """SELECT k, sum(e - b + 1)::BIGINT AS summed, round(sum(e - b + 1) / 400, 6) AS coverage, sum(e - b + 1) / 400 > 1 AS double_counted FROM ivals GROUP BY k""")

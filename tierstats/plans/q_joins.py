@@ -1,12 +1,16 @@
 """Queries of the join and source operators."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tierstats.operators import contracts as Q
 from tierstats.operators import joins as J
 from tierstats.sources import tables as T
-from tierstats.sources.fixtures import feat, ivals, obs, prof, pts, rec, segment_of, table, unitseg
+from tierstats.sources.shared import shared_dir
+from tierstats.sources.fixtures import feat, ivals, lines, obs, prof, pts, rec, segment_of, table, unitseg
 
+from .q_stats import _RUN, two_runs
 from .registry import query
 
 c = F.col
@@ -18,6 +22,33 @@ def io2(s, d):
     return T.scan_parquet(s, f"{d}/orders.parquet", ["o_orderkey", "o_totalprice"])
 
 
+def _csv(s, d):
+    """customer as CSV files, with a blank for each name of a customer without credit, written once for each run."""
+    path = f"{shared_dir(s)}/customers-{uuid.uuid4().hex}"
+    t = table(s, d, "customer").select(c("c_custkey").cast("string").alias("id"), F.when(c("c_acctbal") > 0, c("c_name")).alias("name"), "c_acctbal")
+    T.write_table(t, path, "csv")
+    return path
+
+
+_CSV = "id string, name string, c_acctbal double"
+
+
+@query("IO1_scan_csv", """SELECT c_custkey::VARCHAR AS id, CASE WHEN c_acctbal > 0 THEN c_name END AS name, coalesce(CASE WHEN c_acctbal > 0 THEN c_name END, '') AS name_or_blank, c_acctbal FROM customer""")
+def io1(s, d):
+    path = _csv(s, d)
+    blank = T.scan_csv(s, path, _CSV, blank_as_null=False).select("id", c("name").alias("name_or_blank"))
+    return T.scan_csv(s, path, _CSV).join(blank, "id").select("id", "name", "name_or_blank", "c_acctbal")
+
+
+@query("IO5_write_table", """SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders""")
+def io5(s, d):
+    """Two appended batches, partitioned by priority, read back."""
+    path, o = f"{shared_dir(s)}/orders-{uuid.uuid4().hex}", table(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    for batch in (c("o_totalprice") < 100000, c("o_totalprice") >= 100000):
+        T.write_table(o.where(batch), path, mode="append", partition_by=["o_orderpriority"])
+    return s.read.parquet(path)
+
+
 @query("IO3_flatten_batches", """SELECT user_id, max_by(json_extract(props, '$.k')::INT, event_id) AS k FROM events WHERE event_type <> 'error' GROUP BY user_id""")
 def io3(s, d):
     return T.flatten_batches(table(s, d, "events"), "props", "k int", c("event_id"), c("event_type") != "error", "user_id")
@@ -29,9 +60,9 @@ def io4(s, d):
     return T.missing_ids(table(s, d, "part").select(c("p_partkey").alias("id")), got, "id")
 
 
-@query("IO6_fingerprint_table")
+@query("IO6_fingerprint_table", """SELECT count(*) AS n_rows, sum(('0x' || substr(md5(l_orderkey || '|' || l_partkey || '|' || l_returnflag), 1, 7))::BIGINT)::BIGINT AS hash, count(*) - count(l_orderkey) AS null_l_orderkey, count(*) - count(l_partkey) AS null_l_partkey, count(*) - count(l_returnflag) AS null_l_returnflag FROM lineitem""")
 def io6(s, d):
-    return Q.fingerprint_table(table(s, d, "lineitem"), ["l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag"])
+    return Q.fingerprint_table(table(s, d, "lineitem"), ["l_orderkey", "l_partkey", "l_returnflag"], portable=True)
 
 
 def _registry(s, d):
@@ -94,31 +125,34 @@ def jn6(s, d):
     return J.coordinate_map(r, "k")
 
 
-@query("JN7_interval_label_join", """WITH r AS (SELECT k, b, e, CASE WHEN (e - b) % 2 = 0 THEN 'HELIX' ELSE 'SHEET' END AS l FROM ivals WHERE b % 29 = 0) SELECT p.k, p.p, coalesce((SELECT CASE WHEN bool_or(l = 'HELIX') THEN 'HELIX' WHEN bool_or(l = 'SHEET') THEN 'SHEET' END FROM r WHERE r.k = p.k AND p.p BETWEEN r.b AND r.e), 'COIL') AS label FROM (SELECT DISTINCT k, b AS p FROM ivals) p""")
+_NAMED = "(SELECT k, b, e, CASE WHEN e = b THEN 'HELIX' WHEN e - b < 4 THEN 'SHEET' ELSE 'TURN' END AS l FROM ivals)"
+
+
+@query("JN7_interval_label_join", f"""SELECT p.k, p.p, coalesce(['HELIX', 'SHEET', 'TURN'][min(CASE l WHEN 'HELIX' THEN 1 WHEN 'SHEET' THEN 2 WHEN 'TURN' THEN 3 END)], 'COIL') AS label FROM (SELECT DISTINCT k, b AS p FROM ivals) p LEFT JOIN {_NAMED} r ON r.k = p.k AND p.p BETWEEN r.b AND r.e GROUP BY p.k, p.p""")
 def jn7(s, d):
     i = ivals(s, d)
-    r = i.where("b % 29 = 0").withColumn("l", F.when((c("e") - c("b")) % 2 == 0, "HELIX").otherwise("SHEET"))
-    return J.interval_label_join(i.select("k", c("b").alias("p")).distinct(), r, ["k"], "p", "b", "e", "l", ["HELIX", "SHEET"], "COIL")
+    r = i.withColumn("l", F.when(c("e") == c("b"), "HELIX").when(c("e") - c("b") < 4, "SHEET").otherwise("TURN"))
+    return J.interval_label_join(i.select("k", c("b").alias("p")).distinct(), r, ["k"], "p", "b", "e", "l", ["HELIX", "SHEET", "TURN"], "COIL")
 
 
-_COVERED = """(SELECT k, count(*) FILTER (p BETWEEN 60 AND 200) AS overlap, count(*) AS total FROM (SELECT DISTINCT k, unnest(range(b, e + 1)) AS p FROM ivals WHERE b % 7 = 0) GROUP BY k)"""
+_COVERED = """(SELECT k, count(*) FILTER (p BETWEEN 60 AND 200) AS overlap, count(*) AS total FROM (SELECT DISTINCT k, unnest(range(b, e + 1)) AS p FROM lines) GROUP BY k)"""
 
 
 @query("JN8_intersect_reference", f"""SELECT k, overlap, round(overlap / 141, 6) AS coverage, overlap = 141 AS full_span, total - overlap AS outside FROM {_COVERED}""")
 def jn8(s, d):
-    return J.intersect_reference(ivals(s, d).where("b % 7 = 0"), ["k"], "b", "e", 60, 200).select("k", "overlap", *R6("coverage"), "full_span", "outside")
+    return J.intersect_reference(lines(s, d), ["k"], "b", "e", 60, 200).select("k", "overlap", *R6("coverage"), "full_span", "outside")
 
 
-@query("JN9_overlap_fraction", """WITH a AS (SELECT DISTINCT k, unnest(range(b, e + 1)) AS p FROM ivals WHERE b % 11 = 0), z AS (SELECT DISTINCT k, unnest(range(b, e + 1)) AS p FROM ivals WHERE b % 13 = 0), n AS (SELECT k, count(*) AS len_a FROM a GROUP BY k), m AS (SELECT k, count(*) AS len_b FROM z GROUP BY k), o AS (SELECT k, count(*) AS overlap FROM a JOIN z USING (k, p) GROUP BY k)
+@query("JN9_overlap_fraction", """WITH a AS (SELECT DISTINCT k, unnest(range(b, e + 1)) AS p FROM lines WHERE flag = 'N'), z AS (SELECT DISTINCT k, unnest(range(b, e + 1)) AS p FROM lines WHERE flag <> 'N'), n AS (SELECT k, count(*) AS len_a FROM a GROUP BY k), m AS (SELECT k, count(*) AS len_b FROM z GROUP BY k), o AS (SELECT k, count(*) AS overlap FROM a JOIN z USING (k, p) GROUP BY k)
 SELECT k, len_a, len_b, coalesce(overlap, 0) AS overlap, CASE WHEN coalesce(overlap, 0) / least(len_a, len_b) <= 0.05 THEN 'DISJOINT' WHEN coalesce(overlap, 0) / least(len_a, len_b) >= 0.8 THEN 'SAME' ELSE 'AMBIGUOUS' END AS relation FROM n JOIN m USING (k) LEFT JOIN o USING (k)""")
 def jn9(s, d):
-    i = ivals(s, d)
-    return J.overlap_fraction(i.where("b % 11 = 0"), i.where("b % 13 = 0")).drop("fraction")
+    i = lines(s, d)
+    return J.overlap_fraction(i.where("flag = 'N'"), i.where("flag <> 'N'")).drop("fraction")
 
 
-@query("JN10_boundary_sensitivity", """WITH p AS (SELECT DISTINCT k, unnest(range(b, e + 1)) AS p FROM ivals WHERE b % 17 = 0) SELECT k, round(count(*) FILTER (p BETWEEN 50 AND 149) / 100, 6) AS coverage_a, round(count(*) FILTER (p BETWEEN 80 AND 179) / 100, 6) AS coverage_b, (count(*) FILTER (p BETWEEN 50 AND 149) / 100 >= 0.8) <> (count(*) FILTER (p BETWEEN 80 AND 179) / 100 >= 0.8) AS changed FROM p GROUP BY k""")
+@query("JN10_boundary_sensitivity", """WITH p AS (SELECT DISTINCT k, unnest(range(b, e + 1)) AS p FROM lines) SELECT k, round(count(*) FILTER (p BETWEEN 50 AND 149) / 100, 6) AS coverage_a, round(count(*) FILTER (p BETWEEN 80 AND 179) / 100, 6) AS coverage_b, (count(*) FILTER (p BETWEEN 50 AND 149) / 100 >= 0.3) <> (count(*) FILTER (p BETWEEN 80 AND 179) / 100 >= 0.3) AS changed FROM p GROUP BY k""")
 def jn10(s, d):
-    g = J.boundary_sensitivity(ivals(s, d).where("b % 17 = 0"), ["k"], "b", "e", (50, 149), (80, 179), 0.8)
+    g = J.boundary_sensitivity(lines(s, d), ["k"], "b", "e", (50, 149), (80, 179), 0.3)
     return g.select("k", *R6("coverage_a", "coverage_b"), "changed")
 
 
@@ -128,11 +162,11 @@ def jn11(s, d):
     return J.radius_contacts(p, p, "label", "vec_id", "vec_id", 5.0).withColumn("distance", F.round("distance", 6))
 
 
-@query("JN12_nearest_within", """SELECT k, b, (SELECT min({'d': abs(s - b), 's': s}) FROM (SELECT DISTINCT k AS kk, b AS s FROM ivals WHERE e % 5 = 0 AND b % 4 = 0) WHERE kk = i.k AND abs(s - b) <= 3).s AS nearest FROM (SELECT DISTINCT k, b FROM ivals) i""")
+@query("JN12_nearest_within", """SELECT i.k, i.b, min({'d': abs(s - b), 's': s}).s AS nearest FROM (SELECT DISTINCT k, b FROM lines) i LEFT JOIN (SELECT DISTINCT k, e AS s FROM lines WHERE flag = 'R') x ON x.k = i.k AND abs(s - b) <= 30 GROUP BY i.k, i.b""")
 def jn12(s, d):
-    i = ivals(s, d)
-    sites = i.where("e % 5 = 0 AND b % 4 = 0").select("k", c("b").alias("s")).distinct()
-    return J.nearest_within(i.select("k", "b").distinct(), sites, ["k"], "b", "s").select("k", "b", "nearest")
+    i = lines(s, d)
+    sites = i.where("flag = 'R'").select("k", c("e").alias("s")).distinct()
+    return J.nearest_within(i.select("k", "b").distinct(), sites, ["k"], "b", "s", 30).select("k", "b", "nearest")
 
 
 _CALLS = """(SELECT instance, position, CASE WHEN value > 85000 THEN 'H' || position::VARCHAR END AS call FROM obs)"""
@@ -181,13 +215,9 @@ def jn18(s, d):
     return g.select("instance", "position", "category")
 
 
-_RUN = """(SELECT unit, segment, round(median(v), 6) AS eff, n / 100.0 AS p FROM (SELECT unit, segment, v, count(*) OVER (PARTITION BY unit, segment) % 11 AS n FROM feat WHERE state = '{}') GROUP BY ALL)"""
-
-
-@query("JN19_compare_runs", f"""SELECT a.unit, a.segment, sign(a.eff) = sign(b.eff) AS same_direction, CASE WHEN a.p < 0.05 AND b.p < 0.05 THEN 'PRESERVED' WHEN a.p < 0.05 THEN 'LOST' WHEN b.p < 0.05 THEN 'GAINED' ELSE 'NEITHER' END AS significance FROM {_RUN.format('APO')} a JOIN {_RUN.format('HOLO')} b USING (unit, segment)""")
+@query("JN19_compare_runs", f"""SELECT a.unit, a.segment, sign(a.eff) = sign(b.eff) AS same_direction, CASE WHEN a.p < 0.05 AND b.p < 0.05 THEN 'PRESERVED' WHEN a.p < 0.05 THEN 'LOST' WHEN b.p < 0.05 THEN 'GAINED' ELSE 'NEITHER' END AS significance FROM {_RUN['v']} a JOIN {_RUN['mean_v']} b USING (unit, segment)""")
 def jn19(s, d):
-    run = lambda st: feat(s, d).where(c("state") == st).groupBy("unit", "segment").agg(F.round(F.median("v"), 6).alias("eff"), (F.count("*") % 11 / 100).alias("p"))
-    return J.compare_runs(run("APO"), run("HOLO"), ["unit", "segment"], "eff", "p").select("unit", "segment", "same_direction", "significance")
+    return J.compare_runs(*two_runs(s, d), ["unit", "segment"], "eff", "p").select("unit", "segment", "same_direction", "significance")
 
 
 @query("JN20_master_table", """SELECT c_custkey, n, o IS NOT NULL AS has_orders, n IS NOT NULL AS has_profile, o FROM customer LEFT JOIN (SELECT entry, count(*) AS n FROM prof GROUP BY entry) ON entry = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS o FROM orders GROUP BY 1) ON o_custkey = c_custkey""")

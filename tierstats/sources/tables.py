@@ -20,9 +20,9 @@ def scan_parquet(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
     return spark.read.parquet(path).select(*columns)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Parquet or CSV with a header; an existing table is not overwritten."""
-    w = df.write.format(fmt)
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", partition_by: Sequence[str] = ()) -> None:
+    """Parquet or CSV with a header. By default an existing table is an error; mode "append" adds a batch."""
+    w = df.write.format(fmt).mode(mode).partitionBy(*partition_by)
     (w.option("header", True) if fmt == "csv" else w).save(path)
 
 
