@@ -39,10 +39,16 @@ def vocabulary_check(df: DataFrame, col: str, words: Sequence[str]) -> DataFrame
     return df.where(ok.isNull())
 
 
-def fingerprint_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: rows, an order-insensitive hash sum and null counts. Equal content gives equal rows."""
-    h = F.sum(F.pmod(F.xxhash64(*columns), F.lit((1 << 31) - 1)))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(h, F.lit(0)).alias("hash"), *(F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{c}") for c in columns))
+def fingerprint_table(df: DataFrame, columns: Sequence[str], portable: bool = False) -> DataFrame:
+    """One row: rows, an order-insensitive hash sum and null counts. Equal content gives equal rows.
+
+    portable: the hash is of the values as text, by MD5, so that other engines can form it too; slower."""
+    if portable:
+        text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))
+        each = F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+    else:
+        each = F.pmod(F.xxhash64(*columns), F.lit((1 << 31) - 1))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(each), F.lit(0)).alias("hash"), *(F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{c}") for c in columns))
 
 
 def row_conservation(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
