@@ -11,8 +11,10 @@ from .registry import ORACLES, QUERIES
 
 
 def state_comparison(spark: SparkSession, sf_dir: str, unit: str = "unit") -> DataFrame:
-    """In which (unit, segment) do entries of state APO differ from those of state HOLO? With q within unit and over all."""
-    tests = stats.mann_whitney(fixtures.feat(spark, sf_dir), [unit, "segment"], "state", "v")
+    """In which (unit, segment) do entries of state APO differ from those of state HOLO? With q within unit and over all.
+
+    Values are rounded before they are ranked, so that ties are the same in any engine."""
+    tests = stats.mann_whitney(fixtures.feat(spark, sf_dir).withColumn("v", F.round("v", 6)), [unit, "segment"], "state", "v")
     return windows.bh_fdr(windows.bh_fdr(tests, "p", [unit], ["segment"], "q"), "p", [], [unit, "segment"], "q_global")
 
 

@@ -9,6 +9,8 @@ from tierstats.operators import windows as W
 from tierstats.sources import fixtures
 from tierstats.sources.fixtures import prof, pts, rec, segment_of, table, unitseg
 
+from . import tails
+from .q_stats import _draws, _F, _TESTS_P
 from .registry import query
 
 c = F.col
@@ -69,15 +71,34 @@ def _targets(s, d):
     return call_runs(s, d).select("unit", c("state").alias("cls"), "start", "end")
 
 
-@query("CL2_transfer_labels")
+_MAP = "(SELECT n_nationkey AS unit, (n_nationkey + i) % 25 AS template, 3.0::DOUBLE + (n_nationkey * 7 + i * 3) % 10 / 10 AS score, q, q AS t FROM nation, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 51)) AS q))"
+_OFFER = f"(SELECT DISTINCT unit AS template, unnest(range(s, e + 1)) AS t, 'G' || (s // 10)::VARCHAR || cls AS segment, cls FROM {_BLOCKS} WHERE e - s >= 4)"
+_GRID = f"(SELECT unit, state AS cls, s, e, unnest(range(s, e + 1)) AS q FROM {_CRUNS})"
+
+
+def _placed(usable: float = 3.5) -> str:
+    return f"""(WITH hit AS (SELECT * FROM {_MAP} JOIN {_OFFER} USING (template, t) WHERE score >= {usable}), offer AS (SELECT unit, segment, cls, template, max(score) AS score, count(*) AS aligned FROM hit GROUP BY ALL),
+ best AS (SELECT * FROM offer QUALIFY row_number() OVER (PARTITION BY unit, segment ORDER BY score DESC, aligned DESC, template) = 1), pos AS (SELECT unit, segment, template, best.cls, q FROM hit JOIN best USING (unit, segment, template)),
+ cnt AS (SELECT unit, segment, count(*) AS n FROM pos GROUP BY ALL), over AS (SELECT unit, segment, template, s, e, count(*) AS overlap FROM pos JOIN {_GRID} USING (unit, cls, q) GROUP BY ALL),
+ top AS (SELECT * FROM over QUALIFY row_number() OVER (PARTITION BY unit, segment ORDER BY overlap DESC, s) = 1)
+ SELECT unit, segment, template, s AS "start", e AS "end", overlap, n, CASE WHEN overlap / n >= 0.5 THEN 'HIGH' WHEN overlap / n >= 0.3 THEN 'MODERATE' ELSE 'LOW' END AS confidence FROM top JOIN cnt USING (unit, segment))"""
+
+
+_CORE = "['G0HELIX', 'G1HELIX', 'G2HELIX', 'G3HELIX', 'G4HELIX', 'G0SHEET', 'G1SHEET', 'G2SHEET', 'G3SHEET', 'G4SHEET']"
+
+
+@query("CL2_transfer_labels", f"SELECT * FROM {_placed()}")
 def cl2(s, d):
     return L.transfer_labels(_corr(s, d), _template_labels(s, d), _targets(s, d))
 
 
-@query("CL3_rescue_labels")
+@query("CL3_rescue_labels", f"""WITH gap AS (SELECT unit, segment FROM (SELECT DISTINCT unit FROM {_MAP}), (SELECT unnest({_CORE}) AS segment) WHERE (unit, segment) NOT IN (SELECT (unit, segment) FROM {_placed(3.8)})),
+ord AS (SELECT unit, template, row_number() OVER (PARTITION BY unit ORDER BY max(score) DESC, template) AS rank FROM {_MAP} GROUP BY unit, template QUALIFY rank <= 10), hit AS (SELECT unit, segment, template, rank, cls, q FROM {_MAP} JOIN {_OFFER} USING (template, t) JOIN gap USING (unit, segment) JOIN ord USING (unit, template)),
+size AS (SELECT unit, segment, template, count(*) AS len FROM hit GROUP BY ALL), over AS (SELECT unit, segment, template, rank, s, e, count(*) AS overlap FROM hit JOIN {_GRID} USING (unit, cls, q) GROUP BY ALL)
+SELECT unit, segment, template, s AS "start", e AS "end", overlap FROM over JOIN size USING (unit, segment, template) WHERE overlap >= greatest(3, 0.3 * len) QUALIFY row_number() OVER (PARTITION BY unit, segment ORDER BY rank, overlap DESC, s) = 1""")
 def cl3(s, d):
     placed = L.transfer_labels(_corr(s, d), _template_labels(s, d), _targets(s, d), usable=3.8)
-    return L.rescue_labels(placed, ["G0HELIX", "G1HELIX", "G2HELIX", "G3HELIX"], _corr(s, d), _template_labels(s, d), _targets(s, d))
+    return L.rescue_labels(placed, [f"G{i}{k}" for k in ("HELIX", "SHEET") for i in range(5)], _corr(s, d), _template_labels(s, d), _targets(s, d))
 
 
 @query("CL4_template_from_landmarks")
@@ -90,7 +111,13 @@ def cl4(s, d):
     return L.template_from_landmarks(r, marks, "unit", "candidate")
 
 
-@query("CL5_enforce_order")
+_RANKED = f"(SELECT *, row_number() OVER (PARTITION BY unit ORDER BY CASE confidence WHEN 'HIGH' THEN 0 WHEN 'MODERATE' THEN 1 WHEN 'LOW' THEN 2 END, o) AS i FROM (SELECT unit, segment, \"start\" AS st, confidence, 3 * substr(segment, 2, 1)::INT + CASE substr(segment, 3) WHEN 'HELIX' THEN 0 WHEN 'SHEET' THEN 1 ELSE 2 END AS o FROM {_placed()}))"
+_FITS = "len(list_filter(range(1, len(po) + 1), lambda j: (o - po[j]) * (st - pq[j]) <= 0)) = 0"
+
+
+@query("CL5_enforce_order", f"""SELECT * FROM (WITH RECURSIVE b AS MATERIALIZED {_RANKED}, k(unit, i, po, pq, kept) AS (SELECT unit, 0::BIGINT, []::BIGINT[], []::BIGINT[], false FROM (SELECT DISTINCT unit FROM b) UNION ALL
+SELECT b.unit, b.i, CASE WHEN {_FITS} THEN list_append(po, o) ELSE po END, CASE WHEN {_FITS} THEN list_append(pq, st) ELSE pq END, {_FITS} FROM k JOIN b ON b.unit = k.unit AND b.i = k.i + 1)
+SELECT b.unit, segment, st AS "start", confidence, kept FROM b JOIN k ON k.unit = b.unit AND k.i = b.i)""")
 def cl5(s, d):
     got = L.transfer_labels(_corr(s, d), _template_labels(s, d), _targets(s, d))
     return L.enforce_order(got, [f"G{i}{k}" for i in range(6) for k in ("HELIX", "SHEET", "COIL")])
@@ -103,10 +130,11 @@ def cl6(s, d):
     return L.segment_map(bounds(s, d), blocks(s, d)).select("unit", "position", "name")
 
 
-@query("CL7_missing_segment_audit")
+@query("CL7_missing_segment_audit", f"""SELECT unit, segment, CASE WHEN unit NOT IN (SELECT unit FROM {_CRUNS} WHERE state = 'HELIX') THEN 'A_NO_EVIDENCE' WHEN segment NOT IN (SELECT segment FROM {_OFFER}) THEN 'D_NO_TEMPLATE' ELSE 'C_ALIGNMENT_FAILED' END AS cause
+FROM (SELECT n_nationkey AS unit FROM nation), (SELECT unnest(list_append({_CORE}, 'G9HELIX')) AS segment) WHERE (unit, segment) NOT IN (SELECT (unit, segment) FROM {_placed()})""")
 def cl7(s, d):
     placed = L.transfer_labels(_corr(s, d), _template_labels(s, d), _targets(s, d))
-    return L.missing_segment_audit(bounds(s, d), ["G0HELIX", "G1HELIX", "G2HELIX", "G9HELIX"], placed, _template_labels(s, d), call_runs(s, d).where("state = 'HELIX'"))
+    return L.missing_segment_audit(bounds(s, d), [*(f"G{i}{k}" for k in ("HELIX", "SHEET") for i in range(5)), "G9HELIX"], placed, _template_labels(s, d), call_runs(s, d).where("state = 'HELIX'"))
 
 
 @query("CL8_segment_validation", f"""SELECT b.unit, segment, s AS "start", e AS "end", e - s + 1 AS length, count(k.state) AS n_called, round(avg((coalesce(k.state, '') = cls)::INT), 6) AS agreement FROM {_BLOCKS} b JOIN {_CALLS} k ON k.unit = b.unit AND k.position BETWEEN s AND e GROUP BY ALL""")
@@ -134,10 +162,20 @@ def cl10(s, d):
     return g.select("unit", "entry", "site", "n_site", "n_background", *((F.round(x, 6) + 0.0).alias(x) for x in ("site_median", "site_mean", "delta", "coverage")))
 
 
-@query("CL11_unit_site_summary", f"""SELECT unit, site, count(*) AS n_entries, round(median(sm - bm), 6) AS median_delta, round(quantile_cont(sm - bm, 0.75) - quantile_cont(sm - bm, 0.25), 6) AS iqr, round(avg(n_site / size), 6) AS coverage FROM {_SCORES} GROUP BY unit, site""")
+_O = "(SELECT unit, site, d AS v, row_number() OVER (PARTITION BY unit, site ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY unit, site) AS n FROM s)"
+_S = f"s AS MATERIALIZED (SELECT *, round(sm - bm, 9) AS d FROM {_SCORES})"
+
+
+@query("CL11_unit_site_summary", f"""WITH {_S}, o AS MATERIALIZED {_O}, m AS (SELECT unit, site, b, median(v) AS m FROM {_draws('o', 'unit, site', 1)} GROUP BY ALL), ci AS (SELECT unit, site, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY ALL)
+SELECT unit, site, count(*) AS n_entries, round(median(d), 6) AS median_delta, round(quantile_cont(d, 0.75) - quantile_cont(d, 0.25), 6) AS iqr, round(avg(n_site / size), 6) AS coverage, round(any_value(lo), 6) AS ci_low, round(any_value(hi), 6) AS ci_high FROM s JOIN ci USING (unit, site) GROUP BY unit, site""")
 def cl11(s, d):
-    g = L.unit_site_summary(L.entry_site_scores(prof(s, d), sites(s, d)), 200)
-    return g.select("unit", "site", "n_entries", *(F.round(x, 6).alias(x) for x in ("median_delta", "iqr", "coverage")))
+    g = L.unit_site_summary(scores(s, d))
+    return g.select("unit", "site", "n_entries", *(F.round(x, 6).alias(x) for x in ("median_delta", "iqr", "coverage", "ci_low", "ci_high")))
+
+
+def scores(s, d):
+    """Deltas are rounded before they are ranked, so that ties are the same in any engine."""
+    return L.entry_site_scores(prof(s, d), sites(s, d)).withColumn("delta", F.round("delta", 9))
 
 
 def segmap(s, d):
@@ -162,29 +200,44 @@ def cl13(s, d):
     return g.select("unit", "entry", "site", "n_site", "n_background", F.round("delta", 6).alias("delta"))
 
 
-@query("CL14_confirmatory_reanalysis")
+_CONFIRM = f"(SELECT site, round(median(round(sm - bm, 9)), 9) AS d FROM {_SCORES} WHERE unit % 5 <> 0 GROUP BY unit, site)"
+
+
+@query("CL14_confirmatory_reanalysis", f"""SELECT site, n_pairs, n, w_plus, round(rank_biserial, 6) AS rank_biserial, round(p, 6) AS p, round(q, 6) AS q, 'TESTED' AS status FROM {tails.with_q("(SELECT * FROM " + tails.signed_rank(_CONFIRM, 'site') + " WHERE n_pairs >= 3)", '', 'site')}""")
 def cl14(s, d):
-    summed = L.unit_site_summary(L.entry_site_scores(prof(s, d), sites(s, d)), 100)
-    return L.confirmatory_reanalysis(summed, sites(s, d).where("unit % 5 <> 0"))
+    summed = L.unit_site_summary(scores(s, d)).withColumn("median_delta", F.round("median_delta", 9))
+    g = L.confirmatory_reanalysis(summed, sites(s, d).where("unit % 5 <> 0"))
+    return g.select("site", "n_pairs", "n", "w_plus", *(F.round(x, 6).alias(x) for x in ("rank_biserial", "p", "q")), "status")
 
 
-@query("CL15_atlas", """SELECT segment, count(*) AS n, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(avg((v > 0)::INT), 6) AS share_up, round(avg((v < 0)::INT), 6) AS share_down, rank() OVER (ORDER BY median(v) DESC) AS rank FROM unitseg GROUP BY segment""")
+@query("CL15_atlas", f"""WITH u AS MATERIALIZED (SELECT segment, round(v, 9) AS v FROM unitseg), o AS MATERIALIZED (SELECT segment, v, row_number() OVER (PARTITION BY segment ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY segment) AS n FROM u), m AS (SELECT segment, b, median(v) AS m FROM {_draws('o', 'segment', 1)} GROUP BY ALL), ci AS (SELECT segment, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY segment)
+SELECT segment, count(*) AS n, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(any_value(lo), 6) AS ci_low, round(any_value(hi), 6) AS ci_high, round(avg((v > 0)::INT), 6) AS share_up, round(avg((v < 0)::INT), 6) AS share_down, rank() OVER (ORDER BY median(v) DESC) AS rank FROM u JOIN ci USING (segment) GROUP BY segment""")
 def cl15(s, d):
-    g = L.atlas(unitseg(s, d), 500)
-    return g.select("segment", "n", *(F.round(x, 6).alias(x) for x in ("median", "mean", "share_up", "share_down")), "rank")
+    g = L.atlas(unitseg(s, d).withColumn("v", F.round("v", 9)))
+    return g.select("segment", "n", *(F.round(x, 6).alias(x) for x in ("median", "mean", "ci_low", "ci_high", "share_up", "share_down")), "rank")
+
+
+_SCHEME = """(SELECT '{name}' AS scheme, segment, k, n, h, h / (n - 1) AS epsilon2, CASE k WHEN 2 THEN NULL WHEN 3 THEN exp(-h / 2) WHEN 5 THEN exp(-h / 2) * (1 + h / 2) END AS p FROM (
+ WITH f AS (SELECT segment, {group} AS g, round(v, 6) AS v FROM unitseg), b AS (SELECT * FROM f QUALIFY count(*) OVER (PARTITION BY segment, g) >= 3),
+ r AS (SELECT *, rank() OVER (PARTITION BY segment ORDER BY v) + (count(*) OVER (PARTITION BY segment, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY segment, v) AS t FROM b),
+ s AS (SELECT segment, g, count(*) AS n, sum(r) AS rs, sum(t * t - 1) AS ties FROM r GROUP BY ALL), k AS (SELECT segment, count(*) AS k, sum(n) AS n, sum(rs * rs / n) AS q, sum(ties) AS ties FROM s GROUP BY segment)
+ SELECT segment, k, n::BIGINT AS n, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)) AS h FROM k WHERE k >= 2))"""
+_SCHEMES = "(SELECT * FROM " + _SCHEME.format(name="region", group="grp") + " UNION ALL SELECT * FROM " + _SCHEME.format(name="thirds", group="unit % 3") + ")"
 
 
-@query("CL16_omnibus")
+@query("CL16_omnibus", f"""SELECT scheme, segment, k, n, round(h, 6) AS h, round(epsilon2, 6) AS epsilon2, round(p, 6) AS p, round(q, 6) AS q, 'TESTED' AS status FROM {tails.with_q(_SCHEMES, 'scheme', 'segment')}""")
 def cl16(s, d):
-    u = unitseg(s, d).withColumn("parity", c("unit") % 3)
-    return L.omnibus(u, {"region": "grp", "thirds": "parity"}, "segment", "v")
+    # five regions and three thirds: an even number of degrees of freedom, whose tail SQL can say
+    u = unitseg(s, d).withColumns({"v": F.round("v", 6), "parity": c("unit") % 3})
+    g = L.omnibus(u, {"region": "grp", "thirds": "parity"}, "segment", "v")
+    return g.select("scheme", "segment", "k", "n", *(F.round(x, 6).alias(x) for x in ("h", "epsilon2", "p", "q")), "status")
 
 
-@query("CL17_state_comparison")
+@query("CL17_state_comparison", f"""SELECT unit, segment, n1, n2, u, round(delta, 6) AS delta, round(median_delta, 8) AS median_delta, tier, round(p, 6) AS p, round(q, 6) AS q, round(q_global, 6) AS q_global FROM {tails.with_q(tails.with_q(_TESTS_P, 'unit', 'segment'), '', 'unit, segment', 'q_global')}""")
 def cl17(s, d):
     from .catalogue import state_comparison
 
-    return state_comparison(s, d)
+    return state_comparison(s, d).select("unit", "segment", "n1", "n2", "u", *(F.round(x, 6).alias(x) for x in ("delta", "p", "q", "q_global")), F.round("median_delta", 8).alias("median_delta"), "tier")
 
 
 @query("CL18_curated_site_scores", f"""WITH e AS (SELECT unit, entry, position, median(z) AS z FROM norm WHERE z IS NOT NULL GROUP BY ALL), x AS (SELECT * FROM {_SITES} WHERE site = 'GROOVE'), f AS (SELECT unit, entry, site, avg(z) AS m FROM e JOIN x USING (unit, position) GROUP BY ALL HAVING count(*) = 3)
@@ -218,17 +271,18 @@ def cl21(s, d):
     return L.flags_low_quality(p).select("p_partkey", "low_confidence", "low_coverage", "segment_only")
 
 
-@query("ST14b_site_effects")
+_SITE_D = f"(SELECT unit, site, round(round(sm, 9) - round(bm, 9), 9) AS d FROM {_SCORES})"
+
+
+@query("ST14b_site_effects", f"""SELECT unit, site, n, w_plus, round(p, 6) AS p FROM {tails.signed_rank(_SITE_D, 'unit, site')} WHERE n_pairs >= 5""")
 def st14b(s, d):
     """Site deltas of each unit tested against its matched background, paired by entry."""
-    g = L.entry_site_scores(prof(s, d), sites(s, d))
-    return S.wilcoxon_paired(g, ["unit", "site"], "site_median", "background_median").select("unit", "site", "n", "w_plus", "p")
+    g = L.entry_site_scores(prof(s, d), sites(s, d)).select("unit", "site", F.round(F.round("site_median", 9) - F.round("background_median", 9), 9).alias("a"), F.lit(0.0).alias("b"))
+    return S.wilcoxon_paired(g, ["unit", "site"], "a", "b").select("unit", "site", "n", "w_plus", F.round("p", 6).alias("p"))
 
 
-@query("AG30b_state_effects")
+@query("AG30b_state_effects", f"""SELECT unit, count(*) AS n_tested, arg_min(segment, median_delta) AS lowest, arg_max(segment, median_delta) AS highest FROM {_TESTS_P} GROUP BY unit""")
 def ag30b(s, d):
     from .catalogue import state_comparison
 
     return A.effect_summary(state_comparison(s, d), "unit", "segment", "median_delta").select("unit", "n_tested", "lowest", "highest")
-
-
