@@ -12,11 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tierstats.sources.shared import staged
+
 from .graph import connected_components
 from .joins import radius_contacts
 from .windows import avg_rank
 
 LONG = ["id", "feature", "value"]
+#: Bound on the rows of a matrix whose rows are paired: their pairs are its square. It is counted, and exceeding it is an error.
+MOST_PAIRED = 20_000
+
+
+def few_enough(rows: DataFrame, what: str = "rows", most: int = MOST_PAIRED) -> DataFrame:
+    """``rows``, if there are no more than ``most`` of them."""
+    if (n := rows.count()) > most:
+        raise ValueError(f"{n} {what} are too many to be paired, the bound is {most}")
+    return rows
 
 
 def grid(long: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -38,8 +49,9 @@ def pair_distances(long: DataFrame, scale_missing: bool = False) -> DataFrame:
 
     scale_missing: squared distances are scaled up by features / common features."""
     n = long.select("feature").distinct().count()
+    few_enough(long.select("id").distinct())
     a, b = long.select(F.col("id").alias("a"), "feature", F.col("value").alias("_x")), long.select(F.col("id").alias("b"), "feature", F.col("value").alias("_y"))
-    g = a.join(b, "feature").where("a <> b").groupBy("a", "b").agg(F.sum((F.col("_x") - F.col("_y")) ** 2).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    g = a.join(b.hint("merge"), "feature").where("a <> b").groupBy("a", "b").agg(F.sum((F.col("_x") - F.col("_y")) ** 2).alias("_s"), F.count(F.lit(1)).alias("_n"))
     return g.select("a", "b", F.sqrt(F.col("_s") * (F.lit(float(n)) / F.col("_n")) if scale_missing else F.col("_s")).alias("d"))
 
 
@@ -106,8 +118,7 @@ def _labels(model, v: DataFrame, k: int, method: str) -> DataFrame:
 def kmeans(v: DataFrame, ks: Sequence[int], seed: int = 42) -> DataFrame:
     from pyspark.ml.clustering import KMeans
 
-    out = [_labels(KMeans(k=k, seed=seed).fit(v), v, k, "kmeans") for k in ks]
-    return _union(out)
+    return _union([_labels(KMeans(k=k, seed=seed).fit(v), v, k, "kmeans") for k in ks])
 
 
 def gmm(v: DataFrame, ks: Sequence[int], seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -157,10 +168,10 @@ def dbscan(points: DataFrame, group: str, point_id: str, eps: float, least: int)
     near = radius_contacts(points, points, group, point_id, point_id, eps)
     n = near.groupBy(group, "probe").agg(F.count(F.lit(1)).alias("n"))
     core = n.where(F.col("n") >= least).select(group, F.col("probe").alias("core"))
-    links = near.join(core.withColumnRenamed("core", "probe"), [group, "probe"]).join(core.withColumnRenamed("core", "point"), [group, "point"])
+    links = near.join(core.withColumnRenamed("core", "probe").hint("merge"), [group, "probe"]).join(core.withColumnRenamed("core", "point").hint("merge"), [group, "point"])
     roots = connected_components(links.where("probe < point").select(F.col("probe").alias("a"), F.col("point").alias("b")))
-    named = core.join(roots, F.col("core") == F.col("node"), "left").select(group, "core", F.coalesce("root", "core").alias("root"))
-    border = near.join(named.withColumnRenamed("core", "point"), [group, "point"]).groupBy(group, "probe").agg(F.min(F.struct(F.col("point"), F.col("root")))["root"].alias("_b"))
+    named = core.join(roots.hint("merge"), F.col("core") == F.col("node"), "left").select(group, "core", F.coalesce("root", "core").alias("root"))
+    border = near.join(named.withColumnRenamed("core", "point").hint("merge"), [group, "point"]).groupBy(group, "probe").agg(F.min(F.struct(F.col("point"), F.col("root")))["root"].alias("_b"))
     out = points.select(group, F.col(point_id).alias("probe")).join(named.withColumnRenamed("core", "probe"), [group, "probe"], "left").join(border, [group, "probe"], "left")
     return out.select(group, F.col("probe").alias("point"), F.col("root").isNotNull().alias("is_core"), F.coalesce("root", "_b").alias("cluster"))
 
@@ -169,7 +180,7 @@ def silhouette(distances: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: mean Euclidean silhouette from pairwise distances; a row alone in its cluster counts 0."""
     a = labels.select(F.col("id").alias("a"), F.col("cluster").alias("ca"))
     b = labels.select(F.col("id").alias("b"), F.col("cluster").alias("cb"))
-    m = distances.join(a, "a").join(b, "b").groupBy("a", "ca", "cb").agg(F.avg("d").alias("m"))
+    m = distances.join(a.hint("merge"), "a").join(b.hint("merge"), "b").groupBy("a", "ca", "cb").agg(F.avg("d").alias("m"))
     g = m.groupBy("a").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("m"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("m"))).alias("other"))
     return g.agg(F.avg(F.when(F.col("own").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))).alias("silhouette"))
 
@@ -192,46 +203,87 @@ def cluster_indices(long: DataFrame, labels: DataFrame) -> DataFrame:
     return db.join(F.broadcast(ch))  # one row each
 
 
-def within_dispersion(distances: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: the sum over clusters of plain pairwise distances over twice the cluster's size."""
-    a, b = labels.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), labels.select(F.col("id").alias("b"), F.col("cluster").alias("cb"))
-    size = labels.groupBy(F.col("cluster").alias("ca")).agg(F.count(F.lit(1)).alias("n"))
-    g = distances.join(a, "a").join(b, "b").where("ca = cb").groupBy("ca").agg(F.sum("d").alias("s")).join(size, "ca")
-    return g.agg(F.coalesce(F.sum(F.col("s") / (2 * F.col("n"))), F.lit(0.0)).alias("w"))
+def _squared(x: str, y: str) -> str:
+    """SQL of the squared distance of two arrays."""
+    return f"aggregate(zip_with({x}, {y}, (p, q) -> (p - q) * (p - q)), 0D, (t, e) -> t + e)"
+
+
+def grouped_kmeans(points: DataFrame, ks: Sequence[int], seed: int = 42, restarts: int = 3, rounds: int = 20) -> DataFrame:
+    """points (ref, id, x array) -> (ref, id, x, k, cluster): Lloyd's k-means of each ref and k side by side, the best of
+    ``restarts`` starts. Each round is one pass over the points and one aggregate; what is broadcast are the centres,
+    refs x restarts x the sum of ks of them. Rounds end when no assignment cost changes."""
+    spark, dims = points.sparkSession, range(len(points.first()["x"]))
+    points = staged(points.select("ref", "id", "x"), "kmeans-points")
+    tries = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("try")) for k in ks for t in range(restarts)))
+    each = points.select("ref", "id", "x", F.explode(tries).alias("t")).select("ref", "id", "x", "t.*")
+    order = F.row_number().over(W.partitionBy("ref", "k", "try").orderBy(F.xxhash64(F.lit(seed), "ref", "k", "try", "id"), "id"))
+    centres = staged(each.withColumn("cluster", order).where("cluster <= k").select("ref", "k", "try", "cluster", "x"), "kmeans-centres")
+    cost, last = None, None
+    for _ in range(rounds):
+        by_try = centres.groupBy("ref", "k", "try").agg(F.collect_list(F.struct("cluster", "x")).alias("c"))
+        by_ref = by_try.groupBy("ref").agg(F.collect_list(F.struct("k", "try", "c")).alias("tries"))
+        near = F.expr(f"array_min(transform(t.c, o -> struct({_squared('o.x', 'x')} AS d, o.cluster AS cluster)))")
+        at = points.join(F.broadcast(by_ref), "ref").select("ref", "id", "x", F.explode("tries").alias("t")).select("ref", "id", "x", "t.k", "t.try", near.alias("n")).select("ref", "id", "x", "k", "try", "n.d", "n.cluster")
+        means = F.array(*(F.avg(F.col("x")[i]) for i in dims))
+        moved = staged(at.groupBy("ref", "k", "try", "cluster").agg(means.alias("x"), F.sum("d").alias("d")), "kmeans-centres")
+        now = round(moved.agg(F.sum("d")).first()[0], 9)
+        last, cost, centres, settled = at, now, moved.select("ref", "k", "try", "cluster", "x"), now == cost
+        if settled:
+            break
+    best = moved.groupBy("ref", "k", "try").agg(F.sum("d").alias("d")).groupBy("ref", "k").agg(F.min_by("try", F.struct("d", "try")).alias("try"))
+    return last.join(F.broadcast(staged(best, "kmeans-best")), ["ref", "k", "try"]).select("ref", "id", "x", "k", "cluster")
 
 
 def gap_statistic(long: DataFrame, features: Sequence[str], ks: Sequence[int], references: int = 20, seed: int = 42) -> DataFrame:
-    """(k, gap, s): log dispersion against uniform references in the bounding box."""
-    from math import log, sqrt
-
-    from pyspark.ml.functions import vector_to_array
-
-    spark, rows = long.sparkSession, []
-    v = vectors(long, features).cache()
-    box = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    spans = {r["feature"]: (r["lo"], r["hi"]) for r in box.collect()}  # one row a feature
-
-    def dispersion(vec: DataFrame) -> dict[int, float]:
-        flat = vec.select("id", F.posexplode(vector_to_array("features")).alias("feature", "value"))
-        d = pair_distances(flat).cache()
-        out = {k: log(max(1e-300, within_dispersion(d, kmeans(vec, [k], seed)).first()["w"])) for k in ks}
-        d.unpersist()
-        return out
-
-    own, refs = dispersion(v), []
-    for r in range(references):
-        cols = [(F.rand(seed + r * 101 + i) * (spans[f][1] - spans[f][0]) + spans[f][0]) for i, f in enumerate(features)]
-        from pyspark.ml.functions import array_to_vector
-
-        u = v.select("id", array_to_vector(F.array(*cols)).alias("features")).cache()
-        refs.append(dispersion(u))
-        u.unpersist()
-    for k in ks:
-        x = [r[k] for r in refs]
-        mean = sum(x) / len(x)
-        rows.append((k, mean - own[k], sqrt(sum((y - mean) ** 2 for y in x) / len(x)) * sqrt(1 + 1 / len(x))))
-    v.unpersist()
-    return spark.createDataFrame(rows, "k int, gap double, s double")
+    """(k, gap, s, chosen): log dispersion against uniform references in the bounding box; chosen is the smallest k whose gap is
+    at least the next one's less its s. All references and ks are clustered side by side; within clusters rows are paired."""
+    cell = lambda f: F.max(F.when(F.col("feature") == f, F.col("value")))
+    own = long.groupBy("id").agg(F.array(*(cell(f) for f in features)).alias("x")).where(F.forall("x", F.isnotnull))
+    few_enough(own)
+    lo, hi = (F.array(*(agg(F.col("x")[i]) for i in range(len(features)))) for agg in (F.min, F.max))
+    box = own.agg(lo.alias("lo"), hi.alias("hi"))  # one row
+    unit = lambda i: F.pmod(F.xxhash64(F.lit(seed), "ref", "id", F.lit(i)), F.lit((1 << 31) - 1)) / float((1 << 31) - 1)
+    drawn = own.select("id", F.explode(F.sequence(F.lit(1), F.lit(references))).alias("ref")).join(F.broadcast(box))
+    drawn = drawn.select("ref", "id", F.array(*(F.col("lo")[i] + (F.col("hi")[i] - F.col("lo")[i]) * unit(i) for i in range(len(features)))).alias("x"))
+    labels = staged(grouped_kmeans(own.select(F.lit(0).alias("ref"), "id", "x").unionByName(drawn), ks, seed), "gap-labels")
+    size = labels.groupBy("ref", "k", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    other = labels.select("ref", "k", "cluster", F.col("id").alias("b"), F.col("x").alias("y"))
+    apart = labels.join(other.hint("merge"), ["ref", "k", "cluster"]).where("id < b").groupBy("ref", "k", "cluster").agg(F.sum(F.sqrt(F.expr(_squared("x", "y")))).alias("s"))
+    w = size.join(apart, ["ref", "k", "cluster"], "left").groupBy("ref", "k").agg(F.sum(F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("w"))
+    logs = w.withColumn("l", F.log(F.greatest("w", F.lit(1e-300))))
+    g = logs.groupBy("k").agg(F.avg(F.when(F.col("ref") > 0, F.col("l"))).alias("m"), F.stddev_pop(F.when(F.col("ref") > 0, F.col("l"))).alias("sd"), F.max(F.when(F.col("ref") == 0, F.col("l"))).alias("own"))
+    g = g.select("k", (F.col("m") - F.col("own")).alias("gap"), (F.col("sd") * (1 + 1 / references) ** 0.5).alias("s"))
+    one = W.partitionBy(F.lit(0))  # one row a k
+    good = F.col("gap") >= F.lead(F.col("gap") - F.col("s")).over(one.orderBy("k"))
+    return g.withColumn("good", good).withColumn("chosen", F.col("good") & (F.col("k") == F.min(F.when(F.col("good"), F.col("k"))).over(one))).select("k", "gap", "s", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+def dbscan_grid(points: DataFrame, group: str, point_id: str, percents: Sequence[int] = (10, 20, 30, 40, 50, 60, 70), leasts: Sequence[int] = (2, 3, 4, 5)) -> DataFrame:
+    """(eps_percent, eps, min_samples, n_clusters, n_core, noise_share) of density clusters for every setting: eps is a percentile
+    of the distances inside the groups. Points are paired within a group (long ids under 2^40); all settings are worked
+    at once, as one graph whose nodes are points of a setting."""
+    few_enough(points, "points")
+    a = points.select(group, F.col(point_id).cast("long").alias("a"), "x", "y", "z")
+    b = a.select(group, F.col("a").alias("b"), *(F.col(c).alias(f"_{c}") for c in "xyz"))
+    d = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    pairs = staged(a.join(b.hint("merge"), group).where("a < b").select("a", "b", d.alias("d")), "dbscan-pairs")
+    eps = pairs.agg(F.percentile("d", F.array(*(F.lit(p / 100) for p in percents))).alias("e")).select(F.posexplode("e").alias("i", "eps"))
+    eps = staged(eps.select(F.element_at(F.array(*map(F.lit, percents)), F.col("i") + 1).alias("pct"), "eps"), "dbscan-eps")  # one row a percentile
+    near = pairs.join(F.broadcast(eps)).where("d <= eps").select("pct", "a", "b")
+    near = staged(near.unionByName(near.select("pct", F.col("b").alias("a"), F.col("a").alias("b"))), "dbscan-near")
+    n = near.groupBy("pct", "a").agg((F.count(F.lit(1)) + 1).alias("n"))
+    least = F.explode(F.array(*map(F.lit, leasts))).alias("least")
+    core = staged(n.select("pct", "a", "n", least).where("n >= least").select("pct", "least", "a"), "dbscan-core")
+    from_core = near.join(core.hint("merge"), ["pct", "a"])
+    links = from_core.join(core.select("pct", "least", F.col("a").alias("b")).hint("merge"), ["pct", "least", "b"])
+    node = lambda c: (F.col("pct") * 1000 + F.col("least")) * (1 << 40) + F.col(c)
+    roots = connected_components(links.where("a < b").select(node("a").alias("a"), node("b").alias("b")))
+    named = core.withColumn("node", node("a")).join(roots.hint("merge"), "node", "left").groupBy("pct", "least").agg(F.count_distinct(F.coalesce("root", "node")).alias("n_clusters"), F.count(F.lit(1)).alias("n_core"))
+    held = from_core.select("pct", "least", F.col("b").alias("a")).unionByName(core).distinct().groupBy("pct", "least").agg(F.count(F.lit(1)).alias("n_held"))
+    total = points.count()
+    settings = eps.select("pct", "eps", least)
+    out = settings.join(named, ["pct", "least"], "left").join(held, ["pct", "least"], "left").fillna(0, ["n_clusters", "n_core", "n_held"])
+    return out.select(F.col("pct").alias("eps_percent"), "eps", F.col("least").alias("min_samples"), "n_clusters", "n_core", (1 - F.col("n_held") / total).alias("noise_share"))
 
 
 def rand_indices(a: DataFrame, b: DataFrame) -> DataFrame:

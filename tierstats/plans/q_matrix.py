@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tierstats.operators import matrix as M
 from tierstats.sources.fixtures import feat, pts, table, unitseg
+from tierstats.sources.shared import staged
 
 from .registry import query
 
@@ -62,37 +63,64 @@ def ml5(s, d):
 
 
 def _v(s, d):
-    return M.vectors(M.standardise(units(s, d)), NAMES).cache()
+    """Written once: each k is a fit of its own."""
+    v = M.vectors(M.standardise(units(s, d)), NAMES)
+    return staged(v, "unit-vectors")
+
+
+def _ks(s, d):
+    """k from 2 to 10, or to one less than there are units."""
+    return list(range(2, 1 + min(10, units(s, d).select("id").distinct().count() - 1)))
 
 
 @query("ML6_kmeans")
 def ml6(s, d):
-    return M.kmeans(_v(s, d), [2, 3, 4])
+    return M.kmeans(_v(s, d), _ks(s, d))
 
 
 @query("ML7_gmm")
 def ml7(s, d):
-    return M.gmm(_v(s, d), [2])[1]
+    return M.gmm(_v(s, d), _ks(s, d))[1]
+
+
+@query("ML7b_gmm_labels")
+def ml7b(s, d):
+    return M.gmm(_v(s, d), _ks(s, d))[0]
 
 
 @query("ML8_graph_clusters")
 def ml8(s, d):
-    return M.graph_clusters(M.pair_distances(M.standardise(units(s, d))), [2, 3])
+    return M.graph_clusters(staged(M.pair_distances(M.standardise(units(s, d))), "unit-distances"), _ks(s, d))
 
 
 @query("ML9_hierarchical")
 def ml9(s, d):
-    return M.hierarchical(_v(s, d), [2, 3])
+    return M.hierarchical(_v(s, d), _ks(s, d))
 
 
 _N = "(SELECT a.label, a.vec_id AS p, b.vec_id AS q FROM pts a JOIN pts b ON a.label = b.label AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 12.0)"
 
 
-@query("ML10_dbscan_grid", f"""WITH n AS {_N}, k AS (SELECT p FROM n GROUP BY p HAVING count(*) >= 4) SELECT label, vec_id AS point, vec_id IN (SELECT p FROM k) AS is_core, vec_id NOT IN (SELECT p FROM k) AND vec_id NOT IN (SELECT p FROM n WHERE q IN (SELECT p FROM k)) AS is_noise FROM pts""")
-def ml10(s, d):
+@query("ML10b_dbscan_points", f"""WITH n AS {_N}, k AS (SELECT p FROM n GROUP BY p HAVING count(*) >= 4) SELECT label, vec_id AS point, vec_id IN (SELECT p FROM k) AS is_core, vec_id NOT IN (SELECT p FROM k) AND vec_id NOT IN (SELECT p FROM n WHERE q IN (SELECT p FROM k)) AS is_noise FROM pts""")
+def ml10b(s, d):
     return M.dbscan(pts(s, d), "label", "vec_id", 12.0, 4).select("label", "point", "is_core", c("cluster").isNull().alias("is_noise"))
 
 
+@query("ML10_dbscan_grid", """WITH d AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM pts a JOIN pts b ON a.label = b.label AND a.vec_id <> b.vec_id),
+e AS MATERIALIZED (SELECT unnest([10, 20, 30, 40, 50, 60, 70]) AS pct, unnest(quantile_cont(d, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7])) AS eps FROM d WHERE a < b), n AS MATERIALIZED (SELECT pct, a, b FROM d JOIN e ON d <= eps),
+k AS MATERIALIZED (SELECT pct, least, a FROM (SELECT pct, a, count(*) + 1 AS n FROM n GROUP BY ALL), (SELECT unnest([2, 3, 4, 5]) AS least) WHERE n >= least),
+c AS (SELECT pct, least, count(*) AS n_core FROM k GROUP BY ALL),
+h AS (SELECT pct, least, count(*) AS n_held FROM (SELECT pct, least, a FROM k UNION SELECT pct, least, b FROM n JOIN k USING (pct, a)) GROUP BY ALL)
+SELECT pct AS eps_percent, round(eps, 6) AS eps, s.least AS min_samples, coalesce(n_core, 0) AS n_core, round(1 - coalesce(n_held, 0) / (SELECT count(*) FROM pts), 6) AS noise_share FROM e CROSS JOIN (SELECT unnest([2, 3, 4, 5]) AS least) s LEFT JOIN c USING (pct, least) LEFT JOIN h USING (pct, least)""")
+def ml10(s, d):
+    return M.dbscan_grid(pts(s, d), "label", "vec_id").select("eps_percent", F.round("eps", 6).alias("eps"), "min_samples", "n_core", F.round("noise_share", 6).alias("noise_share"))
+
+
+@query("ML10c_dbscan_clusters")
+def ml10c(s, d):
+    return M.dbscan_grid(pts(s, d), "label", "vec_id").select("eps_percent", "min_samples", "n_clusters")
+
+
 @query("ML11_cluster_validation", f"""WITH l AS {_L}, ds AS {_D.format(u=_U)}, m AS (SELECT a, x.cluster AS ca, y.cluster AS cb, avg(d) AS m FROM ds JOIN l x ON x.id = a JOIN l y ON y.id = b GROUP BY ALL), s AS (SELECT a, max(m) FILTER (ca = cb) AS own, min(m) FILTER (ca <> cb) AS oth FROM m GROUP BY a),
 u AS (SELECT u.*, cluster FROM {_U} u JOIN l USING (id)), cen AS (SELECT cluster, feature, avg(value) AS c FROM u GROUP BY ALL), sp AS (SELECT cluster, avg(sqrt(q)) AS s, sum(q) AS w, count(*) AS n FROM (SELECT cluster, id, sum((value - c) ** 2) AS q FROM u JOIN cen USING (cluster, feature) GROUP BY ALL) GROUP BY cluster),
 bt AS (SELECT cluster, sum((c - g) ** 2) AS b FROM cen JOIN (SELECT feature, avg(value) AS g FROM u GROUP BY feature) USING (feature) GROUP BY cluster), ap AS (SELECT x.cluster AS i, y.cluster AS j, sqrt(sum((x.c - y.c) ** 2)) AS m FROM cen x JOIN cen y ON x.feature = y.feature AND x.cluster <> y.cluster GROUP BY ALL)
@@ -105,7 +133,7 @@ def ml11(s, d):
 
 @query("ML12_gap_statistic")
 def ml12(s, d):
-    return M.gap_statistic(M.standardise(units(s, d)), NAMES, [2, 3], references=2)
+    return M.gap_statistic(M.standardise(units(s, d)), NAMES, _ks(s, d))
 
 
 @query("ML13_rand_indices", f"""WITH j AS (SELECT id % 3 AS x, id % 2 AS y, count(*)::DOUBLE AS n FROM (SELECT DISTINCT id FROM {_U}) GROUP BY ALL), t AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM j) AS ij, (SELECT sum(n) FROM j) AS n, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM j GROUP BY x)) AS i, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM j GROUP BY y)) AS k)
