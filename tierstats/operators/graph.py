@@ -5,32 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierstats.sources.shared import staged
+from tierstats.sources.shared import discard, staged
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b), any direction, repeats allowed -> (node, root): root is the smallest node reachable.
 
-    Only nodes with an edge to another node are returned. Rounds grow with the logarithm of the longest chain;
-    each ends in a written table. A node with very many edges is joined to one row, so its edges spread.
+    Only nodes with an edge to another node are returned. Rounds go on until no edge changes and grow with the logarithm
+    of the longest chain; each ends in a written table. A node with very many edges is joined to one row, so its edges
+    spread.
     """
+    spark = edges.sparkSession
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = staged(e, "cc")
-    before = None
-    for _ in range(max_rounds):
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
+    e, before = staged(e, "cc"), None
+    while (now := e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()) != before:
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written first: between two plain exchanges Spark splits the partition of a node with very many edges
         low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
         large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, "cc-large")
-        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        near = large.join(low.hint("merge"), "u")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        near = large.join(least.hint("merge"), "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        after = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        for done in (e, low, large, least):
+            discard(spark, done)
+        e = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
