@@ -89,3 +89,30 @@ def test_decisions_are_by_row(spark, tmp_path):
     out = corpus_pipeline.drop_leaks(spark, d, str(tmp_path))
     assert sorted(map(tuple, out.collect()), key=str) == sorted([r for r in rows if r[1] not in (say("e"), say("c"))], key=str)
     assert out.columns == d.columns
+
+
+def test_stages_take_hard_tables(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, an empty table: all stages run, and what
+    stays has the columns of the input."""
+    names = "key row text_ kept gone h id words n_copies_ severity".split()
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    texts = [None, "", " \n", "word", "long " * 50_000, "a fine day in the old park by the river", "a fine day in the old park by the river", "vile rotten thing in the old mill by the sea"]
+    rows = [(None if i == 5 else i % 6, t, None if i % 2 else "s", *[None if i % 3 else "x"] * len(names)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, schema)
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(4, 1, 1), (0, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, ""), (3, "w")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (d, d.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == ([*d.columns, "n_copies"] if name == "mixing" else d.columns)
+            n = out.count()
+            assert n <= docs.count() and (n > 0 or docs is not d)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_line_stage_is_the_plain_version(spark):
+    rows = [(i, f"Header\nown line {i}\n header \n{'rare' if i < 9 else 'x'}") for i in range(12)] + [(None, "Header\nz"), (3, "header")]
+    out = corpus_pipeline.drop_common_lines(spark, spark.createDataFrame(rows, SCHEMA), "")
+    want = [(i, "\n".join(x for x in t.split("\n") if x.strip().lower() != "header")) for i, t in rows]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)

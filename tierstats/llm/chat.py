@@ -68,7 +68,9 @@ def _turns(record: Column, layout: Column) -> Column:
 def canonical_turns(records: DataFrame, id_col: str, order_col: str, record_col: str) -> DataFrame:
     """(id, ord, pos, layout, role, text): one row a turn, of records in any of LAYOUTS (variant column).
 
-    A record that no mapping fits gives one row with null layout, pos, role and text, to be counted, not lost.
+    A record that no mapping fits, also a null one, gives one row with null layout, pos, role and text, to be counted, not
+    lost. Null texts are empty, long ones whole. Records repeated in full are records of their own. Empty table: empty
+    result. Other columns are not carried, so their names cannot clash.
     """
     r = records.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"), F.col(record_col).alias("r"))
     r = r.withColumn("layout", layout_of(F.col("r")))
@@ -97,8 +99,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """turns (id, ord, pos, role, text) -> (id, formatted, segments).
 
     ``formatted`` is the template's text; ``segments`` cuts it into (text, loss) in order: loss is true for the
-    texts of assistant turns. Turns are ordered by ord, pos, role, text. They are formatted as rows, before a
+    texts of assistant turns. Turns are ordered by ord, pos, role, text, nulls first. They are formatted as rows, before a
     conversation is gathered; a conversation's formatted text is one string, so the longest sets the least memory.
+    Turns repeated in full stay, in a row. Null ids are one conversation. Empty table: empty result.
     """
     t = turns.where(F.col("layout").isNotNull() if "layout" in turns.columns else F.lit(True))
     head, tail = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), F.lit(f"{END}\n")
@@ -131,7 +134,8 @@ def op3(spark, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, which comes as a prompt/response record.
 
     Null roles and texts are empty; rows repeated in full are turns of their own; null conv_id is one
-    conversation; null turns come first. An empty table gives conversation -1 alone.
+    conversation; null turns come first. Rows that the table has of conversation -1 are turns of it too. An empty table
+    gives conversation -1 alone.
     """
     records = conversation_records(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     says = "<|im_end|><|im_start|>assistant ok"

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
 from .words import chunks, mix, whole_windows, window_hashes, word_hashes
 
 SYMBOLS = np.zeros(256, bool)
@@ -117,7 +118,9 @@ def ablations(ledger: DataFrame, policy: str = "v2") -> DataFrame:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    judged = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "v2")
+    """The ledger is stored once, in the shared folder; policies read its bits."""
+    stored = staged(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "rule-ledger")
+    judged = apply_policy(stored, "v2")
     base_failed = F.col("fail_bits").bitwiseAND(F.lit(mask_of(BASE))) != 0
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "fail_bits")
 
