@@ -62,6 +62,19 @@ def ml5(s, d):
     return M.pca(M.impute_median(entries(s, d), entries(s, d)).drop("imputed"), NAMES)[0]
 
 
+_IMP = f"(SELECT i.id, f.feature, coalesce(value, m) AS value FROM (SELECT DISTINCT id FROM {_E}) i CROSS JOIN (SELECT feature, median(value) AS m FROM {_E} GROUP BY feature) f LEFT JOIN {_E} e ON e.id = i.id AND e.feature = f.feature)"
+_TIMES = "(SELECT a.i, b.j, sum(a.c * b.c) AS c FROM {} a JOIN k b ON a.j = b.i GROUP BY ALL)"
+
+
+@query("ML5b_pca_power_sums", f"""WITH v AS MATERIALIZED {_IMP}, c AS (SELECT a.feature AS i, b.feature AS j, covar_samp(a.value, b.value) AS c FROM v a JOIN v b USING (id) GROUP BY ALL), k AS MATERIALIZED (SELECT i, j, c / (SELECT sum(c) FROM c WHERE i = j) AS c FROM c),
+k2 AS MATERIALIZED {_TIMES.format('k')}, k3 AS MATERIALIZED {_TIMES.format('k2')}, k4 AS MATERIALIZED {_TIMES.format('k3')}, k5 AS MATERIALIZED {_TIMES.format('k4')}
+SELECT 1 AS power, round(sum(c), 6) AS total FROM k WHERE i = j UNION ALL SELECT 2, round(sum(c), 6) FROM k2 WHERE i = j UNION ALL SELECT 3, round(sum(c), 6) FROM k3 WHERE i = j UNION ALL SELECT 4, round(sum(c), 6) FROM k4 WHERE i = j UNION ALL SELECT 5, round(sum(c), 6) FROM k5 WHERE i = j""")
+def ml5b(s, d):
+    """Sums of the powers of the ratios, which are traces of powers of the covariance: five of them fix the five ratios."""
+    r = M.pca(M.impute_median(entries(s, d), entries(s, d)).drop("imputed"), NAMES)[0]
+    return r.select("ratio", F.explode(F.array(*map(F.lit, range(1, 6)))).alias("power")).groupBy("power").agg(F.round(F.sum(F.pow("ratio", "power")), 6).alias("total"))
+
+
 def _v(s, d):
     """Written once: each k is a fit of its own."""
     v = M.vectors(M.standardise(units(s, d)), NAMES)
