@@ -129,11 +129,21 @@ def test_large_groups_by_tiles(spark):
     rnd = random.Random(1)
     fps = {rnd.getrandbits(12) for _ in range(400)}
     d = spark.createDataFrame([(f,) for f in fps], "fp long")
-    links = simhash.fingerprint_links(d, tile=16)
-    root = {r.node: r.root for r in connected_components(links).collect()}
+    root = {r.node: r.root for r in simhash.fingerprint_components(d, tile=16).collect()}
     assert {f: root.get(f, f) for f in fps} == brute.components({f: f for f in fps})
 
 
+@pytest.mark.parametrize("tile", [8, 40])
+def test_large_groups_with_a_rest(spark, tile):
+    """One large component and many small ones in the same groups: what is outside the large one still meets everything."""
+    rnd = random.Random(tile)
+    bases = [rnd.getrandbits(30) for _ in range(40)]
+    fps = {b ^ (1 << rnd.randrange(30)) ^ (1 << rnd.randrange(30)) for b in [bases[0]] * 150 + bases * 3}
+    root = {r.node: r.root for r in simhash.fingerprint_components(spark.createDataFrame([(f,) for f in fps], "fp long"), tile=tile).collect()}
+    want = brute.components({f: f for f in fps})
+    assert {f: root.get(f, f) for f in fps} == want and len(set(want.values())) > 10
+
+
 def test_components_of_a_long_chain(spark):
     d = spark.range(500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in connected_components(d).collect()} == {0}

@@ -6,7 +6,7 @@ similarity: there fingerprints within a wide radius only propose pairs, and the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 from math import comb
@@ -31,7 +31,7 @@ BANDS, ROWS = 16, 4
 #: FEW shingles are not compared. The fingerprint of a smaller set says little, so those are compared in any case.
 WIDE, FEW = 20, 64
 #: Shingles in a tile of a candidate group.
-SET_TILE = 1 << 22
+SET_TILE = 1 << 21
 _TABLE = np.frombuffer(LOWER, np.uint8)
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -86,20 +86,27 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tile_links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each of ``left`` to ``right`` within the radius. Both are cut into tiles in order of population count, and
+    only the part of ``right`` is compared whose counts differ by the radius at most."""
+    left, right = (x[np.argsort(np.bitwise_count(x), kind="stable")] for x in (left, right))
+    low, pc = np.bitwise_count(left).astype(np.int64), np.bitwise_count(right).astype(np.int64)
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
-        i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ right[None, :]) <= radius)
-        a, b = stars(rows[i].view(np.int64), right[j].view(np.int64))
-        found_a.append(a)
-        found_b.append(b)
+        first, last = np.searchsorted(pc, low[at] - radius), np.searchsorted(pc, low[min(at + 256, len(left)) - 1] + radius, "right")
+        for start in range(first, last, 1 << 14):
+            part = right[start : min(last, start + (1 << 14))]
+            i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ part[None, :]) <= radius)
+            a, b = stars(rows[i].view(np.int64), part[j].view(np.int64))
+            found_a.append(a)
+            found_b.append(b)
     return stars(np.concatenate(found_a), np.concatenate(found_b))
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by group; a group is at most two tiles."""
+    """Batches sorted by group (combo, value, kind, x, y); a group is at most two tiles."""
 
-    def solve(group: np.ndarray, own: np.ndarray, lo: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def solve(group: np.ndarray, active: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         edges = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
         sizes = np.diff(np.append(edges, len(group)))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -110,8 +117,8 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
             a.append(f[same].view(np.int64))
             b.append(f[same + d].view(np.int64))
         for at, n in zip(edges[sizes > 64], sizes[sizes > 64], strict=True):
-            f, first = fp[at : at + n], own[at : at + n] == lo[at]
-            x, y = _tile_links(f[first], f if first.all() else f[~first], radius)
+            f = fp[at : at + n]
+            x, y = _tile_links(f[active[at : at + n]], f, radius)
             a.append(x)
             b.append(y)
         a, b = stars(np.concatenate(a), np.concatenate(b))
@@ -121,19 +128,19 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = [np.asarray(batch.column(c)) for c in ("combo", "value", "lo", "hi", "own", "fp")]
+        keys = [np.asarray(batch.column(c)) for c in ("combo", "value", "kind", "x", "y", "fp")] + [batch.column("active").to_numpy(zero_copy_only=False)]
         if held is not None:
             keys = [np.concatenate([x, y]) for x, y in zip(held, keys, strict=True)]
         change = np.zeros(len(keys[0]), np.int64)
-        for x in keys[:4]:
+        for x in keys[:5]:
             change[1:] |= x[1:] != x[:-1]
         group = np.cumsum(change)
         last = int(np.searchsorted(group, group[-1]))
         held = [x[last:] for x in keys]
         if last:
-            yield solve(group[:last], keys[4][:last], keys[2][:last], keys[5][:last].view(np.uint64))
+            yield solve(group[:last], keys[6][:last], keys[5][:last].view(np.uint64))
     if held is not None:
-        yield solve(np.zeros(len(held[0]), np.int64), held[4], held[2], held[5].view(np.uint64))
+        yield solve(np.zeros(len(held[0]), np.int64), held[6], held[5].view(np.uint64))
 
 
 def block_masks(n: int, radius: int, tile: int, most: int = 64) -> list[int]:
@@ -157,38 +164,68 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def tiled(rows: DataFrame, by: list[str], weight: Column, key: str, tile: int, radius: int) -> DataFrame:
-    """``rows`` (``by``, pc, ``key``, ...) of groups with more than one row, once for each pair of tiles, with lo, hi and own tile.
+def group_components(rows: DataFrame, by: list[str], weight: Column, key: str, tile: int, compare: Callable[[DataFrame], DataFrame], salts: int = 3) -> DataFrame:
+    """rows (``by``, ``key``, ...) -> (node, root): the components of the links inside groups of equal ``by``. No pair of rows
+    of one group is lost, whatever the group's size.
 
-    A group whose weights sum up to more than one tile is cut by population count and hash, and a tile meets only those
-    whose counts differ by the radius at most.
+    A group whose weights sum up to no more than a tile is compared as it is. A larger one is first dealt to tiles by
+    ``salts`` different hashes, and each tile is compared by itself; rows that are alike are nearly all in one
+    component then. Pairs inside a component need no look, so in a second pass only the rows outside the group's
+    largest component meet all others, by pairs of tiles.
+
+    compare: rows (``by``, kind, x, y, active, ...) -> links (a, b) of every active row with all rows of its
+    (``by``, kind, x, y).
     """
-    bands = rows.groupBy(*by, "pc").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"))
-    tiles = F.map_from_entries(F.collect_list(F.struct("pc", F.ceil(F.col("w") / tile).alias("t"))))  # at most 65 entries
-    groups = bands.groupBy(*by).agg(F.sum("w").alias("total"), F.sum("n").alias("n"), tiles.alias("tiles")).where("n > 1").drop("n")
+    spark = rows.sparkSession
+    sizes = rows.groupBy(*by).agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*by, F.ceil(F.col("w") / tile).alias("tiles"))
     # written first: between two plain exchanges Spark splits the partition of a hot group
-    rows = rows.join(staged(groups, "simhash-groups").hint("merge"), by)
-    slot = F.pmod(F.xxhash64(key), F.col("tiles")[F.col("pc")])
-    own = F.when(F.col("total") <= tile, F.lit(0)).otherwise(F.col("pc") * (1 << 40) + slot)
-    near = F.expr(f"flatten(transform(filter(map_entries(tiles), x -> abs(x.key - pc) <= {radius}), x -> transform(sequence(0L, x.value - 1), s -> x.key * {1 << 40}L + s)))")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("total") <= tile, F.array(F.lit(0).cast("long"))).otherwise(near)))
-    return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "total", "tiles")
+    sizes = staged(sizes, "simhash-groups")
+    sized = rows.join(sizes.hint("merge"), by)
+    salt = F.explode(F.when(F.col("tiles") > 1, F.array(*(F.lit(i) for i in range(salts)))).otherwise(F.array(F.lit(0))))
+    dealt = sized.withColumn("kind", salt).withColumns({"x": F.pmod(F.xxhash64(key, "kind"), F.col("tiles")), "y": F.lit(0).cast("long"), "active": F.lit(True)})
+    links = staged(compare(dealt.drop("tiles")), "simhash-links")
+    if sizes.where("tiles > 1").isEmpty():
+        return connected_components(links)
+    roots = connected_components(links)
+    hot = sized.where("tiles > 1").drop("tiles").join(roots.hint("merge"), F.col(key) == F.col("node"), "left")
+    hot = staged(hot.withColumn("root", F.coalesce("root", key)).drop("node"), "simhash-hot")
+    parts = hot.groupBy(*by, "root").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
+    main = parts.groupBy(*by).agg(F.max_by(F.struct("root", "w"), F.struct("n", "root")).alias("m"), F.sum("w").alias("w"))
+    main = main.select(*by, F.col("m.root").alias("main"), F.ceil(F.col("m.w") / tile).alias("n_main"), F.ceil((F.col("w") - F.col("m.w")) / tile).alias("n_rest")).where("n_rest > 0")
+    split = hot.join(staged(main, "simhash-main").hint("merge"), by)
+    split = split.withColumn("active", F.col("root") != F.col("main"))
+    slot = F.pmod(F.xxhash64(F.col(key), F.lit(0)), F.when(F.col("active"), F.col("n_rest")).otherwise(F.col("n_main")))
+    split = split.withColumn("slot", slot)
+    with_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_main") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.col("slot").alias("x"), j.alias("y")))
+    with_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.least("slot", j).alias("x"), F.greatest("slot", j).alias("y")))
+    of_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("x"), F.col("slot").alias("y")))
+    meets = F.when(F.col("active"), F.concat(with_main, with_rest)).otherwise(of_main)
+    split = split.withColumn("p", F.explode(meets)).withColumns({c: F.col(f"p.{c}") for c in ("kind", "x", "y")}).drop("p", "slot", "root", "main", "n_main", "n_rest")
+    more = compare(split)
+    both = links.unionByName(more).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    out = connected_components(both)
+    for done in (sizes, links, hot):
+        discard(spark, done)
+    return out
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 4, tile: int = 2048) -> DataFrame:
-    """distinct (fp), one row each -> (a, b): links that join all fingerprints within ``radius`` differing bits.
+def fingerprint_components(distinct: DataFrame, radius: int = 4, tile: int = 2048) -> DataFrame:
+    """distinct (fp), one row each -> (node, root): components of fingerprints within ``radius`` differing bits.
 
-    Exact at any size. Fingerprints that share a mask's bits are a group; a group above one tile is cut by
-    population count and hash into tiles, and a tile meets only those whose counts differ by the radius at most.
-    From each pair of tiles come links to the smallest member of each local component, never all pairs.
+    Exact at any size. Fingerprints that share a mask's bits are a group, compared by tiles. From each come links to the
+    smallest member of each local component, never all pairs.
     """
     masks = block_masks(distinct.count(), radius, tile)
     key = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks))))
-    rows = distinct.select("fp", F.bit_count("fp").cast("long").alias("pc"), key.alias("k")).select("fp", "pc", "k.combo", "k.value")
-    rows = tiled(rows, ["combo", "value"], F.lit(1), "fp", tile, radius).select("combo", "value", "lo", "hi", "own", "fp")
+    rows = distinct.select("fp", key.alias("k")).select("fp", "k.combo", "k.value")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "combo", "value", "lo", "hi").sortWithinPartitions("combo", "value", "lo", "hi")
-    return dealt.mapInArrow(partial(_links, radius=radius), "a long, b long")
+    group = ["combo", "value", "kind", "x", "y"]
+
+    def compare(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select(*group, "active", "fp").repartition(parts, *group).sortWithinPartitions(*group)
+        return dealt.mapInArrow(partial(_links, radius=radius), "a long, b long")
+
+    return group_components(rows, ["combo", "value"], F.lit(1), "fp", tile, compare)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4, tile: int = 2048) -> DataFrame:
@@ -202,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = staged(fingerprints(docs, id_col, text_col, k), "simhash")
     distinct = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-distinct")
-    roots = connected_components(fingerprint_links(distinct.select("fp"), radius, tile))
+    roots = fingerprint_components(distinct.select("fp"), radius, tile)
     linked = staged(lookup_join(distinct, roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     least = staged(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-least")
     of_fp = staged(linked.join(least.hint("merge"), "root").select(F.col("fp").alias("f"), "component_id"), "simhash-components")
@@ -262,10 +299,10 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "key", "fp", "size", "bands"])
 
 
-def similar(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
-    """Links (key, key) that join all sets of similarity 0.8 or more: each set that is reached is compared with those not
-    reached yet, first its fingerprint with all of theirs by exclusive-or and bit count, then its shingles with those of
-    the sets within WIDE bits."""
+def similar(keys: np.ndarray, active: np.ndarray, fps: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
+    """Links (key, key) that join all active sets with all sets of similarity 0.8 or more: each active set is compared with
+    those not reached yet and the inactive ones, first its fingerprint with all of theirs by exclusive-or and bit count,
+    then its shingles with those of the sets within WIDE bits."""
     ids, links = np.unique(h, return_inverse=True)[1], []
     flag = np.zeros(len(h), bool)
     left, left_ids, ends = np.arange(len(keys)), ids, np.cumsum(sizes)
@@ -274,7 +311,12 @@ def similar(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, h: np.ndarray)
         if reached:
             i = reached.pop()
         else:
-            i, left, left_ids = left[0], left[1:], left_ids[sizes[left[0]] :]
+            at = int(np.argmax(active[left]))
+            i = left[at]
+            if not active[i]:
+                break
+            before = int(sizes[left[:at]].sum())
+            left, left_ids = np.delete(left, at), np.delete(left_ids, slice(before, before + sizes[i]))
             if not len(left):
                 break
         mine, n = ids[starts[i] : ends[i]], sizes[left]
@@ -290,13 +332,14 @@ def similar(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, h: np.ndarray)
         near[close] = 5 * common >= 4 * (own + sizes[i] - common)
         if near.any():
             links += [(int(keys[i]), int(keys[j])) for j in left[near]]
+            near &= active[left]
             reached += left[near].tolist()
             left_ids, left = left_ids[np.repeat(~near, n)], left[~near]
     return links
 
 
 def _set_links(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by group (band, lo, hi) -> (a, b)."""
+    """Batches (band, kind, x, y, active, key, fp, text) sorted by group (band, kind, x, y) -> (a, b)."""
     group, held = None, []
 
     def solve() -> pa.RecordBatch:
@@ -304,9 +347,10 @@ def _set_links(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     for b in batches:
-        place = np.stack([np.asarray(b.column(i)) for i in range(3)])
-        keys, fps = np.asarray(b.column(3)), np.asarray(b.column(4)).view(np.uint64)
-        for lo, sizes, h in shingle_sets(b.column(5), k):
+        place = np.stack([np.asarray(b.column(i)) for i in range(4)])
+        active = b.column(4).to_numpy(zero_copy_only=False)
+        keys, fps = np.asarray(b.column(5)), np.asarray(b.column(6)).view(np.uint64)
+        for lo, sizes, h in shingle_sets(b.column(7), k):
             at, ends = place[:, lo : lo + len(sizes)], np.concatenate([[0], np.cumsum(sizes)])
             cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), len(sizes)]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
@@ -314,7 +358,7 @@ def _set_links(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
                     if held:
                         yield solve()
                     group, held = now, []
-                held.append((keys[lo + x : lo + y], fps[lo + x : lo + y], sizes[x:y], h[ends[x] : ends[y]]))
+                held.append((keys[lo + x : lo + y], active[lo + x : lo + y], fps[lo + x : lo + y], sizes[x:y], h[ends[x] : ends[y]]))
     if held:
         yield solve()
 
@@ -327,8 +371,8 @@ def near_copies(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
     Texts without a word, also null, are copies of each other only. ``row_col`` must be unique and written (long).
 
     Equal sets are compared once. Sets that share a MinHash band are a group, bands with the same members are one. A
-    group is compared by tiles of fingerprints, as in ``fingerprint_links``, within the radius WIDE; every pair that is
-    left is checked on the whole sets. Sets and shingles are told apart by 64-bit hashes.
+    group is compared by tiles, first the fingerprints within the radius WIDE; every pair that is left is checked on the
+    whole sets. Sets and shingles are told apart by 64-bit hashes.
 
     Long texts are read whole, repeated rows are copies of each other, an empty table gives an empty result. Other
     columns are not carried, so their names cannot clash.
@@ -341,14 +385,18 @@ def near_copies(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
     banded = sets.select("key", "fp", "size", F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("members"), F.sum("size").alias("total")).where("n > 1")
     groups = staged(groups.groupBy("n", "members", "total").agg(F.min("band").alias("band")).select("band"), "copy-groups")
-    members = staged(banded.join(groups.hint("merge"), "band").select("key", "fp", "size", "band", F.bit_count("fp").cast("long").alias("pc")), "copy-members")
+    members = staged(banded.join(groups.hint("merge"), "band").select("key", "fp", "size", "band"), "copy-members")
     wanted = staged(members.select("key").distinct().join(sets.select("key", F.col("least.row").alias("row")).hint("merge"), "key"), "copy-wanted")
     texts = staged(rows.select("row", "text").join(wanted.hint("merge"), "row").select("key", "text"), "copy-texts")
-    pairs = tiled(members, ["band"], F.col("size"), "key", SET_TILE, WIDE).select("band", "lo", "hi", "key", "fp")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.join(texts.hint("merge"), "key").select("band", "lo", "hi", "key", "fp", "text")
-    dealt = dealt.repartition(parts, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    roots = connected_components(dealt.mapInArrow(partial(_set_links, k=k), "a long, b long"))
+    group = ["band", "kind", "x", "y"]
+
+    def compare(dealt: DataFrame) -> DataFrame:
+        with_text = dealt.join(texts.hint("merge"), "key").select(*group, "active", "key", "fp", "text")
+        with_text = with_text.repartition(parts, *group).sortWithinPartitions(*group)
+        return with_text.mapInArrow(partial(_set_links, k=k), "a long, b long")
+
+    roots = group_components(members, ["band"], F.col("size"), "key", SET_TILE, compare)
     of_set = staged(sets.select("key", "least").join(roots.hint("merge"), F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root")), "copy-roots")
     kept = staged(of_set.groupBy("root").agg(F.min("least").alias("least")).select("root", F.col("least.row").alias("kept")), "copy-least")
     of_set = staged(of_set.join(kept.hint("merge"), "root").select("key", "kept"), "copy-components")
