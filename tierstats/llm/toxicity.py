@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,27 +110,33 @@ def fit_ordinal(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ridge: np
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, y, text) -> (id, y, words, counts, n)."""
-    for b in batches:
-        words, counts, totals = [], [], []
-        for t in b.column(2):
-            found, n = counts_of(t.as_py() or "")
-            words.append(list(found))
-            counts.append(list(found.values()))
-            totals.append(n)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())), pa.array(totals, pa.int64())], names=["id", "y", "words", "counts", "n"])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            b = batch.slice(at, 256)
+            words, counts, totals = [], [], []
+            for t in b.column(2):
+                found, n = counts_of(t.as_py() or "")
+                words.append(list(found))
+                counts.append(list(found.values()))
+                totals.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())), pa.array(totals, pa.int64())], names=["id", "y", "words", "counts", "n"])
 
 
-def _kept_features(features: dict[str, int]):
-    """(y, h, n, words, counts) -> (y, h, n, at, counts): the features' numbers instead of all words."""
+def _kept_features(names: list[str]):
+    """(y, h, n, words, counts) -> (y, h, n, at, counts): the features' numbers, in order, instead of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(names, pa.string())
         for b in batches:
-            at, counts = [], []
-            for words, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                own = sorted((features[w], c) for w, c in zip(words, n, strict=True) if w in features)
-                at.append([i for i, _ in own])
-                counts.append([c for _, c in own])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(at, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=["y", "h", "n", "at", "counts"])
+            words = b.column(3)
+            number = pc.index_in(words.flatten(), known)
+            hit = np.asarray(number.is_valid())
+            row = np.repeat(np.arange(len(words)), np.asarray(words.value_lengths()))[hit]
+            at, counts = np.asarray(number.drop_null()).astype(np.int64), np.asarray(b.column(4).flatten())[hit]
+            order = np.lexsort((at, row))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(words)))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order], pa.int64())) for x in (at, counts)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], names=["y", "h", "n", "at", "counts"])
 
     return run
 
@@ -183,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return nothing
     mark = np.array([r["a"] / n1 > MARK_RATIO * r["b"] / n0 for r in chosen])
     numbers = {r["word"]: i for i, r in enumerate(chosen)}
-    kept = rows.select("y", F.xxhash64("id").alias("h"), "n", "words", "counts").mapInArrow(_kept_features(numbers), "y int, h long, n long, at array<long>, counts array<long>")
+    kept = rows.select("y", F.xxhash64("id").alias("h"), "n", "words", "counts").mapInArrow(_kept_features(list(numbers)), "y int, h long, n long, at array<long>, counts array<long>")
     sample = sorted(kept.collect(), key=lambda r: (r["h"], r["y"], r["n"], r["at"], r["counts"]))  # one row an id, of at most MAX_FEATURES entries
     found = [(np.array(r["at"], np.int64), np.array(r["counts"], np.int64)) for r in sample]
     y = np.array([r["y"] for r in sample])
@@ -211,7 +218,7 @@ def severity(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             for f in own:
                 counts[f] = counts.get(f, 0) + c
         s[i] = model.score(counts, sum(words.values()))
-        if len(known) > 1 << 18:
+        if len(known) > 1 << 16:
             known.clear()
     above = 1 / (1 + np.exp(-np.clip(s[:, None] - np.array(model.thresholds)[None, :], -30, 30)))
     return above.sum(axis=1), above[:, 0]
