@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from tierstats.plans import catalogue
+from tierstats.plans import catalogue, tails
+from tierstats.sources.fixtures import with_views
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -49,5 +50,11 @@ def test_query(spark, duck, name):
         assert table(got.columns, rows) == table(columns, want.fetchall())
 
 
-def test_entry_has_rows(spark):
-    assert catalogue.entry(spark, SF).count() > 0
+def test_entry(spark, duck):
+    """The flagship comparison, by region, with its p and both q."""
+    tests = tails.mann_whitney("(SELECT grp, segment, state AS s, round(v, 6) AS v FROM feat)", "grp, segment")
+    both = tails.with_q(tails.with_q(tests, "grp", "segment"), "", "grp, segment", "q_global")
+    want = duck.execute(with_views(f"SELECT grp, segment, n1, n2, u, delta, median_delta, p, q, q_global, tier, q < 0.05 AS significant FROM {both}"))
+    got = catalogue.entry(spark, SF)
+    rows = [tuple(r) for r in got.collect()]
+    assert rows and table(got.columns, rows) == table([d[0] for d in want.description], want.fetchall())
