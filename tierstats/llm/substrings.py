@@ -192,7 +192,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     clash.
 
     Texts go compressed into a table in the shared folder, bucketed by their hash, so the two later passes over them need
-    no shuffle; it has as many buckets as the input has splits, so buckets stay of one size as the input grows.
+    no shuffle; it has at least as many buckets as the input has files, so buckets stay of one size as the input grows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -200,7 +200,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     packed = rows.select("t1", "t2", "text").mapInArrow(_pack, "t1 long, t2 long, z binary")
     name = f"texts_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(MAX_BUCKETS // parts, -(-docs.rdd.getNumPartitions() // parts)) * parts or parts
+    buckets = min(MAX_BUCKETS // parts, -(-len(docs.inputFiles()) // parts)) * parts or parts
     # copies meet as one row for each map task, not as a row for each copy
     whole = packed.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.first("z").alias("z"))
     whole.write.option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "t1", "t2").saveAsTable(name)
