@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -205,9 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model({f: float(w[i]) for f, i in numbers.items()}, tuple(theta.tolist()), (float(w[k]), float(w[k + 1])), frozenset(f for f, i in numbers.items() if mark[i]))
 
 
-def severity(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Expected grade and P(grade > 0) for each text."""
-    s, names = np.zeros(len(texts)), model.weights
+def severity(model: Model, texts: Iterable[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected grade and P(grade > 0) for each of n texts, which are read one at a time."""
+    s, names = np.zeros(n), model.weights
     known: dict[str, tuple[str, ...]] = {}  # word -> its features
     for i, text in enumerate(texts):
         counts: dict[str, int] = {}
@@ -227,12 +227,10 @@ def severity(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def scored_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row, severity, p_toxic): all columns of ``docs`` as a struct, so that no name clashes."""
 
-    @F.pandas_udf("struct<severity:double,p_toxic:double>")
-    def score(texts):
-        import pandas as pd
-
-        expected, p = severity(model, [t or "" for t in texts])
-        return pd.DataFrame({"severity": expected, "p_toxic": p})
+    @F.arrow_udf("struct<severity:double,p_toxic:double>")
+    def score(texts: pa.Array) -> pa.Array:
+        found = severity(model, (t.as_py() or "" for t in texts), len(texts))
+        return pa.StructArray.from_arrays([pa.array(x) for x in found], names=["severity", "p_toxic"])
 
     scored = docs.select(F.struct("*").alias("row"), score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("s"))
     return scored.select("row", "s.severity", "s.p_toxic")
