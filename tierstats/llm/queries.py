@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import chat, decontam, license, lines, mixing, pii, rules, simhash, substrings, toxicity
+from . import chat, decontam, license, lines, mixing, negatives, periods, pii, rules, shards, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_license_scan": license.op8,
     "op9_toxicity": toxicity.op9,
     "op10_simhash": simhash.op10,
+    "op11_hard_negatives": negatives.op11,
+    "op12_shard_mixture": shards.op12,
+    "op13_periodic_runs": periods.op13,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op6_line_dedup": lines.ORACLE,
     "op7_quality_rules": rules.ORACLE,
     "op8_license_scan": license.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
+    "op12_shard_mixture": shards.ORACLE,
+    "op13_periodic_runs": periods.ORACLE,
 }
