@@ -17,7 +17,7 @@ from tierstats.functions.exact import chi2_tail, correlation_p, fisher_p, mann_w
 from .windows import avg_rank, bh_fdr
 
 
-def _p(function, *cols) -> Column:
+def tail(function, *cols) -> Column:
     """A pandas UDF of ``function`` over whole-number and float columns; a null argument gives null."""
 
     @F.pandas_udf("double")
@@ -62,11 +62,11 @@ def mann_whitney(df: DataFrame, test: list[str], state: str, v: str, first: str
     one, other = F.col(state) == first, F.col(state) == second
     g = r.groupBy(*test).agg(
         F.count(F.when(one, 1)).alias("n1"), F.count(F.when(other, 1)).alias("n2"), F.sum(F.when(one, F.col("_r"))).alias("_s"),
-        F.sum(F.col("_r_ties") * F.col("_r_ties") - 1).cast("double").alias("ties"), F.median(F.when(one, F.col(v))).alias("median1"), F.median(F.when(other, F.col(v))).alias("median2"),
+        F.sum((F.col("_r_ties") * F.col("_r_ties") - 1).cast("double")).alias("ties"), F.median(F.when(one, F.col(v))).alias("median1"), F.median(F.when(other, F.col(v))).alias("median2"),
     ).where(F.least("n1", "n2") >= tiers[1])
     g = g.withColumn("u", F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2).drop("_s")
     g = g.withColumns({"delta": cliffs_delta(F.col("u"), F.col("n1"), F.col("n2")), "median_delta": F.col("median1") - F.col("median2")})
-    return g.withColumns({"p": _p(_mw, "n1", "n2", "u", "ties"), "tier": F.when(F.least("n1", "n2") >= tiers[0], "PRIMARY").otherwise("EXPLORATORY")})
+    return g.withColumns({"p": tail(_mw, "n1", "n2", "u", "ties"), "tier": F.when(F.least("n1", "n2") >= tiers[0], "PRIMARY").otherwise("EXPLORATORY")})
 
 
 def cliffs_delta(u: Column, n1: Column, n2: Column) -> Column:
@@ -80,13 +80,13 @@ def kruskal(df: DataFrame, test: list[str], group: str, v: str, least: int = 3)
     size = ok.groupBy(*(F.col(t).alias(f"_{t}") for t in test), F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     big = ok.join(size.hint("merge"), [F.col(t) == F.col(f"_{t}") for t in test] + [F.col(group) == F.col("_g")]).drop(*(f"_{t}" for t in test), "_g", "_n")
     r = avg_rank(big, test, v, "_r")
-    by = r.groupBy(*test, group).agg(F.count(F.lit(1)).alias("_n"), F.sum("_r").alias("_s"), F.sum(F.col("_r_ties") * F.col("_r_ties") - 1).alias("_t"))
-    g = by.groupBy(*test).agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("n"), F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("_q"), F.sum("_t").cast("double").alias("_t"))
-    n = F.col("n")
+    by = r.groupBy(*test, group).agg(F.count(F.lit(1)).alias("_n"), F.sum("_r").alias("_s"), F.sum((F.col("_r_ties") * F.col("_r_ties") - 1).cast("double")).alias("_t"))
+    g = by.groupBy(*test).agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("n"), F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("_q"), F.sum("_t").alias("_t"))
+    n = F.col("n").cast("double")  # its cube may pass a long
     h = (12 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)) / F.when(F.col("_t") < n * n * n - n, 1 - F.col("_t") / (n * n * n - n))
     can = F.col("k") >= 2
     g = g.withColumn("h", F.when(can, h)).drop("_q", "_t")
-    g = g.withColumns({"epsilon2": F.col("h") / (F.col("n") - 1), "p": _p(_chi, "h", F.col("k") - 1)})
+    g = g.withColumns({"epsilon2": F.col("h") / (F.col("n") - 1), "p": tail(_chi, "h", F.col("k") - 1)})
     out = df.select(*test).distinct().join(g.select(*(F.col(t).alias(f"_{t}") for t in test), "k", "n", "h", "epsilon2", "p").hint("merge"), [F.col(t) == F.col(f"_{t}") for t in test], "left").drop(*(f"_{t}" for t in test))
     return out.withColumn("status", F.when(F.col("h").isNotNull(), "TESTED").otherwise("NOT_TESTABLE"))
 
@@ -110,10 +110,10 @@ def _signed_rank(df: DataFrame, test: list[str], d: str, least: int) -> DataFram
     rows = df.where(F.col(d).isNotNull())
     n = rows.groupBy(*(F.col(t).alias(f"_{t}") for t in test)).agg(F.count(F.lit(1)).alias("n_pairs"), F.count(F.when(F.col(d) == 0, 1)).alias("zeros"), F.median(d).alias("median_delta"))
     r = avg_rank(rows.where(F.col(d) != 0).withColumn("_abs", F.abs(d)), test, "_abs", "_r")
-    g = r.groupBy(*test).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum("_r").alias("_all"), F.sum(F.col("_r_ties") * F.col("_r_ties") - 1).cast("double").alias("ties"))
+    g = r.groupBy(*test).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum("_r").alias("_all"), F.sum((F.col("_r_ties") * F.col("_r_ties") - 1).cast("double")).alias("ties"))
     j = n.join(g, [F.col(t) == F.col(f"_{t}") for t in test], "left").select(*(F.coalesce(f"_{t}", t).alias(t) for t in test), "n_pairs", "zeros", "median_delta", F.coalesce("n", F.lit(0)).alias("n"), "w_plus", "_all", "ties")
     j = j.withColumn("rank_biserial", F.when(F.col("n") == 0, 0.0).otherwise((2 * F.col("w_plus") - F.col("_all")) / F.col("_all")))
-    return j.where(F.col("n_pairs") >= least).withColumn("p", _p(_wx, "n", "w_plus", "ties", "zeros")).drop("_all")
+    return j.where(F.col("n_pairs") >= least).withColumn("p", tail(_wx, "n", "w_plus", "ties", "zeros")).drop("_all")
 
 
 def wilcoxon_paired(df: DataFrame, test: list[str], a: str, b: str, least: int = 5) -> DataFrame:
@@ -180,67 +180,11 @@ def bootstrap_epsilon2(df: DataFrame, test: list[str], group: str, v: str, repli
     return interval(kruskal(picks, [*test, "_b"], group, "_x", least).where("epsilon2 is not null"), test, "epsilon2")
 
 
-def loo_median(df: DataFrame, test: list[str], key: list[str], v: str) -> DataFrame:
-    """Medians with one value left out: least, largest, range, largest shift, and whether one value dominates.
-
-    Only three order statistics around the middle matter, so no value is left out in fact."""
-    w = W.partitionBy(*test)
-    ok = df.where(F.col(v).isNotNull())
-    r = ok.select(*test, F.col(v).alias("_v"), F.row_number().over(w.orderBy(v, *key)).alias("_r"))
-    q = F.percentile("_v", F.array(F.lit(0.25), F.lit(0.75)))
-    n = ok.groupBy(*(F.col(t).alias(f"_{t}") for t in test)).agg(F.count(F.lit(1)).alias("n"), F.median(v).alias("median"))
-    j = r.join(n, [F.col(t) == F.col(f"_{t}") for t in test])
-    m = F.floor(F.col("n") / 2)
-    at = lambda k: F.max(F.when(F.col("_r") == k, F.col("_v")))
-    g = j.groupBy(*test).agg(F.max("n").alias("n"), F.max("median").alias("median"), q.alias("_q"), at(m).alias("_a"), at(m + 1).alias("_b"), at(m + 2).alias("_c")).where("n >= 3")
-    even = F.col("n") % 2 == 0
-    lo = F.when(even, F.col("_a")).otherwise((F.col("_a") + F.col("_b")) / 2)
-    hi = F.when(even, F.col("_b")).otherwise((F.col("_b") + F.col("_c")) / 2)
-    g = g.withColumns({"loo_min": lo, "loo_max": hi}).withColumn("loo_range", F.col("loo_max") - F.col("loo_min"))
-    middle = F.when(even, F.col("median")).otherwise((F.col("_a") + F.col("_c")) / 2)
-    g = g.withColumn("max_shift", F.greatest(F.abs(F.col("loo_min") - F.col("median")), F.abs(F.col("loo_max") - F.col("median")), F.abs(middle - F.col("median"))))
-    return g.withColumn("dominated", F.col("max_shift") > F.greatest(0.5 * (F.col("_q")[1] - F.col("_q")[0]), F.lit(0.25))).drop("_a", "_b", "_c", "_q")
-
-
-def loo_tests(df: DataFrame, test: list[str], state: str, v: str, first: str = "HOLO", second: str = "APO", least: int = 3, alpha: float = 0.05) -> DataFrame:
-    """Leave-one-out re-runs of each Mann-Whitney test with ``least`` values on both sides, without one value of either
-    side at a time (two must be left): shares below alpha and of the same sign of the difference of medians, its range.
-
-    df has one row for each test and value that may be left out. No test is run again: how many values of the other state
-    lie below a value is its rank in the test less its rank in its state, and with that U, the counts and the ties without
-    the row follow from those of the whole test, as the medians do from three order statistics.
-    """
-    two = df.where(F.col(state).isin(first, second) & F.col(v).isNotNull())
-    own = W.partitionBy(*test, state)
-    r = avg_rank(avg_rank(two, test, v, "_r"), [*test, state], v, "_o").withColumns({"_n": F.count(F.lit(1)).over(own), "_i": F.row_number().over(own.orderBy(v))})
-    one, below, m = F.col(state) == first, F.col("_r") - F.col("_o"), F.floor(F.col("_n") / 2)
-    at = lambda k: F.max(F.when(F.col("_i") == m + k, F.col(v)))
-    keys = [F.col(t).alias(f"_{t}") for t in test]
-    middle = r.groupBy(*keys, F.col(state).alias("_s")).agg(at(0).alias("_a"), at(1).alias("_b"), at(2).alias("_c"), F.median(v).alias("_m"))
-    whole = r.groupBy(*keys).agg(
-        F.count(F.when(one, 1)).alias("_n1"), F.count(F.when(~one, 1)).alias("_n2"), F.sum(F.when(one, below)).alias("_u"), F.sum(F.col("_r_ties") * F.col("_r_ties") - 1).cast("double").alias("_t"),
-        F.median(F.when(one, F.col(v))).alias("_m1"), F.median(F.when(~one, F.col(v))).alias("_m2"),
-    ).where(F.least("_n1", "_n2") >= least)
-    same = [F.col(t) == F.col(f"_{t}") for t in test]
-    j = r.join(middle, [*same, F.col(state) == F.col("_s")]).drop(*(f"_{t}" for t in test)).join(whole, same)
-    gone, t = one.cast("int"), F.col("_r_ties")
-    even = F.when(F.col("_i") <= m, F.col("_b")).otherwise(F.col("_a"))
-    odd = F.when(F.col("_i") <= m, F.col("_b") + F.col("_c")).when(F.col("_i") == m + 1, F.col("_a") + F.col("_c")).otherwise(F.col("_a") + F.col("_b")) / 2
-    median = F.when(F.col("_n") % 2 == 0, even).otherwise(odd)
-    j = j.withColumns({"n1": F.col("_n1") - gone, "n2": F.col("_n2") - 1 + gone, "u": F.col("_u") - F.when(one, below).otherwise(F.col("_n1") - below), "ties": F.col("_t") - (3 * t * t - 3 * t)})
-    j = j.where(F.least("n1", "n2") >= 2)
-    j = j.withColumns({"p": _p(_mw, "n1", "n2", "u", "ties"), "delta": F.when(one, median - F.col("_m2")).otherwise(F.col("_m1") - median), "_full": F.col("_m1") - F.col("_m2")})
-    out = j.groupBy(*test).agg(
-        F.count(F.lit(1)).alias("n_folds"), F.avg((F.col("p") < alpha).cast("int")).alias("share_significant"), F.avg((F.signum("delta") == F.signum("_full")).cast("int")).alias("share_same_sign"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"),
-    )
-    return out.withColumn("flips", F.col("share_same_sign") < 1)
-
-
 def fisher_exact(table: DataFrame) -> DataFrame:
     """Odds ratio and two-sided p of n11, n10, n01, n00; null for degenerate tables."""
     ok = ~F.col("degenerate")
     odds = F.when(F.col("n10") * F.col("n01") > 0, F.col("n11") * F.col("n00") / (F.col("n10") * F.col("n01")))
-    return table.withColumns({"odds_ratio": F.when(ok, odds), "p": F.when(ok, _p(_fisher, "n11", "n10", "n01", "n00"))})
+    return table.withColumns({"odds_ratio": F.when(ok, odds), "p": F.when(ok, tail(_fisher, "n11", "n10", "n01", "n00"))})
 
 
 def correlate(df: DataFrame, test: list[str], x: str, y: str, least: int = 3) -> DataFrame:
@@ -249,7 +193,7 @@ def correlate(df: DataFrame, test: list[str], x: str, y: str, least: int = 3) ->
     r = avg_rank(avg_rank(ok, test, x, "_rx"), test, y, "_ry")
     vary = (F.count(F.lit(1)) >= least) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
     g = r.groupBy(*test).agg(F.count(F.lit(1)).alias("n"), F.when(vary, F.corr(x, y)).alias("pearson"), F.when(vary, F.corr("_rx", "_ry")).alias("spearman"))
-    return g.withColumns({"pearson_p": _p(_corr, "pearson", "n"), "spearman_p": _p(_corr, "spearman", "n")})
+    return g.withColumns({"pearson_p": tail(_corr, "pearson", "n"), "spearman_p": tail(_corr, "spearman", "n")})
 
 
 def balance_check(df: DataFrame, unit: str, state: str, metrics: Sequence[str], alpha: float = 0.05) -> DataFrame:
@@ -292,3 +236,12 @@ def sensitivity_swap(df: DataFrame, test: list[str], group: str, first: str, sec
     a = kruskal(df, test, group, first).select(*test, F.col("h").alias("h_first"), F.col("p").alias("p_first"))
     b = kruskal(df, test, group, second).select(*test, F.col("h").alias("h_second"), F.col("p").alias("p_second"))
     return a.join(b, test).withColumn("agree", (F.col("p_first") < alpha) == (F.col("p_second") < alpha))
+
+
+def swap_agreement(swapped: DataFrame, scheme: list[str]) -> DataFrame:
+    """(scheme, n_tests, n_agree, spearman): over the tests of ``sensitivity_swap`` that have both p, how many agree and how the p
+    of the two outcomes correlate in rank; null where the p of fewer than three tests vary."""
+    both = swapped.where("p_first is not null and p_second is not null").withColumn("_all", F.lit(0))
+    agreed = both.groupBy("_all", *scheme).agg(F.count(F.lit(1)).alias("n_tests"), F.count(F.when(F.col("agree"), 1)).alias("n_agree"))
+    r = correlate(both, ["_all", *scheme], "p_first", "p_second").select("_all", *scheme, "spearman")
+    return agreed.join(r, ["_all", *scheme], "left").drop("_all")

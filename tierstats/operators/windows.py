@@ -1,7 +1,7 @@
 """Ranking, gaps and islands, intervals, false-discovery control. Every ranking ends in a unique key.
 
-Windows are partitioned by a key of bounded size (an instance, a test, a family); the global forms run over result
-tables, which have one row a test.
+Windows are partitioned by a key of bounded size (an instance, a unit); ranks and false-discovery control, whose families and
+tests may hold all rows, go by ``ordered``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tierstats.sources.shared import staged
+
+from .ordered import PLAIN_ROWS, Ordered
+
 ONE = F.lit
 
 
@@ -91,23 +95,24 @@ def terminal_gaps(grid: DataFrame, keys: list[str], pos: str, observed: Column)
     return g.select(*keys, (F.col("_a") - F.col("_lo")).alias("leading"), (F.col("_hi") - F.col("_b")).alias("trailing"), (F.col("_b") - F.col("_a") + 1 - F.col("n_observed")).alias("interior_missing"))
 
 
-def bh_fdr(df: DataFrame, p: str, family: list[str], key: list[str], out: str = "q") -> DataFrame:
+def bh_fdr(df: DataFrame, p: str, family: list[str], key: list[str], out: str = "q", plain_rows: int = PLAIN_ROWS) -> DataFrame:
     """Benjamini-Hochberg q within each family; null p stay out of the family and of its size.
 
-    key: a unique key of the rows, the last part of the order."""
-    part = W.partitionBy(*(family or [ONE(0)]), F.col(p).isNull())
-    up = part.orderBy(p, *key)
-    rank, n = F.row_number().over(up), F.count(p).over(part)
-    d = df.withColumn("_r", F.col(p) * n / rank)
-    q = F.min("_r").over(up.rowsBetween(W.currentRow, W.unboundedFollowing))
-    return d.withColumn(out, F.when(F.col(p).isNotNull(), F.least(ONE(1.0), q))).drop("_r")
-
-
-def fdr_audit(df: DataFrame, p: str, stored: str, family: list[str], key: list[str], tolerance: float = 1e-9) -> DataFrame:
-    """q computed again, family size, rank in the family and overall, and whether the stored q agrees."""
-    d = bh_fdr(df, p, family, key, "q_again")
-    fam = W.partitionBy(*family)
-    d = d.withColumns({"family_size": F.count(p).over(fam), "family_rank": F.row_number().over(fam.orderBy(p, *key)), "global_rank": F.row_number().over(W.partitionBy(ONE(0)).orderBy(p, *family, *key))})
+    key: a unique key of the rows, the last part of the order. A family may hold all rows of a large table: beyond
+    ``plain_rows`` rows, ranks are prefix sums and minima are suffix minima over range partitions."""
+    o = Ordered(df.withColumn("_null", F.col(p).isNull()), [*family, "_null"], [p, *key], plain_rows)
+    d = o.total(o.running_sum(o.rows, ONE(1), "_k"), ONE(1), "_m")
+    d = o.following_min(o.settled(d.withColumn("_r", F.col(p) * F.col("_m") / F.col("_k"))), "_r", "_q")
+    return d.withColumn(out, F.when(~F.col("_null"), F.least(ONE(1.0), "_q"))).drop("_null", "_k", "_m", "_r", "_q", "_part")
+
+
+def fdr_audit(df: DataFrame, p: str, stored: str, family: list[str], key: list[str], tolerance: float = 1e-9, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+    """q computed again, family size, rank in the family and overall, and whether the stored q agrees. Families may be large,
+    as in ``bh_fdr``."""
+    own = Ordered(bh_fdr(df, p, family, key, "q_again", plain_rows), family, [p, *key], plain_rows)
+    d = own.total(own.running_sum(own.rows, ONE(1), "family_rank"), F.col(p).isNotNull().cast("long"), "family_size").drop("_part")
+    every = Ordered(d, [], [p, *family, *key], plain_rows)
+    d = every.running_sum(every.rows, ONE(1), "global_rank").drop("_part")
     return d.withColumn("agrees", F.abs(F.col(stored) - F.col("q_again")) <= tolerance)
 
 
@@ -125,14 +130,21 @@ def top_bottom_share(df: DataFrame, keys: list[str], value: str, key: str, share
     return d.withColumns({"is_top": big & (F.col("_d") <= F.col("_k")), "is_bottom": big & (F.col("_a") <= F.col("_k"))}).drop("_n", "_k", "_d", "_a")
 
 
-def avg_rank(df: DataFrame, test: list[str], v: str, out: str = "r") -> DataFrame:
-    """Average ranks with ties within each test. Distinct values are ranked with their counts, so the ordered window
-    holds one row a value."""
+def avg_rank(df: DataFrame, test: list[str], v: str, out: str = "r", plain_rows: int = PLAIN_ROWS) -> DataFrame:
+    """Average ranks with ties within each test, and ``out``_ties, the number of rows that share the value. Distinct values are
+    ranked with their counts, so ties do not count; a test of more than ``plain_rows`` distinct values is ranked by
+    prefix sums over range partitions."""
+    df = staged(df, "ranked")  # counted and ranked from one and the same table, which may come from a generator
     counts = df.groupBy(*(F.col(t).alias(f"_{t}") for t in test), F.col(v).alias("_v")).agg(F.count(ONE(1)).alias("_n"))
-    below = F.sum("_n").over(W.partitionBy(*(f"_{t}" for t in test)).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
-    counts = counts.withColumn(out, below + (F.col("_n") + 1) / 2).withColumnRenamed("_n", f"{out}_ties")
-    # df may come from a generator, whose size Spark cannot estimate
-    return df.join(counts.hint("merge"), [F.col(t) == F.col(f"_{t}") for t in test] + [F.col(v) == F.col("_v")]).drop(*(f"_{t}" for t in test), "_v")
+    keys = [f"_{t}" for t in test]
+    if df.count() <= plain_rows:
+        upto = F.sum("_n").over(W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+        counts = counts.withColumn(out, upto)
+    else:
+        o = Ordered(counts, keys, ["_v"], plain_rows)
+        counts = o.running_sum(o.rows, F.col("_n"), out).drop("_part")
+    counts = counts.withColumn(out, F.col(out) - F.col("_n") + (F.col("_n") + 1) / 2).withColumnRenamed("_n", f"{out}_ties")
+    return df.join(counts.hint("merge"), [F.col(t) == F.col(f"_{t}") for t in test] + [F.col(v) == F.col("_v")]).drop(*keys, "_v")
 
 
 def duplicate_flag(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tierstats.operators import aggregate as A
 from tierstats.operators import joins as J
+from tierstats.operators import loo as L
 from tierstats.operators import stats as S
 from tierstats.operators import windows as W
 from tierstats.sources.fixtures import feat, prof, rec, table, unitseg
@@ -153,7 +154,7 @@ def st9c(s, d):
 @query("ST10_loo_median", f"""WITH f AS {_F}, l AS (SELECT x.unit, x.segment, x.entry AS o, median(y.v) AS m FROM f x JOIN f y ON x.unit = y.unit AND x.segment = y.segment AND x.entry <> y.entry GROUP BY ALL), m AS (SELECT unit, segment, count(*) AS n, median(v) AS md FROM f GROUP BY ALL HAVING count(*) >= 3)
 SELECT unit, segment, any_value(n) AS n, round(min(m), 8) AS loo_min, round(max(m), 8) AS loo_max, round(max(abs(m - md)), 8) AS max_shift FROM l JOIN m USING (unit, segment) GROUP BY unit, segment""")
 def st10(s, d):
-    return S.loo_median(rounded(s, d), T, ["entry"], "v").select(*T, "n", *(F.round(x, 8).alias(x) for x in ("loo_min", "loo_max", "max_shift")))
+    return L.loo_median(rounded(s, d), T, ["entry"], "v").select(*T, "n", *(F.round(x, 8).alias(x) for x in ("loo_min", "loo_max", "max_shift")))
 
 
 _FOLD = f"(SELECT x.*, x.state AS s, o.entry AS left_out FROM {_F} x JOIN (SELECT DISTINCT unit, segment, entry FROM feat WHERE state IN ('HOLO', 'APO')) o ON x.unit = o.unit AND x.segment = o.segment AND x.entry <> o.entry)"
@@ -161,7 +162,43 @@ _FOLD = f"(SELECT x.*, x.state AS s, o.entry AS left_out FROM {_F} x JOIN (SELEC
 
 @query("ST11_loo_tests", f"""SELECT f.unit, f.segment, count(*) AS n_folds, round(avg((f.p < 0.05)::INT), 6) AS share_significant, round(avg((sign(f.median_delta) = sign(b.median_delta))::INT), 6) AS share_same_sign, round(min(f.median_delta), 8) AS min_delta, round(max(f.median_delta), 8) AS max_delta FROM {tails.mann_whitney(_FOLD, 'unit, segment, left_out', least=2)} f JOIN {_BASE} b ON f.unit = b.unit AND f.segment = b.segment GROUP BY ALL""")
 def st11(s, d):
-    return S.loo_tests(rounded(s, d), T, "state", "v").select(*T, "n_folds", *R6("share_significant", "share_same_sign"), *(F.round(x, 8).alias(x) for x in ("min_delta", "max_delta")))
+    return L.loo_tests(rounded(s, d), T, "state", "v").select(*T, "n_folds", *R6("share_significant", "share_same_sign"), *(F.round(x, 8).alias(x) for x in ("min_delta", "max_delta")))
+
+
+def _tail_of(h: str, k: str) -> str:
+    """SQL of the chi-square tail of h with k - 1 degrees of freedom, k from 2 to 5."""
+    root = tails.erfc("root")
+    return f"(SELECT CASE {k} WHEN 2 THEN {root} WHEN 3 THEN exp(-{h} / 2) WHEN 4 THEN {root} + sqrt(2 * {h} / pi()) * exp(-{h} / 2) WHEN 5 THEN exp(-{h} / 2) * (1 + {h} / 2) END FROM (SELECT sqrt({h} / 2) AS root))"
+
+
+def _loo_kruskal_sql(least: int) -> str:
+    """Plain folds: every test again without one of its units, with the groups that are still large enough."""
+    h = "(12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n ** 3 - n))"
+    test = lambda src, t: f"""(WITH r AS (SELECT *, rank() OVER (PARTITION BY {t} ORDER BY v) + (count(*) OVER (PARTITION BY {t}, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {t}, v) AS tie FROM (SELECT *, count(*) OVER (PARTITION BY {t}, grp) AS ng FROM {src}) WHERE ng >= {least}),
+  g AS (SELECT {t}, grp, count(*) AS n, sum(r) AS rs, sum(tie * tie - 1) AS ties FROM r GROUP BY ALL), k AS (SELECT {t}, count(*) AS k, sum(n) AS n, sum(rs * rs / n) AS q, sum(ties) AS ties FROM g GROUP BY ALL HAVING count(*) >= 2)
+  SELECT {t}, {_tail_of('h', 'k')} AS p FROM (SELECT {t}, k, {h} AS h FROM k))"""
+    fold = f"(SELECT b.segment, b.grp, b.v, o.unit AS o FROM b JOIN b o ON b.segment = o.segment AND b.unit <> o.unit)"
+    return f"""(WITH f AS (SELECT segment, grp, unit, round(v, 6) AS v FROM unitseg), b AS (SELECT * FROM f QUALIFY count(*) OVER (PARTITION BY segment, grp) >= {least}), folds AS {test(fold, 'segment, o')}, whole AS {test('b', 'segment')}
+  SELECT segment, {least} AS least, count(*) AS n_folds, any_value(w.p) AS p_full, min(x.p) AS p_min, max(x.p) AS p_max, avg(coalesce((x.p < 0.05)::INT, 0)) AS share FROM b JOIN whole w USING (segment) LEFT JOIN folds x ON x.segment = b.segment AND x.o = b.unit GROUP BY segment)"""
+
+
+@query("ST11b_loo_kruskal", f"""SELECT segment, least, n_folds, round(p_full, 6) AS p_full, round(p_min, 6) AS p_min, round(p_max, 6) AS p_max, round(share, 6) AS share_significant, share < 1 AS depends FROM (FROM {_loo_kruskal_sql(3)} UNION ALL FROM {_loo_kruskal_sql(5)})""")
+def st11b(s, d):
+    """With groups of three units or more, and of five, where every fold loses a whole group."""
+    u = unitseg(s, d).select("unit", "grp", "segment", F.round("v", 6).alias("v"))
+    each = [L.loo_kruskal(u, ["segment"], "grp", "v", least).withColumn("least", F.lit(least)) for least in (3, 5)]
+    return each[0].unionByName(each[1]).select("segment", "least", "n_folds", *R6("p_full", "p_min", "p_max", "share_significant"), "depends")
+
+
+_DFOLD = f"(SELECT x.unit, x.d, o.entry AS o FROM {_ENT} x JOIN {_ENT} o ON x.unit = o.unit AND x.entry <> o.entry)"
+
+
+@query("ST11c_loo_signed_rank", f"""WITH p AS {tails.signed_rank(_DFOLD, 'unit, o')}, w AS {tails.signed_rank(_ENT, 'unit')}, m AS (SELECT unit, o, median(d) AS m FROM {_DFOLD} GROUP BY ALL), a AS (SELECT unit, median(d) AS m FROM {_ENT} GROUP BY unit)
+SELECT p.unit, w.n_pairs, round(w.p, 6) AS p_full, count(*) AS n_folds, round(avg((p.p < 0.05)::INT), 6) AS share_significant, round(avg((sign(m.m) = sign(a.m))::INT), 6) AS share_same_sign, bool_or((p.p < 0.05) <> (w.p < 0.05)) AS flips
+FROM p JOIN w ON p.unit = w.unit JOIN m ON m.unit = p.unit AND m.o = p.o JOIN a ON a.unit = p.unit WHERE p.n_pairs >= 3 GROUP BY p.unit, w.n_pairs, w.p""")
+def st11c(s, d):
+    e = _entries(s, d).select("unit", (c("a") - c("b")).alias("d"))
+    return L.loo_signed_rank(e, ["unit"], "d").select("unit", "n_pairs", *R6("p_full"), "n_folds", *R6("share_significant", "share_same_sign"), "flips")
 
 
 _CROSS = "(SELECT unit, count(*) FILTER (quantity > 45 AND label = 'R') AS a, count(*) FILTER (quantity > 45 AND label <> 'R') AS b, count(*) FILTER (quantity <= 45 AND label = 'R') AS c, count(*) FILTER (quantity <= 45 AND label <> 'R') AS d FROM rec GROUP BY unit)"
@@ -215,7 +252,19 @@ def st16(s, d):
     return S.interpret_sites(J.compare_runs(*two_runs(s, d), T, "eff", "p"), "segment")
 
 
-@query("ST17_sensitivity_swap", f"""SELECT a.segment, round(a.h, 6) AS h_first, round(b.h, 6) AS h_second FROM {_KW.format(v='round(v, 6)')} a JOIN {_KW.format(v='round(mean_of_means, 6)')} b USING (segment)""")
-def st17(s, d):
+_SWAP = f"(SELECT a.segment, a.h AS h_first, b.h AS h_second, exp(-a.h / 2) * (1 + a.h / 2) AS p_first, exp(-b.h / 2) * (1 + b.h / 2) AS p_second FROM {_KW.format(v='round(v, 6)')} a JOIN {_KW.format(v='round(mean_of_means, 6)')} b USING (segment))"
+
+
+def _swapped(s, d):
     f = unitseg(s, d).select("unit", "grp", "segment", F.round("v", 6).alias("v"), F.round("mean_of_means", 6).alias("m"))
-    return S.sensitivity_swap(f, ["segment"], "grp", "v", "m").select("segment", *R6("h_first", "h_second"))
+    return S.sensitivity_swap(f, ["segment"], "grp", "v", "m")
+
+
+@query("ST17_sensitivity_swap", f"""SELECT segment, round(h_first, 6) AS h_first, round(h_second, 6) AS h_second, round(p_first, 6) AS p_first, round(p_second, 6) AS p_second, (p_first < 0.05) = (p_second < 0.05) AS agree FROM {_SWAP}""")
+def st17(s, d):
+    return _swapped(s, d).select("segment", *R6("h_first", "h_second", "p_first", "p_second"), "agree")
+
+
+@query("ST17b_swap_agreement", f"""WITH r AS (SELECT *, rank() OVER (ORDER BY p_first) AS a, rank() OVER (ORDER BY p_second) AS b FROM {_SWAP}) SELECT count(*) AS n_tests, count(*) FILTER ((p_first < 0.05) = (p_second < 0.05)) AS n_agree, round(corr(a, b), 6) AS spearman FROM r""")
+def st17b(s, d):
+    return S.swap_agreement(_swapped(s, d), []).select("n_tests", "n_agree", *R6("spearman"))
