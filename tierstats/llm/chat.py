@@ -27,16 +27,30 @@ PATHS = sorted({p for paths, _ in LAYOUTS.values() for p in paths})
 TURN = "array<struct<role:string,text:string>>"
 
 
+def _has(record: Column, path: str) -> Column:
+    return F.try_variant_get(record, f"$.{path}", "variant").isNotNull()
+
+
 def fingerprint(record: Column) -> Column:
     """Hash of the sorted known field paths that the variant ``record`` has; a field that is null counts."""
-    there = (F.when(F.try_variant_get(record, f"$.{p}", "variant").isNotNull(), F.lit(p)) for p in PATHS)
-    return F.xxhash64(F.concat_ws(",", *there))
+    return F.xxhash64(F.concat_ws(",", *(F.when(_has(record, p), F.lit(p)) for p in PATHS)))
 
 
 def layout_of(record: Column) -> Column:
-    """Name of the record's layout, null if no mapping has its fingerprint."""
+    """Name of the record's layout: that of its fingerprint; else, for a record with paths of several layouts, the one that has the
+    most paths and all of them there, in the order of LAYOUTS; else the one whose array is there, but empty. Null if
+    there is none."""
     known = F.create_map(*(x for name, (paths, _) in LAYOUTS.items() for x in (F.xxhash64(F.lit(",".join(paths))), F.lit(name))))
-    return F.try_element_at(known, fingerprint(record))
+    found = F.try_element_at(known, fingerprint(record))
+    for name, (paths, _) in sorted(LAYOUTS.items(), key=lambda x: -len(x[1][0])):
+        there = _has(record, paths[0])
+        for p in paths[1:]:
+            there = there & _has(record, p)
+        found = F.coalesce(found, F.when(there, F.lit(name)))
+    for name, (_, turns) in LAYOUTS.items():
+        if turns[0] == "*":
+            found = F.coalesce(found, F.when(F.size(F.try_variant_get(record, f"$.{turns[1]}", "array<variant>")) == 0, F.lit(name)))
+    return found
 
 
 def _text(record: Column, path: str) -> Column:
@@ -68,8 +82,8 @@ def _turns(record: Column, layout: Column) -> Column:
 def canonical_turns(records: DataFrame, id_col: str, order_col: str, record_col: str) -> DataFrame:
     """(id, ord, pos, layout, role, text): one row a turn, of records in any of LAYOUTS (variant column).
 
-    A record that no mapping fits, also a null one, gives one row with null layout, pos, role and text, to be counted, not
-    lost. Null texts are empty, long ones whole. Records repeated in full are records of their own. Empty table: empty
+    A record that no mapping fits, also a null one, gives one row with null layout, pos, role and text, and one without turns a row with
+    null pos, role and text; ``format_chats`` counts them. Null texts are empty, long ones whole. Records repeated in full are records of their own. Empty table: empty
     result. Other columns are not carried, so their names cannot clash.
     """
     r = records.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"), F.col(record_col).alias("r"))
@@ -96,22 +110,25 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """turns (id, ord, pos, role, text) -> (id, formatted, segments).
+    """turns (id, ord, pos, role, text), and layout where records may have none -> (id, formatted, segments, n_unmapped).
 
     ``formatted`` is the template's text; ``segments`` cuts it into (text, loss) in order: loss is true for the
-    texts of assistant turns. Turns are ordered by ord, pos, role, text, nulls first. They are formatted as rows, before a
-    conversation is gathered; a conversation's formatted text is one string, so the longest sets the least memory.
-    Turns repeated in full stay, in a row. Null ids are one conversation. Empty table: empty result.
+    texts of assistant turns. ``n_unmapped`` counts the records that no layout fits: they have no turn, and a conversation of nothing
+    else, or of records without turns, has an empty text. Turns are ordered by ord, pos, role, text, nulls first. They
+    are formatted as rows, before a conversation is gathered; a conversation's formatted text is one string, so the
+    longest sets the least memory. Turns repeated in full stay, in a row. Null ids are one conversation. Empty table:
+    empty result.
     """
-    t = turns.where(F.col("layout").isNotNull() if "layout" in turns.columns else F.lit(True))
+    mapped = F.col("layout").isNotNull() if "layout" in turns.columns else F.lit(True)
+    said = mapped & (F.col("pos").isNotNull() if "layout" in turns.columns else F.lit(True))
     head, tail = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), F.lit(f"{END}\n")
-    t = t.select("id", F.struct("ord", "pos", "role", "text").alias("key"), head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss"))
-    t = t.select("id", F.struct("key", "head", "body", "loss").alias("turn"))
-    g = t.groupBy("id").agg(F.array_sort(F.collect_list("turn")).alias("t"))
+    t = turns.select("id", mapped.alias("mapped"), said.alias("said"), F.struct("ord", "pos", "role", "text").alias("key"), head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss"))
+    t = t.select("id", "mapped", F.when(F.col("said"), F.struct("key", "head", "body", "loss")).alias("turn"))
+    g = t.groupBy("id").agg(F.array_sort(F.collect_list("turn")).alias("t"), F.count_if(~F.col("mapped")).alias("n_unmapped"))  # nulls are not collected
     no = F.lit(False)
     cut = F.flatten(F.transform("t", lambda x: F.array(F.struct(x["head"].alias("text"), no.alias("loss")), F.struct(x["body"].alias("text"), x["loss"].alias("loss")), F.struct(tail.alias("text"), no.alias("loss")))))
-    g = g.select("id", cut.alias("segments"))
-    return g.select("id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    g = g.select("id", cut.alias("segments"), "n_unmapped")
+    return g.select("id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "n_unmapped")
 
 
 def parse_chat(formatted: Column) -> Column:
