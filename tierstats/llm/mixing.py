@@ -12,6 +12,8 @@ from .common import lookup_join, staged, word_count
 
 #: Hash digits: md5's first 15 hex digits are 60 bits, refined 12 bits at a time.
 HASH_BITS, LEVEL_BITS = 60, 12
+#: Rows of one hash that a task numbers.
+TIED_ROWS = 100_000
 
 
 def hash60(*cols: Column) -> Column:
@@ -45,14 +47,16 @@ def source_targets(totals: DataFrame, weights: Sequence[float], max_ratio: float
 
 def hash_thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """For each source ``copies`` (whole passes) and ``threshold``: documents whose hash is below it count once
-    more, so that the source's words come as near its target as whole documents allow.
+    more, so that the source's words come as near its target as whole documents allow. Where the budget ends among rows
+    of one hash, which have the same id and text, ``tied`` is the hash and ``some`` how many of them count once more.
 
     Each level sums words by source and hash bucket, finds the bucket in which the budget ends and refines only
-    that bucket; it stops where the bucket holds one document, or documents of one hash, which stay together.
+    that bucket; it stops where the bucket holds one document, or rows of one hash.
     """
     state = targets.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     state = state.withColumn("need", F.col("target") - F.col("copies") * F.col("source_size"))
-    state = state.withColumns({"lo": F.lit(0).cast("long"), "base": F.lit(0).cast("long"), "threshold": F.when((F.col("need") <= 0) | (F.col("source_size") == 0), F.lit(0)).cast("long")})
+    none = F.lit(None).cast("long")
+    state = state.withColumns({"lo": F.lit(0).cast("long"), "base": F.lit(0).cast("long"), "tied": none, "some": none, "threshold": F.when((F.col("need") <= 0) | (F.col("source_size") == 0), F.lit(0)).cast("long")})
     state = staged(state, "mix-state")
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         # the mark of "no open source left" is read from a table of one row a source
@@ -71,9 +75,14 @@ def hash_thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         before = F.col("cum") - F.col("words")
         settled = (F.col("n") == 1) | F.lit(shift == 0)
         nearer = F.col("cum") - F.col("need") < F.col("need") - before
+        several = settled & (F.col("n") > 1)
+        # rows of one hash are of one size: the last that fits, and one more if that comes nearer
+        each, rest = F.col("words") / F.col("n"), F.col("need") - before
+        fit = F.floor(rest / each)
+        some = fit + F.when((fit + 1) * each - rest < rest - fit * each, 1).otherwise(0)
         edge = edge.select(
-            F.col("s").alias("source"), start.alias("new_lo"), before.alias("new_base"),
-            F.when(settled, F.when(nearer, start + F.lit(width)).otherwise(start)).alias("new_threshold"), F.lit(True).alias("hit"),
+            F.col("s").alias("source"), start.alias("new_lo"), before.alias("new_base"), F.when(several, start).alias("new_tied"), F.when(several, some).alias("new_some"),
+            F.when(settled, F.when(nearer & ~several, start + F.lit(width)).otherwise(start)).alias("new_threshold"), F.lit(True).alias("hit"),
         )
         edge = staged(edge, "mix-edge")
         old = state.alias("a").join(F.broadcast(edge).alias("b") if edge.count() <= 100_000 else edge.alias("b").hint("merge"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
@@ -81,10 +90,10 @@ def hash_thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         passed = F.when(F.col("b.hit"), F.col("b.new_threshold")).otherwise(F.lit(1 << HASH_BITS))
         state = staged(old.select(
             "a.source", "a.source_size", "a.target", "a.copies", "a.need",
-            F.coalesce("b.new_lo", "a.lo").alias("lo"), F.coalesce("b.new_base", "a.base").alias("base"),
+            F.coalesce("b.new_lo", "a.lo").alias("lo"), F.coalesce("b.new_base", "a.base").alias("base"), F.coalesce("b.new_tied", "a.tied").alias("tied"), F.coalesce("b.new_some", "a.some").alias("some"),
             F.when(F.col("a.threshold").isNotNull(), F.col("a.threshold")).otherwise(passed).alias("threshold"),
         ), "mix-state")
-    return state.select("source", "source_size", "target", "copies", "threshold")
+    return state.select("source", "source_size", "target", "copies", "threshold", "tied", "some")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
@@ -93,9 +102,24 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list
 
 
 def _apply(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """``sized`` with n_copies and taken. Only the rows of the hashes on which budgets end are numbered, in blocks of TIED_ROWS."""
     out = lookup_join(sized, plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     n = F.col("copies") + (F.col("h") < F.col("threshold")).cast("long")
-    return out.withColumn("n_copies", n).withColumn("taken", n * F.col("size"))
+    if not plan.where("tied is not null").isEmpty():
+        on_edge = F.coalesce(F.col("h") == F.col("tied"), F.lit(False))
+        edge = staged(out.where(on_edge).withColumn("nth", F.monotonically_increasing_id()), "mix-tied")  # written, so that the numbers stay
+        block = F.pmod(F.xxhash64("nth"), F.lit(max(1, -(-edge.count() // TIED_ROWS))))
+        edge = edge.withColumn("block", block)
+        blocks = edge.groupBy("source", "block").agg(F.count(F.lit(1)).alias("m"))
+        before = F.sum("m").over(W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+        blocks = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), F.coalesce(before, F.lit(0)).alias("before"))
+        rank = F.row_number().over(W.partitionBy("source", "block").orderBy("nth"))
+        edge = edge.withColumn("rank", rank).join(blocks.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+        edge = edge.withColumn("one", (F.col("before") + F.col("rank") <= F.col("some")).cast("long"))
+        out = out.where(~on_edge).withColumn("n_copies", n).unionByName(edge.withColumn("n_copies", F.col("copies") + F.col("one")).drop("nth", "block", "rank", "s", "b", "before", "one"))
+    else:
+        out = out.withColumn("n_copies", n)
+    return out.withColumn("taken", F.col("n_copies") * F.col("size"))
 
 
 def mix_plan(sized: DataFrame, weights: Sequence[float], max_ratio: float) -> DataFrame:
@@ -110,8 +134,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document's copies are the source's whole passes plus one if its hash is under the source's threshold;
     ``taken`` = copies x size. The hash covers id and text, so reruns agree, in any order and partitioning.
 
-    Null or blank text: size 0, nothing taken. Null source: a source of its own, last in order. Rows repeated
-    in full are taken or left together. A source whose documents are all empty has target 0. Empty table: empty
+    Null or blank text: size 0, nothing taken. Null source: a source of its own, last in order. Rows that have id and text
+    in common share a hash; where the budget ends among them, as many of them are taken as come nearest the target. A source whose documents are all empty has target 0. Empty table: empty
     result. Other columns of ``docs`` are not carried, so their names cannot clash.
     """
     sized = staged(docs.select(*_sized(docs, id_col, text_col, source_col)), "mix-sizes")
@@ -151,11 +175,10 @@ g AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM f) * w)
 k AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM g),
 n AS (SELECT *, target - copies * source_size AS need FROM k),
 q AS (SELECT d.doc_id, d.size, n.source_size, n.target, n.copies, n.need,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS cum,
-             sum(d.size) OVER (PARTITION BY d.source, d.h) AS own
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
       FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
 SELECT doc_id, size, source_size, target,
        (size * (copies + CASE WHEN need <= 0 THEN 0 WHEN cum <= need THEN 1
-                              WHEN cum - own <= need AND cum - need < need - (cum - own) THEN 1 ELSE 0 END))::BIGINT AS taken
+                              WHEN cum - size <= need AND cum - need < need - (cum - size) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM q
 """
