@@ -36,7 +36,8 @@ LOCAL_PHONE = re.compile(r"(?<![\w+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}
 SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 #: At most 34 characters, as the standard says.
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_.@=-])(?=[0-9+/_-]*+[A-Za-z])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_.@=-]*+[/.@][A-Za-z0-9])")
+#: Not the head of a host or an address, and no path (three slashes or more).
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_.@=-])(?!(?:[A-Za-z0-9+_-]*+/){3})(?=[0-9+/_-]*+[A-Za-z])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+_=-]*+[/.@][A-Za-z0-9])")
 #: Formats that only secrets have (fixed values).
 SECRET_HEADS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "eyJ")
 HEX_SIZES = frozenset((32, 40, 48, 64, 96, 128))
