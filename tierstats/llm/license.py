@@ -80,38 +80,68 @@ def posting_list() -> list[Posting]:
     return out
 
 
-def licensed_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The staged rows (rid, id, n_words, seen, hits) and the accepted places (rid, template, label, base, start, score).
+def anchors_of(postings: list[Posting], found_in: dict[str, int]) -> dict[str, Posting]:
+    """Template -> its anchor, the posting of its key word of highest IDF: the word that the fewest rows have, ``found_in``
+    tells in how many."""
+    rank = lambda p: (found_in.get(p.word, 0), p.place)
+    return {t: min((p for p in postings if p.key and p.template == t), key=rank) for t in {p.template for p in postings}}
+
+
+def licensed_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, places), one row for each row of ``docs``; ``places`` has (template, label, base, start, score) of the accepted
+    matches, null where no key phrase can be.
 
     One pass over the text looks for the words of key phrases; only a file that has all words of a key phrase keeps
-    the places of its licence words. A phrase's anchor is its key word of highest IDF over all rows: as the whole key
-    phrase is mandatory, no match is lost by that, and the choice only sets the cost. From the anchors come the
-    (phrase, start) that the postings of the other licence words must agree with. A place is accepted if its key phrase
-    is there in full and the words found have MIN_SCORE of the weight (base phrases: every word).
-    The declared phrases bound the broadcast postings and what is collected (one row a key word).
+    its words. What is looked up in such a file are the anchors, each phrase's key word of highest IDF over all rows, and
+    nothing else: an anchor at a place gives a (phrase, start), and the phrase's other postings are then probed at their
+    places relative to it. A common word is never looked up by itself, and a phrase whose anchor is not there is not seen; as
+    an anchor is of the mandatory key phrase, that loses no match. A place is accepted if its key phrase is there in full
+    and the words found have MIN_SCORE of the weight (base phrases: every word). The work on a file is its anchors times the
+    phrases' lengths; nothing is shuffled, and the declared phrases bound the index, which is part of the plan, and what is
+    collected, one row a key word.
+
+    Null and blank texts have no word. Repeated rows, also of one id, and null ids are rows like others. Long texts are read
+    whole. Empty table: empty result. Other columns are not carried, so their names cannot clash.
     """
-    spark = docs.sparkSession
     postings = posting_list()
-    vocabulary, key_words = sorted({p.word for p in postings}), sorted({p.word for p in postings if p.key})
+    key_words = sorted({p.word for p in postings if p.key})
     key_sets = sorted({tuple(sorted({p.word for p in postings if p.key and p.template == t})) for t in {p.template for p in postings}})
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), words_of(F.col(text_col).cast("string")).alias("w"))
-    rows = rows.select("rid", "id", "w", F.array_distinct(F.filter("w", lambda w: w.isin(key_words))).alias("seen"))
+    rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col).cast("string")).alias("w"))
+    rows = rows.select("id", "w", F.array_distinct(F.filter("w", lambda w: w.isin(key_words))).alias("seen"))
     whole_key = F.exists(F.array(*(F.array(*(F.lit(w) for w in k)) for k in key_sets)), lambda k: F.forall(k, lambda w: F.array_contains("seen", w)))
-    placed = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(vocabulary))
-    rows = staged(rows.select("rid", "id", F.size("w").cast("long").alias("n_words"), "seen", F.when(whole_key, placed).alias("hits")), "license-words")
-    df = {r["word"]: r["n"] for r in rows.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the key words
-    rarest = {}
-    for p in postings:
-        if p.key:
-            rarest[p.template] = min(rarest.get(p.template, (math.inf, 0)), (df.get(p.word, 0), p.place))
-    table = spark.createDataFrame([(*p, rarest[p.template][1] == p.place) for p in postings], "template string, label string, base boolean, len int, total int, keys int, place int, key boolean, word string, weight int, anchor boolean")
-    hit = rows.where("hits is not null").select("rid", F.explode("hits").alias("h")).select("rid", "h.w", "h.i")
-    votes = hit.join(F.broadcast(table), F.col("w") == F.col("word")).withColumn("start", F.col("i") - F.col("place"))
-    found = votes.groupBy("rid", "template", "label", "base", "len", "total", "keys", "start").agg(
-        F.max("anchor").alias("anchored"), F.sum("weight").alias("got"), F.count(F.lit(1)).alias("n"), F.sum(F.col("key").cast("int")).alias("key_n")
-    )
-    whole = F.when(F.col("base"), F.col("n") == F.col("len")).otherwise((F.col("key_n") == F.col("keys")) & (100 * F.col("got") >= MIN_SCORE * F.col("total")))
-    return rows, found.where(F.col("anchored") & whole).select("rid", "template", "label", "base", "start", (F.col("got") / F.col("total")).alias("score"))
+    rows = staged(rows.select("id", F.size("w").cast("long").alias("n_words"), "seen", F.when(whole_key, F.col("w")).alias("w")), "license-words")
+    found_in = {r["word"]: r["n"] for r in rows.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return _matched(rows, postings, anchors_of(postings, found_in))
+
+
+def _matched(rows: DataFrame, postings: list[Posting], anchors: dict[str, Posting]) -> DataFrame:
+    """rows (id, n_words, w) -> (id, n_words, places). ``w`` must be a stored column: lambdas would work it out again and again."""
+    names = sorted(anchors)
+    of = lambda t: [p for p in postings if p.template == t]
+    by_word: dict[str, list[Column]] = {}
+    for i, t in enumerate(names):
+        by_word.setdefault(anchors[t].word, []).append(F.struct(F.lit(i).alias("t"), F.lit(anchors[t].place).alias("place")))
+    index = F.create_map(*(x for w, at in by_word.items() for x in (F.lit(w), F.array(*at))))
+    phrases = F.array(*(F.struct(
+        F.lit(t).alias("template"), F.lit(of(t)[0].label).alias("label"), F.lit(of(t)[0].base).alias("base"), F.lit(of(t)[0].len).alias("len"), F.lit(of(t)[0].total).alias("total"), F.lit(of(t)[0].keys).alias("keys"),
+        F.array(*(F.struct(F.lit(p.place).alias("place"), F.lit(p.word).alias("word"), F.lit(p.weight).alias("weight"), F.lit(p.key).alias("key")) for p in of(t))).alias("words"),
+    ) for t in names))
+    hits = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(list(by_word)))
+    starts = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda a: F.struct(a["t"].alias("t"), (h["i"] - a["place"]).alias("start")))))
+    starts = F.filter(starts, lambda c: c["start"] >= 0)
+    zero = F.struct(F.lit(0).alias("got"), F.lit(0).alias("n"), F.lit(0).alias("key_n"))
+
+    def probed(c: Column) -> Column:
+        def add(s: Column, p: Column) -> Column:
+            there = F.get(F.col("w"), c["start"] + p["place"]).eqNullSafe(p["word"]).cast("int")
+            return F.struct((s["got"] + there * p["weight"]).alias("got"), (s["n"] + there).alias("n"), (s["key_n"] + there * p["key"].cast("int")).alias("key_n"))
+
+        phrase = F.get(phrases, c["t"])
+        return F.struct(phrase["template"].alias("template"), phrase["label"].alias("label"), phrase["base"].alias("base"), phrase["len"].alias("len"), phrase["total"].alias("total"), phrase["keys"].alias("keys"), c["start"].alias("start"), F.aggregate(phrase["words"], zero, add).alias("s"))
+
+    whole = lambda m: F.when(m["base"], m["s"]["n"] == m["len"]).otherwise((m["s"]["key_n"] == m["keys"]) & (100 * m["s"]["got"] >= MIN_SCORE * m["total"]))
+    places = F.transform(F.filter(F.transform(starts, probed), whole), lambda m: F.struct(m["template"].alias("template"), m["label"].alias("label"), m["base"].alias("base"), m["start"].alias("start"), (m["s"]["got"] / m["total"]).alias("score")))
+    return rows.select("id", "n_words", F.when(F.col("w").isNotNull(), places).alias("places"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,17 +152,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows, also of one id, keep a row each. Long texts are read whole. A row's result does not depend on other
     rows. Empty table: empty result. Other columns are not carried, so their names cannot clash.
     """
-    rows, places = licensed_places(docs, id_col, text_col)
-    base = F.col("base")
-    per = places.groupBy("rid").agg(
-        F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("score").alias("score"),
-    )
-    out = rows.select("rid", "id", "n_words").join(per.hint("merge"), "rid", "left")
-    empty = F.lit("")
-    return out.select(
-        F.col("id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", empty).alias("base_labels"), F.coalesce("labels", empty).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+    rows = licensed_places(docs, id_col, text_col)
+    rows = rows.withColumn("places", F.coalesce("places", F.array().cast(rows.schema["places"].dataType))).withColumn("base", F.filter("places", lambda p: p["base"]))
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda p: p["label"]))), ",")
+    starts = F.transform("base", lambda p: p["start"])
+    return rows.select(
+        F.col("id").alias(id_col), "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        labels("base").alias("base_labels"), labels("places").alias("labels"), F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"),
     )
 
 
