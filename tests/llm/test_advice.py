@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tierstats.llm import decontam, license, pii, substrings, toxicity
+from tierstats.llm import chat, decontam, license, mixing, pii, substrings, toxicity
 
 from . import brute
 
@@ -173,3 +173,79 @@ def test_factors_are_copies_of_their_reference(spark):
     for window in (5, 12, 90):
         out = substrings.strip_repeats(d, window=window, with_text=False).drop("kept", "factors")
         assert sorted(map(tuple, out.collect()), key=str) == brute.strip_repeats(rows, window)
+
+
+def test_items_without_ids_and_with_one_id(spark):
+    """Items with a null id, and two texts under one id, are found like others; repeated items once."""
+    say = lambda k: " ".join(f"{w}{k}" for w in "abcdefghijklmnopqrst")
+    items = [(None, say("x")), (7, say("y")), (7, say("z")), (8, say("w")), (8, say("w"))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(n, "before " + t + " after") for n, (_, t) in enumerate(items)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.exact, r.n_items) for r in decontam.find_leaks(d, bench).collect()), key=str)
+    assert got == [(0, None, True, 1), (1, 7, True, 1), (2, 7, True, 1), (3, 8, True, 1), (4, 8, True, 1)]
+
+
+def test_a_common_template_is_joined_once(spark, monkeypatch):
+    """300 items and 300 documents of one template: a row a document, and the item whose text it has."""
+    say = lambda a, b: f"a farmer in the valley sold {a} melons and then bought {b} sheep at the old market by the river"
+    bench = spark.createDataFrame([(i, say(1000 + i, 5000 + i)) for i in range(300)], "item_id long, text string")
+    d = spark.createDataFrame([(i, say(9000 + i, 7000 + i)) for i in range(300)] + [(1000 + i, say(1000 + i, 5000 + i)) for i in range(300)] + [(5000, say(4, 4))], "doc_id long, text string")
+    for sent in (decontam.MAX_SENT, 0):
+        monkeypatch.setattr(decontam, "MAX_SENT", sent)
+        found = {r.doc_id: (r.item_id, r.exact, r.n_items) for r in decontam.find_leaks(d, bench).collect()}
+        assert found == {i: (0, False, 300) for i in range(300)} | {1000 + i: (i, True, 300) for i in range(300)}
+
+
+def test_paths_and_hosts_are_no_secrets(spark):
+    texts = [f"see src/main/java/com/acme{n}/widgets/Foo.java and src/main/java/com/acme{n}/widgets/Foo" for n in range(60)] + [f"ask abcdefghij{n}1234567890klm.example.com or abcdefghij{n}1234567890klm@mail" for n in range(60)]
+    secret = [f"token = abcdefghij{n}1234567890klm." for n in range(20)]
+    d = spark.createDataFrame(list(enumerate(texts + secret)), "doc_id long, text string")
+    found = {r.doc_id: [s.kind for s in r.spans] for r in pii.find_personal_data(d).collect()}
+    assert not any("secret" in found[i] for i in range(120)) and all(found[120 + n] == ["secret"] for n in range(20))
+
+
+def test_records_with_paths_of_several_layouts(spark):
+    """The layout with the most paths that are all there; what none fits is counted."""
+    says = [
+        '{"prompt":"p","response":"r","role":"x"}', '{"messages":[{"role":"user","content":"m"}],"prompt":"p"}', '{"messages":[]}', '{"instruction":"i","input":"n","output":"o","text":"t"}', '{"other":1}', '{"prompt":"p"}', None,
+        '{"prompt":"p","response":null}',
+    ]
+    d = spark.createDataFrame([(i // 2, i, x) for i, x in enumerate(says)], "id long, ord long, j string").select("id", "ord", F.parse_json("j").alias("r"))
+    turns = chat.canonical_turns(d, "id", "ord", "r")
+    by = {}
+    for r in turns.orderBy("ord", "pos").collect():
+        by.setdefault(r.ord, (r.layout, []))[1].append((r.role, r.text))
+    assert by == {
+        0: ("prompt_response", [("user", "p"), ("assistant", "r")]), 1: ("messages", [("user", "m")]), 2: ("messages", [(None, None)]), 3: ("instruction_input", [("system", "i"), ("user", "n"), ("assistant", "o")]),
+        4: (None, [(None, None)]), 5: (None, [(None, None)]), 6: (None, [(None, None)]), 7: ("prompt_response", [("user", "p"), ("assistant", "")]),
+    }
+    assert {r.id: (len(r.segments) // 3, r.n_unmapped) for r in chat.format_chats(turns).collect()} == {0: (3, 0), 1: (3, 0), 2: (0, 2), 3: (2, 1)}
+
+
+@pytest.mark.parametrize("tied_rows", [100_000, 7])
+def test_equal_rows_meet_the_target(spark, monkeypatch, tied_rows):
+    """A source of equal rows is taken as near its target as its rows allow; so are its documents."""
+    monkeypatch.setattr(mixing, "TIED_ROWS", tied_rows)
+    rows = [(1, "one two three", "a")] * 400 + [(i, "w " * (i % 9), "b") for i in range(300)] + [(None, None, None)] * 5 + [(2, "x y", None)] * 50
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix_sources(d).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most")).collect()
+    assert {r.source for r in out} == {"a", "b", None} and all(abs(r.taken - r.target) <= r.most / 2 + 1e-6 for r in out)
+    kept = mixing.mixed_documents(d).where("text is not null").selectExpr("source", "n_copies").groupBy("source").agg(F.sum("n_copies").alias("n")).collect()
+    assert {r.source: r.n * {"a": 3, None: 2}[r.source] for r in kept if r.source != "b"} == {r.source: r.taken for r in out if r.source != "b"}
+
+
+def test_anchors_decide_what_is_looked_up(spark):
+    """A phrase whose anchor is elsewhere is not seen; the anchor is the key word that the fewest rows have."""
+    d = spark.createDataFrame([(0, "Released under the MIT License."), (1, "the license, a license"), (2, "under the MIT license")], "doc_id long, text string")
+    postings = license.posting_list()
+    seen = {"license": 3, "mit": 2, "under": 2, "the": 3}
+    anchors = license.anchors_of(postings, seen)
+    assert anchors["base:under the mit license"].word in ("mit", "under") and anchors["released under the mit license"].word == "mit"
+    rows = license.staged(d.select(F.col("doc_id").alias("id"), license.words_of(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long")), "words")
+    names = lambda a: {(r.id, p.template) for r in license._matched(rows, postings, a).collect() for p in r.places}
+    right = names(anchors)
+    assert {(0, "base:under the mit license"), (2, "base:under the mit license"), (0, "released under the mit license")} <= right
+    wrong = anchors | {t: p._replace(word="elsewhere") for t, p in anchors.items() if t == "base:under the mit license"}
+    assert names(wrong) == {x for x in right if x[1] != "base:under the mit license"}
+    shifted = anchors | {t: p._replace(place=p.place + 1) for t, p in anchors.items() if t == "released under the mit license"}
+    assert (0, "released under the mit license") not in names(shifted)
