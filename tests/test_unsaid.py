@@ -18,7 +18,7 @@ def rows(spark, name):
 
 
 def test_every_query_has_sql_or_is_here():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"CL4_template_from_landmarks", "ML5_pca", "ML6_kmeans", "ML7_gmm", "ML7b_gmm_labels", "ML8_graph_clusters", "ML9_hierarchical", "ML10c_dbscan_clusters", "ML12_gap_statistic", "ML15_complete_entry_view"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"CL4_template_from_landmarks", "ML5_pca", "ML6_kmeans", "ML7_gmm", "ML7b_gmm_labels", "ML8_graph_clusters", "ML9_hierarchical", "ML10c_dbscan_clusters", "ML12_gap_statistic", "ML13c_methods_agree", "ML15_complete_entry_view", "IO6b_file_manifest"}
 
 
 @pytest.mark.parametrize("name", ["ML6_kmeans", "ML7b_gmm_labels", "ML9_hierarchical"])
@@ -38,9 +38,28 @@ def test_graph_labels(spark):
 
 
 def test_mixtures_fit_better_with_more_parts(spark):
-    got = sorted((r.k, r.log_likelihood, r.aic, r.bic) for r in rows(spark, "ML7_gmm"))
+    """Criteria from the likelihood and the number of free parameters in five dimensions."""
+    got = sorted((r.k, r.log_likelihood, r.aic, r.bic, r.rounds) for r in rows(spark, "ML7_gmm"))
+    n = len({r.id for r in rows(spark, "ML7b_gmm_labels")})
     assert [k for k, *_ in got] == list(range(2, 11)) and got[-1][1] > got[0][1]
-    assert all(bic - aic == pytest.approx(got[0][3] - got[0][2], rel=5) for _, _, aic, bic in got)
+    for k, ll, aic, bic, rounds in got:
+        free = k - 1 + 2 * k * 5
+        assert aic == pytest.approx(2 * free - 2 * ll) and bic == pytest.approx(free * math.log(n) - 2 * ll) and 0 < rounds < 100
+
+
+def test_methods_agree(spark):
+    """Each two of the three clusterings at each k, with indices in their ranges."""
+    got = rows(spark, "ML13c_methods_agree")
+    assert len(got) == 27 and {(r.method_a, r.method_b) for r in got} == {("bisecting", "kmeans"), ("bisecting", "mixture"), ("kmeans", "mixture")}
+    assert all(0 <= r.rand <= 1 and -0.5 <= r.ari <= 1 for r in got) and max(r.ari for r in got) > 0.3
+
+
+def test_manifest_of_the_tables(spark):
+    import hashlib
+    from pathlib import Path
+
+    want = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(SF).glob("*.parquet")}
+    assert {r.file: (r.bytes, r.sha256) for r in rows(spark, "IO6b_file_manifest")} == want
 
 
 def test_gap_choice(spark):

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 N = F.count
 
 
@@ -53,16 +55,19 @@ def observation_flags(occupancies: Column, values: Column) -> dict[str, Column]:
     }
 
 
-def zscore_within(df: DataFrame, instance: str, value: str, min_sd: float = 1e-12) -> DataFrame:
+def zscore_within(df: DataFrame, instance: str, value: str, min_sd: float = 1e-12, plain_values: int | None = None) -> DataFrame:
     """Adds n_usable, mean, median, sd (population), q25, q75, iqr, z, instance_status and row_status.
 
-    One aggregate by instance is joined back, so an instance of any size needs no window buffer."""
+    One aggregate by instance is joined back, so an instance of any size needs no window buffer. plain_values: as in ``summary``."""
     v = F.col(value)
-    s = df.groupBy(F.col(instance).alias("_i")).agg(
-        F.count(v).alias("n_usable"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("_sd"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("_q")
-    )
+    rest = [F.count(v).alias("n_usable"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("_sd")]
+    if plain_values is None:
+        s = df.groupBy(F.col(instance).alias("_i")).agg(*rest, F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    else:
+        own = df.select(F.col(instance).alias("_i"), value)
+        s = _with_quantiles(own.groupBy("_i").agg(*rest), own, ["_i"], value, plain_values)
     two = F.col("n_usable") >= 2
-    s = s.withColumns({"sd": F.when(two, F.col("_sd")), "q25": F.col("_q")[0], "q75": F.col("_q")[1]})
+    s = s.withColumns({"sd": F.when(two, F.col("_sd")), "q25": F.col("_q")[0], "median": F.col("_q")[1], "q75": F.col("_q")[2]})
     s = s.withColumn("iqr", F.when(two, F.col("q75") - F.col("q25")))
     s = s.withColumn("instance_status", F.when(~two, "NOT_NORMALIZABLE_FEW_VALUES").when(F.col("sd") <= min_sd, "NOT_NORMALIZABLE_CONSTANT").otherwise("NORMALIZED")).drop("_sd", "_q")
     out = df.join(s, F.col(instance) == F.col("_i")).drop("_i")
@@ -97,20 +102,39 @@ def entry_position_profile(norm: DataFrame, keys: list[str]) -> DataFrame:
     return norm.where(F.col("z").isNotNull()).groupBy(*keys).agg(F.median("z").alias("z"), _count().alias("n_instances"))
 
 
-def summary(df: DataFrame, keys: list[str], value: str, sd: str = "samp") -> DataFrame:
-    """n, mean, median, SD, quartiles, min and max; the sample SD of one value is null."""
+def _with_quantiles(g: DataFrame, df: DataFrame, keys: list[str], value: str, plain_values: int) -> DataFrame:
+    """``g`` (one row a key) with _q, the quartiles, of groups of any size."""
+    q = quantiles(df, keys, value, (0.25, 0.5, 0.75), plain_values).select(*(F.col(k).alias(f"_q_{k}") for k in keys), F.col("q").alias("_q"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_q_{k}"))
+    return g.join(q.hint("merge"), on, "left").drop(*(f"_q_{k}" for k in keys))
+
+
+def summary(df: DataFrame, keys: list[str], value: str, sd: str = "samp", plain_values: int | None = None) -> DataFrame:
+    """n, mean, median, SD, quartiles, min and max; the sample SD of one value is null.
+
+    plain_values: groups with more values than that get their quartiles by histogram refinement, so that no group need fit
+    a buffer; None: every group is one."""
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-    g = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), (F.stddev_samp(v) if sd == "samp" else F.stddev_pop(v)).alias("sd"), q.alias("_q"), F.min(v).alias("min"), F.max(v).alias("max"))
-    return g.withColumns({"q25": F.col("_q")[0], "q75": F.col("_q")[1]}).drop("_q")
+    rest = [F.count(v).alias("n"), F.avg(v).alias("mean"), (F.stddev_samp(v) if sd == "samp" else F.stddev_pop(v)).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max")]
+    if plain_values is None:
+        g = df.groupBy(*keys).agg(*rest, F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    else:
+        g = _with_quantiles(df.groupBy(*keys).agg(*rest), df, keys, value, plain_values)
+    return g.withColumns({"q25": F.col("_q")[0], "median": F.col("_q")[1], "q75": F.col("_q")[2]}).drop("_q")
 
 
-def unit_position_profile(prof: DataFrame, keys: list[str], value: str, state: str, pair: tuple[str, str] = ("APO", "HOLO")) -> DataFrame:
-    """``summary`` and the medians by state; ``delta`` only if both states are there."""
-    by = {s: F.median(F.when(F.col(state) == s, F.col(value))).alias(f"median_{s.lower()}") for s in pair}
+def unit_position_profile(prof: DataFrame, keys: list[str], value: str, state: str, pair: tuple[str, str] = ("APO", "HOLO"), plain_values: int | None = None) -> DataFrame:
+    """``summary`` and the medians by state; ``delta`` only if both states are there. plain_values: as there."""
     a, b = (f"median_{s.lower()}" for s in pair)
-    states = prof.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(*by.values())
-    out = summary(prof, keys, value).join(states, [F.col(k) == F.col(f"_{k}") for k in keys]).drop(*(f"_{k}" for k in keys))
+    if plain_values is None:
+        by = {s: F.median(F.when(F.col(state) == s, F.col(value))).alias(f"median_{s.lower()}") for s in pair}
+        states = prof.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(*by.values())
+    else:
+        q = quantiles(prof.where(F.col(state).isin(*pair)), [*keys, state], value, (0.5,), plain_values)
+        states = q.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(*(F.max(F.when(F.col(state) == s, F.col("q")[0])).alias(f"median_{s.lower()}") for s in pair))
+    out = summary(prof, keys, value, plain_values=plain_values).join(states, [F.col(k) == F.col(f"_{k}") for k in keys], "inner" if plain_values is None else "left").drop(*(f"_{k}" for k in keys))
     return out.withColumn("delta", F.col(b) - F.col(a))
 
 

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tierstats.sources.shared import staged
+
 from .contracts import grain_check
+from .ordered import Ordered
 from .windows import merge_intervals
 
 
@@ -85,15 +88,24 @@ def intersect_reference(ivals: DataFrame, keys: list[str], b: str, e: str, ref_b
     return g.withColumns({"coverage": F.col("overlap") / size, "full_span": F.col("overlap") == size, "outside": F.col("total") - F.col("overlap")})
 
 
-def overlap_fraction(a: DataFrame, b: DataFrame, width: int = 64) -> DataFrame:
-    """a, b (k, b, e): shared length of the merged spans of equal k over the shorter span, and its class."""
+def overlap_fraction(a: DataFrame, b: DataFrame, width: int = 64, partner: str | None = None) -> DataFrame:
+    """a, b (k, b, e): shared length of the merged spans of equal k over the shorter span, and its class.
+
+    partner: a column of b that names what a key is compared with. Then every key of a has a row, with n_partners, and a
+    key without exactly one partner is AMBIGUOUS, whatever it overlaps."""
+    if partner:
+        n = b.where(F.col(partner).isNotNull()).groupBy(F.col("k").alias("_k")).agg(F.count_distinct(partner).alias("n_partners"))
+        one = n.where("n_partners = 1").select(F.col("_k").alias("k"))
+        found = overlap_fraction(a, b.join(one.hint("merge"), "k", "left_semi").where(F.col(partner).isNotNull()), width)
+        every = a.select("k").distinct().join(n.hint("merge"), F.col("k") == F.col("_k"), "left").drop("_k").fillna(0, ["n_partners"])
+        return every.join(found.hint("merge"), "k", "left").withColumn("relation", F.coalesce("relation", F.lit("AMBIGUOUS")))
     x, y = merge_intervals(a, ["k"], "b", "e"), merge_intervals(b, ["k"], "b", "e")
     xs = bucketed_positions(x.select("k", F.col("start").alias("xs"), F.col("end").alias("xe")), "xs", "xe", width)
     ys = bucketed_positions(y.select("k", F.col("start").alias("ys"), F.col("end").alias("ye")), "ys", "ye", width)
     lo, hi = F.greatest("xs", "ys", F.col("_bucket") * width), F.least("xe", "ye", F.col("_bucket") * width + width - 1)
     over = xs.join(ys.hint("merge"), ["k", "_bucket"]).groupBy("k").agg(F.sum(F.greatest(F.lit(0), hi - lo + 1)).alias("overlap"))
     size = lambda t, n: t.groupBy("k").agg(F.sum(F.col("end") - F.col("start") + 1).alias(n))
-    j = size(x, "len_a").join(size(y, "len_b"), "k").join(over, "k", "left").fillna(0, ["overlap"])
+    j = size(x, "len_a").join(size(y, "len_b"), "k").join(over.hint("merge"), "k", "left").fillna(0, ["overlap"])
     f = F.col("overlap") / F.least("len_a", "len_b")
     return j.withColumn("fraction", f).withColumn("relation", F.when(F.col("fraction") <= 0.05, "DISJOINT").when(F.col("fraction") >= 0.8, "SAME").otherwise("AMBIGUOUS"))
 
@@ -119,6 +131,43 @@ def radius_contacts(points: DataFrame, probes: DataFrame, entry: str, point_id:
     return q.join(p.hint("merge"), [entry, "cx", "cy", "cz"]).withColumn("distance", d).where(F.col("distance") <= r).select(entry, "probe", "point", "distance")
 
 
+def probe_contacts(points: DataFrame, probes: DataFrame, entry: str, position: str, probe_id: str, occupancy: str, near: float = 4.5, far: float = 5.0, inventory: bool = True) -> DataFrame:
+    """(entry, probe, n_atoms, min_distance, within_near, within_far, positions): each probe, of many atoms, against the points.
+
+    points (entry, position, x, y, z, occupancy) and probes (entry, probe, x, y, z, occupancy), one row an atom. Only atoms with an
+    occupancy above 0 count. Of a probe without any the inventory form takes all atoms, the pocket form (inventory=False) skips
+    it. ``positions`` are the distinct positions within ``near``, sorted. Where nothing is within ``far`` the radius is doubled
+    for the probes that are left, until each has its nearest point or its entry has none (null, false, no positions).
+    """
+    some = points.where(F.coalesce(F.col(occupancy), F.lit(0)) > 0).select(entry, F.col(position).alias("_p"), "x", "y", "z")
+    own = probes.select(entry, F.col(probe_id).alias("probe"), "x", "y", "z", (F.coalesce(F.col(occupancy), F.lit(0)) > 0).alias("_on"))
+    has = own.groupBy(F.col(entry).alias("_e"), F.col("probe").alias("_q")).agg(F.max("_on").alias("_has"))
+    own = own.join(has.hint("merge"), (F.col(entry) == F.col("_e")) & (F.col("probe") == F.col("_q")))
+    own = own.where(F.col("_on") | ~F.col("_has") if inventory else F.col("_on")).select(entry, "probe", "x", "y", "z")
+    own = staged(own.withColumn("_atom", F.monotonically_increasing_id()), "contact-probes")
+    some = staged(some, "contact-points")
+    left, found, r = own.withColumn("_id", F.struct("probe", "_atom")), None, far
+    reach = own.unionByName(some.select(entry, "x", "y", "z"), allowMissingColumns=True).agg(*(F.max(c) - F.min(c) for c in "xyz")).first()
+    wide = 2 * sum(x or 0 for x in reach) + far
+    while r <= 2 * wide:
+        hit = radius_contacts(some, left, entry, "_p", "_id", r).groupBy(entry, F.col("probe.probe").alias("probe")).agg(
+            F.min("distance").alias("min_distance"), F.array_sort(F.collect_set(F.when(F.col("distance") <= near, F.col("point")))).alias("positions")
+        )
+        hit = staged(hit, "contact-found")
+        found = hit if found is None else found.unionByName(hit)
+        left = staged(left.join(hit.select(F.col(entry).alias("_e"), F.col("probe").alias("_q")).hint("merge"), (F.col(entry) == F.col("_e")) & (F.col("probe") == F.col("_q")), "left_anti"), "contact-left")
+        # probes whose entry has no point are not looked for again
+        left = left.join(some.select(F.col(entry).alias("_e")).distinct().hint("merge"), F.col(entry) == F.col("_e"), "left_semi")
+        if left.isEmpty():
+            break
+        r *= 2
+    n = own.groupBy(entry, "probe").agg(F.count(F.lit(1)).alias("n_atoms"))
+    found = found.select(F.col(entry).alias("_e"), F.col("probe").alias("_q"), "min_distance", "positions")
+    out = n.join(found.hint("merge"), (F.col(entry) == F.col("_e")) & (F.col("probe") == F.col("_q")), "left")
+    within = lambda x: F.coalesce(F.col("min_distance") <= x, F.lit(False))
+    return out.select(entry, "probe", "n_atoms", "min_distance", within(near).alias("within_near"), within(far).alias("within_far"), F.coalesce("positions", F.array().cast(found.schema["positions"].dataType)).alias("positions"))
+
+
 def nearest_within(df: DataFrame, sites: DataFrame, keys: list[str], p: str, site_pos: str, w: int = 3) -> DataFrame:
     """Nearest site position within w, by (distance, position); null without one."""
     s = sites.select(*keys, F.col(site_pos).alias("_s")).distinct().withColumn(p, F.explode(F.sequence(F.col("_s") - w, F.col("_s") + w)))
@@ -162,20 +211,48 @@ def set_overlap(seg_pos: DataFrame, site_pos: DataFrame, unit: str, segment: str
     return size.join(hit, [unit, segment], "left").fillna(0, ["n_overlap"]).withColumn("fraction", F.col("n_overlap") / F.col("n_positions"))
 
 
-#: Bound on the units of ``pair_identity``, as every two of them are compared.
-MOST_UNITS = 5_000
-
-
 def pair_identity(seqs: DataFrame, unit: str, pos: str, symbol: str) -> DataFrame:
-    """Pairs of units: shared positions and the share of equal symbols there. The number of units is counted and bounded."""
-    if (n := seqs.select(unit).distinct().count()) > MOST_UNITS:
-        raise ValueError(f"{n} units are too many to be paired, the bound is {MOST_UNITS}")
+    """Pairs of units that share a position: shared positions and the share of equal symbols there. The result has a row for each
+    such pair, so it grows with the square of the units that share positions."""
     a = seqs.select(F.col(unit).alias("u1"), F.col(pos).alias("_p"), F.col(symbol).alias("s1"))
     b = seqs.select(F.col(unit).alias("u2"), F.col(pos).alias("_p"), F.col(symbol).alias("s2"))
-    j = a.join(b, "_p").where("u1 < u2")
+    j = a.join(b.hint("merge"), "_p").where("u1 < u2")
     return j.groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("n_shared"), F.avg((F.col("s1") == F.col("s2")).cast("int")).alias("identity"))
 
 
+def relative_index(seqs: DataFrame, unit: str, pos: str) -> DataFrame:
+    """``seqs`` with ``index``: the number of a unit's position in its order, from 0."""
+    o = Ordered(seqs, [unit], [pos])
+    return o.running_sum(o.rows, F.lit(1), "index").withColumn("index", F.col("index") - 1).drop("_part")
+
+
+def disjoint_pairs(ranges: DataFrame, unit: str, lo: str, hi: str) -> DataFrame:
+    """One row (n_units, n_pairs, n_disjoint): how many pairs of the units' inclusive ranges share no position.
+
+    A pair is disjoint if one range ends before the other begins, so for each beginning the ends before it are counted, by
+    running sums over ends and beginnings in one order: no pair is made."""
+    ends = ranges.select(F.col(hi).alias("_at"), F.lit(1).alias("_kind"), F.lit(1).cast("long").alias("_end"), F.col(unit).alias("_u"))
+    starts = ranges.select(F.col(lo).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_end"), F.col(unit).alias("_u"))
+    o = Ordered(ends.unionByName(starts), [], ["_at", "_kind", "_u"])  # a range that ends where another begins is not before it
+    d = o.running_sum(o.rows, F.col("_end"), "_before")
+    n = F.count(F.when(F.col("_kind") == 0, 1))
+    return d.agg(n.alias("n_units"), F.floor(n * (n - 1) / 2).alias("n_pairs"), F.coalesce(F.sum(F.when(F.col("_kind") == 0, F.col("_before"))), F.lit(0)).alias("n_disjoint"))
+
+
+def identity_summary(seqs: DataFrame, unit: str, pos: str, symbol: str) -> DataFrame:
+    """One row: how well positions line units up. n_units, n_pairs and share_disjoint of the units' ranges; n_sharing and
+    identity_position, the mean share of equal symbols at identical positions over the pairs that share any; identity_relative, the
+    same by relative index over all pairs, as far as the shorter unit goes; chance, the sum of the squared shares of the symbols."""
+    ranges = seqs.groupBy(unit).agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
+    apart = disjoint_pairs(ranges, unit, "_lo", "_hi")
+    same = pair_identity(seqs, unit, pos, symbol).agg(F.count(F.lit(1)).alias("n_sharing"), F.avg("identity").alias("identity_position"))
+    relative = pair_identity(relative_index(seqs, unit, pos), unit, "index", symbol).agg(F.avg("identity").alias("identity_relative"))
+    n = seqs.groupBy(symbol).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    chance = n.agg((F.sum(F.col("_n") * F.col("_n")) / (F.sum("_n") * F.sum("_n"))).alias("chance"))
+    out = apart.join(F.broadcast(same)).join(F.broadcast(relative)).join(F.broadcast(chance))  # one row each
+    return out.withColumn("share_disjoint", F.col("n_disjoint") / F.col("n_pairs"))
+
+
 def crosscheck(obs: DataFrame, listed: DataFrame, keys: list[str], present: Column, positive: Column) -> DataFrame:
     """Rows where a list of unobserved positions and the observations disagree."""
     j = obs.join(listed.select(*keys).distinct().withColumn("_listed", F.lit(True)), keys, "left")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tierstats.sources.shared import staged
+
 from .aggregate import pick_record
-from .classify import segment_category, state_from_evidence
-from .joins import bracketing_neighbours, dense_grid, nearest_within, radius_contacts
-from .stats import bootstrap_ci, kruskal, wilcoxon_one_sample
+from .classify import keyword_class, segment_category, state_from_evidence
+from .joins import bracketing_neighbours, dense_grid, nearest_within, probe_contacts, radius_contacts
+from .stats import bootstrap_ci, kruskal, mann_whitney, wilcoxon_one_sample
 from .windows import bh_fdr, rank_min_desc, top_bottom_share
 
 CONFIDENCE = ["HIGH", "MODERATE", "LOW"]
@@ -147,7 +149,7 @@ def site_definitions(segment_rows: DataFrame, contacts: DataFrame, curated: Data
     segments only for units without curated positions of that site."""
     names = F.create_map(*(F.lit(x) for p in site_segments.items() for x in p))
     whole = segment_rows.withColumn("site", F.try_element_at(names, "segment")).where("site is not null")
-    whole = whole.join(curated.select("unit", "site").distinct(), ["unit", "site"], "left_anti").select("unit", "site", "position", F.lit("SEGMENT").alias("level"))
+    whole = whole.join(curated.select("unit", "site").distinct().hint("merge"), ["unit", "site"], "left_anti").select("unit", "site", "position", F.lit("SEGMENT").alias("level"))
     touch = contacts.where(F.col("fraction") >= least).select("unit", F.lit(contact_site).alias("site"), "position", F.lit("CONTACT").alias("level"))
     return curated.select("unit", "site", "position", F.lit("RESIDUE").alias("level")).unionByName(touch).unionByName(whole)
 
@@ -157,8 +159,8 @@ def entry_site_scores(prof: DataFrame, sites: DataFrame, background: DataFrame |
     ``background`` (unit, site, position). Rows without site or with too little background are dropped."""
     s = sites.groupBy("unit", "site").agg(F.collect_set("position").alias("_in"))
     if background is not None:
-        s = s.join(background.groupBy("unit", "site").agg(F.collect_set("position").alias("_bg")), ["unit", "site"])
-    j = prof.join(s, "unit")
+        s = s.join(background.groupBy("unit", "site").agg(F.collect_set("position").alias("_bg")).hint("merge"), ["unit", "site"])
+    j = prof.join(s.hint("merge"), "unit")
     inside = F.array_contains("_in", F.col("position"))
     outside = ~inside if background is None else F.array_contains("_bg", F.col("position"))
     g = j.groupBy("unit", "entry", "site").agg(
@@ -176,14 +178,14 @@ def unit_site_summary(scores: DataFrame, replicates: int = 2000) -> DataFrame:
     return g.join(bootstrap_ci(scores, ["unit", "site"], "delta", replicates), ["unit", "site"])
 
 
-#: Bound on the positions that a unit's map may have: they are broadcast for sites without other controls.
-MOST_POSITIONS = 100_000
+#: Positions of a map that are sent to sites without other controls at once; a longer map goes by shuffled slices of it.
+SLICE_POSITIONS = 100_000
 
 
 def matched_controls(sites: DataFrame, segmap: DataFrame, least: int = 5) -> DataFrame:
     """(unit, site, position, tier): other positions of the site's segments if there are ``least``, else of its classes,
     else all named positions (named_only). segmap (position, segment, cls)."""
-    here = sites.join(segmap, "position").select("unit", "site", "position", "segment", "cls")
+    here = sites.join(segmap.hint("merge"), "position").select("unit", "site", "position", "segment", "cls")
 
     def of_same(column: str) -> DataFrame:
         named = here.select("unit", "site", column).distinct().join(segmap.select("position", column).hint("merge"), column).select("unit", "site", "position").distinct()
@@ -196,10 +198,11 @@ def matched_controls(sites: DataFrame, segmap: DataFrame, least: int = 5) -> Dat
     in_first = enough(first)
     in_second = enough(second).join(in_first, ["unit", "site"], "left_anti")
     rest = here.select("unit", "site").distinct().join(in_first, ["unit", "site"], "left_anti").join(in_second, ["unit", "site"], "left_anti")
-    names = segmap.select("position").distinct()
-    if names.count() > MOST_POSITIONS:
-        raise ValueError(f"the map of a unit has more than {MOST_POSITIONS} positions")
-    third = rest.join(F.broadcast(names)).join(here.select("unit", "site", "position"), ["unit", "site", "position"], "left_anti")
+    names = staged(segmap.select("position").distinct(), "named-positions")
+    n = max(1, -(-names.count() // SLICE_POSITIONS))
+    names = names.withColumn("_slice", F.pmod(F.xxhash64("position"), F.lit(n)))
+    each = rest.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    third = each.join(F.broadcast(names) if n == 1 else names.hint("merge"), "_slice").drop("_slice").join(here.select("unit", "site", "position"), ["unit", "site", "position"], "left_anti")
     parts = [(first.join(in_first, ["unit", "site"], "left_semi"), "same_segment"), (second.join(in_second, ["unit", "site"], "left_semi"), "same_class"), (third, "named_only")]
     out = [p.select("unit", "site", "position", F.lit(tier).alias("tier")) for p, tier in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -228,6 +231,16 @@ def omnibus(long: DataFrame, schemes: Mapping[str, str], test: str, v: str) -> D
     return bh_fdr(out, "p", ["scheme"], [test])
 
 
+def position_comparison(prof: DataFrame, value: str, first: str = "HOLO", second: str = "APO", conflict: str | None = None) -> DataFrame:
+    """The two-state test at every (unit, position) of the entries' profiles (unit, entry, position, state), with q within the unit and over all.
+
+    Entries of any other state, as those whose instances disagree, take no part, nor do those whose column ``conflict`` is true.
+    Positions without enough entries of both states have no row."""
+    rows = prof if conflict is None else prof.where(~F.coalesce(F.col(conflict), F.lit(False)))
+    tests = mann_whitney(rows, ["unit", "position"], "state", value, first, second)
+    return bh_fdr(bh_fdr(tests, "p", ["unit"], ["position"]), "p", [], ["unit", "position"], "q_global")
+
+
 def curated_site_scores(rec: DataFrame, keys: list[str], ties: list[str], sites: DataFrame, norm) -> DataFrame:
     """Unit medians of site means; an entry counts only if every position of the site is there; sites without any stay.
 
@@ -242,11 +255,24 @@ def curated_site_scores(rec: DataFrame, keys: list[str], ties: list[str], sites:
 
 def ligand_states(points: DataFrame, probes: DataFrame, group: str, point_id: str, probe_id: str, kind, r: float) -> DataFrame:
     """Contacts within r, the kind of each contacted probe by evidence rules, and the state of each point."""
-    near = radius_contacts(points, probes, group, point_id, probe_id, r).join(probes.select(F.col(group), F.col(probe_id).alias("probe"), kind.alias("kind")), [group, "probe"])
-    seen = points.select(F.col(group), F.col(point_id).alias("point")).join(near, [group, "point"], "left")
+    near = radius_contacts(points, probes, group, point_id, probe_id, r).join(probes.select(F.col(group), F.col(probe_id).alias("probe"), kind.alias("kind")).hint("merge"), [group, "probe"])
+    seen = points.select(F.col(group), F.col(point_id).alias("point")).join(near.hint("merge"), [group, "point"], "left")
     return state_from_evidence(seen, [group, "point"], F.lit(True), F.col("kind") == "FUNCTIONAL", F.col("kind") == "UNRESOLVED")
 
 
+def partner_states(
+    points: DataFrame, partners: DataFrame, described: DataFrame, entry: str, position: str, partner: str, occupancy: str, r: float,
+    text: str, length: str, keywords: Mapping[str, Sequence[str]], max_length: int, known: Column, known_label: str,
+) -> DataFrame:
+    """(entry, partner, min_distance, positions, category) of the partners that touch an entry's points within r: the positions that they
+    touch, and a class by what is known of them or by keywords of their description. Atoms without occupancy do not count, nor do
+    partners without others. described (partner, text, length, and what ``known`` needs); partners without a row there are classed
+    by an empty text."""
+    near = probe_contacts(points, partners, entry, position, partner, occupancy, r, r, inventory=False).where("within_near")
+    named = described.select(F.col(partner).alias("_p"), F.coalesce(keyword_class(F.col(text), F.col(length), keywords, max_length, known, known_label)).alias("category"))
+    return near.join(named.hint("merge"), F.col("probe") == F.col("_p"), "left").select(entry, F.col("probe").alias(partner), "min_distance", "positions", F.coalesce("category", F.lit("OTHER")).alias("category"))
+
+
 def interpretation_table(tests: DataFrame, sites: DataFrame, names: Mapping[str, str], prefixes: Mapping[str, str]) -> DataFrame:
     """tests (unit, segment, position, ...): category of the segment and nearest site position."""
     near = nearest_within(tests, sites, ["unit"], "position", "site_position")

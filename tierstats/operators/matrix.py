@@ -19,15 +19,6 @@ from .joins import radius_contacts
 from .windows import avg_rank
 
 LONG = ["id", "feature", "value"]
-#: Bound on the rows of a matrix whose rows are paired: their pairs are its square. It is counted, and exceeding it is an error.
-MOST_PAIRED = 20_000
-
-
-def few_enough(rows: DataFrame, what: str = "rows", most: int = MOST_PAIRED) -> DataFrame:
-    """``rows``, if there are no more than ``most`` of them."""
-    if (n := rows.count()) > most:
-        raise ValueError(f"{n} {what} are too many to be paired, the bound is {most}")
-    return rows
 
 
 def grid(long: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -45,11 +36,11 @@ def impute_median(long: DataFrame, cohort: DataFrame) -> DataFrame:
 
 
 def pair_distances(long: DataFrame, scale_missing: bool = False) -> DataFrame:
-    """(a, b, d) of all ordered pairs of ids, over the features that both have (rows of a matrix, so pairs are few).
+    """(a, b, d) of all ordered pairs of ids, over the features that both have. Each pair is a row of the result, so it is meant for
+    matrices of units; ``density`` has neighbours without pairs.
 
     scale_missing: squared distances are scaled up by features / common features."""
     n = long.select("feature").distinct().count()
-    few_enough(long.select("id").distinct())
     a, b = long.select(F.col("id").alias("a"), "feature", F.col("value").alias("_x")), long.select(F.col("id").alias("b"), "feature", F.col("value").alias("_y"))
     g = a.join(b.hint("merge"), "feature").where("a <> b").groupBy("a", "b").agg(F.sum((F.col("_x") - F.col("_y")) ** 2).alias("_s"), F.count(F.lit(1)).alias("_n"))
     return g.select("a", "b", F.sqrt(F.col("_s") * (F.lit(float(n)) / F.col("_n")) if scale_missing else F.col("_s")).alias("d"))
@@ -121,23 +112,6 @@ def kmeans(v: DataFrame, ks: Sequence[int], seed: int = 42) -> DataFrame:
     return _union([_labels(KMeans(k=k, seed=seed).fit(v), v, k, "kmeans") for k in ks])
 
 
-def gmm(v: DataFrame, ks: Sequence[int], seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Labels, and (k, log_likelihood, aic, bic) of full-covariance mixtures."""
-    from pyspark.ml.clustering import GaussianMixture
-
-    n, labels, scores = v.count(), [], []
-    d = len(v.first()["features"])
-    from math import log
-
-    for k in ks:
-        m = GaussianMixture(k=k, seed=seed).fit(v)
-        ll = float(m.summary.logLikelihood)
-        p = k - 1 + k * d + k * d * (d + 1) // 2
-        labels.append(_labels(m, v, k, "gmm"))
-        scores.append((k, ll, 2 * p - 2 * ll, p * log(n) - 2 * ll))
-    return _union(labels), v.sparkSession.createDataFrame(scores, "k int, log_likelihood double, aic double, bic double")
-
-
 def hierarchical(v: DataFrame, ks: Sequence[int], seed: int = 42) -> DataFrame:
     """Bisecting k-means: a divisive tree on the variance criterion; its labels are not those of Ward's method."""
     from pyspark.ml.clustering import BisectingKMeans
@@ -208,10 +182,11 @@ def _squared(x: str, y: str) -> str:
     return f"aggregate(zip_with({x}, {y}, (p, q) -> (p - q) * (p - q)), 0D, (t, e) -> t + e)"
 
 
-def grouped_kmeans(points: DataFrame, ks: Sequence[int], seed: int = 42, restarts: int = 3, rounds: int = 20) -> DataFrame:
+def grouped_kmeans(points: DataFrame, ks: Sequence[int], seed: int = 42, restarts: int = 3, rounds: int = 300) -> DataFrame:
     """points (ref, id, x array) -> (ref, id, x, k, cluster): Lloyd's k-means of each ref and k side by side, the best of
     ``restarts`` starts. Each round is one pass over the points and one aggregate; what is broadcast are the centres,
-    refs x restarts x the sum of ks of them. Rounds end when no assignment cost changes."""
+    refs x restarts x the sum of ks of them. Rounds end when no assignment cost changes; k-means settles after finitely many, and
+    not having settled after ``rounds`` is an error."""
     spark, dims = points.sparkSession, range(len(points.first()["x"]))
     points = staged(points.select("ref", "id", "x"), "kmeans-points")
     tries = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("try")) for k in ks for t in range(restarts)))
@@ -230,6 +205,8 @@ def grouped_kmeans(points: DataFrame, ks: Sequence[int], seed: int = 42, restart
         last, cost, centres, settled = at, now, moved.select("ref", "k", "try", "cluster", "x"), now == cost
         if settled:
             break
+    else:
+        raise RuntimeError(f"k-means has not settled in {rounds} rounds")
     best = moved.groupBy("ref", "k", "try").agg(F.sum("d").alias("d")).groupBy("ref", "k").agg(F.min_by("try", F.struct("d", "try")).alias("try"))
     return last.join(F.broadcast(staged(best, "kmeans-best")), ["ref", "k", "try"]).select("ref", "id", "x", "k", "cluster")
 
@@ -239,7 +216,6 @@ def gap_statistic(long: DataFrame, features: Sequence[str], ks: Sequence[int], r
     at least the next one's less its s. All references and ks are clustered side by side; within clusters rows are paired."""
     cell = lambda f: F.max(F.when(F.col("feature") == f, F.col("value")))
     own = long.groupBy("id").agg(F.array(*(cell(f) for f in features)).alias("x")).where(F.forall("x", F.isnotnull))
-    few_enough(own)
     lo, hi = (F.array(*(agg(F.col("x")[i]) for i in range(len(features)))) for agg in (F.min, F.max))
     box = own.agg(lo.alias("lo"), hi.alias("hi"))  # one row
     unit = lambda i: F.pmod(F.xxhash64(F.lit(seed), "ref", "id", F.lit(i)), F.lit((1 << 31) - 1)) / float((1 << 31) - 1)
@@ -258,34 +234,6 @@ def gap_statistic(long: DataFrame, features: Sequence[str], ks: Sequence[int], r
     return g.withColumn("good", good).withColumn("chosen", F.col("good") & (F.col("k") == F.min(F.when(F.col("good"), F.col("k"))).over(one))).select("k", "gap", "s", F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
-def dbscan_grid(points: DataFrame, group: str, point_id: str, percents: Sequence[int] = (10, 20, 30, 40, 50, 60, 70), leasts: Sequence[int] = (2, 3, 4, 5)) -> DataFrame:
-    """(eps_percent, eps, min_samples, n_clusters, n_core, noise_share) of density clusters for every setting: eps is a percentile
-    of the distances inside the groups. Points are paired within a group (long ids under 2^40); all settings are worked
-    at once, as one graph whose nodes are points of a setting."""
-    few_enough(points, "points")
-    a = points.select(group, F.col(point_id).cast("long").alias("a"), "x", "y", "z")
-    b = a.select(group, F.col("a").alias("b"), *(F.col(c).alias(f"_{c}") for c in "xyz"))
-    d = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
-    pairs = staged(a.join(b.hint("merge"), group).where("a < b").select("a", "b", d.alias("d")), "dbscan-pairs")
-    eps = pairs.agg(F.percentile("d", F.array(*(F.lit(p / 100) for p in percents))).alias("e")).select(F.posexplode("e").alias("i", "eps"))
-    eps = staged(eps.select(F.element_at(F.array(*map(F.lit, percents)), F.col("i") + 1).alias("pct"), "eps"), "dbscan-eps")  # one row a percentile
-    near = pairs.join(F.broadcast(eps)).where("d <= eps").select("pct", "a", "b")
-    near = staged(near.unionByName(near.select("pct", F.col("b").alias("a"), F.col("a").alias("b"))), "dbscan-near")
-    n = near.groupBy("pct", "a").agg((F.count(F.lit(1)) + 1).alias("n"))
-    least = F.explode(F.array(*map(F.lit, leasts))).alias("least")
-    core = staged(n.select("pct", "a", "n", least).where("n >= least").select("pct", "least", "a"), "dbscan-core")
-    from_core = near.join(core.hint("merge"), ["pct", "a"])
-    links = from_core.join(core.select("pct", "least", F.col("a").alias("b")).hint("merge"), ["pct", "least", "b"])
-    node = lambda c: (F.col("pct") * 1000 + F.col("least")) * (1 << 40) + F.col(c)
-    roots = connected_components(links.where("a < b").select(node("a").alias("a"), node("b").alias("b")))
-    named = core.withColumn("node", node("a")).join(roots.hint("merge"), "node", "left").groupBy("pct", "least").agg(F.count_distinct(F.coalesce("root", "node")).alias("n_clusters"), F.count(F.lit(1)).alias("n_core"))
-    held = from_core.select("pct", "least", F.col("b").alias("a")).unionByName(core).distinct().groupBy("pct", "least").agg(F.count(F.lit(1)).alias("n_held"))
-    total = points.count()
-    settings = eps.select("pct", "eps", least)
-    out = settings.join(named, ["pct", "least"], "left").join(held, ["pct", "least"], "left").fillna(0, ["n_clusters", "n_core", "n_held"])
-    return out.select(F.col("pct").alias("eps_percent"), "eps", F.col("least").alias("min_samples"), "n_clusters", "n_core", (1 - F.col("n_held") / total).alias("noise_share"))
-
-
 def rand_indices(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: Rand and adjusted Rand index of two labelings (id, cluster), from the contingency table."""
     j = a.select("id", F.col("cluster").alias("x")).join(b.select("id", F.col("cluster").alias("y")), "id").groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -300,13 +248,60 @@ def rand_indices(a: DataFrame, b: DataFrame) -> DataFrame:
     return t.select(((total + 2 * F.col("ij") - F.col("i") - F.col("j")) / total).alias("rand"), F.coalesce(ari, F.lit(1.0)).alias("ari"))
 
 
+def rand_table(labels: DataFrame) -> DataFrame:
+    """labels (id, method, k, cluster) -> (k, method_a, method_b, n, rand, ari): both indices of every two methods at equal k, over the ids
+    that both label, from their contingency tables."""
+    a = labels.select("id", "k", F.col("method").alias("method_a"), F.col("cluster").alias("x"))
+    b = labels.select("id", "k", F.col("method").alias("method_b"), F.col("cluster").alias("y"))
+    by = ["k", "method_a", "method_b"]
+    j = a.join(b.hint("merge"), ["id", "k"]).where("method_a < method_b").groupBy(*by, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = lambda: F.sum(F.col("n") * (F.col("n") - 1) / 2)
+    rows = j.groupBy(*by, "x").agg(F.sum("n").alias("n")).groupBy(*by).agg(pairs().alias("i"))
+    cols = j.groupBy(*by, "y").agg(F.sum("n").alias("n")).groupBy(*by).agg(pairs().alias("j"))
+    t = j.groupBy(*by).agg(pairs().alias("ij"), F.sum("n").alias("n")).join(rows.hint("merge"), by).join(cols.hint("merge"), by)
+    total = F.col("n") * (F.col("n") - 1) / 2
+    expected = F.col("i") * F.col("j") / total
+    middle = (F.col("i") + F.col("j")) / 2
+    ari = (F.col("ij") - expected) / F.when(middle != expected, middle - expected)
+    return t.select(*by, F.col("n").cast("long").alias("n"), ((total + 2 * F.col("ij") - F.col("i") - F.col("j")) / total).alias("rand"), F.coalesce(ari, F.lit(1.0)).alias("ari"))
+
+
 def embedding_stability(first: DataFrame, second: DataFrame, level: float = 0.7) -> DataFrame:
     """One row: Spearman correlation of the pairwise distances (a, b, d) of two embeddings, STABLE from ``level`` up."""
-    j = first.where("a < b").select("a", "b", F.col("d").alias("x")).join(second.where("a < b").select("a", "b", F.col("d").alias("y")), ["a", "b"]).withColumn("_t", F.lit(1))
+    j = first.where("a < b").select("a", "b", F.col("d").alias("x")).join(second.where("a < b").select("a", "b", F.col("d").alias("y")).hint("merge"), ["a", "b"]).withColumn("_t", F.lit(1))
     r = avg_rank(avg_rank(j, ["_t"], "x", "rx"), ["_t"], "y", "ry")
     return r.agg(F.count(F.lit(1)).alias("n_pairs"), F.corr("rx", "ry").alias("spearman")).withColumn("status", F.when(F.col("spearman") >= level, "STABLE").otherwise("UNSTABLE"))
 
 
+def projection_signs(dims: int, target: int, seed: int) -> list[list[int]]:
+    """Of a seed's random projection to ``target`` dimensions, the sign of each step: rows are the steps, columns the dimensions."""
+    import numpy as np
+
+    from .resample import mixed
+
+    at = np.arange(target * dims, dtype=np.uint32) + np.uint32(seed * 1_000_003)
+    return (1 - 2 * (mixed(mixed(at)) >> np.uint32(31)).astype(int)).reshape(target, dims).tolist()
+
+
+def projection_stability(points: DataFrame, dims: int, target: int, seeds: Sequence[int], level: float = 0.7) -> DataFrame:
+    """points (id, x: array of ``dims`` numbers) -> (seed, n_pairs, spearman, mean_spearman, status): random projections against the points
+    themselves. For each seed, the rank correlation of the distances of all pairs before and after; STABLE if the mean over the
+    seeds is ``level`` or more. The vectors of distances are as long as there are pairs, which is the measure; ranks of each
+    seed go by range partitions."""
+    x = points.select("id", "x")
+    parts = [F.lit(0).alias("seed"), *(F.lit(s).alias("seed") for s in seeds)]
+    step = lambda row: sum((F.col("x")[i] if s > 0 else -F.col("x")[i] for i, s in enumerate(row)), F.lit(0.0))
+    views = [x.select("id", parts[0], "x"), *(x.select("id", p, F.array(*(step(r) for r in projection_signs(dims, target, s))).alias("x")) for p, s in zip(parts[1:], seeds, strict=True))]
+    held = staged(_union(views), "projections")
+    other = held.select(F.col("id").alias("b"), F.col("seed").alias("_s"), F.col("x").alias("y"))
+    d = held.join(other.hint("merge"), F.col("seed") == F.col("_s")).where("id < b").select("seed", F.col("id").alias("a"), "b", F.round(F.sqrt(F.expr(_squared("x", "y"))), 9).alias("d"))
+    ranked = staged(avg_rank(d, ["seed"], "d", "r").select("seed", "a", "b", "r"), "projection-ranks")
+    own = ranked.where("seed = 0").select("a", "b", F.col("r").alias("r0"))
+    by = ranked.where("seed <> 0").join(own.hint("merge"), ["a", "b"]).groupBy("seed").agg(F.count(F.lit(1)).alias("n_pairs"), F.corr("r", "r0").alias("spearman"))
+    mean = by.agg(F.avg("spearman").alias("mean_spearman"))  # one row
+    return by.join(F.broadcast(mean)).withColumn("status", F.when(F.col("mean_spearman") >= level, "STABLE").otherwise("UNSTABLE"))
+
+
 def complete_entry_view(long: DataFrame, features: Sequence[str]) -> DataFrame:
     """First two components of the standardised rows that have all features."""
     full, _ = complete_case(long, features)

@@ -72,6 +72,12 @@ class Ordered:
         d = self._carried(rows.withColumn(out, F.sum(value).over(self._local)), value, F.sum, (W.unboundedPreceding, W.unboundedFollowing))
         return d.withColumn(out, F.coalesce("_carry", out)).drop("_carry")
 
+    def preceding_max(self, rows: DataFrame, value: str, out: str) -> DataFrame:
+        """The largest ``value`` of the family's rows before this one, null for the first."""
+        own = F.max(value).over(self._local.orderBy(*self.order).rowsBetween(W.unboundedPreceding, -1))
+        d = self._carried(rows.withColumn(out, own), F.col(value), F.max, (W.unboundedPreceding, -1))
+        return d.withColumn(out, F.greatest(out, "_carry")).drop("_carry")  # greatest skips nulls
+
     def following_min(self, rows: DataFrame, value: str, out: str) -> DataFrame:
         """The least ``value`` of the family's rows from this one on."""
         own = F.min(value).over(self._local.orderBy(*self.order).rowsBetween(W.currentRow, W.unboundedFollowing))

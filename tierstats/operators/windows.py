@@ -71,11 +71,13 @@ def merge_gaps(run: DataFrame, keys: list[str], state: str, joined: str, gap: in
     return g.drop("_g")
 
 
-def merge_intervals(df: DataFrame, keys: list[str], b: str, e: str) -> DataFrame:
-    """Union of overlapping or adjacent inclusive intervals."""
-    w = W.partitionBy(*keys).orderBy(b, e)
-    reach = F.max(e).over(w.rowsBetween(W.unboundedPreceding, -1))
-    d = df.withColumn("_new", F.when(F.col(b) <= reach + 1, 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+def merge_intervals(df: DataFrame, keys: list[str], b: str, e: str, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+    """Union of overlapping or adjacent inclusive intervals. One key may have all of them: beyond ``plain_rows`` distinct
+    intervals they are swept in range partitions, whose reach is carried over to the next ones."""
+    o = Ordered(df.select(*keys, b, e).distinct(), keys, [b, e], plain_rows)
+    d = o.preceding_max(o.rows, e, "_reach")
+    d = o.settled(d.withColumn("_new", F.when(F.col(b) <= F.col("_reach") + 1, 0).otherwise(1)))
+    d = o.running_sum(d, F.col("_new"), "_g")
     return d.groupBy(*keys, "_g").agg(F.min(b).alias("start"), F.max(e).alias("end")).drop("_g")
 
 

@@ -32,11 +32,21 @@ def ag1b(s, d):
     return g.select("l_orderkey", A.pick_from_arrays(c("l"), c("o"), c("v"))["val"].alias("value"))
 
 
-@query("AG3_zscore_within", """SELECT instance, position, round(z, 6) AS z, CASE WHEN n_usable >= 2 THEN round(sd, 4) END AS sd, n_usable, CASE WHEN value IS NULL THEN 'VALUE_MISSING' WHEN n_usable < 2 THEN 'NOT_NORMALIZABLE_FEW_VALUES' WHEN sd <= 1e-12 THEN 'NOT_NORMALIZABLE_CONSTANT' ELSE 'NORMALIZED' END AS row_status FROM norm""")
+_AG3 = """SELECT instance, position, round(z, 6) AS z, CASE WHEN n_usable >= 2 THEN round(sd, 4) END AS sd, n_usable, CASE WHEN value IS NULL THEN 'VALUE_MISSING' WHEN n_usable < 2 THEN 'NOT_NORMALIZABLE_FEW_VALUES' WHEN sd <= 1e-12 THEN 'NOT_NORMALIZABLE_CONSTANT' ELSE 'NORMALIZED' END AS row_status FROM norm"""
+
+
+@query("AG3_zscore_within", _AG3)
 def ag3(s, d):
     return norm(s, d).select("instance", "position", F.round("z", 6).alias("z"), F.round("sd", 4).alias("sd"), "n_usable", "row_status")
 
 
+@query("AG3b_zscore_hot_instances", _AG3)
+def ag3b(s, d):
+    """The same with instances of more than ten values refined by histograms."""
+    z = A.zscore_within(obs(s, d), "instance", "value", plain_values=10)
+    return z.select("instance", "position", F.round("z", 6).alias("z"), F.round("sd", 4).alias("sd"), "n_usable", "row_status")
+
+
 @query("AG4_instance_summary", """SELECT instance, count(*) AS n_rows, count(value) AS n_usable, round(count(value) / count(*), 6) AS usable_fraction, round(avg(value), 6) AS mean, round(median(value), 4) AS median, round(avg((z > 1.5)::INT), 6) AS share_above, round(avg((z < -1.5)::INT), 6) AS share_below FROM norm GROUP BY instance""")
 def ag4(s, d):
     g = A.instance_summary(norm(s, d).select("instance", "value", "z"), "instance", "value", "z")
@@ -60,12 +70,22 @@ def ag7(s, d):
     return prof(s, d).select("entry", "position", F.round("z", 6).alias("z"), "n_instances")
 
 
-@query("AG8_unit_position_profile", """SELECT unit, position, count(z) AS n, round(avg(z), 6) AS mean, round(median(z), 6) AS median, round(stddev_samp(z), 6) AS sd, round(quantile_cont(z, 0.25), 6) AS q25, round(quantile_cont(z, 0.75), 6) AS q75, round(median(z) FILTER (state = 'HOLO') - median(z) FILTER (state = 'APO'), 6) AS delta FROM prof GROUP BY unit, position""")
+_AG8 = """SELECT unit, position, count(z) AS n, round(avg(z), 6) AS mean, round(median(z), 6) AS median, round(stddev_samp(z), 6) AS sd, round(quantile_cont(z, 0.25), 6) AS q25, round(quantile_cont(z, 0.75), 6) AS q75, round(median(z) FILTER (state = 'HOLO') - median(z) FILTER (state = 'APO'), 6) AS delta FROM prof GROUP BY unit, position"""
+
+
+@query("AG8_unit_position_profile", _AG8)
 def ag8(s, d):
     g = A.unit_position_profile(prof(s, d), ["unit", "position"], "z", "state")
     return g.select("unit", "position", "n", *R6("mean", "median", "sd", "q25", "q75", "delta"))
 
 
+@query("AG8b_profile_hot_groups", _AG8)
+def ag8b(s, d):
+    """The same with groups of more than 25 values refined by histograms."""
+    g = A.unit_position_profile(prof(s, d), ["unit", "position"], "z", "state", plain_values=25)
+    return g.select("unit", "position", "n", *R6("mean", "median", "sd", "q25", "q75", "delta"))
+
+
 @query("AG9_unit_summary", """SELECT n_nationkey AS unit, coalesce(n_positions, 0) AS n_positions, coalesce(n3, 0) AS n_at_3, coalesce(n5, 0) AS n_at_5, coalesce(n10, 0) AS n_at_10, round(hi, 6) AS share_high, CASE WHEN coalesce(n_positions, 0) = 0 THEN 'NO_DATA' WHEN n3 = 0 THEN 'INSUFFICIENT' ELSE 'PROFILED' END AS status FROM nation LEFT JOIN (SELECT unit, count(*) AS n_positions, count(*) FILTER (n >= 3) AS n3, count(*) FILTER (n >= 5) AS n5, count(*) FILTER (n >= 10) AS n10, avg((m > 1)::INT) AS hi FROM (SELECT unit, position, count(*) AS n, median(z) AS m FROM prof GROUP BY ALL) GROUP BY unit) ON unit = n_nationkey""")
 def ag9(s, d):
     u = A.unit_summary(table(s, d, "nation").select(c("n_nationkey").alias("unit")), "unit", prof(s, d), "z")

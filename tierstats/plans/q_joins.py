@@ -73,6 +73,12 @@ def _registry(s, d):
 _REG = """SELECT 'volume' AS category, 'n_lines' AS metric, count(*)::DOUBLE AS value, 'lineitem' AS source FROM lineitem UNION ALL SELECT 'volume', 'n_orders', count(*), 'orders' FROM orders UNION ALL SELECT 'value', 'max_quantity', max(l_quantity), 'lineitem' FROM lineitem"""
 
 
+@query("IO6b_file_manifest")
+def io6b(s, d):
+    """Every Parquet file of the tables with its size and hash."""
+    return T.file_manifest(s, d, "*.parquet")
+
+
 @query("IO7_metrics_registry", _REG)
 def io7(s, d):
     return _registry(s, d)
@@ -150,6 +156,14 @@ def jn9(s, d):
     return J.overlap_fraction(i.where("flag = 'N'"), i.where("flag <> 'N'")).drop("fraction")
 
 
+@query("JN9b_one_partner", """WITH a AS (SELECT DISTINCT k, unnest(range(b, e + 1)) AS p FROM lines WHERE flag = 'N'), p AS (SELECT k, count(DISTINCT flag) AS n FROM lines WHERE flag <> 'N' GROUP BY k), z AS (SELECT DISTINCT k, unnest(range(b, e + 1)) AS p FROM lines WHERE flag <> 'N'),
+la AS (SELECT k, count(*) AS len_a FROM a GROUP BY k), lb AS (SELECT k, count(*) AS len_b FROM z GROUP BY k), o AS (SELECT k, count(*) AS overlap FROM a JOIN z USING (k, p) GROUP BY k)
+SELECT k, coalesce(n, 0) AS n_partners, CASE WHEN n = 1 THEN coalesce(overlap, 0) END AS overlap, CASE WHEN n = 1 AND coalesce(overlap, 0) / least(len_a, len_b) <= 0.05 THEN 'DISJOINT' WHEN n = 1 AND coalesce(overlap, 0) / least(len_a, len_b) >= 0.8 THEN 'SAME' ELSE 'AMBIGUOUS' END AS relation FROM la LEFT JOIN p USING (k) LEFT JOIN lb USING (k) LEFT JOIN o USING (k)""")
+def jn9b(s, d):
+    i = lines(s, d)
+    return J.overlap_fraction(i.where("flag = 'N'"), i.where("flag <> 'N'"), partner="flag").select("k", "n_partners", "overlap", "relation")
+
+
 @query("JN10_boundary_sensitivity", """WITH p AS (SELECT DISTINCT k, unnest(range(b, e + 1)) AS p FROM lines) SELECT k, round(count(*) FILTER (p BETWEEN 50 AND 149) / 100, 6) AS coverage_a, round(count(*) FILTER (p BETWEEN 80 AND 179) / 100, 6) AS coverage_b, (count(*) FILTER (p BETWEEN 50 AND 149) / 100 >= 0.3) <> (count(*) FILTER (p BETWEEN 80 AND 179) / 100 >= 0.3) AS changed FROM p GROUP BY k""")
 def jn10(s, d):
     g = J.boundary_sensitivity(lines(s, d), ["k"], "b", "e", (50, 149), (80, 179), 0.3)
@@ -162,6 +176,30 @@ def jn11(s, d):
     return J.radius_contacts(p, p, "label", "vec_id", "vec_id", 5.0).withColumn("distance", F.round("distance", 6))
 
 
+_ATOMS = "(SELECT label, vec_id % 100 AS position, vec_id // 20 AS probe, embedding[4] AS occ_point, embedding[5] AS occ_probe, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE * 100 AS z FROM embeddings)"
+
+
+def contact_atoms(s, d):
+    """Vectors as atoms, with two more components as occupancies, some of them 0 or less; a probe has up to 20 atoms."""
+    at = lambda i: c("embedding")[i].cast("double") * 100
+    return table(s, d, "embeddings").select("label", (c("vec_id") % 100).alias("position"), F.floor(c("vec_id") / 20).alias("probe"), c("embedding")[3].alias("occ_point"), c("embedding")[4].alias("occ_probe"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
+
+
+def _probes_sql(inventory: bool) -> str:
+    return f"""(WITH t AS {_ATOMS}, a AS (SELECT *, max(occ_probe) OVER (PARTITION BY label, probe) > 0 AS has FROM t), q AS (SELECT * FROM a WHERE occ_probe > 0{' OR NOT has' if inventory else ''}), p AS (SELECT * FROM t WHERE occ_point > 0),
+  d AS (SELECT q.label, q.probe, p.position, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) AS d FROM q JOIN p ON p.label = q.label),
+  m AS (SELECT label, probe, min(d) AS d, array_to_string(list_sort(list(DISTINCT position) FILTER (d <= 4.5)), ',') AS positions FROM d GROUP BY ALL)
+  SELECT q.label, q.probe, count(*) AS n_atoms, round(any_value(m.d), 6) AS min_distance, coalesce(any_value(m.d) <= 4.5, false) AS within_near, coalesce(any_value(m.d) <= 5.0, false) AS within_far, coalesce(any_value(positions), '') AS positions FROM q LEFT JOIN m ON m.label = q.label AND m.probe = q.probe GROUP BY q.label, q.probe)"""
+
+
+@query("JN11b_probe_contacts", f"""SELECT 'inventory' AS form, * FROM {_probes_sql(True)} UNION ALL SELECT 'pocket', * FROM {_probes_sql(False)}""")
+def jn11b(s, d):
+    t = contact_atoms(s, d)
+    form = lambda name, inventory: J.probe_contacts(t.withColumnRenamed("occ_point", "occ"), t.withColumnRenamed("occ_probe", "occ"), "label", "position", "probe", "occ", inventory=inventory).select(F.lit(name).alias("form"), "*")
+    both = form("inventory", True).unionByName(form("pocket", False))
+    return both.withColumns({"min_distance": F.round("min_distance", 6), "positions": F.concat_ws(",", "positions")})
+
+
 @query("JN12_nearest_within", """SELECT i.k, i.b, min({'d': abs(s - b), 's': s}).s AS nearest FROM (SELECT DISTINCT k, b FROM lines) i LEFT JOIN (SELECT DISTINCT k, e AS s FROM lines WHERE flag = 'R') x ON x.k = i.k AND abs(s - b) <= 30 GROUP BY i.k, i.b""")
 def jn12(s, d):
     i = lines(s, d)
@@ -209,6 +247,17 @@ def jn17(s, d):
     return J.pair_identity(q, "unit", "position", "sym").withColumn("identity", F.round("identity", 6))
 
 
+@query("JN17b_identity_summary", """WITH q AS (SELECT unit, position, min(label) AS sym FROM rec WHERE quantity > 45 AND position BETWEEN unit * 2 - 12 AND unit * 2 + 16 GROUP BY ALL), r AS (SELECT unit, min(position) AS lo, max(position) AS hi FROM q GROUP BY unit), i AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY position) - 1 AS idx FROM q),
+p AS (SELECT avg((a.sym = b.sym)::INT) AS m FROM q a JOIN q b ON a.position = b.position AND a.unit < b.unit GROUP BY a.unit, b.unit), x AS (SELECT avg((a.sym = b.sym)::INT) AS m FROM i a JOIN i b ON a.idx = b.idx AND a.unit < b.unit GROUP BY a.unit, b.unit), n AS (SELECT count(*)::DOUBLE AS n FROM q GROUP BY sym)
+SELECT (SELECT count(*) FROM r) AS n_units, (SELECT count(*) FROM r a JOIN r b ON a.unit < b.unit) AS n_pairs, (SELECT count(*) FROM r a JOIN r b ON a.unit < b.unit WHERE a.hi < b.lo OR b.hi < a.lo) AS n_disjoint, (SELECT count(*) FROM p) AS n_sharing,
+(SELECT round(avg(m), 6) FROM p) AS identity_position, (SELECT round(avg(m), 6) FROM x) AS identity_relative, (SELECT round(sum(n * n) / sum(n) ** 2, 6) FROM n) AS chance""")
+def jn17b(s, d):
+    """Units see windows of positions that move along, so that some pairs share none."""
+    seen = c("position").between(c("unit") * 2 - 12, c("unit") * 2 + 16)
+    q = rec(s, d).where((c("quantity") > 45) & seen).groupBy("unit", "position").agg(F.min("label").alias("sym"))
+    return J.identity_summary(q, "unit", "position", "sym").select("n_units", "n_pairs", "n_disjoint", "n_sharing", *R6("identity_position", "identity_relative", "chance"))
+
+
 @query("JN18_crosscheck", """WITH l AS (SELECT DISTINCT instance, position FROM rec WHERE quantity = 1) SELECT o.instance, o.position, CASE WHEN l.instance IS NOT NULL AND value IS NOT NULL THEN 'LISTED_BUT_POSITIVE' WHEN l.instance IS NOT NULL THEN 'LISTED_BUT_ZERO' END AS category FROM obs o LEFT JOIN l ON l.instance = o.instance AND l.position = o.position WHERE l.instance IS NOT NULL""")
 def jn18(s, d):
     g = J.crosscheck(obs(s, d), rec(s, d).where("quantity = 1"), ["instance", "position"], c("n_records") > 0, c("value").isNotNull())

@@ -10,6 +10,7 @@ from tierstats.sources import fixtures
 from tierstats.sources.fixtures import prof, pts, rec, segment_of, table, unitseg
 
 from . import tails
+from .q_joins import _probes_sql, contact_atoms
 from .q_stats import _draws, _F, _TESTS_P
 from .registry import query
 
@@ -240,6 +241,15 @@ def cl17(s, d):
     return state_comparison(s, d).select("unit", "segment", "n1", "n2", "u", *(F.round(x, 6).alias(x) for x in ("delta", "p", "q", "q_global")), F.round("median_delta", 8).alias("median_delta"), "tier")
 
 
+_PROF = "(SELECT unit, position, state AS s, round(z, 6) AS v FROM prof)"
+
+
+@query("CL17b_position_comparison", f"""SELECT unit, position, n1, n2, u, tier, round(p, 6) AS p, round(q, 6) AS q, round(q_global, 6) AS q_global FROM {tails.with_q(tails.with_q(tails.mann_whitney(_PROF, 'unit, position'), 'unit', 'position'), '', 'unit, position', 'q_global')}""")
+def cl17b(s, d):
+    g = L.position_comparison(prof(s, d).withColumn("z", F.round("z", 6)), "z")
+    return g.select("unit", "position", "n1", "n2", "u", "tier", *(F.round(x, 6).alias(x) for x in ("p", "q", "q_global")))
+
+
 @query("CL18_curated_site_scores", f"""WITH e AS (SELECT unit, entry, position, median(z) AS z FROM norm WHERE z IS NOT NULL GROUP BY ALL), x AS (SELECT * FROM {_SITES} WHERE site = 'GROOVE'), f AS (SELECT unit, entry, site, avg(z) AS m FROM e JOIN x USING (unit, position) GROUP BY ALL HAVING count(*) = 3)
 SELECT x.unit, x.site, round(s, 6) AS score, coalesce(n, 0) AS n_entries FROM (SELECT DISTINCT unit, site FROM x) x LEFT JOIN (SELECT unit, site, median(m) AS s, count(*) AS n FROM f GROUP BY ALL) g ON g.unit = x.unit AND g.site = x.site""")
 def cl18(s, d):
@@ -258,6 +268,18 @@ def cl19(s, d):
     return L.ligand_states(p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1"), "label", "vec_id", "vec_id", kind, 6.0)
 
 
+@query("CL19b_partner_states", f"""SELECT label, probe AS doc_id, min_distance, positions, CASE WHEN lang = 'fr' THEN 'KNOWN' WHEN n_chars <= 5000 AND (contains(lower(text), 'license') OR contains(lower(text), 'copyright')) THEN 'LEGAL' WHEN n_chars <= 5000 AND contains(lower(text), 'token') THEN 'SECRET' ELSE 'OTHER' END AS category FROM {_probes_sql(False)} LEFT JOIN documents ON doc_id = probe WHERE within_near""")
+def cl19b(s, d):
+    """Partners described by the documents of the same number."""
+    t = contact_atoms(s, d)
+    docs = table(s, d, "documents").select("doc_id", "text", "n_chars", "lang")
+    g = L.partner_states(
+        t.withColumnRenamed("occ_point", "occ"), t.withColumnRenamed("occ_probe", "occ").withColumnRenamed("probe", "doc_id"), docs, "label", "position", "doc_id", "occ", 4.5,
+        "text", "n_chars", {"LEGAL": ["license", "copyright"], "SECRET": ["token"]}, 5000, c("lang") == "fr", "KNOWN",
+    )
+    return g.withColumns({"min_distance": F.round("min_distance", 6), "positions": F.concat_ws(",", "positions")})
+
+
 @query("CL20_interpretation_table", f"""SELECT t.unit, t.segment, t.position, CASE WHEN t.segment = 'S0' THEN 'FIRST' WHEN starts_with(t.segment, 'S') THEN 'BODY' ELSE 'OTHER' END AS category, (SELECT min({{'d': abs(x.position - t.position), 's': x.position}}) FROM {_SITES} x WHERE x.unit = t.unit AND abs(x.position - t.position) <= 3).s AS nearest FROM (SELECT unit, segment, (substr(segment, 2)::INT * 10 + 6) AS position FROM unitseg) t""")
 def cl20(s, d):
     t = unitseg(s, d).select("unit", "segment", (F.substring("segment", 2, 9).cast("int") * 10 + 6).alias("position"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tierstats.operators import aggregate as A
 from tierstats.operators import joins as J
 from tierstats.operators import loo as L
+from tierstats.operators import resample as B
 from tierstats.operators import stats as S
 from tierstats.operators import windows as W
 from tierstats.sources.fixtures import feat, prof, rec, table, unitseg
@@ -151,6 +152,25 @@ def st9c(s, d):
     return S.bootstrap_epsilon2(unitseg(s, d).withColumn("v", F.round("v", 6)), ["segment"], "grp", "v").select("segment", *R6("ci_low", "ci_high"))
 
 
+def _mixed(x: str, p: str) -> str:
+    """SQL columns that mix the 32-bit number x; the last is p5."""
+    u, full = "::UBIGINT", "4294967295::UBIGINT"
+    return f"({x}) & {full} AS {p}0, xor({p}0, {p}0 >> 16) AS {p}1, ({p}1 * {B.MIX_1}{u}) & {full} AS {p}2, xor({p}2, {p}2 >> 13) AS {p}3, ({p}3 * {B.MIX_2}{u}) & {full} AS {p}4, xor({p}4, {p}4 >> 16) AS {p}5"
+
+
+_STEPS = " + ".join(f"(h5 >= {x})::BIGINT" for x in B.poisson_steps())
+
+
+@query("ST9d_mergeable_bootstrap", f"""WITH o AS MATERIALIZED (SELECT segment, v, (row_number() OVER (PARTITION BY segment ORDER BY v, unit, entry) - 1)::UBIGINT AS i FROM {_F}), b AS (SELECT range::BIGINT AS b, {_mixed(f'range::UBIGINT * {B.STEP}::UBIGINT + 1', 'g')} FROM range(500)),
+h AS (SELECT segment, v, i, b, {_mixed(f'i * {B.STEP}::UBIGINT + g5', 'h')} FROM o, b), w AS (SELECT segment, v, i, b, {_STEPS} AS w FROM h),
+c AS (SELECT segment, v, b, sum(w) OVER (PARTITION BY segment, b ORDER BY i) AS upto, sum(w) OVER (PARTITION BY segment, b) AS total FROM w WHERE w > 0),
+m AS (SELECT segment, b, (min(v) FILTER (upto > (total - 1) // 2) + min(v) FILTER (upto > total // 2)) / 2 AS m FROM c GROUP BY segment, b)
+SELECT segment, n, {_CI} FROM m JOIN (SELECT segment, count(*) AS n FROM o GROUP BY segment) USING (segment) GROUP BY segment, n""")
+def st9d(s, d):
+    """By weights, with ranges of a few hundred rows, so that a test is in many."""
+    return B.mergeable_bootstrap(rounded(s, d), ["segment"], ["unit", "entry"], "v", 500, plain_rows=0, part_rows=400).select("segment", "n", *R6("ci_low", "ci_high"))
+
+
 @query("ST10_loo_median", f"""WITH f AS {_F}, l AS (SELECT x.unit, x.segment, x.entry AS o, median(y.v) AS m FROM f x JOIN f y ON x.unit = y.unit AND x.segment = y.segment AND x.entry <> y.entry GROUP BY ALL), m AS (SELECT unit, segment, count(*) AS n, median(v) AS md FROM f GROUP BY ALL HAVING count(*) >= 3)
 SELECT unit, segment, any_value(n) AS n, round(min(m), 8) AS loo_min, round(max(m), 8) AS loo_max, round(max(abs(m - md)), 8) AS max_shift FROM l JOIN m USING (unit, segment) GROUP BY unit, segment""")
 def st10(s, d):

@@ -41,6 +41,20 @@ def missing_ids(requested: DataFrame, returned: DataFrame, key: str) -> DataFram
     return j.select(key, F.when(F.col("_k").isNull(), "REVIEW_NEEDED").otherwise("RETURNED").alias("status"))
 
 
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(file, bytes, sha256) of every file below ``path`` whose name fits ``pattern``, read where it lies. A file is one row while it is
+    hashed, so files may have 2 GB at most, and empty ones are not read; ``fingerprint_table`` has no bound."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def compare_manifests(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file, status): SAME, CHANGED, ADDED or REMOVED for every file of two manifests."""
+    a, b = before.select("file", F.col("sha256").alias("_a")), after.select("file", F.col("sha256").alias("_b"))
+    status = F.when(F.col("_a").isNull(), "ADDED").when(F.col("_b").isNull(), "REMOVED").when(F.col("_a") == F.col("_b"), "SAME").otherwise("CHANGED")
+    return a.join(b, "file", "full").select("file", status.alias("status"))
+
+
 def metrics_registry(metrics: Sequence[tuple[str, str, DataFrame, Column, str]]) -> DataFrame:
     """(category, metric, value, source) rows, each an aggregate over a table."""
     out = None
