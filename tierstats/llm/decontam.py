@@ -112,24 +112,26 @@ def _windows(sizes: list[int], wanted: Broadcast | None, items: bool):
     """
 
     def emit(b: pa.RecordBatch, at: list[int], tokens: list[list[str]], forms: list[list[str]], family: int, wanted: np.ndarray | None) -> pa.RecordBatch:
-        (h, first), (plain, _) = _hashes(forms), _hashes(tokens)
+        h, first = _hashes(forms)
         doc = np.repeat(np.arange(len(forms)), np.diff(first))
         literal = np.concatenate([[0], np.cumsum(np.fromiter((f[0] != "\x01" for d in forms for f in d), np.int64, len(h)))])
         rows, pos, size, hs, slots, classes, patterns = [], [], [], [], [], [], []
         kinds = [template_of(t, f) for t, f in zip(tokens, forms, strict=True)] if items else None
         for k in sizes:
             starts = whole_windows(first, k)
+            n = np.diff(first)[doc[starts]]
+            if items and k < WINDOW or k < SHORTEST:
+                starts = starts[n == k]
             if not len(starts):
                 continue
+            w = window_hashes(h, k)[starts]
             few = literal[starts + k] - literal[starts] < min(k, LEAST_WORDS)
-            w = np.where(few, mix(window_hashes(plain, k)[starts] + np.uint64(1)), window_hashes(h, k)[starts])
+            if few.any():
+                some = starts[few]
+                own = np.unique(doc[some])  # only their texts are hashed as they are
+                plain, at_ = _hashes([tokens[d] for d in own])
+                w[few] = mix(window_hashes(plain, k)[at_[np.searchsorted(own, doc[some])] + some - first[doc[some]]] + np.uint64(1))
             w = mix(w + np.uint64(16 * family + k))
-            n = np.diff(first)[doc[starts]]
-            if items:
-                fit = (n >= k) if k == WINDOW else (n == k)
-                starts, w = starts[fit], w[fit]
-            elif k < SHORTEST:
-                starts, w = starts[n == k], w[n == k]
             if wanted is not None:
                 found = wanted[np.minimum(np.searchsorted(wanted, w), len(wanted) - 1)] == w if len(wanted) else np.zeros(len(w), bool)
                 starts, w = starts[found], w[found]
