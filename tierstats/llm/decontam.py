@@ -63,8 +63,8 @@ def _whole_numbers(tokens: list[str]) -> list[str]:
     return out
 
 
-#: A capitalised word inside a sentence.
-INNER_CAPITAL = re.compile(r"(?<=[^\W\d_A-Z] |[0-9,;] )[A-ZÀ-Þ][a-zß-ÿ]+(?![^\W_])")
+#: A capitalised word inside a sentence. The capital comes first and what is before it after that, as a search for a class is fast.
+INNER_CAPITAL = re.compile(r"[A-ZÀ-Þ](?<=[^\W\d_A-Z] .|[0-9,;] .)[a-zß-ÿ]+(?![^\W_])")
 
 
 def canonical(text: str) -> tuple[list[str], list[str]]:
@@ -84,14 +84,15 @@ def with_capitals(text: str, forms: list[str]) -> list[str] | None:
     return ["\x01name" if f in names else f for f in forms] if names else None
 
 
-def _hashes(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each token of all documents, and the number of each document's first token."""
-    words = [w.encode("utf-8", "surrogatepass") for d in docs for w in d]
+def _hashes(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each token of all documents, the number of each document's first token, and which tokens are placeholders."""
     first = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    starts = np.concatenate([[0], ends[:-1] + 1]) if len(words) else np.zeros(0, np.int64)
-    return word_hashes(data, starts, ends), first
+    if not first[-1]:
+        return np.zeros(0, np.uint64), first, np.zeros(0, bool)
+    data = np.frombuffer("\x02".join("\x02".join(d) for d in docs if d).encode("utf-8", "surrogatepass"), np.uint8)  # no token has it
+    cuts = np.flatnonzero(data == 2)
+    starts, ends = np.concatenate([[0], cuts + 1]), np.append(cuts, len(data))
+    return word_hashes(data, starts, ends), first, data[starts] == 1
 
 
 def template_of(tokens: list[str], forms: list[str]) -> tuple[int, list[str | None]]:
@@ -112,9 +113,9 @@ def _windows(sizes: list[int], wanted: Broadcast | None, items: bool):
     """
 
     def emit(b: pa.RecordBatch, at: list[int], tokens: list[list[str]], forms: list[list[str]], family: int, wanted: np.ndarray | None) -> pa.RecordBatch:
-        h, first = _hashes(forms)
+        h, first, slot = _hashes(forms)
         doc = np.repeat(np.arange(len(forms)), np.diff(first))
-        literal = np.concatenate([[0], np.cumsum(np.fromiter((f[0] != "\x01" for d in forms for f in d), np.int64, len(h)))])
+        literal = np.concatenate([[0], np.cumsum(~slot)])
         rows, pos, size, hs, slots, classes, patterns = [], [], [], [], [], [], []
         kinds = [template_of(t, f) for t, f in zip(tokens, forms, strict=True)] if items else None
         for k in sizes:
@@ -129,7 +130,7 @@ def _windows(sizes: list[int], wanted: Broadcast | None, items: bool):
             if few.any():
                 some = starts[few]
                 own = np.unique(doc[some])  # only their texts are hashed as they are
-                plain, at_ = _hashes([tokens[d] for d in own])
+                plain, at_, _ = _hashes([tokens[d] for d in own])
                 w[few] = mix(window_hashes(plain, k)[at_[np.searchsorted(own, doc[some])] + some - first[doc[some]]] + np.uint64(1))
             w = mix(w + np.uint64(16 * family + k))
             if wanted is not None:
