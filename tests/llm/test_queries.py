@@ -19,7 +19,7 @@ def test_query(spark, name):
     assert rows
     if name in ORACLES:
         c = duckdb.connect()
-        for t in ("documents", "conversations"):
+        for t in ("documents", "conversations", "embeddings"):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = c.execute(ORACLES[name])
         names = [d[0] for d in want.description]
