@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tierstats.sources.shared import discard
+
 from .common import lookup_join, staged, word_count
 
 #: Hash digits: md5's first 15 hex digits are 60 bits, refined 12 bits at a time.
@@ -88,11 +90,14 @@ def hash_thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         old = state.alias("a").join(F.broadcast(edge).alias("b") if edge.count() <= 100_000 else edge.alias("b").hint("merge"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
         # no bucket passes the budget: rounding left need at the whole size, so every document counts
         passed = F.when(F.col("b.hit"), F.col("b.new_threshold")).otherwise(F.lit(1 << HASH_BITS))
+        last = state
         state = staged(old.select(
             "a.source", "a.source_size", "a.target", "a.copies", "a.need",
             F.coalesce("b.new_lo", "a.lo").alias("lo"), F.coalesce("b.new_base", "a.base").alias("base"), F.coalesce("b.new_tied", "a.tied").alias("tied"), F.coalesce("b.new_some", "a.some").alias("some"),
             F.when(F.col("a.threshold").isNotNull(), F.col("a.threshold")).otherwise(passed).alias("threshold"),
         ), "mix-state")
+        for done in (last, edge):
+            discard(sized.sparkSession, done)
     return state.select("source", "source_size", "target", "copies", "threshold", "tied", "some")
 
 
@@ -124,7 +129,9 @@ def _apply(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix_plan(sized: DataFrame, weights: Sequence[float], max_ratio: float) -> DataFrame:
     totals = staged(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-totals")
-    return hash_thresholds(sized, source_targets(totals, weights, max_ratio))
+    plan = hash_thresholds(sized, source_targets(totals, weights, max_ratio))  # written
+    discard(sized.sparkSession, totals)
+    return plan
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), max_ratio: float = 3.0) -> DataFrame:

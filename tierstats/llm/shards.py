@@ -19,8 +19,9 @@ from .mixing import hash60
 PART_ROWS = 1 << 18
 
 
-def _sorted(rows: DataFrame, order: list[str], n_rows: int, name: str) -> DataFrame:
-    """``rows`` with ``place``: their number from 0 in the total order by ``order``, whose values are all different.
+def _sorted(rows: DataFrame, order: list[str], n_rows: int, name: str) -> tuple[DataFrame, list[DataFrame]]:
+    """``rows`` with ``place``, their number from 0 in the total order by ``order``, whose values are all different; and the tables that
+    are read for it.
 
     A task numbers its own rows by monotonically_increasing_id, whose high bits are the partition and whose low 33 bits
     count its rows; partitions are in order. The numbered rows are written before they are counted, so the
@@ -33,8 +34,9 @@ def _sorted(rows: DataFrame, order: list[str], n_rows: int, name: str) -> DataFr
     # one row a partition
     before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    placed = lookup_join(numbered, staged(starts, f"{name}-starts"), "_part")
-    return placed.withColumn("place", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+    starts = staged(starts, f"{name}-starts")
+    placed = lookup_join(numbered, starts, "_part")
+    return placed.withColumn("place", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before"), [numbered, starts]
 
 
 def interleave(docs: DataFrame, n_shards: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: dict[str, Column] | None = None) -> DataFrame:
@@ -65,12 +67,13 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 0, id_col: str = "doc
     upto = Window.partitionBy(F.lit(0)).orderBy("last", "source").rowsBetween(Window.unboundedPreceding, -1)
     totals = staged(totals.select(F.col("source").alias("s"), "size", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("before")), "shard-totals")
     n = totals.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    ranked = _sorted(rows, ["last", "source", "h", "nth"], n, "shard-ranks")
+    ranked, read = _sorted(rows, ["last", "source", "h", "nth"], n, "shard-ranks")
     ranked = lookup_join(ranked, totals, F.col("source").eqNullSafe(F.col("s")))
     fraction = (2 * (F.col("place") - F.col("before")) + 1) / (2 * F.col("size"))
     order = ranked.select("id", "source", "last", "extra", fraction.alias("fraction"), F.col("place").alias("rank"))
-    placed = _sorted(order, ["fraction", "last", "source", "rank"], n, "shard-order")
-    discard(spark, rows)
+    placed, _ = _sorted(order, ["fraction", "last", "source", "rank"], n, "shard-order")
+    for done in (rows, totals, *read):
+        discard(spark, done)
     # shard k holds the places from ceil(k n / shards) on
     shard = F.expr(f"(place * {int(n_shards)}L) div {max(n, 1)}L")
     start = F.expr(f"(shard * {max(n, 1)}L + {int(n_shards) - 1}L) div {int(n_shards)}L")
