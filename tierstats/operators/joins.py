@@ -5,7 +5,7 @@ Range joins are equi-joins on a bucket and an exact filter, so no plan has a nes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -261,6 +261,16 @@ def crosscheck(obs: DataFrame, listed: DataFrame, keys: list[str], present: Colu
     return j.withColumn("category", kind).drop("_listed").where(F.col("category").isNotNull())
 
 
+def residual_audit(obs: DataFrame, listed: DataFrame, keys: list[str], present: Column, positive: Column, expected: Mapping[str, Column]) -> DataFrame:
+    """The rows that a list of unobserved positions does not have, and that were not observed for all that: case NO_RECORD, or ZERO_ONLY for
+    those with a record and no positive one; EXPLAINED if all conditions of ``expected`` (name -> what should hold) do, else
+    REVIEW_NEEDED, with the names of those that do not as ``reason``."""
+    rest = obs.join(listed.select(*keys).distinct().hint("merge"), keys, "left_anti")
+    rest = rest.withColumn("case", F.when(~present, "NO_RECORD").when(~positive, "ZERO_ONLY")).where(F.col("case").isNotNull())
+    reasons = F.concat_ws("; ", *(F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in expected.items()))
+    return rest.withColumn("reason", reasons).withColumn("status", F.when(F.col("reason") == "", "EXPLAINED").otherwise("REVIEW_NEEDED"))
+
+
 def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], effect: str, p: str, alpha: float = 0.05) -> DataFrame:
     x = a.select(*keys, F.col(effect).alias("effect_a"), F.col(p).alias("p_a"))
     j = x.join(b.select(*keys, F.col(effect).alias("effect_b"), F.col(p).alias("p_b")), keys)

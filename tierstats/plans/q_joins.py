@@ -264,6 +264,22 @@ def jn18(s, d):
     return g.select("instance", "position", "category")
 
 
+@query("JN18b_residual_audit", """WITH g AS (SELECT instance, p AS position FROM (SELECT DISTINCT instance FROM obs), (SELECT unnest(range(1, 51)) AS p)), l AS (SELECT DISTINCT instance, position FROM rec WHERE quantity = 1), j AS (SELECT g.instance, g.position, n_records IS NOT NULL AS present, value IS NOT NULL AS positive FROM g ANTI JOIN l USING (instance, position) LEFT JOIN obs o ON o.instance = g.instance AND o.position = g.position),
+r AS (SELECT instance, CASE WHEN NOT present THEN 'NO_RECORD' ELSE 'ZERO_ONLY' END AS kind, concat_ws('; ', CASE WHEN position NOT BETWEEN 6 AND 45 THEN 'outside the range' END, CASE WHEN position % 10 = 0 THEN 'end of a segment' END) AS reason FROM j WHERE NOT positive)
+SELECT instance, count(*) FILTER (kind = 'NO_RECORD') AS n_no_record, count(*) FILTER (kind = 'ZERO_ONLY') AS n_zero_only, count(*) FILTER (reason = '') AS n_explained, count(*) FILTER (reason = 'outside the range; end of a segment') AS n_both FROM r GROUP BY instance""")
+def jn18b(s, d):
+    """Every instance with all positions; two conditions on the position."""
+    o = obs(s, d).select("instance", "position", "n_records", "value")
+    g = o.select("instance").distinct().withColumn("position", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    g = g.join(o.hint("merge"), ["instance", "position"], "left")
+    want = {"outside the range": c("position").between(6, 45), "end of a segment": c("position") % 10 != 0}
+    a = J.residual_audit(g, rec(s, d).where("quantity = 1"), ["instance", "position"], c("n_records").isNotNull(), c("value").isNotNull(), want)
+    return a.groupBy("instance").agg(
+        F.count_if(c("case") == "NO_RECORD").alias("n_no_record"), F.count_if(c("case") == "ZERO_ONLY").alias("n_zero_only"), F.count_if(c("status") == "EXPLAINED").alias("n_explained"),
+        F.count_if(c("reason") == "outside the range; end of a segment").alias("n_both"),
+    )
+
+
 @query("JN19_compare_runs", f"""SELECT a.unit, a.segment, sign(a.eff) = sign(b.eff) AS same_direction, CASE WHEN a.p < 0.05 AND b.p < 0.05 THEN 'PRESERVED' WHEN a.p < 0.05 THEN 'LOST' WHEN b.p < 0.05 THEN 'GAINED' ELSE 'NEITHER' END AS significance FROM {_RUN['v']} a JOIN {_RUN['mean_v']} b USING (unit, segment)""")
 def jn19(s, d):
     return J.compare_runs(*two_runs(s, d), ["unit", "segment"], "eff", "p").select("unit", "segment", "same_direction", "significance")
