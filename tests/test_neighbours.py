@@ -151,3 +151,22 @@ def test_positions_of_sites_without_other_controls(spark, monkeypatch):
         for r in layers.matched_controls(sites, segmap).collect():
             by[slice_positions].add((r.position, r.tier))
     assert by[10] == by[100_000] == {(p, "named_only") for p in range(2, 40)}
+
+
+def test_vectors_that_are_nearly_all_alike_in_their_buckets(spark):
+    """Vectors whose buckets hold nearly all of them made a row of every pair, in every hash table. Here in several blocks, with copies,
+    a null and vectors of another length, against plain pairs."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8)).astype(np.float32).astype(float)
+    x[50:60] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0]), (902, [None] * 8)], "id long, v array<double>")
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 1.6
+    core = near.sum(1) >= 6
+    root = np.where(core, np.arange(400), 999)
+    while not (root == (new := np.where(core, np.where(near & core[None], root[None], 999).min(1), 999))).all():
+        root = new
+    want = {i: (bool(core[i]), int(root[i]) if core[i] else int(root[np.flatnonzero(near[i] & core)[0]]) if (near[i] & core).any() else None) for i in range(400)} | {901: (False, None), 902: (False, None)}
+    assert core.any() and not core.all()
+    for block in (60, 130, 4096):  # even and odd numbers of blocks
+        got = {r.point: (r.is_core, r.cluster) for r in density.dbscan_vectors(df, "id", "v", 1.6, 6, block_points=block).collect()}
+        assert got == want

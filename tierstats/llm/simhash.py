@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierstats.operators.graph import connected_components
+from tierstats.operators.graph import connected_components, stars
 from tierstats.sources.shared import discard
 
 from .common import lookup_join, staged
@@ -68,23 +68,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, fp long")
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links a-b as links from each value to the smallest of its component: fewer, and nothing gets lost."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = inverse[: len(a)], inverse[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        new, low = label.copy(), np.minimum(label[i], label[j])
-        for at in (i, j, label[i], label[j]):
-            np.minimum.at(new, at, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    keep = label != np.arange(len(nodes))
-    return nodes[keep], nodes[label[keep]]
-
-
 def _tile_links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of each of ``left`` to ``right`` within the radius. Both are cut into tiles in order of population count, and
     only the part of ``right`` is compared whose counts differ by the radius at most."""
