@@ -27,3 +27,18 @@ def test_medians_are_those_of_spark(spark):
     df = spark.createDataFrame(rows, "k int, v double")
     got = A.medians(df, ["k"], "v", "m", F.count(F.lit(1)).alias("n"))
     assert sorted(map(str, got.collect())) == sorted(map(str, df.groupBy("k").agg(F.median("v").alias("m"), F.count(F.lit(1)).alias("n")).collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_records_of_an_entry_are_dealt_out_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = fixtures._prof(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("hashpartitioning(entry") == 1 and "hashpartitioning(instance" not in plan and "hashpartitioning(unit" not in plan
+    keys = ["unit", "grp", "entry", "instance", "position", "state", "resolution"]
+    old = A.zscore_within(A.pick_record(fixtures.rec(spark, SF), keys, "occupancy", "value", fixtures.TIES), "instance", "value")
+    old = A.entry_position_profile(old, ["unit", "grp", "entry", "position", "state", "resolution"])
+    seen = lambda df: sorted(map(str, df.select("unit", "grp", "entry", "position", "state", "resolution", F.round("z", 9).alias("z"), "n_instances").collect()))
+    assert seen(fixtures._prof(spark, SF)) == seen(old)
