@@ -105,3 +105,22 @@ def test_mixtures(spark):
     assert [len({got[i] for i in part}) for part in (range(120), range(120, 200), range(200, 205))] == [1, 1, 1] and len(set(got.values())) == 3
     early = {r.k: r.log_likelihood for r in mixture.diagonal_mixture(points, start, rounds=1)[1].collect()}
     assert all(by[k].log_likelihood >= early[k] - 1e-6 for k in by)
+
+
+def test_values_are_counted_once_for_all_ranks_of_a_group(spark, monkeypatch):
+    """Three quartiles want up to six ranks; no row is made for each of them, and many groups are not sent to the tasks."""
+    from tierstats.operators import quantiles as Q
+
+    df = spark.createDataFrame([(g if g else None, float(i * 7919 % 1009)) for g in range(5) for i in range(40)], "k int, v double")
+    want = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).collect()}
+    seen = []
+    keep = Q.staged
+    monkeypatch.setattr(Q, "staged", lambda d, name: seen.append((name, t := keep(d, name))) or t)
+    for most in (100_000, 0):
+        seen.clear()
+        monkeypatch.setattr(Q, "MOST_SENT", most)
+        monkeypatch.setattr(Q.selected, "__defaults__", (*Q.selected.__defaults__[:2], most))
+        monkeypatch.setattr(Q, "discard", lambda *_: None)
+        got = {r["k"]: r["q"] for r in Q.quantiles(df, ["k"], "v", (0.25, 0.5, 0.75), 10, 16).collect()}
+        assert got == want
+        assert [t for n, t in seen if n == "quantile-todo"][0].count() == 5  # a row a group in the first round

@@ -16,6 +16,8 @@ from tierstats.sources.shared import discard, staged
 
 #: Up to so many values a group is one buffer; bins of a round.
 PLAIN_VALUES, BINS = 1_000_000, 4096
+#: Up to so many bounds or groups a table is sent to the tasks.
+MOST_SENT = 100_000
 
 
 def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -24,12 +26,18 @@ def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(v == lo, 0).when(v == hi, bins - 1).otherwise(F.least(F.greatest(inner, F.lit(0.0)), F.lit(bins - 1.0))).cast("int")
 
 
-def selected(values: DataFrame, targets: DataFrame, keys: list[str], v: str, plain_values: int = PLAIN_VALUES, bins: int = BINS) -> DataFrame:
+def _sized(rows: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """A written table with a hint for its join: sent to the tasks if it has few rows, else merged."""
+    return F.broadcast(rows) if rows.count() <= most else rows.hint("merge")
+
+
+def selected(values: DataFrame, targets: DataFrame, keys: list[str], v: str, plain_values: int = PLAIN_VALUES, bins: int = BINS, most_sent: int = MOST_SENT) -> DataFrame:
     """(keys, rank, value): the values of the given ranks, from 0, of large groups. values: (keys, v) without nulls, stored; targets:
-    (keys, rank), few: a row for each wanted rank of a group with many values.
+    (keys, rank), a row for each wanted rank of a group with many values.
 
-    A round counts the values between a target's bounds by bin; a target whose bin has one value is found, one whose bin
-    has at most ``plain_values`` values is found among its distinct values, the others go on inside their bin.
+    A round counts the values between two bounds by bin, once for all ranks that lie there; ranks whose bin has one value are
+    found, those whose bin has at most ``plain_values`` values are found among its distinct values, the others go on inside
+    their bin. Up to ``most_sent`` pairs of bounds are sent to the tasks; more are joined by key.
     """
     spark = values.sparkSession
     own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
@@ -41,31 +49,33 @@ def selected(values: DataFrame, targets: DataFrame, keys: list[str], v: str, pla
     both = F.lit(True)
     for n, k in zip(names, keys, strict=True):
         both = both & F.col(n).eqNullSafe(F.col(f"t_{k}"))
-    wanted = targets.select(*(F.col(k).alias(f"t_{k}") for k in keys), "rank")
-    todo = staged(ends.join(F.broadcast(wanted), both).select(*names, "rank", "_lo", "_hi", F.lit(0).cast("long").alias("_before")), "quantile-todo")
+    wanted = staged(targets.groupBy(*(F.col(k).alias(f"t_{k}") for k in keys)).agg(F.collect_set("rank").alias("_ranks")), "quantile-wanted")
+    todo = staged(ends.join(_sized(wanted, most_sent), both).select(*names, "_ranks", "_lo", "_hi", F.lit(0).cast("long").alias("_before")), "quantile-todo")
     found, value = None, F.col(v)
+    here = F.filter("_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")))
     while not todo.isEmpty():
-        inside = values.select(*keys, v).join(F.broadcast(todo), same & (value >= F.col("_lo")) & (value <= F.col("_hi")))
-        hist = inside.groupBy(*names, "rank", "_before", _bin(value, F.col("_lo"), F.col("_hi"), bins).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-        upto = F.sum("_n").over(W.partitionBy(*names, "rank").orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow))
-        hist = hist.withColumn("_upto", F.col("_before") + upto).where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_n")))
-        hist = staged(hist.select(*names, "rank", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_before"), "_n"), "quantile-bins")
-        one = hist.where("_lo = _hi").select(*names, "rank", F.col("_lo").alias("value"))
-        few = hist.where(f"_lo <> _hi AND _n <= {plain_values}").drop("_n")
+        inside = values.select(*keys, v).join(_sized(todo, most_sent), same & (value >= F.col("_lo")) & (value <= F.col("_hi")))
+        hist = inside.groupBy(*names, "_before", "_ranks", _bin(value, F.col("_lo"), F.col("_hi"), bins).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+        upto = F.sum("_n").over(W.partitionBy(*names, "_before").orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow))
+        hist = hist.withColumn("_upto", F.col("_before") + upto).withColumn("_ranks", here).where(F.size("_ranks") > 0)
+        hist = staged(hist.select(*names, "_ranks", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_before"), "_n"), "quantile-bins")
+        one = hist.where("_lo = _hi").select(*names, F.explode("_ranks").alias("rank"), F.col("_lo").alias("value"))
+        few = staged(hist.where(f"_lo <> _hi AND _n <= {plain_values}").drop("_n"), "quantile-few")
         if not few.isEmpty():
-            left = values.select(*keys, v).join(F.broadcast(few), same & (value >= F.col("_lo")) & (value <= F.col("_hi")))
-            left = left.groupBy(*names, "rank", "_before", value.alias("value")).agg(F.count(F.lit(1)).alias("_n"))
-            upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*names, "rank").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
-            left = left.withColumn("_upto", upto).where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_n")))
-            one = one.unionByName(left.select(*names, "rank", "value"))
+            left = values.select(*keys, v).join(_sized(few, most_sent), same & (value >= F.col("_lo")) & (value <= F.col("_hi")))
+            left = left.groupBy(*names, "_before", "_ranks", value.alias("value")).agg(F.count(F.lit(1)).alias("_n"))
+            upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*names, "_before").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
+            left = left.withColumn("_upto", upto).withColumn("_ranks", here).where(F.size("_ranks") > 0)
+            one = one.unionByName(left.select(*names, F.explode("_ranks").alias("rank"), "value"))
         one = staged(one, "quantile-found")
         found = one if found is None else found.unionByName(one)
         rest = staged(hist.where(f"_lo <> _hi AND _n > {plain_values}").drop("_n"), "quantile-todo")
-        for done in (todo, hist):
+        for done in (todo, hist, few):
             discard(spark, done)
         todo = rest
+    discard(spark, wanted)
     if found is None:
-        found = todo.select(*names, "rank", F.col("_lo").alias("value"))
+        found = todo.select(*names, F.explode("_ranks").alias("rank"), F.col("_lo").alias("value"))
     return found.select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), "rank", "value")
 
 
@@ -99,6 +109,7 @@ def quantiles(df: DataFrame, keys: list[str], v: str, shares: Sequence[float], p
         a, b = F.element_at("_m", F.floor(x)), F.element_at("_m", F.ceil(x))
         return F.when(a == b, a).otherwise((F.ceil(x) - x) * a + (x - F.floor(x)) * b)
 
+    got = staged(got, "quantile-got")
     large = hot.join(got.select(*(F.col(k).alias(f"_g{k}") for k in keys), "_m").hint("merge"), on).select(*keys, "n", F.transform(place(F.col("n")), between).alias("q"))
-    small = values.join(F.broadcast(hot.select(*(F.col(k).alias(f"_h{k}") for k in keys))), rest, "left_anti") if keys else values.limit(0)
+    small = values.join(_sized(hot.select(*(F.col(k).alias(f"_h{k}") for k in keys)), MOST_SENT), rest, "left_anti") if keys else values.limit(0)
     return large.unionByName(plain(small)) if keys else large
