@@ -99,3 +99,24 @@ def test_csv_blanks(spark, tmp_path):
 def test_bootstrap_does_not_depend_on_partitions(spark):
     d = spark.createDataFrame([("t", i, float(i * i % 17)) for i in range(20)], "t string, i int, v double")
     assert rows(S.bootstrap_ci(d, ["t"], "v", 200)) == rows(S.bootstrap_ci(d.repartition(7), ["t"], "v", 200))
+
+
+def test_nearest_within_makes_no_row_a_position(spark):
+    """By brute force, with null keys, ties and sites at a row's own place; a wide reach makes three rows of a site."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice([1, 2, None]), rnd.choice([*range(-60, 60), None]), i) for i in range(120)]
+    sites = [(rnd.choice([1, 2, None]), rnd.choice([*range(-90, 90), None])) for _ in range(25)]
+    df, s = spark.createDataFrame(rows, "k int, p long, i int"), spark.createDataFrame(sites, "k int, s long")
+    from tierstats.operators import joins
+
+    for w in (0, 3, 11):
+        got = {r["i"]: (r["nearest"], r["distance"]) for r in joins.nearest_within(df, s, ["k"], "p", "s", w).collect()}
+        want = {}
+        for k, p, i in rows:
+            near = [(abs(x - p), x) for g, x in sites if None not in (k, p, x) and g == k and abs(x - p) <= w]
+            want[i] = min(near)[::-1] if near else (None, None)
+        assert got == want
+    plan = joins.nearest_within(df, s, ["k"], "p", "s", 10_000_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan

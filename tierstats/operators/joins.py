@@ -169,10 +169,24 @@ def probe_contacts(points: DataFrame, probes: DataFrame, entry: str, position: s
 
 
 def nearest_within(df: DataFrame, sites: DataFrame, keys: list[str], p: str, site_pos: str, w: int = 3) -> DataFrame:
-    """Nearest site position within w, by (distance, position); null without one."""
-    s = sites.select(*keys, F.col(site_pos).alias("_s")).distinct().withColumn(p, F.explode(F.sequence(F.col("_s") - w, F.col("_s") + w)))
-    near = s.groupBy(*keys, p).agg(F.min(F.struct(F.abs(F.col("_s") - F.col(p)).alias("d"), F.col("_s").alias("s"))).alias("_n"))
-    return df.join(near.hint("merge"), [*keys, p], "left").withColumns({"nearest": F.col("_n.s"), "distance": F.col("_n.d")}).drop("_n")
+    """Nearest site position within w, by (distance, position); null without one.
+
+    Positions of a key are cut into pieces of length w; a site is put into its own piece and the two beside it. In a piece the last site
+    up to a row and the first from it on are its candidates, so a site is three rows, not one for each position in reach."""
+    step, rest = max(w, 1), [c for c in df.columns if c not in (*keys, p)]
+    piece = F.floor(F.col(p) / step)
+    s = sites.select(*keys, F.col(site_pos).alias(p)).distinct().where(F.col(p).isNotNull())
+    s = s.select(*keys, p, F.col(p).alias("_site"), F.lit(False).alias("_is_row"), F.explode(F.array(piece - 1, piece, piece + 1)).alias("_piece"))
+    line = df.withColumns({"_is_row": F.lit(True), "_piece": piece}).unionByName(s, allowMissingColumns=True)
+    by = W.partitionBy(*keys, "_piece")
+    upto = lambda *order: F.last("_site", ignorenulls=True).over(by.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    d = line.withColumns({"_a": upto(F.col(p), F.col("_is_row")), "_b": upto(F.col(p).desc(), F.col("_is_row"))}).where("_is_row")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    near = lambda c: F.when(known & (F.abs(F.col(c) - F.col(p)) <= w), F.struct(F.abs(F.col(c) - F.col(p)).alias("d"), F.col(c).alias("s")))
+    d = d.withColumn("_n", F.least(near("_a"), near("_b")))
+    return d.select(*keys, p, *rest, F.col("_n.s").alias("nearest"), F.col("_n.d").alias("distance"))
 
 
 def bracketing_neighbours(grid: DataFrame, keys: list[str], p: str, call: str) -> DataFrame:
