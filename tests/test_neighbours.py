@@ -170,3 +170,24 @@ def test_vectors_that_are_nearly_all_alike_in_their_buckets(spark):
     for block in (60, 130, 4096):  # even and odd numbers of blocks
         got = {r.point: (r.is_core, r.cluster) for r in density.dbscan_vectors(df, "id", "v", 1.6, 6, block_points=block).collect()}
         assert got == want
+
+
+def test_points_by_tiles_are_dbscan_by_brute_force(spark):
+    """Small blocks, a point without a group and one without a coordinate; the id of a cluster is its smallest core."""
+    import random
+
+    from tierstats.operators import density
+
+    rnd = random.Random(3)
+    rows = [(i, i % 2, *(rnd.uniform(0, 40) for _ in range(3))) for i in range(140)] + [(200, None, 1.0, 1.0, 1.0), (201, 0, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, g int, x double, y double, z double")
+    got = {r["point"]: (r["is_core"], r["cluster"]) for r in density.dbscan_points(df, "g", "id", 7.0, 4, block_points=16).collect()}
+    good = [r for r in rows if None not in r]
+    near = {a[0]: [b[0] for b in good if a[1] == b[1] and sum((p - q) ** 2 for p, q in zip(a[2:], b[2:], strict=True)) ** 0.5 <= 7.0] for a in good}
+    core = {i for i, n in near.items() if len(n) >= 4}
+    root = {i: i for i in core}
+    for _ in core:
+        root = {i: min(root[j] for j in near[i] if j in core) for i in core}
+    want = {i: (i in core, root[i] if i in core else root[min(set(near[i]) & core)] if set(near[i]) & core else None) for i in near}
+    assert got == want | {200: (False, None), 201: (False, None)}
+    assert 0 < len(core) < len(good)
