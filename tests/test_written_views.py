@@ -42,3 +42,12 @@ def test_records_of_an_entry_are_dealt_out_once(spark):
     old = A.entry_position_profile(old, ["unit", "grp", "entry", "position", "state", "resolution"])
     seen = lambda df: sorted(map(str, df.select("unit", "grp", "entry", "position", "state", "resolution", F.round("z", 9).alias("z"), "n_instances").collect()))
     assert seen(fixtures._prof(spark, SF)) == seen(old)
+
+
+def test_the_rows_of_a_complete_view_are_written_before_they_are_fitted(spark, monkeypatch):
+    from tierstats.operators import matrix as M
+
+    names, keep, rows = [], M.staged, [(i, f"S{f}", float((i * (f + 3) * 37) % 11)) for i in range(30) for f in range(3) if (i, f) != (4, 1)]
+    monkeypatch.setattr(M, "staged", lambda d, name: names.append(name) or keep(d, name))
+    out = M.complete_entry_view(spark.createDataFrame(rows, "id int, feature string, value double"), ["S0", "S1", "S2"])
+    assert out.count() == 2 * 29 and names == ["complete-rows", "pca-rows"]
