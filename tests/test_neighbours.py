@@ -3,13 +3,13 @@
 import math
 import os
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
 
-from tierstats.operators import density, joins, matrix, ordered, windows
+from tierstats.operators import density, joins, matrix, ordered, pairranks, windows
 from tierstats.sources import tables
 
 
@@ -191,3 +191,49 @@ def test_points_by_tiles_are_dbscan_by_brute_force(spark):
     want = {i: (i in core, root[i] if i in core else root[min(set(near[i]) & core)] if set(near[i]) & core else None) for i in near}
     assert got == want | {200: (False, None), 201: (False, None)}
     assert 0 < len(core) < len(good)
+
+
+def plain_rank_correlation(x, turn):
+    """n of pairs and Spearman's coefficient, from all pairs; what is no number is last."""
+    def ranks(v):
+        d = [round(math.dist(v[i], v[j]), 9) for i in range(len(v)) for j in range(i)]
+        d = [math.inf if math.isnan(y) else y for y in d]
+        at, n = {}, 0
+        for y, m in sorted(Counter(d).items()):
+            at[y], n = n + (m + 1) / 2, n + m
+        return [at[y] for y in d]
+
+    a, b = ranks(x), ranks(x @ turn)
+    return len(a), float(np.corrcoef(a, b)[0, 1])
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_rank_correlation_makes_no_row_a_pair(spark, monkeypatch, odd):
+    """By small blocks and bins; no table that is written, and no group, has a row for each pair. Odd: copies, ties, and what is no vector."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, size=(150, 4)).astype(float) if odd else rng.normal(size=(150, 4))
+    if odd:
+        x[40:70], x[70] = x[0], np.nan
+    turns = [rng.integers(-1, 2, size=(4, 2)).astype(float) for _ in range(2)]
+    written, write = [], pairranks.staged
+    monkeypatch.setattr(pairranks, "staged", lambda df, name: written.append(write(df, name)) or written[-1])
+    rows = [(i, None if np.isnan(r[0]) else [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, x array<double>")
+    got = {r.view: (r.n_pairs, r.spearman) for r in pairranks.distance_rank_correlations(df, 4, turns, bin_pairs=200, block_points=64).collect()}
+    for i, t in enumerate(turns):
+        n, rho = plain_rank_correlation(x, t)
+        assert got[i] == (n, pytest.approx(rho, abs=1e-9))
+    assert written and pairranks.distance_rank_correlations(df.limit(1), 4, turns).count() == 0 == pairranks.distance_rank_correlations(df.limit(0), 4, turns).count()
+
+
+def test_stability_writes_less_than_pairs(spark, monkeypatch):
+    from tierstats.operators import matrix as M
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(120, 6)))], "id int, x array<double>")
+    sizes = []
+    for module in (M, pairranks):
+        write = module.staged
+        monkeypatch.setattr(module, "staged", lambda t, name, write=write: sizes.append((out := write(t, name)).count()) or out)
+    assert M.projection_stability(df, 6, 3, (1, 2)).count() == 2
+    assert max(sizes) <= 120
