@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tierstats.llm import simhash
 
@@ -116,3 +118,43 @@ def test_line_stage_is_the_plain_version(spark):
     out = corpus_pipeline.drop_common_lines(spark, spark.createDataFrame(rows, SCHEMA), "")
     want = [(i, "\n".join(x for x in t.split("\n") if x.strip().lower() != "header")) for i, t in rows]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def sets_at(rnd, n, common, other):
+    """n pairs of sets of 64-bit hashes with ``common`` in common and ``other`` of their own, as (sizes, hashes)."""
+    sets = []
+    for _ in range(n):
+        base = [rnd.getrandbits(64) for _ in range(common)]
+        sets += [sorted(base + [rnd.getrandbits(64) for _ in range(x)]) for x in other]
+    return np.array([len(x) for x in sets]), np.array([h for x in sets for h in x], np.uint64)
+
+
+def test_fingerprints_propose_the_pairs():
+    """Two sets of similarity 0.8 share a band of their fingerprints and are within the radius, small ones too; unrelated sets are far apart."""
+    rnd = random.Random(11)
+    for common, other, n in ((4, (1, 0), 1500), (8, (1, 1), 1000), (16, (2, 2), 1000), (40, (5, 5), 600), (800, (100, 100), 60)):
+        sizes, h = sets_at(rnd, n, common, other)
+        bits = simhash.set_bits(sizes, h, simhash._SEEDS)
+        used = (simhash.MORE if max(sizes) <= simhash.SMALL else simhash.BANDS) * simhash.BITS
+        bands = simhash.band_values(bits[:, 128 : 128 + used])
+        assert ((bands[::2] == bands[1::2]).any(axis=1)).mean() >= 0.998
+        apart = (bits[::2] != bits[1::2])[:, :128].sum(axis=1)
+        assert (apart <= simhash.WIDE).mean() >= 0.998 and 15 < apart.mean() < 26
+        far = (bits[:-2:2] != bits[2::2])[:, :128].sum(axis=1)
+        assert 60 < far.mean() < 68 and (far <= simhash.WIDE).mean() < 0.002
+
+
+def test_proposed_groups_by_small_tiles(spark):
+    """Of planted pairs each is a group of its own, by one tile or many."""
+    from functools import partial
+
+    rows = planted()
+    docs = spark.createDataFrame([(i, i, t) for i, (_, t) in enumerate(rows)], "row long, id long, text string").repartition(3)
+    sets = docs.mapInArrow(partial(simhash._signatures, k=5), "row long, id long, key long, fp long, fp2 long, size long, bands array<int>").cache()
+    name = {r.key: r.row for r in sets.collect()}
+    for tile in (1 << 14, 2):
+        found = {}
+        for r in simhash.proposed_groups(sets, tile).collect():
+            found.setdefault(r.group, set()).add(name[r.key])
+        near = {i for i in range(0, len(rows), 2) if similarity(shingles(rows[i][1]), shingles(rows[i + 1][1])) >= 0.8}
+        assert near <= {min(x) for x in found.values()} and all(x == {min(x), min(x) + 1} for x in found.values())

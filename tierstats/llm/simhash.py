@@ -1,7 +1,7 @@
 """SimHash near-duplicates: exact comparison of fingerprint tiles with numpy xor and bit counts.
 
 ``near_duplicates`` links fingerprints within a radius. ``near_copies`` links texts whose shingle sets have a given
-similarity: there fingerprints within a wide radius only propose pairs, and the whole sets decide.
+similarity: there bands of longer fingerprints and a wide radius propose pairs, and the whole sets decide.
 """
 
 from __future__ import annotations
@@ -24,16 +24,20 @@ from .common import lookup_join, staged
 from .words import LOWER, chunks, mix, whole_windows, window_hashes, word_hashes
 
 SEED = 42
-#: Pairs that may have a similarity of 0.8 share a MinHash band of ROWS rows with a probability of 1 - (1 - 0.8^ROWS)^BANDS =
-#: 0.9998, more above.
-BANDS, ROWS = 16, 4
-#: Fingerprints of sets of similarity 0.8 differ in 9.7 bits (standard deviation 2.9); above WIDE bits sets of at least
-#: FEW shingles are not compared. The fingerprint of a smaller set says little, so those are compared in any case.
-WIDE, FEW = 20, 64
+#: Sets of similarity 0.8 differ in 15 % of the bits of their fingerprints (two of 4 and 5 shingles in 19 %), unrelated ones in half.
+#: A band is BITS bits of a fingerprint, and such pairs share one of BANDS bands with a probability of 1 - (1 - 0.85^BITS)^BANDS =
+#: 0.9999, more above; sets of at most SMALL shingles have MORE bands, and sets of fewer than LEAST are only like equal ones.
+BANDS, MORE, BITS, SMALL, LEAST = 64, 128, 12, 16, 4
+#: Of 128 further bits sets of similarity 0.8 differ in 19.4 (standard deviation 4.1), unrelated ones in 64 (5.7); above WIDE bits sets
+#: are not compared, or, where a group is compared by sets, those of at least FEW shingles.
+WIDE, FEW = 38, 64
+#: Fingerprints in a tile of a band's group, and sets whose bits are held at once.
+BAND_TILE, SIGNED = 1 << 14, 256
 #: Shingles in a tile of a candidate group.
 SET_TILE = 1 << 21
 _TABLE = np.frombuffer(LOWER, np.uint8)
-_SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: A seed for each 64 bits: two of the radius, then those of the bands.
+_SEEDS = mix(np.arange(1, 3 + MORE * BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def fingerprint(text: bytes, k: int = 4) -> int:
@@ -250,36 +254,128 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np
         yield c.lo, np.bincount(owner[new], minlength=len(n)), h[new]
 
 
-def set_fingerprints(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """SimHash of each set, in slices of bounded size; 0 for an empty one."""
-    out, ends = np.zeros(len(sizes), np.uint64), np.cumsum(sizes)
-    counts = np.zeros((len(sizes), 64), np.int64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    for at in range(0, int(ends[-1]) if len(ends) else 0, 1 << 15):
-        bits = np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        own = owner[at : at + (1 << 15)]
-        edges = np.flatnonzero(np.diff(own, prepend=-1))
-        counts[own[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int64)
-    if len(sizes):
-        out = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+def set_bits(sizes: np.ndarray, h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """(sets, 64 bits a seed): the SimHash of each set for every seed; zero for an empty set. So that small sets of an even size lean to
+    neither side, a bit that half of the shingles have is decided by small weights of the shingles, in sets of FEW and more by one."""
+    out, ends, lo, hi = np.zeros((len(sizes), 64 * len(seeds)), np.uint8), np.cumsum(sizes), 0, 0
+    for i in np.flatnonzero(sizes):
+        count, tie, few = np.zeros(out.shape[1], np.int64), None, sizes[i] < FEW
+        for at in range(ends[i] - sizes[i], ends[i], 255):  # so many are added up in a byte
+            to = min(ends[i], at + 255)
+            if to > hi:
+                lo, hi = at, min(len(h), at + (1 << 12))
+                words = mix(h[lo:hi, None] ^ seeds)
+            bits = np.unpackbits(words[at - lo : to - lo].view(np.uint8), axis=1, bitorder="little")
+            if few:
+                weight = (1 << 14) + np.roll(words[at - lo : to - lo].view(np.uint8), 8, axis=1).astype(np.float32)  # one for eight bits
+                out[i] = (2 * np.einsum("nbk,nb->bk", bits.reshape(*weight.shape, 8), weight) > weight.sum(axis=0)[:, None]).ravel()
+            else:
+                tie = bits[0] if tie is None else tie
+                count += bits.sum(axis=0, dtype=np.uint8)
+        if not few:
+            out[i] = 2 * count + tie > sizes[i]
     return out
 
 
+def band_values(bits: np.ndarray, first: int = 0) -> np.ndarray:
+    """(sets, bands): a number for each BITS bits of a row, different for each band."""
+    values = bits.reshape(len(bits), bits.shape[1] // BITS, BITS).astype(np.int32) @ (1 << np.arange(BITS, dtype=np.int32))
+    return values + ((first + np.arange(values.shape[1], dtype=np.int32)) << BITS)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    cut = 2 + BANDS * BITS // 64
     for b in batches:
         for lo, sizes, h in shingle_sets(b.column(2), k):
-            filled, key, fp = np.flatnonzero(sizes), np.zeros(len(sizes), np.uint64), set_fingerprints(sizes, h)
-            bands = np.zeros((len(filled), BANDS), np.uint64)
-            if len(filled):
-                starts = (np.cumsum(sizes) - sizes)[filled]
-                key[filled] = mix(np.add.reduceat(mix(h), starts) + sizes[filled].astype(np.uint64))
-                for j in range(BANDS * ROWS):
-                    least = np.minimum.reduceat((h ^ _SEEDS[2 * j]) * (_SEEDS[2 * j + 1] | np.uint64(1)), starts)
-                    bands[:, j // ROWS] = mix(bands[:, j // ROWS] + least + np.uint64(j))
-            ends = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).view(np.int64)))
-            cols = [b.column(0).slice(lo, len(sizes)), b.column(1).slice(lo, len(sizes)), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(sizes.astype(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "key", "fp", "size", "bands"])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for x in range(0, len(sizes), SIGNED):
+                y = min(len(sizes), x + SIGNED)
+                n, own = sizes[x:y], h[ends[x] : ends[y]]
+                filled, key = np.flatnonzero(n), np.zeros(y - x, np.uint64)
+                if len(filled):
+                    key[filled] = mix(np.add.reduceat(mix(own), (np.cumsum(n) - n)[filled]) + n[filled].astype(np.uint64))
+                bits = set_bits(n, own, _SEEDS[:cut])
+                fps = np.packbits(bits[:, :128], axis=1, bitorder="little").view(np.int64)
+                small = (n >= LEAST) & (n <= SMALL)
+                bands = np.zeros((y - x, MORE), np.int32)
+                bands[:, :BANDS] = band_values(bits[:, 128:])
+                bands[small, BANDS:] = band_values(set_bits(n[small], own[np.repeat(small, n)], _SEEDS[cut:]), BANDS)
+                many = np.where(small, MORE, np.where(n >= LEAST, BANDS, 0))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(bands[np.arange(MORE) < many[:, None]]))
+                cols = [b.column(0).slice(lo + x, y - x), b.column(1).slice(lo + x, y - x), pa.array(key.view(np.int64)), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(n.astype(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "key", "fp", "fp2", "size", "bands"])
+
+
+def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (band, kind, x, y, active, key, fp, fp2, size) sorted by group (band, kind, x, y) -> (a, b): links of sets whose fingerprints
+    are within WIDE bits and whose sizes allow a similarity of 0.8, of every active row with all of its group."""
+
+    def near(f: np.ndarray, g: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        close = np.bitwise_count(f[0] ^ g[0]) + np.bitwise_count(f[1] ^ g[1]) <= WIDE
+        return close & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+
+    def solve(group: np.ndarray, active: np.ndarray, key: np.ndarray, f: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        edges = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+        rows = np.diff(np.append(edges, len(group)))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = np.flatnonzero(np.repeat(rows <= 128, rows))
+        for d in range(1, int(rows[rows <= 128].max(initial=1))):  # small groups together: each row with the d-th after it
+            at = at[at + d < len(group)]
+            at = at[group[at + d] == group[at]]
+            same = at[near(f[:, at], f[:, at + d], n[at], n[at + d])]
+            a.append(key[same])
+            b.append(key[same + d])
+        for start, size in zip(edges[rows > 128], rows[rows > 128], strict=True):
+            own = slice(start, start + size)
+            left = start + np.flatnonzero(active[own])
+            for i in range(0, len(left), 64):
+                part = left[i : i + 64]
+                x, y = np.nonzero(near(f[:, part, None], f[:, None, own], n[part, None], n[None, own]))
+                x, y = stars(key[part[x]], key[start + y])
+                a.append(x)
+                b.append(y)
+        a, b = stars(np.concatenate(a), np.concatenate(b))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        change = np.zeros(len(cols[0]), np.int64)
+        for x in cols[:4]:
+            change[1:] |= x[1:] != x[:-1]
+        group = np.cumsum(change)
+        last = int(np.searchsorted(group, group[-1]))
+        held = [x[last:] for x in cols]
+        if last:
+            yield solve(group[:last], cols[4][:last], cols[5][:last], np.stack([x[:last].view(np.uint64) for x in cols[6:8]]), cols[8][:last])
+    if held is not None:
+        yield solve(np.zeros(len(held[0]), np.int64), held[4], held[5], np.stack([x.view(np.uint64) for x in held[6:8]]), held[8])
+
+
+def proposed_groups(sets: DataFrame, tile: int | None = None) -> DataFrame:
+    """sets (key, fp, fp2, size, bands) -> (group, key): components of the sets that share a band and are within WIDE bits, those of two
+    sets or more. Groups of more than a tile of fingerprints are compared by tiles, so none is too large."""
+    spark, tile = sets.sparkSession, tile or BAND_TILE
+    rows = sets.select("key", "fp", "fp2", "size", F.explode("bands").alias("band"))
+    parts, place = int(spark.conf.get("spark.sql.shuffle.partitions")), ["band", "kind", "x", "y"]
+
+    def compare(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select(*place, "active", "key", "fp", "fp2", "size").repartition(parts, *place).sortWithinPartitions(*place)
+        return dealt.mapInArrow(_proposals, "a long, b long")
+
+    plain = {"kind": F.lit(0), "x": F.lit(0).cast("long"), "y": F.lit(0).cast("long"), "active": F.lit(True)}
+    hot = staged(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("band"), "copy-hot")
+    if hot.isEmpty():
+        links = compare(rows.withColumns(plain))
+    else:  # as many as there are values of bands at most
+        warm = group_components(rows.join(F.broadcast(hot), "band", "left_semi"), ["band"], F.lit(1), "key", tile, compare)
+        links = compare(rows.join(F.broadcast(hot), "band", "left_anti").withColumns(plain)).unionByName(warm.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = connected_components(links)
+    return roots.select(F.col("root").alias("group"), F.col("node").alias("key")).unionByName(roots.select(F.col("root").alias("group"), F.col("root").alias("key")).distinct())
 
 
 def similar(keys: np.ndarray, active: np.ndarray, fps: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
@@ -303,7 +399,7 @@ def similar(keys: np.ndarray, active: np.ndarray, fps: np.ndarray, sizes: np.nda
             if not len(left):
                 break
         mine, n = ids[starts[i] : ends[i]], sizes[left]
-        close = (np.bitwise_count(fps[left] ^ fps[i]) <= WIDE) | (n < FEW) | (sizes[i] < FEW)
+        close = (np.bitwise_count(fps[left] ^ fps[i]).sum(axis=1) <= WIDE) | (n < FEW) | (sizes[i] < FEW)
         close &= 5 * np.minimum(n, sizes[i]) >= 4 * np.maximum(n, sizes[i])
         if not close.any():
             continue
@@ -322,7 +418,7 @@ def similar(keys: np.ndarray, active: np.ndarray, fps: np.ndarray, sizes: np.nda
 
 
 def _set_links(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Batches (band, kind, x, y, active, key, fp, text) sorted by group (band, kind, x, y) -> (a, b)."""
+    """Batches (group, kind, x, y, active, key, fp, fp2, text) sorted by (group, kind, x, y) -> (a, b)."""
     group, held = None, []
 
     def solve() -> pa.RecordBatch:
@@ -332,8 +428,8 @@ def _set_links(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
     for b in batches:
         place = np.stack([np.asarray(b.column(i)) for i in range(4)])
         active = b.column(4).to_numpy(zero_copy_only=False)
-        keys, fps = np.asarray(b.column(5)), np.asarray(b.column(6)).view(np.uint64)
-        for lo, sizes, h in shingle_sets(b.column(7), k):
+        keys, fps = np.asarray(b.column(5)), np.stack([np.asarray(b.column(i)).view(np.uint64) for i in (6, 7)], axis=1)
+        for lo, sizes, h in shingle_sets(b.column(8), k):
             at, ends = place[:, lo : lo + len(sizes)], np.concatenate([[0], np.cumsum(sizes)])
             cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), len(sizes)]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
@@ -353,37 +449,35 @@ def near_copies(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
     similarity of 0.8 or more; of all that are reachable over links the row of smallest (id, row) stays, null ids last.
     Texts without a word, also null, are copies of each other only. ``row_col`` must be unique and written (long).
 
-    Equal sets are compared once. Sets that share a MinHash band are a group, bands with the same members are one. A
-    group is compared by tiles, first the fingerprints within the radius WIDE; every pair that is left is checked on the
-    whole sets. Sets and shingles are told apart by 64-bit hashes.
+    Equal sets are compared once. SimHash proposes: sets that share a band of their fingerprints and are within the radius
+    WIDE are linked, and what is connected is a group. A group is compared by tiles, and every pair of it within the radius is
+    checked on the whole sets. Sets and shingles are told apart by 64-bit hashes.
 
     Long texts are read whole, repeated rows are copies of each other, an empty table gives an empty result. Other
     columns are not carried, so their names cannot clash.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = staged(rows.mapInArrow(partial(_signatures, k=k), f"row long, id {id_type}, key long, fp long, size long, bands array<long>"), "copy-signatures")
+    signed = staged(rows.mapInArrow(partial(_signatures, k=k), f"row long, id {id_type}, key long, fp long, fp2 long, size long, bands array<int>"), "copy-signatures")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
-    sets = staged(signed.groupBy("key").agg(least.alias("least"), *(F.first(c).alias(c) for c in ("fp", "size", "bands"))), "copy-sets")
-    banded = sets.select("key", "fp", "size", F.explode("bands").alias("band"))
-    groups = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("members"), F.sum("size").alias("total")).where("n > 1")
-    groups = staged(groups.groupBy("n", "members", "total").agg(F.min("band").alias("band")).select("band"), "copy-groups")
-    members = staged(banded.join(groups.hint("merge"), "band").select("key", "fp", "size", "band"), "copy-members")
-    wanted = staged(members.select("key").distinct().join(sets.select("key", F.col("least.row").alias("row")).hint("merge"), "key"), "copy-wanted")
+    sets = staged(signed.groupBy("key").agg(least.alias("least"), *(F.first(c).alias(c) for c in ("fp", "fp2", "size", "bands"))), "copy-sets")
+    groups = staged(proposed_groups(sets), "copy-groups")
+    members = staged(sets.select("key", "fp", "fp2", "size", F.col("least.row").alias("row")).join(groups.hint("merge"), "key"), "copy-members")
+    wanted = members.select("row", "key")
     texts = staged(rows.select("row", "text").join(wanted.hint("merge"), "row").select("key", "text"), "copy-texts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    group = ["band", "kind", "x", "y"]
+    group = ["group", "kind", "x", "y"]
 
     def compare(dealt: DataFrame) -> DataFrame:
-        with_text = dealt.join(texts.hint("merge"), "key").select(*group, "active", "key", "fp", "text")
+        with_text = dealt.join(texts.hint("merge"), "key").select(*group, "active", "key", "fp", "fp2", "text")
         with_text = with_text.repartition(parts, *group).sortWithinPartitions(*group)
         return with_text.mapInArrow(partial(_set_links, k=k), "a long, b long")
 
-    roots = group_components(members, ["band"], F.col("size"), "key", SET_TILE, compare)
+    roots = group_components(members.drop("row"), ["group"], F.col("size"), "key", SET_TILE, compare)
     of_set = staged(sets.select("key", "least").join(roots.hint("merge"), F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root")), "copy-roots")
     kept = staged(of_set.groupBy("root").agg(F.min("least").alias("least")).select("root", F.col("least.row").alias("kept")), "copy-least")
     of_set = staged(of_set.join(kept.hint("merge"), "root").select("key", "kept"), "copy-components")
-    for done in (sets, groups, members, wanted, texts, kept):
+    for done in (sets, groups, members, texts, kept):
         discard(docs.sparkSession, done)
     return signed.select("row", "key").join(of_set.hint("merge"), "key").select(F.col("row").alias(row_col), "kept")
 
