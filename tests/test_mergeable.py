@@ -124,3 +124,17 @@ def test_values_are_counted_once_for_all_ranks_of_a_group(spark, monkeypatch):
         got = {r["k"]: r["q"] for r in Q.quantiles(df, ["k"], "v", (0.25, 0.5, 0.75), 10, 16).collect()}
         assert got == want
         assert [t for n, t in seen if n == "quantile-todo"][0].count() == 5  # a row a group in the first round
+
+
+def test_a_round_of_mixtures_writes_a_row_a_component(spark, monkeypatch):
+    from tierstats.operators import mixture
+
+    rnd = random.Random(5)
+    rows = [(i, [rnd.gauss(4 * (i % 2), 1), rnd.gauss(0, 1)]) for i in range(200)]
+    points = spark.createDataFrame(rows, "id long, x array<double>")
+    start = spark.createDataFrame([(i, k, i % k) for i, _ in rows for k in (2, 3)], "id long, k int, cluster int")
+    write, sizes = mixture.staged, []
+    monkeypatch.setattr(mixture, "staged", lambda t, name: (out := write(t, name), sizes.append((name, out.count())))[0])
+    assert mixture.diagonal_mixture(points, start, rounds=2)[0].count() == 400
+    rounds = [n for name, n in sizes if name == "mixture-round"]
+    assert rounds and max(rounds) <= 5

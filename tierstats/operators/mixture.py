@@ -33,6 +33,13 @@ def _sums(each: DataFrame, dims: int) -> DataFrame:
     return g.where("r > 1e-12")
 
 
+def _round(each: DataFrame, dims: int) -> DataFrame:
+    """``densities`` -> the sums of each component, also of those without weight, with ``ll``: they add up to the log-likelihood of the mixture."""
+    parts = each.select("k", "x", "ll", F.posexplode("parts").alias("at", "o")).select("k", "x", "o.cluster", "o.p", F.when(F.col("at") == 0, F.col("ll")).alias("ll"))
+    of = lambda f: F.array(*(F.sum(F.col("p") * f(F.col("x")[i])) for i in range(dims)))
+    return parts.groupBy("k", "cluster").agg(F.sum("p").alias("r"), of(lambda x: x).alias("s"), of(lambda x: x * x).alias("q"), F.sum("ll").alias("ll"))
+
+
 def densities(points: DataFrame, parameters: DataFrame) -> DataFrame:
     """points (id, x) -> (id, x, k, ll, parts): for every mixture the log density, and (cluster, p): each component's posterior."""
     one = F.expr("log(weight) - 0.5D * aggregate(variance, 0D, (t, v) -> t + log(v))").alias("c")
@@ -62,7 +69,7 @@ def diagonal_mixture(points: DataFrame, start: DataFrame, rounds: int = 100, tol
     done: dict[int, tuple[float, int]] = {}
     for i in range(rounds + 1):
         open_ = now.where(~F.col("k").isin(list(done)))
-        each = staged(densities(points, open_).select("k", "x", "ll", "parts"), "mixture-round")
+        each = staged(_round(densities(points, open_).select("k", "x", "ll", "parts"), dims), "mixture-round")  # a row a component
         score = {r["k"]: r["ll"] for r in each.groupBy("k").agg(F.sum("ll").alias("ll")).collect()}  # a row a mixture
         for k, ll in score.items():
             if i == rounds or k in last and ll - last[k] < tolerance * n:
@@ -71,8 +78,8 @@ def diagonal_mixture(points: DataFrame, start: DataFrame, rounds: int = 100, tol
         if len(done) == len(score) + len(set(done) - set(score)):
             discard(spark, each)
             break
-        moved = each.where(~F.col("k").isin(list(done))).select("k", "x", F.explode("parts").alias("o")).select("k", "x", "o.cluster", "o.p")
-        after = _parameters(_sums(moved, dims).withColumn("all", F.lit(float(n))), dims)
+        moved = each.where(~F.col("k").isin(list(done)) & (F.col("r") > 1e-12))
+        after = _parameters(moved.withColumn("all", F.lit(float(n))), dims)
         after = staged(after.unionByName(now.where(F.col("k").isin(list(done)))), "mixture-parameters")
         discard(spark, each)
         discard(spark, now)
