@@ -237,3 +237,34 @@ def test_stability_writes_less_than_pairs(spark, monkeypatch):
         monkeypatch.setattr(module, "staged", lambda t, name, write=write: sizes.append((out := write(t, name)).count()) or out)
     assert M.projection_stability(df, 6, 3, (1, 2)).count() == 2
     assert max(sizes) <= 120
+
+
+def test_rank_correlation_leaves_nothing_of_its_pairs_on_disk(spark):
+    """What was shuffled stayed until the end, some 52 bytes a pair. Now ranges of distances have their turns, and a turn's files go with it."""
+    import glob
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, x array<double>")
+    turns = [rng.integers(-1, 2, size=(4, 2)).astype(float)]
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    held = lambda: sum(os.path.getsize(f) for d in dirs for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True))
+    before = held()
+    whole = pairranks.distance_rank_correlations(df, 4, turns, bin_pairs=20_000).collect()
+    assert held() - before < 4 * 700 * 699 // 2
+    n, rho = plain_rank_correlation(x, turns[0])
+    assert [(r.view, r.n_pairs) for r in whole] == [(0, n)] and whole[0].spearman == pytest.approx(rho, abs=1e-9)
+    parts = pairranks.distance_rank_correlations(df, 4, turns, bin_pairs=20_000, round_bytes=600_000).collect()  # several turns
+    assert parts[0].spearman == pytest.approx(rho, abs=1e-9)
+
+
+def test_rank_correlation_of_distances_that_are_near_each_other(spark):
+    """A far vector, next to which all other distances are alike: the cells of distances are cut until they tell ranks apart. With copies."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(60, 4)), np.full((1, 4), 1e6)])
+    x[20:25] = x[0]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, x array<double>")
+    turn = rng.integers(-1, 2, size=(4, 2)).astype(float)
+    n, rho = plain_rank_correlation(x, turn)
+    got = pairranks.distance_rank_correlations(df, 4, [turn], bin_pairs=100, round_bytes=5_000).collect()
+    assert got[0].n_pairs == n and got[0].spearman == pytest.approx(rho, abs=1e-6)  # nine digits of distances of 1e6
