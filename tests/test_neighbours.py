@@ -268,3 +268,28 @@ def test_rank_correlation_of_distances_that_are_near_each_other(spark):
     n, rho = plain_rank_correlation(x, turn)
     got = pairranks.distance_rank_correlations(df, 4, [turn], bin_pairs=100, round_bytes=5_000).collect()
     assert got[0].n_pairs == n and got[0].spearman == pytest.approx(rho, abs=1e-6)  # nine digits of distances of 1e6
+
+
+def test_manifest_reads_files_in_pieces(spark, tmp_path):
+    """A file was one row, of its whole content. Odd ends, marks of byte order, names to encode, several splits, and files that Spark would unpack."""
+    import gzip
+    import hashlib
+
+    rng = np.random.default_rng(2)
+    mark = b"\xef\xbb\xbf"
+    files = {f"r{i}.bin": b for i, b in enumerate([b"a", b"\n", b"\n\n", b"a\n", b"\r\n\r", b"\xff\n\xfe\x00", mark, mark + b"\n", mark + b"x", mark + mark + b"\nx", b"\xef\xbb", rng.bytes(3_000_001), bytes(100_000)])}
+    files |= {"a b%20c.bin": rng.bytes(5000), "p.gz": gzip.compress(rng.bytes(3000)), "no.gz": b"\n plain", "q.bin.zst": rng.bytes(70)}
+    (tmp_path / "in").mkdir()
+    for k, (name, content) in enumerate(files.items()):
+        ((tmp_path / "in" if k % 2 else tmp_path) / name).write_bytes(content)
+    want = {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in files.items()}
+    conf = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.sources.binaryFile.maxLength")}
+    try:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", "4000")  # what a row may hold of a file
+        for size in (conf["spark.sql.files.maxPartitionBytes"], "70000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = tables.file_manifest(spark, str(tmp_path)).collect()
+            assert {r.file: (r.bytes, r.sha256) for r in got} == want and len(got) == len(files)
+    finally:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
