@@ -51,3 +51,25 @@ def test_the_rows_of_a_complete_view_are_written_before_they_are_fitted(spark, m
     monkeypatch.setattr(M, "staged", lambda d, name: names.append(name) or keep(d, name))
     out = M.complete_entry_view(spark.createDataFrame(rows, "id int, feature string, value double"), ["S0", "S1", "S2"])
     assert out.count() == 2 * 29 and names == ["complete-rows", "pca-rows"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_curated_scores_deal_records_to_their_entry_once(spark):
+    """Wide records went by their seven keys, by instance, by entry and position, and by position."""
+    import re
+
+    from tierstats.operators import quantiles as Q
+    from tierstats.plans import catalogue
+
+    seen, keep = [], Q.staged
+    Q.staged = lambda d, name: seen.append(d._jdf.queryExecution().toString()) or keep(d, name)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = catalogue.queries()["CL18_curated_site_scores"](spark, SF)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        Q.staged = keep
+    plan = seen[0].split("== Physical Plan ==")[1]
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert [re.findall(r"[a-z_]+(?=#)", x) for x in dealt if "entry#" in x or "instance#" in x] == [["entry"]]
+    assert got.count() == 25

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tierstats.sources.shared import staged
 
-from .aggregate import pick_record
 from .classify import keyword_class, segment_category, state_from_evidence
 from .joins import bracketing_neighbours, dense_grid, nearest_within, probe_contacts, radius_contacts
+from .quantiles import quantiles
 from .stats import bootstrap_ci, kruskal, mann_whitney, wilcoxon_one_sample
 from .windows import bh_fdr, rank_min_desc, top_bottom_share
 
@@ -241,15 +241,15 @@ def position_comparison(prof: DataFrame, value: str, first: str = "HOLO", second
     return bh_fdr(bh_fdr(tests, "p", ["unit"], ["position"]), "p", [], ["unit", "position"], "q_global")
 
 
-def curated_site_scores(rec: DataFrame, keys: list[str], ties: list[str], sites: DataFrame, norm) -> DataFrame:
-    """Unit medians of site means; an entry counts only if every position of the site is there; sites without any stay.
-
-    norm: a function of the observation table that adds z."""
-    obs = norm(pick_record(rec, keys, "occupancy", "value", ties))
-    e = obs.where("z is not null").groupBy("unit", "entry", "position").agg(F.median("z").alias("z"))
+def curated_site_scores(prof: DataFrame, sites: DataFrame) -> DataFrame:
+    """(unit, site, score, n_entries): medians of the means of entries over a site's positions; an entry counts only if every position of the
+    site is there; sites without any stay. prof: (unit, entry, position, z), one row each. sites (unit, site, position) are few and sent to
+    the tasks, so rows that lie together by entry stay where they are."""
     size = sites.groupBy("unit", "site").agg(F.count_distinct("position").alias("size"))
-    got = e.join(sites.hint("merge"), ["unit", "position"]).groupBy("unit", "entry", "site").agg(F.avg("z").alias("m"), F.count(F.lit(1)).alias("n"))
-    full = got.join(size.hint("merge"), ["unit", "site"]).where("n = size").groupBy("unit", "site").agg(F.median("m").alias("score"), F.count(F.lit(1)).alias("n_entries"))
+    here = sites.join(size, ["unit", "site"])
+    got = prof.where("z is not null").join(F.broadcast(here), ["unit", "position"]).groupBy("unit", "entry", "site", "size").agg(F.avg("z").alias("m"), F.count(F.lit(1)).alias("n"))
+    full = quantiles(got.where("n = size").select("unit", "site", "m"), ["unit", "site"], "m", (0.5,))
+    full = full.select("unit", "site", F.col("q")[0].alias("score"), F.col("n").alias("n_entries"))
     return size.join(full.hint("merge"), ["unit", "site"], "left").fillna(0, ["n_entries"]).drop("size")
 
 

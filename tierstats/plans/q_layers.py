@@ -253,8 +253,8 @@ def cl17b(s, d):
 @query("CL18_curated_site_scores", f"""WITH e AS (SELECT unit, entry, position, median(z) AS z FROM norm WHERE z IS NOT NULL GROUP BY ALL), x AS (SELECT * FROM {_SITES} WHERE site = 'GROOVE'), f AS (SELECT unit, entry, site, avg(z) AS m FROM e JOIN x USING (unit, position) GROUP BY ALL HAVING count(*) = 3)
 SELECT x.unit, x.site, round(s, 6) AS score, coalesce(n, 0) AS n_entries FROM (SELECT DISTINCT unit, site FROM x) x LEFT JOIN (SELECT unit, site, median(m) AS s, count(*) AS n FROM f GROUP BY ALL) g ON g.unit = x.unit AND g.site = x.site""")
 def cl18(s, d):
-    keys = ["unit", "grp", "entry", "instance", "position", "state", "resolution"]
-    g = L.curated_site_scores(rec(s, d), keys, fixtures.TIES, sites(s, d).where("site = 'GROOVE'"), lambda o: A.zscore_within(o, "instance", "value"))
+    groove = sites(s, d).where("site = 'GROOVE'")
+    g = L.curated_site_scores(fixtures._prof(s, d, groove), groove)
     return g.withColumn("score", F.round("score", 6))
 
 
