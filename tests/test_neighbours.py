@@ -293,3 +293,26 @@ def test_manifest_reads_files_in_pieces(spark, tmp_path):
     finally:
         for k, v in conf.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("block", [5, 40, 2048])
+def test_grid_of_chains_and_far_points(spark, block):
+    """Chains between blobs, far points and pairs, a group with few points, points without a group or coordinate, which met each other or had no
+    distance before; what joins no cluster of a group's first block is compared with all."""
+    rnd = random.Random(11)
+    blob = lambda x, n, r: [(x + rnd.gauss(0, r), rnd.gauss(0, r), rnd.gauss(0, r)) for _ in range(n)]
+    a = blob(0, 30, 0.3) + blob(6, 25, 0.3) + [(i * 0.8, 0.0, 9.0) for i in range(20)] + [(50.0 + 9 * i, 3.0 * i, 0.0) for i in range(6)] + [(30.0, 0.0, 0.0), (30.0, 0.1, 0.0)]
+    points = dict(enumerate([("a", p) for p in a] + [("b", p) for p in blob(2, 3, 4.0)]))
+    rows = [(g, i, *p) for i, (g, p) in points.items()] + [(None, 900 + i, 0.0, 0.0, 0.1 * i) for i in range(4)] + [("a", 950, None, 0.0, 0.0), ("a", 951, 0.0, None, 0.0)]
+    df = spark.createDataFrame(rows, "g string, i long, x double, y double, z double")
+    d = sorted(math.dist(x, y) for (g, x), (h, y) in combinations(points.values(), 2) if g == h)
+    got = {(r.eps_percent, r.min_samples): r for r in density.dbscan_grid(df, "g", "i", (1, 3, 8, 30, 60), (2, 3, 5), block).collect()}
+    clusters_seen = set()
+    for pct in (1, 3, 8, 30, 60):
+        eps = float(np.quantile(d, pct / 100))
+        for least in (2, 3, 5):
+            r = got[pct, least]
+            core, held, clusters = plain_dbscan(points, eps, least)
+            clusters_seen.add(clusters)
+            assert (r.n_core, r.n_clusters) == (len(core), clusters) and r.noise_share == pytest.approx(1 - len(held) / len(rows))
+    assert len(clusters_seen) > 3
