@@ -239,7 +239,7 @@ def test_stability_writes_less_than_pairs(spark, monkeypatch):
     assert max(sizes) <= 120
 
 
-def test_rank_correlation_leaves_nothing_of_its_pairs_on_disk(spark):
+def test_rank_correlation_leaves_nothing_of_its_pairs_on_disk(spark, monkeypatch):
     """What was shuffled stayed until the end, some 52 bytes a pair. Now ranges of distances have their turns, and a turn's files go with it."""
     import glob
 
@@ -254,6 +254,7 @@ def test_rank_correlation_leaves_nothing_of_its_pairs_on_disk(spark):
     assert held() - before < 4 * 700 * 699 // 2
     n, rho = plain_rank_correlation(x, turns[0])
     assert [(r.view, r.n_pairs) for r in whole] == [(0, n)] and whole[0].spearman == pytest.approx(rho, abs=1e-9)
+    monkeypatch.setattr(pairranks, "STRIP", 700)  # strips of which a turn takes no pair
     parts = pairranks.distance_rank_correlations(df, 4, turns, bin_pairs=20_000, round_bytes=600_000).collect()  # several turns
     assert parts[0].spearman == pytest.approx(rho, abs=1e-9)
 
